@@ -29,6 +29,31 @@ from ..session import ensure_checkpoint_dir
 
 BUCKET = "_bucket"
 
+# Below this Catalyst size estimate (an upper bound for scans, filters, aggregates and
+# joins without CBO) one bucket is used and no quantile sketch job is run.
+SINGLE_BUCKET_BYTES = 32 * 1024 * 1024
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """Catalyst's plan-time size estimate (no job is run); huge when unknown."""
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001
+        return 1 << 62
+
+
+# Inputs with at most this many rows (checked by an exact count when the plan estimate
+# is unknown or too large) are ordered inside one bucket / one aggregation buffer.
+SMALL_ROWS = 1 << 20
+
+
+def is_small(df: DataFrame) -> bool:
+    """Size check before choosing a one-task strategy: the plan estimate when it is
+    small, otherwise an exact row count against ``SMALL_ROWS``."""
+    if estimated_bytes(df) <= SINGLE_BUCKET_BYTES:
+        return True
+    return df.count() <= SMALL_ROWS
+
 
 def default_buckets(df: DataFrame) -> int:
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
@@ -37,14 +62,20 @@ def default_buckets(df: DataFrame) -> int:
 
 def value_buckets(df: DataFrame, col: str, n_buckets: int | None = None,
                   rel_err: float = 1e-3, out: str = BUCKET) -> DataFrame:
-    """Add ``out`` = range bucket of non-null double ``col`` (quantile-balanced)."""
-    n = n_buckets or default_buckets(df)
-    splits = [-math.inf, math.inf]
-    if n > 1:
-        probs = [i / n for i in range(1, n)]
-        qs = df.approxQuantile(col, probs, rel_err)  # n-1 doubles on the driver
-        inner = sorted({float(q) for q in qs if q is not None and math.isfinite(q)})
-        splits = [-math.inf] + inner + [math.inf]
+    """Add ``out`` = range bucket of non-null double ``col`` (quantile-balanced).
+
+    The split points come from one approximate-quantile pass (n-1 doubles reach the
+    driver); the bucket is then a pure function of the value. A small input (by plan
+    estimate) gets a single bucket and no extra pass.
+    """
+    if n_buckets is None:
+        n_buckets = 1 if is_small(df) else default_buckets(df)
+    if n_buckets <= 1:
+        return df.withColumn(out, F.lit(0))
+    probs = [i / n_buckets for i in range(1, n_buckets)]
+    qs = df.approxQuantile(col, probs, rel_err)
+    inner = sorted({float(q) for q in qs if q is not None and math.isfinite(q)})
+    splits = [-math.inf] + inner + [math.inf]
     tmp = f"_{out}_in"
     b = Bucketizer(splits=splits, inputCol=tmp, outputCol=out, handleInvalid="keep")
     res = b.transform(df.withColumn(tmp, F.col(col).cast("double")))
@@ -53,48 +84,81 @@ def value_buckets(df: DataFrame, col: str, n_buckets: int | None = None,
 
 def running_totals(df: DataFrame, order_col: str, sum_cols: Sequence[str], descending: bool = False,
                    n_buckets: int | None = None, prefix: str = "cum_",
-                   tiebreak: Sequence[str] = ()) -> DataFrame:
-    """Inclusive running sums of ``sum_cols`` in ``order_col`` order (nulls excluded).
+                   tiebreak: Sequence[str] = (), group_cols: Sequence[str] = ()) -> DataFrame:
+    """Inclusive running sums of ``sum_cols`` in ``order_col`` order (nulls excluded),
+    restarted for every combination of ``group_cols``.
 
-    Expects one row per distinct ``order_col`` value unless ``tiebreak`` columns make
+    Expects one row per distinct (group, ``order_col``) unless ``tiebreak`` columns make
     the order total. Result: input columns + ``prefix+c`` for each ``c``.
     """
+    g = list(group_cols)
     base = df.where(F.col(order_col).isNotNull())
+    oc = F.col(order_col).desc() if descending else F.col(order_col).asc()
+    if n_buckets is None and is_small(base):
+        n_buckets = 1
+    if n_buckets == 1:
+        # checked small: one window partition per group, no bucket offsets needed
+        w1 = (Window.partitionBy(*g) if g else Window).orderBy(oc, *[F.col(t) for t in tiebreak]) \
+            .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        for c in sum_cols:
+            base = base.withColumn(prefix + c, F.sum(c).over(w1))
+        return base
     b = value_buckets(base, order_col, n_buckets)
-    totals = b.groupBy(BUCKET).agg(*[F.sum(c).alias(c) for c in sum_cols])
+    totals = b.groupBy(*g, BUCKET).agg(*[F.sum(c).alias(c) for c in sum_cols])
     bo = F.col(BUCKET).desc() if descending else F.col(BUCKET).asc()
-    # totals has at most n_buckets rows: a one-partition window over it is bounded
-    w_b = Window.orderBy(bo).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(BUCKET, *[F.coalesce(F.sum(c).over(w_b), F.lit(0)).alias(f"_off_{c}")
-                                      for c in sum_cols])
-    b = b.join(F.broadcast(offsets), BUCKET, "left")
-    oc = F.col(order_col).desc() if descending else F.col(order_col).asc()
-    w = Window.partitionBy(BUCKET).orderBy(oc, *[F.col(t) for t in tiebreak]) \
+    # one row per (group, bucket): without groups at most n_buckets rows
+    w_b = (Window.partitionBy(*g) if g else Window).orderBy(bo).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*g, BUCKET, *[F.coalesce(F.sum(c).over(w_b), F.lit(0)).alias(f"_off_{c}")
+                                          for c in sum_cols])
+    b = b.join(offsets if g else F.broadcast(offsets), [*g, BUCKET], "left")
+    w = Window.partitionBy(*g, BUCKET).orderBy(oc, *[F.col(t) for t in tiebreak]) \
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     for c in sum_cols:
         b = b.withColumn(prefix + c, F.sum(c).over(w) + F.col(f"_off_{c}"))
     return b.drop(BUCKET, *[f"_off_{c}" for c in sum_cols])
 
 
-def value_counts_cumulative(df: DataFrame, col: str, n_buckets: int | None = None) -> DataFrame:
-    """(value, c, cum_c, n): distinct non-null values with counts and inclusive prefix count."""
-    v = df.where(F.col(col).isNotNull()).groupBy(F.col(col).cast("double").alias("_v")) \
+def value_counts_cumulative(df: DataFrame, col: str, n_buckets: int | None = None,
+                            group_cols: Sequence[str] = ()) -> DataFrame:
+    """(groups, _v, _c, cum__c, _n): distinct non-null, non-NaN values per group with
+    counts, inclusive prefix count and the group's total."""
+    g = list(group_cols)
+    x = F.col(col).cast("double")
+    v = df.where(x.isNotNull() & ~F.isnan(x)).groupBy(*g, x.alias("_v")) \
         .agg(F.count(F.lit(1)).alias("_c"))
-    cum = running_totals(v, "_v", ["_c"], n_buckets=n_buckets)
-    total = v.agg(F.sum("_c").alias("_n"))  # one row
-    return cum.crossJoin(F.broadcast(total))
+    if n_buckets is None and is_small(v):
+        n_buckets = 1
+    cum = running_totals(v, "_v", ["_c"], n_buckets=n_buckets, group_cols=g)
+    if n_buckets == 1:
+        return cum.withColumn("_n", F.sum("_c").over(Window.partitionBy(*g) if g else Window.partitionBy()))
+    total = v.groupBy(*g).agg(F.sum("_c").alias("_n"))
+    return cum.join(total, g) if g else cum.crossJoin(F.broadcast(total))
 
 
 def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float],
-                    n_buckets: int | None = None) -> DataFrame:
-    """Exact linear-interpolation quantiles of ``col`` (nulls skipped).
+                    n_buckets: int | None = None, group_cols: Sequence[str] = ()) -> DataFrame:
+    """Exact linear-interpolation quantiles of ``col`` (nulls and NaN skipped).
 
-    Returns one row per requested probability: (prob double, value double); value is
-    null when the column has no non-null value. Position h = p*(n-1); the answer is
-    x[floor h] + (h - floor h) * (x[floor h + 1] - x[floor h]).
+    Returns one row per (group, requested probability): (groups, prob, value); value
+    is null when the group has no value. Position h = p*(n-1); the answer is
+    x[floor h] + (h - floor h) * (x[floor h + 1] - x[floor h]), with x located by
+    prefix counts over distinct values instead of buffering values in one task.
     """
     spark = df.sparkSession
-    cum = value_counts_cumulative(df, col, n_buckets)
+    g = list(group_cols)
+    if n_buckets is None and is_small(df):
+        # small input (plan estimate): Spark's exact percentile, one aggregate
+        x = F.col(col).cast("double")
+        clean = df.where(x.isNotNull() & ~F.isnan(x)).withColumn("_x", x)
+        if g:
+            agg = clean.groupBy(*g).agg(F.percentile("_x", F.array(*[F.lit(float(v)) for v in probs])).alias("_q"))
+            return agg.select(*g, F.posexplode("_q").alias("_i", "value")) \
+                .withColumn("prob", F.element_at(F.array(*[F.lit(float(v)) for v in probs]), F.col("_i") + 1)) \
+                .select(*g, "prob", "value")
+        agg = clean.agg(F.percentile("_x", F.array(*[F.lit(float(v)) for v in probs])).alias("_q"))
+        p = spark.createDataFrame([(i, float(x)) for i, x in enumerate(probs)], "_i int, prob double")
+        return p.crossJoin(agg).select("prob", F.element_at("_q", F.col("_i") + 1).alias("value"))
+    cum = value_counts_cumulative(df, col, n_buckets, g)
     p = spark.createDataFrame([(float(x),) for x in probs], "prob double")  # len(probs) rows
     cum = cum.withColumn("_before", F.col("cum__c") - F.col("_c"))
     pos = F.col("prob") * (F.col("_n") - 1)
@@ -102,11 +166,12 @@ def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float],
     hi = F.ceil(pos)
     cover = ((F.col("_before") <= lo) & (lo < F.col("cum__c"))) | \
             ((F.col("_before") <= hi) & (hi < F.col("cum__c")))
-    hit = F.broadcast(p).join(cum, cover, "inner")
-    agg = hit.groupBy("prob").agg(
-        F.min("_v").alias("_lo"), F.max("_v").alias("_hi"),
-        F.first(pos - lo).alias("_frac"))
+    hit = cum.join(F.broadcast(p), cover, "inner")
+    agg = hit.groupBy(*g, "prob").agg(
+        F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.first(pos - lo).alias("_frac"))
     val = F.col("_lo") + F.col("_frac") * (F.col("_hi") - F.col("_lo"))
+    if g:
+        return agg.select(*g, "prob", val.alias("value"))
     return p.join(agg, "prob", "left").select("prob", val.alias("value"))
 
 
@@ -116,9 +181,10 @@ def quantile_value(df: DataFrame, col: str, prob: float) -> float | None:
     return None if not r or r[0]["value"] is None else float(r[0]["value"])
 
 
-def row_index(df: DataFrame, order_cols: Sequence[str], name: str = "row_idx",
+def row_index(df: DataFrame, order_cols: Sequence, name: str = "row_idx",
               n_parts: int | None = None) -> DataFrame:
-    """Add a 0-based global row number in ``order_cols`` order (ascending, nulls first).
+    """Add a 0-based global row number in ``order_cols`` order (names sort ascending,
+    Column sort expressions such as ``F.col(x).desc()`` are used as given).
 
     Range partitioning splits a hot value of the first column across partitions by the
     later columns; the sorted, numbered rows are checkpointed to reliable storage so
@@ -137,13 +203,23 @@ def row_index(df: DataFrame, order_cols: Sequence[str], name: str = "row_idx",
         .drop("_pid", "_mid", "_poff")
 
 
-def average_rank_pct(df: DataFrame, col: str, out: str, n_buckets: int | None = None) -> DataFrame:
-    """Percentile rank with ties averaged, nulls skipped (pandas ``rank(pct=True)``).
+def average_rank_pct(df: DataFrame, cols: Sequence[str], prefix: str = "p_",
+                     n_buckets: int | None = None) -> DataFrame:
+    """Percentile rank with ties averaged, nulls and NaN skipped (pandas ``rank(pct=True)``)
+    for several columns in one pass.
 
     pct = (rows strictly below + (ties + 1) / 2) / non-null rows; null stays null.
-    Computed on distinct values, joined back on the value.
+    The columns are melted into (name, value) rows, ranked per name on distinct values,
+    and each column is joined back on its value.
     """
-    cum = value_counts_cumulative(df, col, n_buckets)
-    pct = cum.select(F.col("_v"), ((F.col("cum__c") - F.col("_c") + (F.col("_c") + 1) / 2.0)
-                                   / F.col("_n")).alias(out))
-    return df.join(pct, F.col(col).cast("double") == F.col("_v"), "left").drop("_v")
+    cols = list(cols)
+    melted = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("_name"), F.col(c).cast("double").alias("_x"))
+                                           for c in cols])).alias("_m")).select("_m._name", "_m._x")
+    cum = value_counts_cumulative(melted, "_x", n_buckets, group_cols=["_name"])
+    pct = cum.select("_name", "_v", ((F.col("cum__c") - F.col("_c") + (F.col("_c") + 1) / 2.0)
+                                     / F.col("_n")).alias("_pct"))
+    out = df
+    for c in cols:
+        one = pct.where(F.col("_name") == c).select(F.col("_v").alias(f"_v_{c}"), F.col("_pct").alias(prefix + c))
+        out = out.join(one, F.col(c).cast("double") == F.col(f"_v_{c}"), "left").drop(f"_v_{c}")
+    return out

@@ -219,3 +219,372 @@ def q_session_features(spark, d):
     feats = S.session_features(labelled_sessions(spark, d), conv, "conv_id", ["turn"], "text")
     return feats.select("session_id", "timestamp", "doc", "n_events", _r6("duration_sec").alias("duration_sec"),
                         "label")
+
+
+# ================================================================= split
+from ..operators import split as SP  # noqa: E402
+
+_SQL_CUT = """
+, q AS (SELECT (SELECT quantile_cont(epoch_us(timestamp), 0.8) FROM ls WHERE label = 1) AS cut_pos,
+               (SELECT quantile_cont(epoch_us(timestamp), 0.8) FROM ls) AS cut_all,
+               (SELECT count(*) FILTER (WHERE label = 1) FROM ls) AS n_pos)
+, c1 AS (SELECT CASE WHEN n_pos > 0 AND cut_pos IS NOT NULL THEN cut_pos ELSE cut_all END AS cut, cut_all, n_pos FROM q)
+, v AS (SELECT count(*) AS vr, count(*) FILTER (WHERE label = 1) AS vp
+        FROM ls, c1 WHERE epoch_us(ls.timestamp) >= c1.cut)
+, fin AS (SELECT CASE WHEN vr < 1000 OR vp < greatest(50, 0.1 * n_pos) THEN cut_all ELSE cut END AS cut FROM c1, v)
+, sp AS (SELECT ls.*, CASE WHEN epoch_us(timestamp) < cut THEN 'train'
+                          WHEN epoch_us(timestamp) >= cut THEN 'val' END AS split FROM ls, fin)
+"""
+
+
+@register("temporal_split", "WITH " + _SQL_SESSIONS + _SQL_CUT + """
+SELECT session_id, timestamp, label, split FROM sp
+""")
+def q_temporal_split(spark, d):
+    s = labelled_sessions(spark, d)
+    return SP.temporal_split(s).select("session_id", "timestamp", "label", "split")
+
+
+@register("split_report", "WITH " + _SQL_SESSIONS + _SQL_CUT + """
+SELECT split, count(*) AS rows, count(*) FILTER (WHERE label = 1) AS positives
+FROM sp WHERE split IS NOT NULL GROUP BY split
+""")
+def q_split_report(spark, d):
+    return SP.split_report(SP.temporal_split(labelled_sessions(spark, d)))
+
+
+@register("exact_quantiles", """
+SELECT 0.8 AS prob, round(quantile_cont(value, 0.8), 6) AS value FROM events
+UNION ALL SELECT 0.9, round(quantile_cont(value, 0.9), 6) FROM events
+UNION ALL SELECT 0.995, round(quantile_cont(value, 0.995), 6) FROM events
+""")
+def q_exact_quantiles(spark, d):
+    from ..operators.ordered import exact_quantiles
+    ev = read_table(spark, d, "events")
+    return exact_quantiles(ev, "value", [0.8, 0.9, 0.995]).select("prob", _r6("value").alias("value"))
+
+
+# ================================================================= ranks
+from ..operators import ranks as RK  # noqa: E402
+
+_SCORE_COLS = ["score_iso", "score_ae", "score_lstm"]
+
+
+def detector_scores(spark, d):
+    """Three per-user detector scores, each defined on a different subset of users."""
+    ev = read_table(spark, d, "events").withColumn("session_id", F.col("user_id").cast("string"))
+    iso = ev.where("value > 300").groupBy("session_id").agg(F.max("value").alias("score_iso"))
+    ae = ev.where("event_type = 'error' AND value > 100").groupBy("session_id") \
+        .agg(F.avg("value").alias("score_ae"))
+    lstm = ev.where("event_type = 'purchase' AND value > 150").groupBy("session_id") \
+        .agg(F.count(F.lit(1)).cast("double").alias("score_lstm"))
+    return [iso, ae, lstm]
+
+
+_SQL_SCORES = """
+  iso AS (SELECT CAST(user_id AS VARCHAR) AS session_id, max(value) AS score_iso FROM events WHERE value > 300 GROUP BY 1),
+  ae AS (SELECT CAST(user_id AS VARCHAR) AS session_id, avg(value) AS score_ae FROM events
+         WHERE event_type = 'error' AND value > 100 GROUP BY 1),
+  lstm AS (SELECT CAST(user_id AS VARCHAR) AS session_id, CAST(count(*) AS DOUBLE) AS score_lstm FROM events
+           WHERE event_type = 'purchase' AND value > 150 GROUP BY 1),
+  m AS (SELECT coalesce(iso.session_id, ae.session_id, lstm.session_id) AS session_id, score_iso, score_ae, score_lstm
+        FROM iso FULL OUTER JOIN ae ON iso.session_id = ae.session_id
+                 FULL OUTER JOIN lstm ON coalesce(iso.session_id, ae.session_id) = lstm.session_id),
+  r AS (SELECT *,
+    CASE WHEN score_iso IS NOT NULL THEN ((rank() OVER (ORDER BY score_iso) - 1)
+         + (count(*) OVER (PARTITION BY score_iso) + 1) / 2.0) / count(score_iso) OVER () END AS p_score_iso,
+    CASE WHEN score_ae IS NOT NULL THEN ((rank() OVER (ORDER BY score_ae) - 1)
+         + (count(*) OVER (PARTITION BY score_ae) + 1) / 2.0) / count(score_ae) OVER () END AS p_score_ae,
+    CASE WHEN score_lstm IS NOT NULL THEN ((rank() OVER (ORDER BY score_lstm) - 1)
+         + (count(*) OVER (PARTITION BY score_lstm) + 1) / 2.0) / count(score_lstm) OVER () END AS p_score_lstm
+    FROM m),
+  e AS (SELECT *, (coalesce(p_score_iso, 0) + coalesce(p_score_ae, 0) + coalesce(p_score_lstm, 0))
+        / nullif((p_score_iso IS NOT NULL)::INT + (p_score_ae IS NOT NULL)::INT + (p_score_lstm IS NOT NULL)::INT, 0)
+        AS ens_pct FROM r)
+"""
+_SQL_RANK_OUT = """session_id, round(score_iso, 6) AS score_iso, round(score_ae, 6) AS score_ae,
+  round(score_lstm, 6) AS score_lstm, round(p_score_iso, 6) AS p_score_iso, round(p_score_ae, 6) AS p_score_ae,
+  round(p_score_lstm, 6) AS p_score_lstm, round(ens_pct, 6) AS ens_pct"""
+
+
+def _rank_out(df):
+    return df.select("session_id", *[_r6(c).alias(c) for c in _SCORE_COLS],
+                     *[_r6(f"p_{c}").alias(f"p_{c}") for c in _SCORE_COLS], _r6("ens_pct").alias("ens_pct"))
+
+
+def ranked(spark, d):
+    return RK.rank_ensemble(RK.merge_scores(detector_scores(spark, d)), _SCORE_COLS)
+
+
+@register("rank_ensemble", "WITH " + _SQL_SCORES + " SELECT " + _SQL_RANK_OUT + " FROM e")
+def q_rank_ensemble(spark, d):
+    return _rank_out(ranked(spark, d))
+
+
+@register("topk", "WITH " + _SQL_SCORES + " SELECT " + _SQL_RANK_OUT
+          + " FROM e ORDER BY ens_pct DESC NULLS LAST, session_id LIMIT 5000")
+def q_topk(spark, d):
+    return _rank_out(RK.top_k(ranked(spark, d), 5000))
+
+
+# ================================================================= evaluation
+from ..operators import evaluation as EV  # noqa: E402
+
+
+def doc_scores(spark, d):
+    """documents with a toxic label; score = n_chars."""
+    docs = read_table(spark, d, "documents").select("doc_id", F.col("n_chars").cast("double").alias("score"))
+    lab = read_table(spark, d, "labels").select("doc_id", F.col("toxic").alias("label"))
+    return docs.join(lab, "doc_id")
+
+
+_SQL_CURVE = """
+  s AS (SELECT CAST(d.n_chars AS DOUBLE) AS score, l.toxic AS label FROM documents d JOIN labels l ON d.doc_id = l.doc_id),
+  g AS (SELECT score AS thr, count(*) FILTER (WHERE coalesce(label, 0) = 1) AS tp,
+               count(*) FILTER (WHERE coalesce(label, 0) <> 1) AS fp
+        FROM s WHERE score IS NOT NULL AND NOT isnan(score) GROUP BY score),
+  t AS (SELECT CAST(sum(tp) AS BIGINT) AS P, CAST(sum(fp) AS BIGINT) AS N FROM g),
+  c AS (SELECT thr, tp, fp,
+          CAST(sum(tp) OVER (ORDER BY thr DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS ctp,
+          CAST(sum(fp) OVER (ORDER BY thr DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS cfp,
+          P, N FROM g, t),
+  cc AS (SELECT *, CAST(ctp AS DOUBLE) / nullif(ctp + cfp, 0) AS precision, CAST(ctp AS DOUBLE) / nullif(P, 0) AS recall,
+                CAST(cfp AS DOUBLE) / nullif(N, 0) AS fpr FROM c),
+  fb AS (SELECT *, coalesce((1 + 2.25) * precision * recall / (2.25 * precision + recall + 1e-9), 0.0) AS fbeta FROM cc)
+"""
+
+
+@register("pr_curve", "WITH " + _SQL_CURVE + """
+SELECT thr, ctp AS tp, cfp AS fp, round(precision, 6) AS precision, round(recall, 6) AS recall, round(fpr, 6) AS fpr FROM cc
+""")
+def q_pr_curve(spark, d):
+    c = EV.pr_curve(doc_scores(spark, d))
+    return c.select("thr", "tp", "fp", *[_r6(x).alias(x) for x in ("precision", "recall", "fpr")])
+
+
+@register("roc_auc", "WITH " + _SQL_CURVE + """
+SELECT round(sum(fp * (ctp - tp / 2.0)) / (any_value(P) * any_value(N)), 6) AS roc_auc FROM c
+""")
+def q_roc_auc(spark, d):
+    return EV.summary(doc_scores(spark, d)).select(_r6("roc_auc").alias("roc_auc"))
+
+
+@register("avg_precision", "WITH " + _SQL_CURVE + """
+SELECT round(sum(tp * (CAST(ctp AS DOUBLE) / (ctp + cfp))) / any_value(P), 6) AS avg_precision,
+       round(CAST(any_value(P) AS DOUBLE) / (any_value(P) + any_value(N)), 6) AS prevalence,
+       round(sum(tp * (CAST(ctp AS DOUBLE) / (ctp + cfp))) / any_value(P)
+             / greatest(CAST(any_value(P) AS DOUBLE) / (any_value(P) + any_value(N)), 1e-12), 6) AS ap_gain
+FROM c
+""")
+def q_avg_precision(spark, d):
+    s = EV.summary(doc_scores(spark, d))
+    return s.select(*[_r6(x).alias(x) for x in ("avg_precision", "prevalence", "ap_gain")])
+
+
+@register("fbeta_point", "WITH " + _SQL_CURVE + """
+SELECT thr, round(precision, 6) AS precision, round(recall, 6) AS recall, round(fbeta, 6) AS fbeta
+FROM fb ORDER BY fbeta DESC, thr ASC LIMIT 1
+""")
+def q_fbeta_point(spark, d):
+    s = EV.summary(doc_scores(spark, d))
+    return s.select("thr", *[_r6(x).alias(x) for x in ("precision", "recall", "fbeta")])
+
+
+@register("fpr_at_tpr", "WITH " + _SQL_CURVE + """
+SELECT 0.8 AS target_tpr, thr, round(recall, 6) AS tpr, round(fpr, 6) AS fpr
+FROM cc WHERE recall >= 0.8 ORDER BY thr DESC LIMIT 1
+""")
+def q_fpr_at_tpr(spark, d):
+    r = EV.fpr_at_tpr(doc_scores(spark, d), 0.8)
+    return r.select("target_tpr", "thr", _r6("tpr").alias("tpr"), _r6("fpr").alias("fpr"))
+
+
+@register("confusion", "WITH " + _SQL_CURVE + """
+, best AS (SELECT thr FROM fb ORDER BY fbeta DESC, thr ASC LIMIT 1)
+, cm AS (SELECT count(*) FILTER (WHERE coalesce(label,0) <> 1 AND NOT coalesce(score >= thr, false)) AS tn,
+               count(*) FILTER (WHERE coalesce(label,0) <> 1 AND coalesce(score >= thr, false)) AS fp,
+               count(*) FILTER (WHERE coalesce(label,0) = 1 AND NOT coalesce(score >= thr, false)) AS fn,
+               count(*) FILTER (WHERE coalesce(label,0) = 1 AND coalesce(score >= thr, false)) AS tp
+         FROM s, best)
+SELECT tn, fp, fn, tp, round(coalesce(2.0 * tp / nullif(2 * tp + fp + fn, 0), 0.0), 6) AS f1 FROM cm
+""")
+def q_confusion(spark, d):
+    sc = doc_scores(spark, d)
+    best = EV.summary(sc).select("thr")
+    return EV.confusion(sc, best).withColumn("f1", _r6("f1"))
+
+
+@register("pos_weight", """
+SELECT count(*) FILTER (WHERE toxic = 1) AS pos, count(*) FILTER (WHERE toxic <> 1) AS neg,
+       round(greatest(1.0, CAST(count(*) FILTER (WHERE toxic <> 1) AS DOUBLE)
+             / greatest(count(*) FILTER (WHERE toxic = 1), 1)), 6) AS pos_weight
+FROM labels
+""")
+def q_pos_weight(spark, d):
+    lab = read_table(spark, d, "labels").select(F.col("toxic").alias("label"))
+    return EV.positive_weight(lab).withColumn("pos_weight", _r6("pos_weight"))
+
+
+# ================================================================= charts
+from ..operators import charts as CH  # noqa: E402
+
+CHART_END = "2024-02-01 00:00:00"
+
+
+def alias_frame(spark, d):
+    """A score file with reference-style spellings: sid, y_true, mse, prob."""
+    ev = read_table(spark, d, "events")
+    return ev.groupBy(F.col("user_id").cast("string").alias("sid")).agg(
+        F.max(F.when((F.col("event_type") == "error") & (F.col("value") > ERROR_VALUE), 1).otherwise(0)).alias("y_true"),
+        F.avg("value").alias("mse"), (F.max("value") / 1000.0).alias("prob"))
+
+
+def synth_frame(spark, d):
+    """A score file without a direct score column: recon_dist, error_rate, y."""
+    ev = read_table(spark, d, "events")
+    return ev.groupBy(F.col("user_id").cast("string").alias("sid")).agg(
+        F.avg("value").alias("recon_dist"),
+        F.avg(F.when(F.col("event_type") == "error", 1.0).otherwise(0.0)).alias("error_rate"),
+        F.max(F.when((F.col("event_type") == "error") & (F.col("value") > ERROR_VALUE), 1).otherwise(0)).alias("y"))
+
+
+_SQL_ALIAS = """
+  a AS (SELECT CAST(user_id AS VARCHAR) AS session_id,
+               max(CASE WHEN event_type = 'error' AND value > 150.0 THEN 1 ELSE 0 END) AS label,
+               avg(value) AS anomaly_score FROM events GROUP BY 1),
+  t AS (SELECT quantile_cont(anomaly_score, 0.9) AS thr FROM a)
+"""
+_SQL_SYNTH = """
+  b AS (SELECT CAST(user_id AS VARCHAR) AS session_id, avg(value) AS recon_dist,
+               avg(CASE WHEN event_type = 'error' THEN 1.0 ELSE 0.0 END) AS error_rate,
+               max(CASE WHEN event_type = 'error' AND value > 150.0 THEN 1 ELSE 0 END) AS label
+        FROM events GROUP BY 1),
+  mm AS (SELECT min(recon_dist) AS a0, max(recon_dist) AS a1, min(error_rate) AS b0, max(error_rate) AS b1 FROM b),
+  a AS (SELECT session_id, label, greatest((recon_dist - a0) / (a1 - a0), (error_rate - b0) / (b1 - b0)) AS anomaly_score
+        FROM b, mm),
+  t AS (SELECT quantile_cont(anomaly_score, 0.9) AS thr FROM a)
+"""
+
+
+@register("score_aliases", "WITH " + _SQL_ALIAS + """
+SELECT session_id, round(anomaly_score, 6) AS anomaly_score, label, CAST(anomaly_score >= thr AS INTEGER) AS pred FROM a, t
+""")
+def q_score_aliases(spark, d):
+    out = CH.normalize_ensemble(alias_frame(spark, d))
+    return out.withColumn("anomaly_score", _r6("anomaly_score"))
+
+
+@register("minmax_score", "WITH " + _SQL_SYNTH + """
+SELECT session_id, round(anomaly_score, 6) AS anomaly_score, label, CAST(anomaly_score >= thr AS INTEGER) AS pred FROM a, t
+""")
+def q_minmax_score(spark, d):
+    out = CH.normalize_ensemble(synth_frame(spark, d))
+    return out.withColumn("anomaly_score", _r6("anomaly_score"))
+
+
+@register("p90_flag", "WITH " + _SQL_ALIAS + """
+SELECT session_id, CAST(anomaly_score >= thr AS INTEGER) AS pred, round(thr, 6) AS thr FROM a, t
+""")
+def q_p90_flag(spark, d):
+    a = CH.normalize_aliases(alias_frame(spark, d)).select("session_id", "anomaly_score")
+    from ..operators.ordered import exact_quantiles
+    t = exact_quantiles(a, "anomaly_score", [0.9]).select(_r6("value").alias("thr"), F.col("value").alias("_t"))
+    return a.crossJoin(F.broadcast(t)).select(
+        "session_id", (F.col("anomaly_score") >= F.col("_t")).cast("int").alias("pred"), "thr")
+
+
+def chart_base(spark, d):
+    """Normalised ensemble rows with row index (score desc, id), hosts and times (jitter 0)."""
+    base = CH.normalize_ensemble(alias_frame(spark, d))
+    base = CH.assign_hosts(base, [F.col("anomaly_score").desc(), F.col("session_id").asc()],
+                           services=("hdfs", "yarn", "hbase"))
+    return CH.uniform_times(base, CHART_END, jitter_min=0)
+
+
+_SQL_CHART_BASE = _SQL_ALIAS + """
+, n AS (SELECT count(*) AS n FROM a)
+, rb AS (SELECT a.*, CAST(anomaly_score >= thr AS INTEGER) AS pred,
+                row_number() OVER (ORDER BY anomaly_score DESC, session_id) - 1 AS i FROM a, t)
+, base AS (SELECT session_id, anomaly_score, label, pred, i,
+                  'host_' || lpad(CAST(i % 50 + 1 AS VARCHAR), 2, '0') AS host,
+                  ['hdfs', 'yarn', 'hbase'][i % 3 + 1] AS service,
+                  make_timestamp(epoch_us(TIMESTAMP '2024-02-01 00:00:00') - CAST(365 AS BIGINT) * 86400000000
+                                 + i * CAST(round(365 * 86400000000.0 / n) AS BIGINT)) AS timestamp
+           FROM rb, n)
+"""
+
+
+@register("host_rollup", "WITH " + _SQL_CHART_BASE + """
+SELECT session_id, host, service, timestamp AS start_time, round(anomaly_score, 6) AS anomaly_score, label, pred
+FROM base
+""")
+def q_host_rollup(spark, d):
+    r = CH.chart_rollup(chart_base(spark, d))
+    return r.withColumn("anomaly_score", _r6("anomaly_score"))
+
+
+@register("upsample", "WITH " + _SQL_CHART_BASE + """
+SELECT base.timestamp + to_minutes(k * 15) AS timestamp, host, service, session_id, label, pred,
+       round(anomaly_score, 6) AS anomaly_score
+FROM base, range(0, 6) r(k)
+""")
+def q_upsample(spark, d):
+    b = chart_base(spark, d).select("timestamp", "host", "service", "session_id", "label", "pred",
+                                    _r6("anomaly_score").alias("anomaly_score"))
+    return CH.upsample(b, jitter_min=0)
+
+
+@register("gauge", """
+SELECT 'host_' || lpad(CAST(user_id % 50 + 1 AS VARCHAR), 2, '0') AS host, event_type AS service,
+       max(value) AS anomaly_score
+FROM events GROUP BY 1, 2
+""")
+def q_gauge(spark, d):
+    ev = read_table(spark, d, "events")
+    g = ev.select(F.format_string("host_%02d", (F.pmod("user_id", F.lit(50)) + 1).cast("int")).alias("host"),
+                  F.col("event_type").alias("service"), F.col("value").alias("anomaly_score"))
+    return CH.gauge(g)
+
+
+@register("max_line_score", """
+SELECT CAST(user_id AS VARCHAR) AS session_id, max(value) AS session_score FROM events GROUP BY 1
+""")
+def q_max_line_score(spark, d):
+    ev = events_lines(spark, d)
+    return CH.max_line_score(ev, "value")
+
+
+@register("sharded", "WITH " + _SQL_SESSIONS + """
+SELECT session_id, timestamp, CAST((row_number() OVER (ORDER BY timestamp, session_id) - 1) // 40 AS BIGINT) AS part
+FROM ls
+""")
+def q_sharded(spark, d):
+    from ..sources.sinks import shard_numbers
+    s = labelled_sessions(spark, d)
+    return shard_numbers(s, ["timestamp", "session_id"], 40).select("session_id", "timestamp", "part")
+
+
+# ================================================================= upsert
+from ..sources import upsert as UP  # noqa: E402
+
+
+def session_slice(spark, d, lo: str | None, hi: str | None):
+    ev = events_lines(spark, d)
+    if lo:
+        ev = ev.where(F.col("timestamp") >= F.lit(lo).cast("timestamp_ntz"))
+    if hi:
+        ev = ev.where(F.col("timestamp") < F.lit(hi).cast("timestamp_ntz"))
+    return S.sessionize(ev).select("session_id", "timestamp", "timestamp_end", "n_events")
+
+
+@register("upsert", """
+WITH a AS (SELECT CAST(user_id AS VARCHAR) AS session_id, min(ts) AS timestamp, max(ts) AS timestamp_end,
+                  count(*) AS n_events FROM events WHERE ts < TIMESTAMP '2024-01-21' GROUP BY 1),
+     b AS (SELECT CAST(user_id AS VARCHAR) AS session_id, min(ts) AS timestamp, max(ts) AS timestamp_end,
+                  count(*) AS n_events FROM events WHERE ts >= TIMESTAMP '2024-01-16' GROUP BY 1)
+SELECT * FROM a WHERE session_id NOT IN (SELECT session_id FROM b) UNION ALL SELECT * FROM b
+""")
+def q_upsert(spark, d):
+    target = session_slice(spark, d, None, "2024-01-21")
+    batch = session_slice(spark, d, "2024-01-16", None)
+    return UP.merge(target, batch, "session_id")
