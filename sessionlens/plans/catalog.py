@@ -588,3 +588,29 @@ def q_upsert(spark, d):
     target = session_slice(spark, d, None, "2024-01-21")
     batch = session_slice(spark, d, "2024-01-16", None)
     return UP.merge(target, batch, "session_id")
+
+
+# ================================================================= TF-IDF (F2-F5 as F8)
+from ..operators import tfidf as TF  # noqa: E402
+
+
+@register("tfidf_terms", """
+WITH l AS (SELECT CAST(conv_id AS VARCHAR) AS session_id, turn AS pos,
+                  regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_\\p{M}]+') AS toks
+           FROM conversations WHERE conv_id IS NOT NULL),
+  t AS (SELECT session_id, pos, unnest(toks) AS tok, generate_subscripts(toks, 1) AS i FROM l),
+  o AS (SELECT session_id, tok, lead(tok) OVER (PARTITION BY session_id ORDER BY pos, i) AS nxt FROM t),
+  terms AS (SELECT session_id, tok AS term FROM o
+            UNION ALL SELECT session_id, tok || ' ' || nxt FROM o WHERE nxt IS NOT NULL),
+  tf AS (SELECT session_id, term, count(*) AS tf FROM terms GROUP BY 1, 2),
+  dfc AS (SELECT term, count(*) AS df, sum(tf) AS cnt FROM tf GROUP BY term),
+  nd AS (SELECT count(DISTINCT conv_id) AS n FROM conversations),
+  vocab AS (SELECT term, df FROM dfc WHERE df >= 2 ORDER BY cnt DESC, term LIMIT 120000),
+  w AS (SELECT tf.session_id, tf.term, tf.tf * (ln((1.0 + n) / (1.0 + vocab.df)) + 1.0) AS w
+        FROM tf JOIN vocab ON tf.term = vocab.term, nd)
+SELECT session_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY session_id)), 6) AS weight FROM w
+""")
+def q_tfidf_terms(spark, d):
+    conv = read_table(spark, d, "conversations").withColumn("session_id", F.col("conv_id").cast("string"))
+    r = TF.relational_tfidf(conv, "session_id", "turn", "text")
+    return r.select("session_id", "term", _r6("weight").alias("weight"))
