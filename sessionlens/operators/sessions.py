@@ -170,3 +170,38 @@ def session_features(sessions: DataFrame, lines: DataFrame, key: str, order: Seq
         dur = F.lit(0.0)
     return out.withColumn("duration_sec", F.coalesce(dur, F.lit(0.0)).cast("double")) \
         .drop("first_order", "last_order")
+
+
+# ---------------------------------------------------------------- gap sessions (ST3 batch twin)
+def gap_sessions(events: DataFrame, key: str, ts: str, gap_seconds: int, chunk_seconds: int = 86400) -> DataFrame:
+    """Inactivity sessions per key: a new session starts when the time since the
+    previous event of the key is >= gap (the batch twin of ``session_window``).
+
+    Output: key, window_start, window_end (= last event + gap), n_events.
+    The previous event comes from a lag inside (key, time chunk) windows plus a one-row
+    per chunk summary; session numbers are prefix counts of session starts, done the
+    same way. A hot key is spread over its time chunks.
+    """
+    t = F.unix_micros(F.col(ts).cast("timestamp"))
+    gap_us = int(gap_seconds) * 1_000_000
+    e = events.where(F.col(key).isNotNull() & F.col(ts).isNotNull()) \
+        .select(F.col(key), t.alias("_t"), F.floor(t / F.lit(chunk_seconds * 1_000_000)).alias("_ch"))
+    w_in = Window.partitionBy(key, "_ch").orderBy("_t")
+    e = e.withColumn("_prev", F.lag("_t").over(w_in))
+    summ = e.groupBy(key, "_ch").agg(F.max("_t").alias("_cmax"))
+    w_c = Window.partitionBy(key).orderBy("_ch")
+    summ = summ.withColumn("_pcmax", F.lag("_cmax").over(w_c))
+    e = e.join(summ.select(key, "_ch", "_pcmax"), [key, "_ch"])
+    prev = F.coalesce(F.col("_prev"), F.col("_pcmax"))
+    e = e.withColumn("_start", (prev.isNull() | (F.col("_t") - prev >= F.lit(gap_us))).cast("int"))
+    # session number = number of starts up to and including this event, per key
+    starts = e.groupBy(key, "_ch").agg(F.sum("_start").alias("_cs"))
+    w_cs = Window.partitionBy(key).orderBy("_ch").rowsBetween(Window.unboundedPreceding, -1)
+    starts = starts.withColumn("_off", F.coalesce(F.sum("_cs").over(w_cs), F.lit(0)))
+    w_run = Window.partitionBy(key, "_ch").orderBy("_t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    e = e.join(starts.select(key, "_ch", "_off"), [key, "_ch"]) \
+        .withColumn("_sid", F.col("_off") + F.sum("_start").over(w_run))
+    g = e.groupBy(key, "_sid").agg(F.min("_t").alias("_s"), F.max("_t").alias("_e"), F.count(F.lit(1)).alias("n_events"))
+    return g.select(key, F.timestamp_micros("_s").cast("timestamp_ntz").alias("window_start"),
+                    F.timestamp_micros(F.col("_e") + F.lit(gap_us)).cast("timestamp_ntz").alias("window_end"),
+                    "n_events")

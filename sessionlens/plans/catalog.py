@@ -614,3 +614,96 @@ def q_tfidf_terms(spark, d):
     conv = read_table(spark, d, "conversations").withColumn("session_id", F.col("conv_id").cast("string"))
     r = TF.relational_tfidf(conv, "session_id", "turn", "text")
     return r.select("session_id", "term", _r6("weight").alias("weight"))
+
+
+# ================================================================= streaming batch twins (ST3, ST4)
+@register("stream_sessions", """
+WITH e AS (SELECT CAST(user_id AS VARCHAR) AS session_id, ts,
+                  lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS prev FROM events
+           WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+  s AS (SELECT *, sum(CASE WHEN prev IS NULL OR epoch_us(ts) - epoch_us(prev) >= 21600000000 THEN 1 ELSE 0 END)
+                  OVER (PARTITION BY session_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS sid FROM e)
+SELECT session_id, min(ts) AS window_start, max(ts) + INTERVAL 6 HOUR AS window_end, count(*) AS n_events
+FROM s GROUP BY session_id, sid
+""")
+def q_stream_sessions(spark, d):
+    ev = events_lines(spark, d)
+    return S.gap_sessions(ev, "session_id", "timestamp", 6 * 3600)
+
+
+@register("hourly_alerts", """
+SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS window_end,
+       event_type AS service, round(avg(CASE WHEN value > 150.0 THEN 1.0 ELSE 0.0 END), 6) AS alert_rate, count(*) AS n
+FROM events GROUP BY 1, 2, 3
+""")
+def q_hourly_alerts(spark, d):
+    ev = read_table(spark, d, "events")
+    scored = ev.select(F.col("ts").alias("timestamp"), F.col("event_type").alias("service"),
+                       (F.col("value") > ERROR_VALUE).cast("int").alias("is_alert"))
+    g = scored.groupBy(F.window("timestamp", "1 hour").alias("w"), "service") \
+        .agg(F.avg(F.col("is_alert").cast("double")).alias("alert_rate"), F.count(F.lit(1)).alias("n"))
+    return g.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"),
+                    F.col("w.end").cast("timestamp_ntz").alias("window_end"), "service",
+                    _r6("alert_rate").alias("alert_rate"), "n")
+
+
+# ================================================================= models (L1-L16), rows-only checks
+from ..plans import detector as DT  # noqa: E402
+
+_ARTIFACTS: dict = {}
+
+
+def embedding_features(spark, d):
+    """embeddings as session feature rows: label = (class 0), order = vec_id."""
+    from pyspark.ml.functions import array_to_vector
+    e = read_table(spark, d, "embeddings")
+    return e.select(F.col("vec_id").cast("string").alias("session_id"), F.col("vec_id").alias("timestamp"),
+                    (F.col("label") == 0).cast("int").alias("label"),
+                    array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("features"))
+
+
+# bounded settings for the registered checks (rounds and depth cap the number of jobs)
+MODEL_QUERY = dict(svd_k=32, bottleneck=8, gbt_iter=10, gbt_depth=4, folds=5, min_val_rows=1000, min_val_pos=50)
+
+
+def trained(spark, d):
+    k = (spark.sparkContext.applicationId, d)
+    if k not in _ARTIFACTS:
+        _ARTIFACTS[k] = DT.train_detectors(embedding_features(spark, d), "timestamp", "session_id", **MODEL_QUERY)
+    return _ARTIFACTS[k]
+
+
+@register("gbt_calibrated")
+def q_gbt_calibrated(spark, d):
+    det, _ = trained(spark, d)
+    return det.gbt.predict(embedding_features(spark, d)).select("session_id", _r6("p_primary").alias("p_primary"))
+
+
+@register("svd_scores")
+def q_svd_scores(spark, d):
+    det, _ = trained(spark, d)
+    x = det.ae_input(embedding_features(spark, d))
+    return x.select("session_id", *[_r6(F.col("_ae_x")[i]).alias(f"svd_{i}") for i in range(3)],
+                    F.lit(round(det.svd.evr, 6)).alias("evr"))
+
+
+@register("linear_ae")
+def q_linear_ae(spark, d):
+    det, _ = trained(spark, d)
+    ch = det.ae.channels(det.ae_input(embedding_features(spark, d)), "_ae_x")
+    return ch.select("session_id", *[_r6(c).alias(c) for c in ("err_out", "z_out", "z_lat", "z_ae")], "ae_alert")
+
+
+@register("stacker")
+def q_stacker(spark, d):
+    _, val = trained(spark, d)
+    return val.select("session_id", _r6("p_score_iso").alias("p_score_iso"), _r6("z_out").alias("z_out"),
+                      _r6("z_lat").alias("z_lat"), _r6("fusion_score").alias("fusion_score"), "is_alert", "label")
+
+
+@register("score_batch")
+def q_score_batch(spark, d):
+    det, _ = trained(spark, d)
+    return det.score(embedding_features(spark, d)).select(
+        "session_id", "timestamp", *[_r6(c).alias(c) for c in ("p_score_iso", "z_ae", "fusion_score")],
+        "is_alert", "label")
