@@ -38,14 +38,14 @@ def sessionize(events: DataFrame, key: str = "session_id", ts: str = "timestamp"
 
 # ---------------------------------------------------------------- A2 / J1 labels
 def label_table(raw: DataFrame, id_col: str = "block_id", label_col: str = "label",
-                header_names: Sequence[str] = ("block_id", "label")) -> DataFrame:
+                header_ids: Sequence[str] = ("blockid", "block_id"), header_label: str = "label") -> DataFrame:
     """Raw label rows -> one row per normalised block id with max(label).
 
     Text labels map normal->0, anomaly->1, numeric 0/1 accepted, anything else 0.
     A header row read as data (id equal to the header name) is dropped.
     """
-    is_header = (normalize_id(F.col(id_col)) == F.lit(header_names[0].lower())) & \
-        (F.lower(F.trim(F.col(label_col).cast("string"))) == F.lit(header_names[1].lower()))
+    is_header = normalize_id(F.col(id_col)).isin(*[h.lower() for h in header_ids]) & \
+        (F.lower(F.trim(F.col(label_col).cast("string"))) == F.lit(header_label.lower()))
     lab = raw.where(~F.coalesce(is_header, F.lit(False))) \
         .select(normalize_id(F.col(id_col)).alias("block_id"), label_to_int(F.col(label_col)).alias("label"))
     return lab.groupBy("block_id").agg(F.max("label").alias("label"))
