@@ -104,3 +104,11 @@ def positive_weight(df: DataFrame, label: str = "label") -> DataFrame:
     """scale_pos_weight = max(1, neg / max(1, pos))."""
     a = df.agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg"))
     return a.withColumn("pos_weight", F.greatest(F.lit(1.0), F.col("neg") / F.greatest(F.col("pos"), F.lit(1))))
+
+
+def metrics_record(df: DataFrame, score: str = "score", label: str = "label", beta: float = 1.5) -> DataFrame:
+    """M5: one row with ROC-AUC, AP, prevalence, AP gain, F1 at the F-beta threshold and
+    that threshold's precision and recall."""
+    s = summary(df, score, label, beta)
+    cm = confusion(df, s.select("thr"), score, label).select("f1")
+    return s.crossJoin(cm)

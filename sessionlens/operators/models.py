@@ -236,3 +236,11 @@ def fit_stacker(df: DataFrame, label: str = "label", primary: str = "p_primary",
     lr = LogisticRegression(featuresCol="_sv", labelCol="_y", regParam=1.0 / max(n, 1), elasticNetParam=0.0,
                             standardization=False, maxIter=max_iter, tol=1e-8)
     return Stacker(names, sc, lr.fit(d))
+
+
+def dimension_stats(df: DataFrame, arr: str, eps: float = 0.0) -> DataFrame:
+    """A14 in relational form: (dim, mean, std) with population std (+eps) per array
+    position; one exploded aggregate, partial sums map-side."""
+    e = df.select(F.posexplode(F.col(arr)).alias("dim", "_x"))
+    return e.groupBy("dim").agg(F.avg(F.col("_x").cast("double")).alias("mean"),
+                                (F.stddev_pop(F.col("_x").cast("double")) + F.lit(eps)).alias("std"))

@@ -19,6 +19,8 @@ from ..functions import extract_key, mask_line, normalize_id
 from ..operators import sessions as S
 from ..sources.readers import lines_of, read_table
 
+import numpy as np
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -707,3 +709,119 @@ def q_score_batch(spark, d):
     return det.score(embedding_features(spark, d)).select(
         "session_id", "timestamp", *[_r6(c).alias(c) for c in ("p_score_iso", "z_ae", "fusion_score")],
         "is_alert", "label")
+
+
+# ================================================================= robust z, fused threshold
+from ..operators import autoenc as AEN  # noqa: E402
+
+
+def user_channels(spark, d):
+    """Per-user detector inputs from events: err = mean value (reconstruction error
+    stand-in), code = [mean click value, view count] (latent code stand-in), label."""
+    ev = read_table(spark, d, "events")
+    return ev.groupBy(F.col("user_id").cast("string").alias("session_id")).agg(
+        F.avg("value").alias("err_out"),
+        F.coalesce(F.avg(F.when(F.col("event_type") == "click", F.col("value"))), F.lit(0.0)).alias("c0"),
+        F.count_if(F.col("event_type") == "view").cast("double").alias("c1"),
+        F.max(F.when((F.col("event_type") == "error") & (F.col("value") > ERROR_VALUE), 1).otherwise(0)).alias("label"))
+
+
+_SQL_USER = """
+  u AS (SELECT CAST(user_id AS VARCHAR) AS session_id, avg(value) AS err_out,
+               coalesce(avg(CASE WHEN event_type = 'click' THEN value END), 0.0) AS c0,
+               CAST(count(*) FILTER (WHERE event_type = 'view') AS DOUBLE) AS c1,
+               max(CASE WHEN event_type = 'error' AND value > 150.0 THEN 1 ELSE 0 END) AS label
+        FROM events GROUP BY 1),
+  med AS (SELECT median(err_out) AS med FROM u WHERE label = 0),
+  mad AS (SELECT median(abs(err_out - med)) + 1e-9 AS mad FROM u, med WHERE label = 0),
+  zs AS (SELECT session_id, label, (err_out - med) / (1.4826 * mad) AS z_out FROM u, med, mad)
+"""
+
+
+@register("robust_z", "WITH " + _SQL_USER + """
+SELECT session_id, round(z_out, 6) AS z_out FROM zs
+""")
+def q_robust_z(spark, d):
+    u = user_channels(spark, d)
+    med, mad = AEN.robust_stats(u.where("label = 0"), "err_out")
+    return u.select("session_id", _r6((F.col("err_out") - F.lit(med)) / F.lit(AEN.MAD_SCALE * mad)).alias("z_out"))
+
+
+@register("fused_threshold", "WITH " + _SQL_USER + """
+, st AS (SELECT avg(c0) AS m0, stddev_pop(c0) + 1e-9 AS s0, avg(c1) AS m1, stddev_pop(c1) + 1e-9 AS s1
+         FROM u WHERE label = 0)
+, f AS (SELECT zs.session_id, zs.label, z_out,
+               sqrt(((c0 - m0) / s0) * ((c0 - m0) / s0) + ((c1 - m1) / s1) * ((c1 - m1) / s1)) AS z_lat
+        FROM zs JOIN u ON zs.session_id = u.session_id, st)
+, g AS (SELECT *, 0.6 * z_out + 0.4 * z_lat AS z_ae FROM f)
+, t AS (SELECT quantile_cont(z_ae, 0.995) AS thr FROM g WHERE label = 0)
+SELECT session_id, round(z_out, 6) AS z_out, round(z_lat, 6) AS z_lat, round(z_ae, 6) AS z_ae,
+       CAST(z_ae >= thr AS INTEGER) AS is_alert
+FROM g, t
+""")
+def q_fused_threshold(spark, d):
+    from ..operators.models import Standardiser
+    from ..operators.ordered import exact_quantiles
+    u = user_channels(spark, d).withColumn("_code", F.array("c0", "c1"))
+    med, mad = AEN.robust_stats(u.where("label = 0"), "err_out")
+    from ..operators.models import dimension_stats
+    st = {r.dim: (r.mean, r.std) for r in dimension_stats(u.where("label = 0"), "_code", AEN.STD_EPS).collect()}
+    sc = Standardiser(np.array([st[i][0] for i in range(2)]), np.array([st[i][1] for i in range(2)]))
+    z = sc.transform(u, "_code", "_zc") \
+        .withColumn("z_out", (F.col("err_out") - F.lit(med)) / F.lit(AEN.MAD_SCALE * mad)) \
+        .withColumn("z_lat", F.sqrt(F.aggregate("_zc", F.lit(0.0), lambda a, v: a + v * v))) \
+        .withColumn("z_ae", F.lit(AEN.ALPHA) * F.col("z_out") + F.lit(1 - AEN.ALPHA) * F.col("z_lat"))
+    thr = exact_quantiles(z.where("label = 0"), "z_ae", [AEN.THRESHOLD_Q]).select(F.col("value").alias("_thr"))
+    return z.crossJoin(F.broadcast(thr)).select(
+        "session_id", *[_r6(c).alias(c) for c in ("z_out", "z_lat", "z_ae")],
+        (F.col("z_ae") >= F.col("_thr")).cast("int").alias("is_alert"))
+
+
+@register("benign_stats", """
+WITH e AS (SELECT unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings WHERE label <> 0)
+SELECT CAST(dim AS INTEGER) AS dim, round(avg(CAST(x AS DOUBLE)), 6) AS mean,
+       round(stddev_pop(CAST(x AS DOUBLE)), 6) AS std
+FROM e GROUP BY dim
+""")
+def q_benign_stats(spark, d):
+    from ..operators.models import dimension_stats
+    e = read_table(spark, d, "embeddings").where("label <> 0")
+    return dimension_stats(e, "embedding").select("dim", _r6("mean").alias("mean"), _r6("std").alias("std"))
+
+
+# ================================================================= exact line positions
+@register("parse_lines", "WITH " + _SQL_LINES + """
+, p AS (SELECT doc_id, line_no, line, row_number() OVER (ORDER BY doc_id, line_no) - 1 AS pos FROM l)
+, k AS (SELECT *, regexp_extract(lower(line), '([a-z0-9._%+-]+@[a-z0-9-]+(?:\\.[a-z0-9-]+)+)', 1) AS session_id FROM p)
+SELECT session_id, """ + _SQL_MASK.format(c="line") + """ AS log_key, pos FROM k WHERE session_id <> ''
+""")
+def q_parse_lines(spark, d):
+    from ..operators.ordered import row_index
+    lines = lines_of(read_table(spark, d, "documents"), "doc_id", "text")
+    pos = row_index(lines, ["doc_id", "line_no"], "pos")
+    k = pos.select(extract_key(F.lower("line"), EMAIL_KEY).alias("session_id"), mask_line("line").alias("log_key"),
+                   "pos")
+    return k.where(F.col("session_id") != "")
+
+
+# ================================================================= metrics record (M5)
+@register("metrics", "WITH " + _SQL_CURVE + """
+, best AS (SELECT thr, precision, recall FROM fb ORDER BY fbeta DESC, thr ASC LIMIT 1)
+, cm AS (SELECT count(*) FILTER (WHERE coalesce(label,0) <> 1 AND coalesce(score >= thr, false)) AS fp,
+               count(*) FILTER (WHERE coalesce(label,0) = 1 AND NOT coalesce(score >= thr, false)) AS fn,
+               count(*) FILTER (WHERE coalesce(label,0) = 1 AND coalesce(score >= thr, false)) AS tp
+         FROM s, best)
+, auc AS (SELECT sum(fp * (ctp - tp / 2.0)) / (any_value(P) * any_value(N)) AS roc_auc,
+                 sum(tp * (CAST(ctp AS DOUBLE) / (ctp + cfp))) / any_value(P) AS ap,
+                 CAST(any_value(P) AS DOUBLE) / (any_value(P) + any_value(N)) AS prev FROM c)
+SELECT round(roc_auc, 6) AS roc_auc, round(ap, 6) AS avg_precision, round(prev, 6) AS prevalence,
+       round(ap / greatest(prev, 1e-12), 6) AS ap_gain,
+       round(coalesce(2.0 * cm.tp / nullif(2 * cm.tp + cm.fp + cm.fn, 0), 0.0), 6) AS f1,
+       best.thr AS thr, round(best.precision, 6) AS precision, round(best.recall, 6) AS recall
+FROM auc, best, cm
+""")
+def q_metrics(spark, d):
+    sc = doc_scores(spark, d)
+    return EV.metrics_record(sc).select(*[_r6(c).alias(c) if c != "thr" else F.col(c)
+                                          for c in ("roc_auc", "avg_precision", "prevalence", "ap_gain", "f1",
+                                                    "thr", "precision", "recall")])
