@@ -10,10 +10,12 @@ the driver.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, DoubleType
 
-from .ordered import running_totals
+from .ordered import order_number, running_totals
 
 # ---- fixed values (boosted-tree settings of the source system) ----
 GBT_STEP = 0.03
@@ -58,7 +60,7 @@ def stratified_folds(df: DataFrame, order: str, tiebreak: str, label: str = "lab
         cum = np.cumsum(alloc).tolist()
         bounds[c] = cum
         start += n
-    d = df.withColumn("_one", F.lit(1)).withColumn("_o", F.col(order).cast("double"))
+    d = df.withColumn("_one", F.lit(1)).withColumn("_o", order_number(df, order))
     d = running_totals(d, "_o", ["_one"], group_cols=[label], tiebreak=[tiebreak]).withColumn("_r", F.col("cum__one") - 1)
     expr = None
     for c, cum in bounds.items():
@@ -100,9 +102,10 @@ def fit_calibrated_gbt(train: DataFrame, order: str, tiebreak: str, features: st
     """L1-L3: for each of k stratified folds fit trees on the other folds (positives
     weighted), fit an isotonic calibrator on the held-out fold."""
     d = with_class_weight(stratified_folds(train, order, tiebreak, label, k), label)
-    d = d.withColumn(label, F.col(label).cast("double"))
+    d = d.withColumn(label, F.col(label).cast("double")).persist(StorageLevel.MEMORY_AND_DISK)
     out = CalibratedGBT()
-    for i in range(k):
+
+    def fit_fold(i: int):
         tr = d.where(F.col("fold") != i)
         ho = d.where(F.col("fold") == i)
         gbt = GBTClassifier(featuresCol=features, labelCol=label, weightCol="weight", maxIter=max_iter,
@@ -111,7 +114,12 @@ def fit_calibrated_gbt(train: DataFrame, order: str, tiebreak: str, features: st
         m = gbt.fit(tr)
         s = _p1(m.transform(ho))
         iso = IsotonicRegression(featuresCol="_p", labelCol=label, predictionCol="_iso", isotonic=True).fit(s)
-        out.pairs.append((m, iso))
+        return m, iso
+
+    # the k fits are independent: submit them as concurrent Spark jobs
+    with ThreadPoolExecutor(max_workers=k) as pool:
+        out.pairs.extend(pool.map(fit_fold, range(k)))
+    d.unpersist()
     return out
 
 

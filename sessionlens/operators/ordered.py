@@ -55,6 +55,15 @@ def is_small(df: DataFrame) -> bool:
     return df.count() <= SMALL_ROWS
 
 
+def order_number(df: DataFrame, col: str):
+    """A double that orders like ``col`` (timestamps become epoch microseconds)."""
+    t = dict(df.dtypes)[col]
+    c = F.col(col)
+    if t.startswith("timestamp") or t == "date":
+        c = F.unix_micros(c.cast("timestamp"))
+    return c.cast("double")
+
+
 def default_buckets(df: DataFrame) -> int:
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     return max(1, min(n, 16384))

@@ -825,3 +825,25 @@ def q_metrics(spark, d):
     return EV.metrics_record(sc).select(*[_r6(c).alias(c) if c != "thr" else F.col(c)
                                           for c in ("roc_auc", "avg_precision", "prevalence", "ap_gain", "f1",
                                                     "thr", "precision", "recall")])
+
+
+# ================================================================= E1/E2 on log text (F2-F7 + L*), rows only
+from ..plans import training as TR  # noqa: E402
+
+LOG_QUERY = dict(select_k=512, svd_k=16, bottleneck=4, gbt_iter=5, gbt_depth=3, folds=5)
+
+
+def log_table(spark, d):
+    conv = read_table(spark, d, "conversations").withColumn("conv_id", F.col("conv_id").cast("string"))
+    return TR.session_table(labelled_sessions(spark, d), conv, "conv_id", ["turn"], "text")
+
+
+@register("log_alerts")
+def q_log_alerts(spark, d):
+    k = ("log", spark.sparkContext.applicationId, d)
+    if k not in _ARTIFACTS:
+        _ARTIFACTS[k] = TR.train_from_logs(log_table(spark, d), **LOG_QUERY)
+    model, _ = _ARTIFACTS[k]
+    return model.score(log_table(spark, d)).select(
+        "session_id", "timestamp", *[_r6(c).alias(c) for c in ("p_score_iso", "z_ae", "fusion_score")],
+        "is_alert", "label")
