@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
 from .ordered import average_rank_pct
 
 
@@ -29,6 +30,10 @@ def rank_ensemble(df: DataFrame, score_cols: Sequence[str], out: str = "ens_pct"
         if c not in df.columns:
             df = df.withColumn(c, F.lit(None).cast("double"))
         df = df.withColumn(c, nan_to_null(F.col(c).cast("double")))
+    # the score table is read by the rank pass and by the join back: cut its lineage once
+    # (reliable checkpoint) so upstream sources are not re-read per branch
+    ensure_checkpoint_dir(df.sparkSession)
+    df = df.checkpoint(eager=True)
     df = average_rank_pct(df, score_cols, "p_")
     ps = [F.col(f"p_{c}") for c in score_cols]
     n = reduce(lambda a, b: a + b, [p.isNotNull().cast("int") for p in ps])

@@ -188,19 +188,21 @@ def gap_sessions(events: DataFrame, key: str, ts: str, gap_seconds: int, chunk_s
         .select(F.col(key), t.alias("_t"), F.floor(t / F.lit(chunk_seconds * 1_000_000)).alias("_ch"))
     w_in = Window.partitionBy(key, "_ch").orderBy("_t")
     e = e.withColumn("_prev", F.lag("_t").over(w_in))
-    summ = e.groupBy(key, "_ch").agg(F.max("_t").alias("_cmax"))
+    inner_start = F.when(F.col("_prev").isNotNull(), (F.col("_t") - F.col("_prev") >= F.lit(gap_us)).cast("int"))
+    e = e.withColumn("_istart", inner_start)
+    # one summary row per (key, chunk): first/last time and starts after the first event
+    summ = e.groupBy(key, "_ch").agg(F.min("_t").alias("_cmin"), F.max("_t").alias("_cmax"),
+                                     F.coalesce(F.sum("_istart"), F.lit(0)).alias("_inner"))
     w_c = Window.partitionBy(key).orderBy("_ch")
-    summ = summ.withColumn("_pcmax", F.lag("_cmax").over(w_c))
-    e = e.join(summ.select(key, "_ch", "_pcmax"), [key, "_ch"])
-    prev = F.coalesce(F.col("_prev"), F.col("_pcmax"))
-    e = e.withColumn("_start", (prev.isNull() | (F.col("_t") - prev >= F.lit(gap_us))).cast("int"))
-    # session number = number of starts up to and including this event, per key
-    starts = e.groupBy(key, "_ch").agg(F.sum("_start").alias("_cs"))
-    w_cs = Window.partitionBy(key).orderBy("_ch").rowsBetween(Window.unboundedPreceding, -1)
-    starts = starts.withColumn("_off", F.coalesce(F.sum("_cs").over(w_cs), F.lit(0)))
+    pc = F.lag("_cmax").over(w_c)
+    summ = summ.withColumn("_first_start", F.when(pc.isNull() | (F.col("_cmin") - pc >= F.lit(gap_us)), 1)
+                           .otherwise(0))
+    summ = summ.withColumn("_off", F.coalesce(F.sum(F.col("_inner") + F.col("_first_start")).over(
+        w_c.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    e = e.join(summ.select(key, "_ch", "_first_start", "_off"), [key, "_ch"])
+    e = e.withColumn("_start", F.coalesce(F.col("_istart"), F.col("_first_start")))
     w_run = Window.partitionBy(key, "_ch").orderBy("_t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    e = e.join(starts.select(key, "_ch", "_off"), [key, "_ch"]) \
-        .withColumn("_sid", F.col("_off") + F.sum("_start").over(w_run))
+    e = e.withColumn("_sid", F.col("_off") + F.sum("_start").over(w_run))
     g = e.groupBy(key, "_sid").agg(F.min("_t").alias("_s"), F.max("_t").alias("_e"), F.count(F.lit(1)).alias("n_events"))
     return g.select(key, F.timestamp_micros("_s").cast("timestamp_ntz").alias("window_start"),
                     F.timestamp_micros(F.col("_e") + F.lit(gap_us)).cast("timestamp_ntz").alias("window_end"),

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import TOKEN_PATTERN, tokens
+from ..session import ensure_checkpoint_dir
 
 MIN_DF = 2
 MAX_FEATURES = 120_000
@@ -33,30 +34,33 @@ def line_terms(lines: DataFrame, key: str, pos: str, text: str, chunk: int = CHU
     """(key, term) rows: unigrams, bigrams inside a line, and the bigram joining the last
     token of the previous token-bearing line to the first token of the next one.
 
-    The previous line comes from a lag inside (key, pos chunk) windows; the first line
-    of a chunk takes the last token of the previous non-empty chunk from a per-chunk
-    summary (one row per chunk). No window ever holds a whole session.
+    Each line is tokenised once. The previous token comes from a window inside
+    (key, pos chunk); the first line of a chunk takes the last token of the previous
+    non-empty chunk from a per-chunk summary (one row per chunk). No window ever holds a
+    whole session, and all terms of a line come out of one explode.
     """
     p = F.col(pos)
     if dict(lines.dtypes)[pos].startswith("timestamp"):
         p = F.unix_micros(F.col(pos).cast("timestamp"))
-    t = lines.where(F.col(key).isNotNull()).select(F.col(key), p.alias("_pos"), tokens(text).alias("_tok"))
-    uni = t.select(key, F.explode("_tok").alias("term"))
+    t = lines.where(F.col(key).isNotNull()).select(F.col(key), p.alias("_pos"), tokens(text).alias("_tok")) \
+        .withColumn("_chunk", F.floor(F.col("_pos") / F.lit(chunk)))
     n = F.size("_tok")
-    bi = t.where(n > 1).select(key, F.explode(F.zip_with(F.slice("_tok", 1, n - 1), F.slice("_tok", 2, n - 1),
-                                                         lambda a, b: F.concat(a, F.lit(" "), b))).alias("term"))
-    ne = t.where(n > 0).select(key, "_pos", F.col("_tok")[0].alias("_first"), F.element_at("_tok", -1).alias("_last"),
-                               F.floor(F.col("_pos") / F.lit(chunk)).alias("_chunk"))
-    w_in = Window.partitionBy(key, "_chunk").orderBy("_pos")
-    ne = ne.withColumn("_prev", F.lag("_last").over(w_in))
-    summ = ne.groupBy(key, "_chunk").agg(F.max_by("_last", "_pos").alias("_clast"))
-    w_c = Window.partitionBy(key).orderBy("_chunk")
-    summ = summ.select(key, "_chunk", F.lag("_clast").over(w_c).alias("_pclast"))
-    firsts = ne.where(F.col("_prev").isNull()).join(summ, [key, "_chunk"]) \
-        .where(F.col("_pclast").isNotNull()) \
-        .select(key, F.concat(F.col("_pclast"), F.lit(" "), F.col("_first")).alias("term"))
-    inner = ne.where(F.col("_prev").isNotNull()).select(key, F.concat(F.col("_prev"), F.lit(" "), F.col("_first")).alias("term"))
-    return uni.unionByName(bi).unionByName(inner).unionByName(firsts)
+    last_tok = F.when(n > 0, F.element_at("_tok", -1))
+    w_in = Window.partitionBy(key, "_chunk").orderBy("_pos").rowsBetween(Window.unboundedPreceding, -1)
+    t = t.withColumn("_prev", F.last(last_tok, ignorenulls=True).over(w_in))
+    # the summary reads the same windowed rows (no extra filter), so the (key, chunk)
+    # exchange and the tokenising are shared with the main branch
+    summ = t.groupBy(key, "_chunk").agg(F.max_by(last_tok, F.when(n > 0, F.col("_pos"))).alias("_clast"))
+    w_c = Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    summ = summ.select(key, "_chunk", F.last("_clast", ignorenulls=True).over(w_c).alias("_pclast"))
+    t = t.join(summ, [key, "_chunk"], "left")
+    prev = F.coalesce(F.col("_prev"), F.col("_pclast"))
+    cross = F.when((n > 0) & prev.isNotNull(), F.array(F.concat(prev, F.lit(" "), F.col("_tok")[0])))
+    inner = F.when(n > 1, F.zip_with(F.slice("_tok", 1, n - 1), F.slice("_tok", 2, n - 1),
+                                     lambda a, b: F.concat(a, F.lit(" "), b)))
+    empty = F.array().cast("array<string>")
+    allt = F.concat(F.col("_tok"), F.coalesce(inner, empty), F.coalesce(cross, empty))
+    return t.select(key, F.explode(allt).alias("term"))
 
 
 def term_counts(terms: DataFrame, key: str) -> DataFrame:
@@ -79,6 +83,10 @@ def relational_tfidf(lines: DataFrame, key: str, pos: str, text: str, n_docs: in
     """F8: (key, term, weight). Vocabulary and idf are fit on the sessions in
     ``fit_keys`` (all sessions when None); ``n_docs`` defaults to their count."""
     tf = term_counts(line_terms(lines, key, pos, text), key)
+    # (key, term, tf) feeds the vocabulary, the weights and the norms: write it once to
+    # the reliable checkpoint directory instead of re-reading and re-tokenising the text
+    ensure_checkpoint_dir(tf.sparkSession)
+    tf = tf.checkpoint(eager=True)
     fit_tf = tf if fit_keys is None else tf.join(fit_keys.select(key).distinct(), key, "left_semi")
     if n_docs is None:
         src = lines if fit_keys is None else fit_keys
