@@ -1,7 +1,8 @@
 """Reconstruction-error detector.
 
-Step 1 (implemented): a linear autoencoder = principal subspace of the standardised
-benign rows (Spark ML PCA, k = bottleneck). code = P^T x, reconstruction = P code.
+Step 1: a linear autoencoder = principal subspace of the standardised benign rows (Spark
+ML PCA, k = bottleneck). code = P^T x, reconstruction = P code.
+Step 2: the dense autoencoder of ``dense_ae`` (parameter averaging); same channels.
 Channels:
   z_out = robust z of the per-row mean squared reconstruction error
           ((err - median) / (1.4826 * MAD)), median/MAD from benign reference rows (L10)
@@ -39,48 +40,69 @@ def _mat(name: str, M: np.ndarray):
 
 
 @dataclass
-class LinearAE:
-    P: np.ndarray                  # d x k principal axes
-    code_stats: Standardiser       # benign train mean/std of the code
-    med: float = 0.0
-    mad: float = 1.0
-    thr: float | None = None
+class LinearRecon:
+    """Linear autoencoder: code = P^T x, reconstruction = P code (P: d x k)."""
+    P: np.ndarray
 
-    def channels(self, df: DataFrame, x: str) -> DataFrame:
-        """err_out, z_lat (and z_out, z_ae once med/mad are set) for array column ``x``."""
+    def reconstruct(self, df: DataFrame, x: str) -> DataFrame:
         cols = _mat("P", self.P)
+        k = self.P.shape[1]
         code = F.transform(cols, lambda pc: F.aggregate(F.zip_with(pc, F.col(x), lambda a, b: a * b),
                                                          F.lit(0.0), lambda acc, v: acc + v))
         d = df.withColumn("_code", code)
-        k = self.P.shape[1]
         recon = F.transform(F.col(x), lambda _v, i: F.aggregate(
             F.sequence(F.lit(0), F.lit(k - 1)), F.lit(0.0),
             lambda acc, j: acc + F.element_at(F.element_at(cols, j + 1), i + 1) * F.element_at(F.col("_code"), j + 1)))
-        d = d.withColumn("_recon", recon)
-        err = F.aggregate(F.zip_with(F.col(x), F.col("_recon"), lambda a, b: (a - b) * (a - b)),
+        err = F.aggregate(F.zip_with(F.col(x), recon, lambda a, b: (a - b) * (a - b)),
                           F.lit(0.0), lambda acc, v: acc + v) / F.size(F.col(x))
-        d = d.withColumn("err_out", err)
+        return d.withColumn("err_out", err)
+
+
+@dataclass
+class LinearAE:
+    """Reconstruction detector: any ``recon`` with ``reconstruct(df, x)`` giving err_out and
+    _code (LinearRecon, or DenseAE from ``dense_ae``), plus the benign statistics."""
+    recon: object
+    code_stats: Standardiser       # benign train mean/std of the code
+    med: float = 0.0
+    mad: float = 1.0
+    thr: float | None = None
+
+    @property
+    def P(self) -> np.ndarray:  # linear axes (kept for callers that save them)
+        return getattr(self.recon, "P", None)
+
+    def channels(self, df: DataFrame, x: str) -> DataFrame:
+        """err_out, z_out, z_lat, z_ae (and ae_alert once the threshold is set)."""
+        d = self.recon.reconstruct(df, x)
         d = self.code_stats.transform(d, "_code", "_zc")
         d = d.withColumn("z_lat", F.sqrt(F.aggregate("_zc", F.lit(0.0), lambda acc, v: acc + v * v)))
         d = d.withColumn("z_out", (F.col("err_out") - F.lit(self.med)) / F.lit(MAD_SCALE * self.mad))
         d = d.withColumn("z_ae", F.lit(ALPHA) * F.col("z_out") + F.lit(1 - ALPHA) * F.col("z_lat"))
         if self.thr is not None:
             d = d.withColumn("ae_alert", (F.col("z_ae") >= F.lit(self.thr)).cast("int"))
-        return d.drop("_code", "_recon", "_zc")
+        return d.drop("_code", "_zc")
+
+
+def _with_code_stats(recon, benign_train: DataFrame, x: str) -> LinearAE:
+    coded = recon.reconstruct(benign_train, x)
+    return LinearAE(recon, fit_standardiser(coded, "_code", eps=STD_EPS))
 
 
 def fit_linear_ae(benign_train: DataFrame, x: str, k: int = BOTTLENECK) -> LinearAE:
-    """PCA on the benign training rows (array column ``x``)."""
+    """Step 1: PCA subspace of the benign training rows (array column ``x``)."""
     v = benign_train.withColumn("_xv", array_to_vector(F.col(x)))
     pca = PCA(k=k, inputCol="_xv", outputCol="_pc").fit(v)
-    P = pca.pc.toArray()
-    tmp = LinearAE(P, Standardiser(np.zeros(k), np.ones(k)))
-    cols = _mat("P", P)
-    code = F.transform(cols, lambda pc: F.aggregate(F.zip_with(pc, F.col(x), lambda a, b: a * b),
-                                                     F.lit(0.0), lambda acc, val: acc + val))
-    st = fit_standardiser(benign_train.withColumn("_code", code), "_code", eps=STD_EPS)
-    tmp.code_stats = st
-    return tmp
+    return _with_code_stats(LinearRecon(pca.pc.toArray()), benign_train, x)
+
+
+def fit_dense_ae_detector(benign_train: DataFrame, x: str, key: str, k: int = BOTTLENECK,
+                          hidden: int | None = None, max_epochs: int | None = None) -> LinearAE:
+    """Step 2: dense autoencoder trained by parameter averaging (see ``dense_ae``)."""
+    from . import dense_ae as D
+    ae = D.fit_dense_ae(benign_train, x, key, bottleneck=k, hidden=hidden or D.HIDDEN,
+                        max_epochs=max_epochs or D.MAX_EPOCHS)
+    return _with_code_stats(ae, benign_train, x)
 
 
 def robust_stats(ref: DataFrame, col: str = "err_out") -> tuple[float, float]:

@@ -703,6 +703,18 @@ def q_stacker(spark, d):
                       _r6("z_lat").alias("z_lat"), _r6("fusion_score").alias("fusion_score"), "is_alert", "label")
 
 
+@register("dense_ae")
+def q_dense_ae(spark, d):
+    """L7 step 2: dense autoencoder channels (parameter averaging), rows only."""
+    k = ("dense", spark.sparkContext.applicationId, d)
+    if k not in _ARTIFACTS:
+        _ARTIFACTS[k] = DT.train_detectors(embedding_features(spark, d), "timestamp", "session_id",
+                                           **{**MODEL_QUERY, "ae_kind": "dense", "ae_hidden": 64, "ae_epochs": 20})
+    det, _ = _ARTIFACTS[k]
+    ch = det.ae.channels(det.ae_input(embedding_features(spark, d)), "_ae_x")
+    return ch.select("session_id", *[_r6(c).alias(c) for c in ("err_out", "z_out", "z_lat", "z_ae")], "ae_alert")
+
+
 @register("score_batch")
 def q_score_batch(spark, d):
     det, _ = trained(spark, d)

@@ -47,7 +47,10 @@ class Detectors:
             "n_pairs": len(self.gbt.pairs), "cut_us": self.cut_us,
             "svd_V": self.svd.V.tolist() if self.svd else None, "svd_evr": self.svd.evr if self.svd else None,
             "scaler_mean": self.scaler.mean.tolist(), "scaler_std": self.scaler.std.tolist(),
-            "ae_P": self.ae.P.tolist(), "ae_code_mean": self.ae.code_stats.mean.tolist(),
+            "ae_kind": "linear" if self.ae.P is not None else "dense",
+            "ae_P": self.ae.P.tolist() if self.ae.P is not None else None,
+            "ae_weights": None if self.ae.P is not None else {k: v.tolist() for k, v in self.ae.recon.weights.items()},
+            "ae_code_mean": self.ae.code_stats.mean.tolist(),
             "ae_code_std": self.ae.code_stats.std.tolist(), "ae_med": self.ae.med, "ae_mad": self.ae.mad,
             "ae_thr": self.ae.thr, "stacker_names": self.stacker.names, "stacker_thr": self.stacker.thr,
             "stacker_mean": self.stacker.scaler.mean.tolist(), "stacker_std": self.stacker.scaler.std.tolist(),
@@ -68,7 +71,12 @@ class Detectors:
         pairs = [(GBTClassificationModel.load(os.path.join(path, f"gbt_{i}")),
                   IsotonicRegressionModel.load(os.path.join(path, f"iso_{i}"))) for i in range(c["n_pairs"])]
         svd = M.SVDModel(np.array(c["svd_V"]), c["svd_evr"]) if c["svd_V"] is not None else None
-        ae = AE.LinearAE(np.array(c["ae_P"]), M.Standardiser(np.array(c["ae_code_mean"]), np.array(c["ae_code_std"])),
+        if c.get("ae_kind", "linear") == "linear":
+            recon = AE.LinearRecon(np.array(c["ae_P"]))
+        else:
+            from ..operators.dense_ae import DenseAE
+            recon = DenseAE({k: np.array(v) for k, v in c["ae_weights"].items()}, [])
+        ae = AE.LinearAE(recon, M.Standardiser(np.array(c["ae_code_mean"]), np.array(c["ae_code_std"])),
                          c["ae_med"], c["ae_mad"], c["ae_thr"])
         st = M.Stacker(c["stacker_names"], M.Standardiser(np.array(c["stacker_mean"]), np.array(c["stacker_std"])),
                        LogisticRegressionModel.load(os.path.join(path, "stacker")), c["stacker_thr"])
@@ -105,7 +113,8 @@ def alert_table(d: DataFrame) -> DataFrame:
 def train_detectors(feats: DataFrame, order: str = "timestamp", tiebreak: str = "session_id",
                     svd_k: int | None = None, bottleneck: int = AE.BOTTLENECK, gbt_iter: int = M.GBT_MAX_ITER,
                     gbt_depth: int = M.GBT_MAX_DEPTH, folds: int = M.N_FOLDS, benign_cap: int = M.BENIGN_CAP,
-                    min_val_rows: int = 1000, min_val_pos: int = 50) -> tuple[Detectors, DataFrame]:
+                    min_val_rows: int = 1000, min_val_pos: int = 50, ae_kind: str = "linear",
+                    ae_hidden: int | None = None, ae_epochs: int | None = None) -> tuple[Detectors, DataFrame]:
     """Fit every detector; returns the artifacts and the validation alert table."""
     # lineage cut: the feature table is read by every fit below (reliable checkpoint,
     # so a lost executor re-reads it instead of recomputing the features)
@@ -121,10 +130,12 @@ def train_detectors(feats: DataFrame, order: str = "timestamp", tiebreak: str =
     raw = svd.transform(benign_tr, "features", "_ae_raw") if svd else \
         benign_tr.withColumn("_ae_raw", vector_to_array(F.col("features")))
     scaler = M.fit_standardiser(raw, "_ae_raw")
-    det = Detectors(gbt, svd, scaler, AE.LinearAE(np.zeros((1, 1)), M.Standardiser(np.zeros(1), np.ones(1))),
-                    None, dec.cut_us)  # type: ignore[arg-type]
+    det = Detectors(gbt, svd, scaler, None, None, dec.cut_us)  # type: ignore[arg-type]
     x_tr = det.ae_input(benign_tr)
-    det.ae = AE.fit_linear_ae(x_tr, "_ae_x", bottleneck)
+    if ae_kind == "dense":
+        det.ae = AE.fit_dense_ae_detector(x_tr, "_ae_x", tiebreak, bottleneck, ae_hidden, ae_epochs)
+    else:
+        det.ae = AE.fit_linear_ae(x_tr, "_ae_x", bottleneck)
     det.ae = AE.calibrate(det.ae, det.ae_input(val.where(F.col("label") == 0)), "_ae_x")
     ch = det.channels(val)
     det.stacker = M.fit_stacker(ch, "label", "p_primary")

@@ -38,5 +38,5 @@ def test_entry_smoke(spark):
 
 
 def test_every_query_has_oracle_or_is_a_model():
-    models = {"gbt_calibrated", "svd_scores", "linear_ae", "stacker", "score_batch", "log_alerts"}
+    models = {"gbt_calibrated", "svd_scores", "linear_ae", "stacker", "score_batch", "log_alerts", "dense_ae"}
     assert set(E.queries()) - set(ORACLE) == models
