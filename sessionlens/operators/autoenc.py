@@ -114,12 +114,18 @@ def robust_stats(ref: DataFrame, col: str = "err_out") -> tuple[float, float]:
 
 
 def calibrate(ae: LinearAE, benign_ref: DataFrame, x: str) -> LinearAE:
-    """Set median/MAD and the fused threshold from benign reference rows."""
-    ch = ae.channels(benign_ref, x)
-    ae.med, ae.mad = robust_stats(ch)
-    ch = ae.channels(benign_ref, x)
-    t = exact_quantiles(ch, "z_ae", [THRESHOLD_Q]).collect()[0]["value"]
-    ae.thr = float(t) if t is not None else None
+    """Set median/MAD and the fused threshold from benign reference rows. The channels
+    are computed once and kept (memory and disk) for the three exact aggregates."""
+    from pyspark import StorageLevel
+    ch = ae.channels(benign_ref, x).select("err_out", "z_lat").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        ae.med, ae.mad = robust_stats(ch)
+        z_out = (F.col("err_out") - F.lit(ae.med)) / F.lit(MAD_SCALE * ae.mad)
+        fused = ch.select((F.lit(ALPHA) * z_out + F.lit(1 - ALPHA) * F.col("z_lat")).alias("z_ae"))
+        t = exact_quantiles(fused, "z_ae", [THRESHOLD_Q]).collect()[0]["value"]
+        ae.thr = float(t) if t is not None else None
+    finally:
+        ch.unpersist()
     return ae
 
 

@@ -141,44 +141,73 @@ class SVDModel:
 
 
 def project(df: DataFrame, features: str, M: np.ndarray, out: str) -> DataFrame:
-    """Row vectors times a d x k matrix with a pandas UDF (sparse rows stay sparse:
-    only their non-zeros are touched)."""
+    """Row vectors times a d x k matrix: one matrix product per Arrow batch (M is
+    broadcast; its size is bounded by the feature count times k)."""
     Mb = df.sparkSession.sparkContext.broadcast(np.asarray(M, dtype=np.float64))
 
     @pandas_udf(ArrayType(DoubleType()))
     def mul(col: pd.Series) -> pd.Series:
         mat = Mb.value
-        return pd.Series([np.asarray(v, dtype=np.float64) @ mat for v in col])
-
-    arr = vector_to_array(F.col(features))
-    return df.withColumn(out, mul(arr))
+        if len(col) == 0:
+            return pd.Series([], dtype=object)
+        X = np.stack([np.asarray(v, dtype=np.float64) for v in col])
+        return pd.Series(list(X @ mat))
+
+    return df.withColumn(out, mul(vector_to_array(F.col(features))))
+
+
+def gram_stats(df: DataFrame, features: str) -> tuple[int, np.ndarray, np.ndarray]:
+    """(n, column sums, X^T X) in one pass: each partition reduces its Arrow batches with
+    numpy, partial results are tree-summed (d x d per partition, d = feature count)."""
+    arr = df.select(vector_to_array(F.col(features)).alias("_x"))
+
+    def part(it):
+        n, sx, g = 0, None, None
+        for pdf in it:
+            if len(pdf) == 0:
+                continue
+            X = np.stack([np.asarray(v, dtype=np.float64) for v in pdf["_x"]])
+            if g is None:
+                sx, g = np.zeros(X.shape[1]), np.zeros((X.shape[1], X.shape[1]))
+            n += len(X)
+            sx += X.sum(0)
+            g += X.T @ X
+        if n:
+            yield pd.DataFrame({"n": [n], "sx": [sx.tolist()], "g": [g.ravel().tolist()]})
+
+    parts = arr.mapInPandas(part, "n long, sx array<double>, g array<double>")
+
+    def seq(acc, r):
+        if acc is None:
+            return (r["n"], np.asarray(r["sx"]), np.asarray(r["g"]))
+        return (acc[0] + r["n"], acc[1] + np.asarray(r["sx"]), acc[2] + np.asarray(r["g"]))
+
+    def comb(a, b):
+        if a is None:
+            return b
+        if b is None:
+            return a
+        return (a[0] + b[0], a[1] + b[1], a[2] + b[2])
+    res = parts.rdd.treeAggregate(None, seq, comb, depth=2)
+    if res is None:
+        raise ValueError("no rows to fit")
+    n, sx, g = res
+    d = sx.size
+    return int(n), sx, g.reshape(d, d)
 
 
 def fit_svd(benign: DataFrame, k: int, features: str = "features") -> SVDModel:
-    """Truncated SVD (uncentred) of the benign rows with MLlib RowMatrix; explained
-    variance ratio = sum var(X V) / sum var(X)."""
-    from pyspark.mllib.linalg import Vectors as OldVectors
-    from pyspark.mllib.linalg.distributed import RowMatrix
-    rows = benign.select(features).rdd.map(lambda r: OldVectors.fromML(r[0]))
-    rm = RowMatrix(rows)
-    svd = rm.computeSVD(k, computeU=False)
-    V = svd.V.toArray()
-    proj = project(benign, features, V, "_z")
-    stats = proj.select(vector_to_array(F.col(features)).alias("_x"), "_z")
-    tot = _column_var_sum(stats, "_x")
-    exp = _column_var_sum(stats, "_z")
-    return SVDModel(V, float(exp / tot) if tot > 0 else 0.0)
-
-
-def _column_var_sum(df: DataFrame, arr: str) -> float:
-    """Sum over columns of the population variance of an array column (one job)."""
-    from pyspark.ml.stat import Summarizer
-    s = df.select(Summarizer.metrics("mean", "variance", "count")
-                  .summary(array_to_vector(F.col(arr))).alias("s")).collect()[0]["s"]
-    n = float(s["count"])
-    if n <= 1:
-        return 0.0
-    return float(np.sum(s["variance"].toArray()) * (n - 1) / n)
+    """Truncated SVD (uncentred): V = top-k eigenvectors of X^T X (the right singular
+    vectors of X). Explained variance ratio from the same pass:
+    sum_j var(X v_j) / sum var(X), var(X v) = v^T (G/n) v - (mu . v)^2."""
+    n, sx, G = gram_stats(benign, features)
+    vals, vecs = np.linalg.eigh(G)
+    order = np.argsort(vals)[::-1][:k]
+    V = vecs[:, order]
+    mu = sx / n
+    proj_var = np.einsum("ij,jk,ki->i", V.T, G / n, V) - (mu @ V) ** 2
+    tot = np.trace(G) / n - mu @ mu
+    return SVDModel(V, float(proj_var.sum() / tot) if tot > 0 else 0.0)
 
 
 @dataclass

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import TOKEN_PATTERN, tokens
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, spread
 
 MIN_DF = 2
 MAX_FEATURES = 120_000
@@ -42,7 +42,7 @@ def line_terms(lines: DataFrame, key: str, pos: str, text: str, chunk: int = CHU
     p = F.col(pos)
     if dict(lines.dtypes)[pos].startswith("timestamp"):
         p = F.unix_micros(F.col(pos).cast("timestamp"))
-    t = lines.where(F.col(key).isNotNull()).select(F.col(key), p.alias("_pos"), tokens(text).alias("_tok")) \
+    t = spread(lines.where(F.col(key).isNotNull())).select(F.col(key), p.alias("_pos"), tokens(text).alias("_tok")) \
         .withColumn("_chunk", F.floor(F.col("_pos") / F.lit(chunk)))
     n = F.size("_tok")
     last_tok = F.when(n > 0, F.element_at("_tok", -1))

@@ -705,13 +705,18 @@ def q_stacker(spark, d):
 
 @register("dense_ae")
 def q_dense_ae(spark, d):
-    """L7 step 2: dense autoencoder channels (parameter averaging), rows only."""
+    """L7 step 2: dense autoencoder channels (parameter averaging), rows only. Reuses the
+    SVD and scaler of the trained detectors; fits and calibrates only the autoencoder."""
+    from ..operators.split import apply_split
     k = ("dense", spark.sparkContext.applicationId, d)
     if k not in _ARTIFACTS:
-        _ARTIFACTS[k] = DT.train_detectors(embedding_features(spark, d), "timestamp", "session_id",
-                                           **{**MODEL_QUERY, "ae_kind": "dense", "ae_hidden": 64, "ae_epochs": 20})
-    det, _ = _ARTIFACTS[k]
-    ch = det.ae.channels(det.ae_input(embedding_features(spark, d)), "_ae_x")
+        det, _ = trained(spark, d)
+        sp = apply_split(embedding_features(spark, d), det.cut_us, "timestamp")
+        benign_tr = det.ae_input(sp.where("split = 'train' AND label = 0"))
+        ae = AEN.fit_dense_ae_detector(benign_tr, "_ae_x", "session_id", MODEL_QUERY["bottleneck"], 64, 20)
+        _ARTIFACTS[k] = AEN.calibrate(ae, det.ae_input(sp.where("split = 'val' AND label = 0")), "_ae_x")
+    det, _ = trained(spark, d)
+    ch = _ARTIFACTS[k].channels(det.ae_input(embedding_features(spark, d)), "_ae_x")
     return ch.select("session_id", *[_r6(c).alias(c) for c in ("err_out", "z_out", "z_lat", "z_ae")], "ae_alert")
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..operators import sessions as S
 from ..operators import tfidf as TF
 from ..operators.split import apply_split, decide_cut
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, spread
 from .detector import Detectors, train_detectors
 
 SELECT_K = 4096   # columns kept for the detectors (bounds SVD and tree memory)
@@ -46,7 +46,7 @@ class LogModel:
 def train_from_logs(table: DataFrame, select_k: int = SELECT_K, **detector_kw) -> tuple[LogModel, DataFrame]:
     """Fit featurizer and selector on the training part only, then every detector."""
     ensure_checkpoint_dir(table.sparkSession)
-    table = table.checkpoint(eager=True)
+    table = spread(table).checkpoint(eager=True)
     dec = decide_cut(table, "timestamp", "label", min_val_rows=detector_kw.get("min_val_rows", 1000),
                      min_val_pos=detector_kw.get("min_val_pos", 50))
     train = apply_split(table, dec.cut_us, "timestamp").where(F.col("split") == "train")

@@ -59,3 +59,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path next to the checkpoint directory (shared storage on a cluster)."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def spread(df, min_partitions: int | None = None):
+    """Round-robin ``df`` over at least the default parallelism when its source is
+    under-partitioned (e.g. one large row group); a no-op for a normally split scan.
+
+    Used before CPU-heavy per-row work (regex masking, tokenising, model fitting); the
+    partition count is read from the plan, no job runs.
+    """
+    sc = df.sparkSession.sparkContext
+    target = min_partitions or sc.defaultParallelism
+    n = df.rdd.getNumPartitions()
+    return df.repartition(target) if n < target else df

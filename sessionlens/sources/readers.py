@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions import normalize_headers, split_lines
+from ..session import spread
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,5 +68,6 @@ def read_first_existing(spark: SparkSession, paths: Sequence[str], fmt: str = "p
 
 def lines_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Text blobs -> (id, line_no, line): the line table a text reader would give."""
-    return df.select(id_col, F.posexplode(split_lines(F.coalesce(F.col(text_col), F.lit("")))).alias("line_no", "line")) \
+    lines = df.select(id_col, F.posexplode(split_lines(F.coalesce(F.col(text_col), F.lit("")))).alias("line_no", "line")) \
         .withColumn("line_no", F.col("line_no").cast("long"))
+    return spread(lines)

@@ -52,3 +52,20 @@ def test_stacker_requires_inputs(spark):
         M.choose_stacker_inputs(["p_primary"])
     assert M.choose_stacker_inputs(["p_primary", "z_ae"]) == ["p_primary", "z_ae"]
     assert M.choose_stacker_inputs(["p_primary", "z_out", "z_lat", "z_ae"]) == ["p_primary", "z_out", "z_lat"]
+
+
+def test_svd_matches_numpy(spark):
+    from pyspark.ml.linalg import Vectors
+    rng = np.random.default_rng(5)
+    X = rng.normal(size=(60, 6)) @ rng.normal(size=(6, 6)) + 0.3
+    df = spark.createDataFrame([(i, Vectors.dense(r.tolist())) for i, r in enumerate(X)], ["i", "features"]) \
+        .repartition(4)
+    m = M.fit_svd(df, 3)
+    _, sv, vt = np.linalg.svd(X, full_matrices=False)
+    V = vt[:3].T
+    # same subspace: projector difference vanishes
+    assert np.allclose(m.V @ m.V.T, V @ V.T, atol=1e-8)
+    Z = X @ V
+    assert m.evr == pytest.approx(Z.var(axis=0).sum() / X.var(axis=0).sum(), rel=1e-9)
+    out = np.array([r.svd for r in m.transform(df, "features", "svd").orderBy("i").collect()])
+    assert np.allclose(np.abs(out), np.abs(X @ m.V), atol=1e-9)
