@@ -14,6 +14,7 @@ import os
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -137,10 +138,16 @@ def train_detectors(feats: DataFrame, order: str = "timestamp", tiebreak: str =
     else:
         det.ae = AE.fit_linear_ae(x_tr, "_ae_x", bottleneck)
     det.ae = AE.calibrate(det.ae, det.ae_input(val.where(F.col("label") == 0)), "_ae_x")
-    ch = det.channels(val)
-    det.stacker = M.fit_stacker(ch, "label", "p_primary")
-    fused = det.stacker.transform(ch)
-    best = EV.summary(fused, "fusion_score", "label").select("thr").collect()[0]["thr"]
-    det.stacker.thr = float(best) if best is not None else 0.5
-    out = fused.withColumn("is_alert", (F.col("fusion_score") >= F.lit(det.stacker.thr)).cast("int"))
-    return det, alert_table(out)
+    # validation channels feed the stacker fit, its scoring and the threshold search:
+    # computed once (memory and disk) instead of re-running every model per action
+    ch = det.channels(val).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        det.stacker = M.fit_stacker(ch, "label", "p_primary")
+        fused = det.stacker.transform(ch)
+        best = EV.summary(fused, "fusion_score", "label").select("thr").collect()[0]["thr"]
+        det.stacker.thr = float(best) if best is not None else 0.5
+        out = fused.withColumn("is_alert", (F.col("fusion_score") >= F.lit(det.stacker.thr)).cast("int"))
+        out = alert_table(out).checkpoint(eager=True)
+    finally:
+        ch.unpersist()
+    return det, out

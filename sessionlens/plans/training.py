@@ -12,6 +12,7 @@ from pyspark.ml.feature import UnivariateFeatureSelector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import first_present
 from ..operators import sessions as S
 from ..operators import tfidf as TF
 from ..operators.split import apply_split, decide_cut
@@ -21,9 +22,11 @@ from .detector import Detectors, train_detectors
 SELECT_K = 4096   # columns kept for the detectors (bounds SVD and tree memory)
 
 
-def session_table(sessions: DataFrame, lines: DataFrame, key: str, order: Sequence[str], text_col: str) -> DataFrame:
-    """session_id, timestamp, label, doc, n_events, duration_sec."""
-    f = S.session_features(sessions, lines, key, order, text_col)
+def session_table(sessions: DataFrame, lines: DataFrame, key: str, order: Sequence[str],
+                  text_col: str | None = None) -> DataFrame:
+    """session_id, timestamp, label, doc, n_events, duration_sec.
+    Without ``text_col`` the first present of the known text columns is used (P9)."""
+    f = S.session_features(sessions, lines, key, order, text_col or first_present(lines))
     if "label" not in f.columns:
         f = f.withColumn("label", F.lit(0))
     return f

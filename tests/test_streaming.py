@@ -102,3 +102,25 @@ def test_score_stream_upserts_alert_rows(spark, tmpdir_path):
     exp = {r.session_id: r.fusion_score for r in det.score(feats).collect()}
     assert got.keys() == exp.keys()
     assert all(abs(got[k] - exp[k]) < 1e-9 for k in exp)
+
+
+def test_alert_rate_stream_equals_batch(spark, tmpdir_path):
+    """ST4: tumbling-window alert rate per service on a stream equals the batch twin."""
+    pdf = _events_pdf(spark)
+    src = os.path.join(tmpdir_path, "ar")
+    os.makedirs(src)
+    pdf.to_parquet(os.path.join(src, "001.parquet"), index=False, coerce_timestamps="us")
+    sentinel = pd.DataFrame({"session_id": ["~s"], "ts": [pd.Timestamp("2030-01-01")], "event_type": ["~none"],
+                             "value": [0.0], "event_id": [-1]})
+    sentinel.to_parquet(os.path.join(src, "002.parquet"), index=False, coerce_timestamps="us")
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(src) \
+        .select(F.col("ts").cast("timestamp").alias("timestamp"), F.col("event_type").alias("service"),
+                (F.col("value") > 150.0).cast("int").alias("is_alert"))
+    out = _run(L.alert_rate_stream(stream), "alert_rate")
+    got = sorted((r.window_start, r.service, round(r.alert_rate, 9), r.n) for r in out.collect() if r.service != "~none")
+    b = spark.createDataFrame(pdf).select(F.col("ts").alias("timestamp"), F.col("event_type").alias("service"),
+                                          (F.col("value") > 150.0).cast("int").alias("is_alert"))
+    g = b.groupBy(F.window("timestamp", "1 hour").alias("w"), "service") \
+        .agg(F.avg(F.col("is_alert").cast("double")).alias("r"), F.count(F.lit(1)).alias("n"))
+    exp = sorted((r.w.start, r.service, round(r.r, 9), r.n) for r in g.collect())
+    assert got == exp
