@@ -813,12 +813,9 @@ def q_benign_stats(spark, d):
 SELECT session_id, """ + _SQL_MASK.format(c="line") + """ AS log_key, pos FROM k WHERE session_id <> ''
 """)
 def q_parse_lines(spark, d):
-    from ..operators.ordered import row_index
+    from ..operators.parse import parse_log
     lines = lines_of(read_table(spark, d, "documents"), "doc_id", "text")
-    pos = row_index(lines, ["doc_id", "line_no"], "pos")
-    k = pos.select(extract_key(F.lower("line"), EMAIL_KEY).alias("session_id"), mask_line("line").alias("log_key"),
-                   "pos")
-    return k.where(F.col("session_id") != "")
+    return parse_log(lines, "line", ["doc_id", "line_no"], EMAIL_KEY, with_timestamp=False)
 
 
 # ================================================================= metrics record (M5)

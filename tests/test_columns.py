@@ -49,3 +49,17 @@ def test_p90_flag_nulls(spark):
     out = {r.session_id: r.pred for r in CH.percentile_flag(df).collect()}
     assert out["n"] is None
     assert sum(v for v in out.values() if v) == 1 and out["s9"] == 1
+
+
+def test_export_charts_plan(spark):
+    from sessionlens.plans.ensemble import export_charts, rank_scores
+    a = spark.createDataFrame([(f"s{i}", float(i)) for i in range(12)], "session_id string, score_iso double")
+    b = spark.createDataFrame([(f"s{i}", float(-i)) for i in range(0, 12, 2)], "session_id string, score_ae double")
+    ranked = rank_scores([a, b], ["score_iso", "score_ae"])
+    events, sessions, gauge = export_charts(ranked, "2024-02-01 00:00:00", services=("hdfs", "yarn"))
+    assert sessions.count() == 12
+    assert events.count() == 12 * 6
+    assert set(r.service for r in gauge.collect()) == {"hdfs", "yarn"}
+    ev = events.where("session_id = 's3'").orderBy("timestamp").collect()
+    steps = [(y.timestamp - x.timestamp).total_seconds() / 60 for x, y in zip(ev, ev[1:])]
+    assert all(5 <= s <= 25 for s in steps)       # 15 minutes + difference of two jitters in [-5, 5]

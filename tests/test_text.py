@@ -60,3 +60,16 @@ def test_tokens_unicode(spark):
     rows = df.select(tokens("t").alias("k")).collect()
     assert rows[0].k == re.findall(r"(?u)\b\w+\b", "héllo wörld_1, a bç")
     assert rows[1].k == []
+
+
+def test_parse_log_positions_and_timestamps(spark):
+    from sessionlens.operators.parse import parse_log
+    rows = [(0, "081109 203615 148 INFO Receiving block blk_-160 src"), (1, "no key here"),
+            (2, "081109 203616 INFO blk_77 done"), (3, "garbage blk_5")]
+    df = spark.createDataFrame(rows, "n long, value string")
+    raw = {r.session_id: (r.pos, r.timestamp) for r in parse_log(df, "value", ["n"]).collect()}
+    import datetime as dt
+    assert raw == {"blk_-160": (0, dt.datetime(2008, 11, 9, 20, 36, 15)),
+                   "blk_77": (2, dt.datetime(2008, 11, 9, 20, 36, 16)), "blk_5": (3, None)}
+    masked = {r.session_id for r in parse_log(df, "value", ["n"], mask_first=True).collect()}
+    assert masked == {"blk_77", "blk_5"}
