@@ -44,7 +44,9 @@ def curve(df: DataFrame, score: str = "score", label: str = "label") -> DataFram
     threshold; ctp/cfp count rows with score >= thr."""
     g = threshold_counts(df, score, label)
     c = running_totals(g, "thr", ["tp", "fp"], descending=True)
-    c = c.crossJoin(F.broadcast(class_totals(df, score, label)))  # one row
+    # class totals from the per-threshold table (one row): no second pass over the rows
+    totals = g.agg(F.coalesce(F.sum("tp"), F.lit(0)).alias("P"), F.coalesce(F.sum("fp"), F.lit(0)).alias("N"))
+    c = c.crossJoin(F.broadcast(totals))
     return c.withColumn("precision", _div(F.col("cum_tp"), F.col("cum_tp") + F.col("cum_fp"))) \
         .withColumn("recall", _div(F.col("cum_tp"), F.col("P"))) \
         .withColumn("tpr", F.col("recall")) \

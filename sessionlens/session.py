@@ -65,10 +65,14 @@ def spread(df, min_partitions: int | None = None):
     """Round-robin ``df`` over at least the default parallelism when its source is
     under-partitioned (e.g. one large row group); a no-op for a normally split scan.
 
-    Used before CPU-heavy per-row work (regex masking, tokenising, model fitting); the
-    partition count is read from the plan, no job runs.
+    Used before CPU-heavy per-row work (regex masking, tokenising, model fitting). A plan
+    with a shuffle is returned unchanged; for a scan pipeline the partition count is read
+    from the plan, no job runs.
     """
     sc = df.sparkSession.sparkContext
     target = min_partitions or sc.defaultParallelism
-    n = df.rdd.getNumPartitions()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    if "Exchange" in plan:
+        return df  # already shuffled: partitioned by the shuffle, nothing to spread
+    n = df.rdd.getNumPartitions()  # a scan pipeline: planning only, no job
     return df.repartition(target) if n < target else df
