@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, DoubleType
 
-from .ordered import order_number, running_totals
+from .ordered import is_small, order_number, row_index, running_totals
 
 # ---- fixed values (boosted-tree settings of the source system) ----
 GBT_STEP = 0.03
@@ -125,9 +125,21 @@ def fit_calibrated_gbt(train: DataFrame, order: str, tiebreak: str, features: st
 
 def benign_sample(df: DataFrame, key: str = "session_id", label: str = "label", cap: int = BENIGN_CAP,
                   seed: int = GBT_SEED) -> DataFrame:
-    """L4: at most ``cap`` benign rows, chosen by a seeded hash order (deterministic,
-    TakeOrderedAndProject keeps cap rows per task)."""
-    return df.where(F.col(label) == 0).orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key)).limit(cap)
+    """L4: at most ``cap`` benign rows: the ``cap`` smallest (xxhash64(key, seed), key),
+    a deterministic seeded choice without replacement (keys are unique per row).
+
+    A checked-small input uses ``orderBy().limit()``. Otherwise a global row index over
+    the two-column (hash, key) table is computed distributed (range partitions, no
+    single merge task) and the chosen keys (at most ``cap``: a bounded broadcast) are
+    semi-joined back.
+    """
+    b = df.where(F.col(label) == 0)
+    h = F.xxhash64(F.col(key), F.lit(seed))
+    if is_small(b):
+        return b.orderBy(h, F.col(key)).limit(cap)
+    idx = row_index(b.select(F.col(key), h.alias("_h")), ["_h", key], "_ri")
+    keep = idx.where(F.col("_ri") < F.lit(cap)).select(key)
+    return b.join(F.broadcast(keep), key, "left_semi")
 
 
 @dataclass

@@ -114,7 +114,7 @@ def _order_struct(order: Sequence[str], text_col: str):
 
 
 def session_documents(lines: DataFrame, key: str, order: Sequence[str], text_col: str,
-                      chunk_col: str | None = None, chunk_size: int = 4096,
+                      chunk_col: str | None = None, chunk_size: int = 4096, chunk_seconds: int = 3600,
                       trim: bool = True) -> DataFrame:
     """A3-A5: per session the document (texts joined by one space in ``order``), the
     line count and the first/last value of the first order column.
@@ -128,11 +128,15 @@ def session_documents(lines: DataFrame, key: str, order: Sequence[str], text_col
     if trim:
         t = F.regexp_replace(t, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
     df = lines.where(F.col(key).isNotNull()).withColumn("_text", t)
+    if not order:
+        raise ValueError("an explicit total order (position or timestamp, plus a tie-break) is required")
     first = order[0]
     cc = chunk_col or first
     num = F.col(cc)
     if dict(df.dtypes)[cc].startswith("timestamp"):
+        # time order: chunks are spans of ``chunk_seconds`` instead of position counts
         num = F.unix_micros(F.col(cc).cast("timestamp"))
+        chunk_size = chunk_seconds * 1_000_000
     df = df.withColumn("_chunk", F.floor(num / F.lit(chunk_size)))
     part = (df.groupBy(key, "_chunk")
             .agg(F.array_join(F.transform(F.array_sort(F.collect_list(_order_struct(order, "_text"))),

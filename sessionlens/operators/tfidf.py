@@ -30,7 +30,8 @@ MAX_FEATURES = 120_000
 CHUNK = 4096
 
 
-def line_terms(lines: DataFrame, key: str, pos: str, text: str, chunk: int = CHUNK) -> DataFrame:
+def line_terms(lines: DataFrame, key: str, pos: str, text: str, chunk: int = CHUNK,
+               chunk_seconds: int = 3600) -> DataFrame:
     """(key, term) rows: unigrams, bigrams inside a line, and the bigram joining the last
     token of the previous token-bearing line to the first token of the next one.
 
@@ -42,6 +43,7 @@ def line_terms(lines: DataFrame, key: str, pos: str, text: str, chunk: int = CHU
     p = F.col(pos)
     if dict(lines.dtypes)[pos].startswith("timestamp"):
         p = F.unix_micros(F.col(pos).cast("timestamp"))
+        chunk = chunk_seconds * 1_000_000   # time order: chunks are time spans
     t = spread(lines.where(F.col(key).isNotNull())).select(F.col(key), p.alias("_pos"), tokens(text).alias("_tok")) \
         .withColumn("_chunk", F.floor(F.col("_pos") / F.lit(chunk)))
     n = F.size("_tok")

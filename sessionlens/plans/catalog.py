@@ -434,7 +434,7 @@ CHART_END = "2024-02-01 00:00:00"
 
 
 def alias_frame(spark, d):
-    """A score file with reference-style spellings: sid, y_true, mse, prob."""
+    """A score file using accepted alias spellings: sid, y_true, mse, prob."""
     ev = read_table(spark, d, "events")
     return ev.groupBy(F.col("user_id").cast("string").alias("sid")).agg(
         F.max(F.when((F.col("event_type") == "error") & (F.col("value") > ERROR_VALUE), 1).otherwise(0)).alias("y_true"),

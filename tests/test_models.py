@@ -69,3 +69,14 @@ def test_svd_matches_numpy(spark):
     assert m.evr == pytest.approx(Z.var(axis=0).sum() / X.var(axis=0).sum(), rel=1e-9)
     out = np.array([r.svd for r in m.transform(df, "features", "svd").orderBy("i").collect()])
     assert np.allclose(np.abs(out), np.abs(X @ m.V), atol=1e-9)
+
+
+def test_benign_sample_paths_agree(spark, monkeypatch):
+    from sessionlens.operators import ordered as O
+    rows = [(f"s{i:04d}", 0 if i % 4 else 1) for i in range(400)]
+    df = spark.createDataFrame(rows, "session_id string, label int")
+    small = sorted(r.session_id for r in M.benign_sample(df, cap=50).collect())
+    monkeypatch.setattr(M, "is_small", lambda d: False)
+    big = sorted(r.session_id for r in M.benign_sample(df, cap=50).collect())
+    assert small == big and len(small) == 50
+    assert all(int(s[1:]) % 4 for s in small)
