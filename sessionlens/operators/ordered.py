@@ -82,7 +82,8 @@ def value_buckets(df: DataFrame, col: str, n_buckets: int | None = None,
     if n_buckets <= 1:
         return df.withColumn(out, F.lit(0))
     probs = [i / n_buckets for i in range(1, n_buckets)]
-    qs = df.approxQuantile(col, probs, rel_err)
+    # the sketch error must stay well below one bucket (1/n of the rows) for balance
+    qs = df.approxQuantile(col, probs, min(rel_err, 0.25 / n_buckets))
     inner = sorted({float(q) for q in qs if q is not None and math.isfinite(q)})
     splits = [-math.inf] + inner + [math.inf]
     tmp = f"_{out}_in"
