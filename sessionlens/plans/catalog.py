@@ -28,6 +28,7 @@ ORACLE: dict[str, str] = {}
 ERROR_VALUE = 150.0
 # Session key for the documents analogue: an e-mail address in the line.
 EMAIL_KEY = r"([a-z0-9._%+-]+@[a-z0-9-]+(?:\.[a-z0-9-]+)+)"
+DOMAIN_KEY = r"@([a-z0-9-]+(?:\.[a-z0-9-]+)+)"
 
 
 def register(name: str, sql: str | None = None):
@@ -861,3 +862,56 @@ def q_log_alerts(spark, d):
     return model.score(log_table(spark, d)).select(
         "session_id", "timestamp", *[_r6(c).alias(c) for c in ("p_score_iso", "z_ae", "fusion_score")],
         "is_alert", "label")
+
+
+# ================================================================= more ordering / tokenising checks
+@register("extract_keys_masked", "WITH " + _SQL_LINES + """
+, k AS (SELECT doc_id, line_no, line, """ + _SQL_MASK.format(c="line") + """ AS masked FROM l)
+SELECT regexp_extract(masked, '@([a-z0-9-]+(?:\\.[a-z0-9-]+)+)', 1) AS session_id, masked AS log_key,
+       doc_id, line_no
+FROM k WHERE regexp_extract(masked, '@([a-z0-9-]+(?:\\.[a-z0-9-]+)+)', 1) <> ''
+""")
+def q_extract_keys_masked(spark, d):
+    """Q1 as the source ordered it: the key (here the e-mail domain, which survives
+    masking; full addresses lose their digits) is searched in the masked line."""
+    lines = lines_of(read_table(spark, d, "documents"), "doc_id", "text")
+    k = lines.select(extract_key(mask_line("line"), DOMAIN_KEY).alias("session_id"),
+                     mask_line("line").alias("log_key"), "doc_id", "line_no")
+    return k.where(F.col("session_id") != "")
+
+
+@register("event_docs", """
+SELECT CAST(user_id AS VARCHAR) AS session_id, string_agg(event_type, ' ' ORDER BY ts, event_id) AS doc,
+       count(*) AS n_events
+FROM events WHERE user_id IS NOT NULL GROUP BY user_id
+""")
+def q_event_docs(spark, d):
+    """A3 in time order (timestamp, then event id as the tie-break): one-hour chunks."""
+    ev = events_lines(spark, d)
+    doc = S.session_documents(ev, "session_id", ["timestamp", "pos"], "text")
+    return doc.select("session_id", "doc", "n_events")
+
+
+@register("tfidf_documents", """
+WITH l AS (SELECT CAST(doc_id AS VARCHAR) AS session_id, unnest(regexp_split_to_array(coalesce(text, ''), '\\r\\n|\\r|\\n')) AS line,
+                  generate_subscripts(regexp_split_to_array(coalesce(text, ''), '\\r\\n|\\r|\\n'), 1) AS pos
+           FROM documents WHERE doc_id IS NOT NULL),
+  lt AS (SELECT session_id, pos, regexp_extract_all(lower(line), '[\\p{L}\\p{N}_\\p{M}]+') AS toks FROM l),
+  t AS (SELECT session_id, pos, unnest(toks) AS tok, generate_subscripts(toks, 1) AS i FROM lt),
+  o AS (SELECT session_id, tok, lead(tok) OVER (PARTITION BY session_id ORDER BY pos, i) AS nxt FROM t),
+  terms AS (SELECT session_id, tok AS term FROM o
+            UNION ALL SELECT session_id, tok || ' ' || nxt FROM o WHERE nxt IS NOT NULL),
+  tf AS (SELECT session_id, term, count(*) AS tf FROM terms GROUP BY 1, 2),
+  dfc AS (SELECT term, count(*) AS df, sum(tf) AS cnt FROM tf GROUP BY term),
+  nd AS (SELECT count(DISTINCT doc_id) AS n FROM documents),
+  vocab AS (SELECT term, df FROM dfc WHERE df >= 2 ORDER BY cnt DESC, term LIMIT 120000),
+  w AS (SELECT tf.session_id, tf.term, tf.tf * (ln((1.0 + n) / (1.0 + vocab.df)) + 1.0) AS w
+        FROM tf JOIN vocab ON tf.term = vocab.term, nd)
+SELECT session_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY session_id)), 6) AS weight FROM w
+""")
+def q_tfidf_documents(spark, d):
+    """F8 over the multilingual documents, one session per document, lines in order."""
+    docs = read_table(spark, d, "documents").withColumn("session_id", F.col("doc_id").cast("string"))
+    lines = lines_of(docs, "session_id", "text")
+    r = TF.relational_tfidf(lines, "session_id", "line_no", "line")
+    return r.select("session_id", "term", _r6("weight").alias("weight"))
