@@ -6,5 +6,5 @@ from .text import (  # noqa: F401
 )
 from .columns import (  # noqa: F401
     normalize_headers, require_columns, first_present, backfill_key, coalesce_cast,
-    duration_seconds, parse_timestamp, null_normalised_timestamp, TEXT_COLUMN_CANDIDATES,
+    duration_seconds, epoch_micros, from_epoch_micros, parse_timestamp, null_normalised_timestamp, TEXT_COLUMN_CANDIDATES,
 )

@@ -45,11 +45,25 @@ def coalesce_cast(c, default, dtype: str) -> Column:
     return F.coalesce(col, F.lit(default)).cast(dtype)
 
 
+_EPOCH = "1970-01-01 00:00:00"
+
+
+def epoch_micros(c) -> Column:
+    """Microseconds since 1970-01-01 of the wall-clock value, as a naive (UTC) timestamp:
+    the same number whatever the session time zone (no DST shifts)."""
+    col = F.col(c) if isinstance(c, str) else c
+    return F.timestamp_diff("MICROSECOND", F.lit(_EPOCH).cast("timestamp_ntz"), col.cast("timestamp_ntz"))
+
+
+def from_epoch_micros(us) -> Column:
+    """Inverse of ``epoch_micros``: a ``timestamp_ntz``."""
+    u = F.col(us) if isinstance(us, str) else us
+    return F.timestamp_add("MICROSECOND", u, F.lit(_EPOCH).cast("timestamp_ntz"))
+
+
 def duration_seconds(start, end) -> Column:
     """(end - start) in seconds as double; null when either end is null."""
-    s = F.col(start) if isinstance(start, str) else start
-    e = F.col(end) if isinstance(end, str) else end
-    return (F.unix_micros(e.cast("timestamp")) - F.unix_micros(s.cast("timestamp"))) / F.lit(1e6)
+    return (epoch_micros(end) - epoch_micros(start)) / F.lit(1e6)
 
 
 def parse_timestamp(c, strict: bool = False) -> Column:

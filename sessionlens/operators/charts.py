@@ -10,6 +10,7 @@ from datetime import timedelta
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import epoch_micros, from_epoch_micros
 from .ordered import exact_quantiles, row_index
 
 # ---- fixed values (column spellings and chart constants of the source system) ----
@@ -118,9 +119,9 @@ def uniform_times(df: DataFrame, end_ts: str, days_back: int = DAYS_BACK, jitter
     n = max(df.count(), 1)
     step_us = (timedelta(days=days_back) / n) // timedelta(microseconds=1)
     span_us = days_back * 86400 * 1_000_000
-    start_us = F.unix_micros(F.lit(end_ts).cast("timestamp")) - F.lit(span_us)
+    start_us = epoch_micros(F.lit(end_ts)) - F.lit(span_us)
     t_us = start_us + F.col(idx) * F.lit(step_us) + jitter_minutes([F.col(key)], jitter_min) * F.lit(60_000_000)
-    return df.withColumn(out, F.timestamp_micros(t_us).cast("timestamp_ntz"))
+    return df.withColumn(out, from_epoch_micros(t_us))
 
 
 def upsample(df: DataFrame, points: int = UPSAMPLE_POINTS, step_min: int = UPSAMPLE_STEP_MIN,

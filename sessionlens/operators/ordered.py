@@ -25,6 +25,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import epoch_micros
 from ..session import ensure_checkpoint_dir
 
 BUCKET = "_bucket"
@@ -60,7 +61,7 @@ def order_number(df: DataFrame, col: str):
     t = dict(df.dtypes)[col]
     c = F.col(col)
     if t.startswith("timestamp") or t == "date":
-        c = F.unix_micros(c.cast("timestamp"))
+        c = epoch_micros(c)
     return c.cast("double")
 
 

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import (backfill_key, coalesce_cast, duration_seconds, label_to_int,
+from ..functions import (backfill_key, coalesce_cast, duration_seconds, epoch_micros, from_epoch_micros, label_to_int,
                          normalize_id, require_columns)
 
 SESSION_COLUMNS = ("session_id", "block_id", "timestamp", "timestamp_start", "timestamp_end",
@@ -135,7 +135,7 @@ def session_documents(lines: DataFrame, key: str, order: Sequence[str], text_col
     num = F.col(cc)
     if dict(df.dtypes)[cc].startswith("timestamp"):
         # time order: chunks are spans of ``chunk_seconds`` instead of position counts
-        num = F.unix_micros(F.col(cc).cast("timestamp"))
+        num = epoch_micros(F.col(cc))
         chunk_size = chunk_seconds * 1_000_000
     df = df.withColumn("_chunk", F.floor(num / F.lit(chunk_size)))
     part = (df.groupBy(key, "_chunk")
@@ -186,7 +186,7 @@ def gap_sessions(events: DataFrame, key: str, ts: str, gap_seconds: int, chunk_s
     per chunk summary; session numbers are prefix counts of session starts, done the
     same way. A hot key is spread over its time chunks.
     """
-    t = F.unix_micros(F.col(ts).cast("timestamp"))
+    t = epoch_micros(F.col(ts))
     gap_us = int(gap_seconds) * 1_000_000
     e = events.where(F.col(key).isNotNull() & F.col(ts).isNotNull()) \
         .select(F.col(key), t.alias("_t"), F.floor(t / F.lit(chunk_seconds * 1_000_000)).alias("_ch"))
@@ -208,6 +208,6 @@ def gap_sessions(events: DataFrame, key: str, ts: str, gap_seconds: int, chunk_s
     w_run = Window.partitionBy(key, "_ch").orderBy("_t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     e = e.withColumn("_sid", F.col("_off") + F.sum("_start").over(w_run))
     g = e.groupBy(key, "_sid").agg(F.min("_t").alias("_s"), F.max("_t").alias("_e"), F.count(F.lit(1)).alias("n_events"))
-    return g.select(key, F.timestamp_micros("_s").cast("timestamp_ntz").alias("window_start"),
-                    F.timestamp_micros(F.col("_e") + F.lit(gap_us)).cast("timestamp_ntz").alias("window_end"),
+    return g.select(key, from_epoch_micros(F.col("_s")).alias("window_start"),
+                    from_epoch_micros(F.col("_e") + F.lit(gap_us)).alias("window_end"),
                     "n_events")

@@ -7,12 +7,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import exact_quantiles
+from .ordered import exact_quantiles, order_number
 
 
 @dataclass
 class SplitDecision:
-    cut_us: float | None      # cut in epoch microseconds (may carry a fraction)
+    cut_us: float | None      # cut in order units: epoch microseconds for timestamps (may carry a fraction)
     source: str               # 'positives' or 'all'
     n_pos: int
     val_rows: int
@@ -28,7 +28,7 @@ def decide_cut(sessions: DataFrame, ts: str = "timestamp", label: str = "label",
     into a second group); one more aggregate counts the validation part for both
     candidate cuts. Only scalars reach the driver.
     """
-    t = F.unix_micros(F.col(ts).cast("timestamp"))
+    t = order_number(sessions, ts)
     tagged = sessions.select(t.alias("_t"), F.explode(
         F.when(F.col(label) == 1, F.array(F.lit("all"), F.lit("pos"))).otherwise(F.array(F.lit("all"))))
         .alias("_grp"))
@@ -52,7 +52,7 @@ def apply_split(sessions: DataFrame, cut_us: float | None, ts: str = "timestamp"
     """train: ts < cut, val: ts >= cut, null timestamp: neither (null)."""
     if cut_us is None:
         return sessions.withColumn(out, F.lit(None).cast("string"))
-    t = F.unix_micros(F.col(ts).cast("timestamp"))
+    t = order_number(sessions, ts)
     return sessions.withColumn(out, F.when(t < F.lit(cut_us), "train").when(t >= F.lit(cut_us), "val"))
 
 

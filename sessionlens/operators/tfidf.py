@@ -22,6 +22,7 @@ from pyspark.ml.linalg import DenseVector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import epoch_micros
 from ..functions.text import TOKEN_PATTERN, tokens
 from ..session import ensure_checkpoint_dir, spread
 
@@ -42,7 +43,7 @@ def line_terms(lines: DataFrame, key: str, pos: str, text: str, chunk: int = CHU
     """
     p = F.col(pos)
     if dict(lines.dtypes)[pos].startswith("timestamp"):
-        p = F.unix_micros(F.col(pos).cast("timestamp"))
+        p = epoch_micros(F.col(pos))
         chunk = chunk_seconds * 1_000_000   # time order: chunks are time spans
     t = spread(lines.where(F.col(key).isNotNull())).select(F.col(key), p.alias("_pos"), tokens(text).alias("_tok")) \
         .withColumn("_chunk", F.floor(F.col("_pos") / F.lit(chunk)))
