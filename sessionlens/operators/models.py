@@ -102,7 +102,12 @@ def fit_calibrated_gbt(train: DataFrame, order: str, tiebreak: str, features: st
     """L1-L3: for each of k stratified folds fit trees on the other folds (positives
     weighted), fit an isotonic calibrator on the held-out fold."""
     d = with_class_weight(stratified_folds(train, order, tiebreak, label, k), label)
-    d = d.withColumn(label, F.col(label).cast("double")).persist(StorageLevel.MEMORY_AND_DISK)
+    d = d.withColumn(label, F.col(label).cast("double"))
+    if is_small(d):
+        # checked small: one partition per fit, so each boosting job is one task and the
+        # k concurrent fits use separate cores; large inputs keep their partitioning
+        d = d.coalesce(1)
+    d = d.persist(StorageLevel.MEMORY_AND_DISK)
     out = CalibratedGBT()
 
     def fit_fold(i: int):
