@@ -234,3 +234,20 @@ def average_rank_pct(df: DataFrame, cols: Sequence[str], prefix: str = "p_",
         one = pct.where(F.col("_name") == c).select(F.col("_v").alias(f"_v_{c}"), F.col("_pct").alias(prefix + c))
         out = out.join(one, F.col(c).cast("double") == F.col(f"_v_{c}"), "left").drop(f"_v_{c}")
     return out
+
+
+def grouped_positions(df: DataFrame, group_col: str, within_col: str, name: str = "pos",
+                      n_buckets: int | None = None) -> DataFrame:
+    """0-based global position in (group, within) order when ``within`` is already a
+    dense 0-based index inside each group (e.g. line numbers inside a document).
+
+    pos = (rows of all earlier groups) + within: a prefix sum over one row per group,
+    joined back on the group. Nothing is globally sorted or copied, unlike
+    ``row_index``; a hot group only makes its join key skewed (AQE splits it).
+    """
+    counts = df.groupBy(group_col).agg(F.count(F.lit(1)).alias("_gn"))
+    cum = running_totals(counts.withColumn("_go", order_number(counts, group_col)), "_go", ["_gn"],
+                         n_buckets=n_buckets)
+    offs = cum.select(group_col, (F.col("cum__gn") - F.col("_gn")).alias("_goff"))
+    return df.join(offs, group_col).withColumn(name, (F.col("_goff") + F.col(within_col)).cast("long")) \
+        .drop("_goff")

@@ -816,7 +816,7 @@ SELECT session_id, """ + _SQL_MASK.format(c="line") + """ AS log_key, pos FROM k
 def q_parse_lines(spark, d):
     from ..operators.parse import parse_log
     lines = lines_of(read_table(spark, d, "documents"), "doc_id", "text")
-    return parse_log(lines, "line", ["doc_id", "line_no"], EMAIL_KEY, with_timestamp=False)
+    return parse_log(lines, "line", ["doc_id", "line_no"], EMAIL_KEY, with_timestamp=False, dense_within=True)
 
 
 # ================================================================= metrics record (M5)

@@ -63,3 +63,13 @@ def test_row_index_contiguous_and_ordered(spark):
     out = row_index(df, ["t", "s"], n_parts=6).orderBy("row_idx").collect()
     assert [r.row_idx for r in out] == list(range(97))
     assert [(r.t, r.s) for r in out] == sorted(rows)
+
+
+@pytest.mark.parametrize("buckets", [None, 3])
+def test_grouped_positions_equal_row_index(spark, buckets):
+    from sessionlens.operators.ordered import grouped_positions
+    rows = [(g, i) for g in (5, 1, 9, 3) for i in range({5: 40, 1: 3, 9: 1, 3: 7}[g])]  # 5 is the hot group
+    df = spark.createDataFrame(rows, "g long, i long")
+    a = {(r.g, r.i): r.pos for r in grouped_positions(df, "g", "i", n_buckets=buckets).collect()}
+    b = {(r.g, r.i): r.pos for r in row_index(df, ["g", "i"], "pos", n_parts=4).collect()}
+    assert a == b
