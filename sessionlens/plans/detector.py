@@ -23,7 +23,7 @@ from ..operators import autoenc as AE
 from ..operators import evaluation as EV
 from ..operators import models as M
 from ..operators.split import apply_split, decide_cut
-from ..session import ensure_checkpoint_dir, spread
+from ..session import checkpoint_spread
 
 ALERT_COLUMNS = ["session_id", "timestamp", "p_score_iso", "z_ae", "fusion_score", "is_alert", "label"]
 
@@ -119,8 +119,7 @@ def train_detectors(feats: DataFrame, order: str = "timestamp", tiebreak: str =
     """Fit every detector; returns the artifacts and the validation alert table."""
     # lineage cut: the feature table is read by every fit below (reliable checkpoint,
     # so a lost executor re-reads it instead of recomputing the features)
-    ensure_checkpoint_dir(feats.sparkSession)
-    feats = spread(feats).checkpoint(eager=True)
+    feats = checkpoint_spread(feats)
     dec = decide_cut(feats, order, "label", min_val_rows=min_val_rows, min_val_pos=min_val_pos)
     sp = apply_split(feats, dec.cut_us, order)
     train = sp.where(F.col("split") == "train")

@@ -76,3 +76,17 @@ def spread(df, min_partitions: int | None = None):
         return df  # already shuffled: partitioned by the shuffle, nothing to spread
     n = df.rdd.getNumPartitions()  # a scan pipeline: planning only, no job
     return df.repartition(target) if n < target else df
+
+
+def checkpoint_spread(df):
+    """Reliable checkpoint, then, if the stored table has fewer partitions than the
+    default parallelism (AQE coalesces small shuffles, a single row group scans as one
+    task), one round-robin redistribution and a second checkpoint. Only small tables
+    end up under-partitioned, so the extra write is small; later fits and scans then use
+    every core."""
+    ensure_checkpoint_dir(df.sparkSession)
+    cp = df.checkpoint(eager=True)
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if cp.rdd.getNumPartitions() < target:
+        cp = cp.repartition(target).checkpoint(eager=True)
+    return cp
