@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from .langid import op2_language_id
 from .warc import OP10_SQL, op10_warc_segments
 
 QUERIES = {
+    "op2_language_id": op2_language_id,
     "op10_warc_segments": op10_warc_segments,
 }
 
