@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from .langid import op2_language_id
+from .quality import OP4_SQL, op4_quality_cascade
 from .warc import OP10_SQL, op10_warc_segments
 
 QUERIES = {
     "op2_language_id": op2_language_id,
+    "op4_quality_cascade": op4_quality_cascade,
     "op10_warc_segments": op10_warc_segments,
 }
 
 SQL = {
+    "op4_quality_cascade": OP4_SQL,
     "op10_warc_segments": OP10_SQL,
 }
