@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontaminate import op6_template_decontamination
 from .langid import op2_language_id
 from .quality import OP4_SQL, op4_quality_cascade
 from .warc import OP10_SQL, op10_warc_segments
@@ -9,6 +10,7 @@ from .warc import OP10_SQL, op10_warc_segments
 QUERIES = {
     "op2_language_id": op2_language_id,
     "op4_quality_cascade": op4_quality_cascade,
+    "op6_template_decontamination": op6_template_decontamination,
     "op10_warc_segments": op10_warc_segments,
 }
 
