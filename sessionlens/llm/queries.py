@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontaminate import op6_template_decontamination
 from .langid import op2_language_id
+from .pii import op8_contextual_pii
 from .quality import OP4_SQL, op4_quality_cascade
 from .warc import OP10_SQL, op10_warc_segments
 
@@ -11,6 +12,7 @@ QUERIES = {
     "op2_language_id": op2_language_id,
     "op4_quality_cascade": op4_quality_cascade,
     "op6_template_decontamination": op6_template_decontamination,
+    "op8_contextual_pii": op8_contextual_pii,
     "op10_warc_segments": op10_warc_segments,
 }
 
