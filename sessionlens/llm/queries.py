@@ -6,9 +6,11 @@ from .decontaminate import op6_template_decontamination
 from .langid import op2_language_id
 from .pii import op8_contextual_pii
 from .quality import OP4_SQL, op4_quality_cascade
+from .repeats import op1_repeat_removal
 from .warc import OP10_SQL, op10_warc_segments
 
 QUERIES = {
+    "op1_repeat_removal": op1_repeat_removal,
     "op2_language_id": op2_language_id,
     "op4_quality_cascade": op4_quality_cascade,
     "op6_template_decontamination": op6_template_decontamination,
