@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontaminate import op6_template_decontamination
 from .langid import op2_language_id
 from .pii import op8_contextual_pii
+from .preferences import OP3_SQL, op3_preference_pairs
 from .quality import OP4_SQL, op4_quality_cascade
 from .repeats import op1_repeat_removal
 from .warc import OP10_SQL, op10_warc_segments
@@ -12,6 +13,7 @@ from .warc import OP10_SQL, op10_warc_segments
 QUERIES = {
     "op1_repeat_removal": op1_repeat_removal,
     "op2_language_id": op2_language_id,
+    "op3_preference_pairs": op3_preference_pairs,
     "op4_quality_cascade": op4_quality_cascade,
     "op6_template_decontamination": op6_template_decontamination,
     "op8_contextual_pii": op8_contextual_pii,
@@ -19,6 +21,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op3_preference_pairs": OP3_SQL,
     "op4_quality_cascade": OP4_SQL,
     "op10_warc_segments": OP10_SQL,
 }
