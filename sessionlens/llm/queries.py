@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import op6_template_decontamination
+from .jaccard import op5_jaccard_forest
 from .langid import op2_language_id
 from .pii import op8_contextual_pii
 from .preferences import OP3_SQL, op3_preference_pairs
@@ -15,6 +16,7 @@ QUERIES = {
     "op2_language_id": op2_language_id,
     "op3_preference_pairs": op3_preference_pairs,
     "op4_quality_cascade": op4_quality_cascade,
+    "op5_jaccard_forest": op5_jaccard_forest,
     "op6_template_decontamination": op6_template_decontamination,
     "op8_contextual_pii": op8_contextual_pii,
     "op10_warc_segments": op10_warc_segments,
