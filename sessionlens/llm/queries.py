@@ -9,6 +9,7 @@ from .pii import op8_contextual_pii
 from .preferences import OP3_SQL, op3_preference_pairs
 from .quality import OP4_SQL, op4_quality_cascade
 from .repeats import op1_repeat_removal
+from .tokens import op7_edited_token_counts
 from .warc import OP10_SQL, op10_warc_segments
 
 QUERIES = {
@@ -18,6 +19,7 @@ QUERIES = {
     "op4_quality_cascade": op4_quality_cascade,
     "op5_jaccard_forest": op5_jaccard_forest,
     "op6_template_decontamination": op6_template_decontamination,
+    "op7_edited_token_counts": op7_edited_token_counts,
     "op8_contextual_pii": op8_contextual_pii,
     "op10_warc_segments": op10_warc_segments,
 }
