@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontaminate import op6_template_decontamination
 from .jaccard import op5_jaccard_forest
 from .langid import op2_language_id
+from .mixing import OP9_SQL, op9_hierarchical_mixing
 from .pii import op8_contextual_pii
 from .preferences import OP3_SQL, op3_preference_pairs
 from .quality import OP4_SQL, op4_quality_cascade
@@ -21,11 +22,13 @@ QUERIES = {
     "op6_template_decontamination": op6_template_decontamination,
     "op7_edited_token_counts": op7_edited_token_counts,
     "op8_contextual_pii": op8_contextual_pii,
+    "op9_hierarchical_mixing": op9_hierarchical_mixing,
     "op10_warc_segments": op10_warc_segments,
 }
 
 SQL = {
     "op3_preference_pairs": OP3_SQL,
     "op4_quality_cascade": OP4_SQL,
+    "op9_hierarchical_mixing": OP9_SQL,
     "op10_warc_segments": OP10_SQL,
 }
