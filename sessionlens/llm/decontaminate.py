@@ -15,7 +15,7 @@ Defined cases: null texts are empty; items of less than five tokens can't be tol
 text and are never reported; windows with fewer than two words between their placeholders say
 nothing and are left out (an item that has no other window is never reported); items with equal
 templates and values are reported as the smallest id among them, items with equal templates
-and other values each; repeated document rows each get the result of their id's texts; an empty
+and other values each; a row without a doc_id can't be named and isn't examined; repeated document rows each get the result of their id's texts; an empty
 table on either side reports nothing.
 """
 
@@ -109,7 +109,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
     document, ``verbatim`` whether all do for themselves."""
     items = stored(items_of(benchmark), "decon-items")
     wanted = stored(item_windows(items), "decon-windows")
-    own = clashless(docs, ["doc_id", "text"])
+    own = clashless(docs, ["doc_id", "text"]).filter("doc_id IS NOT NULL")
     # templates are hashed within the row, so that each word's window costs a hash and a probe
     hashed = own.withColumn("__tok", template(F.col("text"))).select("doc_id", F.posexplode(windows(F.col("__tok"))).alias("pos", "h"))
     hits = hashed.join(small_side(wanted, BROADCAST_WINDOWS), "h").select("doc_id", "item_id", "n", "ipos", (F.col("pos") - F.col("ipos")).alias("shift"))

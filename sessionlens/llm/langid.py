@@ -217,23 +217,25 @@ def fit_languages(labelled: DataFrame, per_language: int = PER_LANGUAGE, bits: i
     return model
 
 
-def predict_languages(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
-    """``docs`` with lang_pred and score; only the text is an input of the prediction."""
+def predict_languages(docs: DataFrame, model: LanguageModel, text: str = "text",
+                      names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``docs`` with the predicted language and its score, in columns of those ``names``; only the
+    text is an input of the prediction."""
     held = docs.sparkSession.sparkContext.broadcast(model)  # weights of a fixed length for each pair of names
 
     @F.pandas_udf("lang_pred string, score double")
     def predicted(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in parts:
-            names, scores = [], []
+            langs, scores = [], []
             frames = batches(iter([pd.DataFrame({"t": texts.reset_index(drop=True)})]), text_size, "t", BATCH_CHARS)
             for f in frames:
                 n, s = held.value.predict([None if t is None or t != t else t for t in f.t])
-                names += n
+                langs += n
                 scores += list(s)
-            yield pd.DataFrame({"lang_pred": names, "score": np.array(scores, float)})
+            yield pd.DataFrame({"lang_pred": langs, "score": np.array(scores, float)})
 
     own = docs.withColumn("__p", predicted(F.col(text)))
-    return own.withColumns({"lang_pred": F.col("__p.lang_pred"), "score": F.col("__p.score")}).drop("__p")
+    return own.withColumns({names[0]: F.col("__p.lang_pred"), names[1]: F.col("__p.score")}).drop("__p")
 
 
 def learn_from(docs: DataFrame) -> LanguageModel:
