@@ -42,8 +42,8 @@ PATTERNS = {
 #: What a text must have before a pattern is tried on it.
 NEEDS = {"email": "@", "ip": "[0-9]\\.[0-9]", "card": "[0-9][\\x20-]?[0-9]", "phone": "\\+[0-9]"}
 _NS = r"[^\x20\x09-\x0D]"
-#: A word of eight characters at least, one of them a digit.
-IDENTIFIER = rf"(?<!{_NS})(?={_NS}{{8}})[^\x20\x09-\x0D0-9]*+[0-9]{_NS}*+"
+#: A word of eight characters at least, one of them a digit, without the punctuation at its end.
+IDENTIFIER = rf"(?<!{_NS})(?={_NS}{{8}})[^\x20\x09-\x0D0-9]*+[0-9](?:{_NS}*[^\x20\x09-\x0D.,;:!?)\]}}'\"])?"
 MARK = "\x01"
 #: Characters before an entity that its pattern is taken from.
 CONTEXT = 80
