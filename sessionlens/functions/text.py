@@ -18,7 +18,6 @@ HEX_TOKEN = "<hex>"
 NUM_TOKEN = "<num>"
 BLOCK_KEY_PATTERN = r"(blk_-?\d+)"
 TOKEN_PATTERN = r"\b\w+\b"
-LABEL_WORDS = {"normal": 0, "anomaly": 1}
 # ---- end of fixed values ----
 
 _U = "(?U)"

@@ -71,13 +71,15 @@ def synthesize_score(df: DataFrame, out: str = "anomaly_score") -> DataFrame:
     return df.withColumn(out, F.when(~any_null, best))
 
 
-def percentile_flag(df: DataFrame, score: str = "anomaly_score", q: float = 0.9, out: str = "pred") -> DataFrame:
+def percentile_flag(df: DataFrame, score: str = "anomaly_score", q: float = 0.9, out: str = "pred",
+                    threshold: str | None = None) -> DataFrame:
     """pred = score >= exact q-quantile (linear interpolation, nulls skipped);
-    null score -> null pred. The threshold is a one-row frame joined by broadcast."""
+    null score -> null pred. The threshold is a one-row frame joined by broadcast, and kept
+    as a column if ``threshold`` names one."""
     thr = exact_quantiles(df, score, [q]).select(F.col("value").alias("_thr"))
     return df.crossJoin(F.broadcast(thr)) \
         .withColumn(out, F.when(F.col(score).isNotNull(), (F.col(score) >= F.col("_thr")).cast("int"))) \
-        .drop("_thr")
+        .withColumnRenamed("_thr", threshold or "_thr").drop("_thr")
 
 
 def normalize_ensemble(df: DataFrame) -> DataFrame:

@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, DoubleType
 
-from .ordered import is_small, order_number, row_index, running_totals
+from ..session import small_side
+from .ordered import row_index
 
 # ---- fixed values (boosted-tree settings of the source system) ----
 GBT_STEP = 0.03
@@ -32,9 +33,9 @@ GBT_FEATURE_FRACTION = 0.8
 GBT_SEED = 42
 N_FOLDS = 5
 BENIGN_CAP = 120_000
+GBT_MAX_ITER = 4_000
 # ---- end of fixed values ----
 GBT_MAX_DEPTH = 6          # 64 leaves ~ depth 6
-GBT_MAX_ITER = 100         # bounded: one Spark job per round
 
 
 def with_class_weight(df: DataFrame, label: str = "label", out: str = "weight") -> DataFrame:
@@ -50,9 +51,9 @@ def stratified_folds(df: DataFrame, order: str, tiebreak: str, label: str = "lab
 
     Block sizes follow the striding rule over the label-sorted rows (fold i gets the
     rows j = i, i+k, ... of that order), computed on the driver from class counts only.
-    The in-class rank is a prefix count per class (no window over a whole class).
+    The in-class rank comes from one global row index (no window over a class or a timestamp).
     """
-    counts = {int(r[label]): int(r["n"]) for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = {r[label]: int(r["n"]) for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
     start, bounds = 0, {}
     for c in sorted(counts):
         n = counts[c]
@@ -60,8 +61,12 @@ def stratified_folds(df: DataFrame, order: str, tiebreak: str, label: str = "lab
         cum = np.cumsum(alloc).tolist()
         bounds[c] = cum
         start += n
-    d = df.withColumn("_one", F.lit(1)).withColumn("_o", order_number(df, order))
-    d = running_totals(d, "_o", ["_one"], group_cols=[label], tiebreak=[tiebreak]).withColumn("_r", F.col("cum__one") - 1)
+    # place within the class: the global place in (class, order, tie-break) less the smaller classes
+    d = row_index(df, [label, order, tiebreak], "_i")
+    before, first = 0, {}
+    for c in sorted(counts):
+        first[c], before = before, before + counts[c]
+    d = d.withColumn("_r", F.col("_i") - F.coalesce(*[F.when(F.col(label) == c, F.lit(n)) for c, n in first.items()]))
     expr = None
     for c, cum in bounds.items():
         e = None
@@ -71,7 +76,7 @@ def stratified_folds(df: DataFrame, order: str, tiebreak: str, label: str = "lab
             e = F.when(cond, F.lit(i)) if e is None else F.when(cond, F.lit(i)).otherwise(e)
         e = F.when(F.col(label) == c, e)
         expr = e if expr is None else F.coalesce(expr, e)
-    return d.withColumn(out, expr).drop("_one", "_o", "cum__one", "_r")
+    return d.withColumn(out, expr).drop("_i", "_r")
 
 
 def _p1(df: DataFrame, prob_col: str = "probability") -> DataFrame:
@@ -103,10 +108,6 @@ def fit_calibrated_gbt(train: DataFrame, order: str, tiebreak: str, features: st
     weighted), fit an isotonic calibrator on the held-out fold."""
     d = with_class_weight(stratified_folds(train, order, tiebreak, label, k), label)
     d = d.withColumn(label, F.col(label).cast("double"))
-    if is_small(d):
-        # checked small: one partition per fit, so each boosting job is one task and the
-        # k concurrent fits use separate cores; large inputs keep their partitioning
-        d = d.coalesce(1)
     d = d.persist(StorageLevel.MEMORY_AND_DISK)
     out = CalibratedGBT()
 
@@ -133,18 +134,15 @@ def benign_sample(df: DataFrame, key: str = "session_id", label: str = "label",
     """L4: at most ``cap`` benign rows: the ``cap`` smallest (xxhash64(key, seed), key),
     a deterministic seeded choice without replacement (keys are unique per row).
 
-    A checked-small input uses ``orderBy().limit()``. Otherwise a global row index over
-    the two-column (hash, key) table is computed distributed (range partitions, no
-    single merge task) and the chosen keys (at most ``cap``: a bounded broadcast) are
-    semi-joined back.
+    A global row index over the two-column (hash, key) table is computed distributed (range
+    partitions, no single merge task) and the chosen keys are semi-joined back, broadcast if
+    they are few enough.
     """
     b = df.where(F.col(label) == 0)
     h = F.xxhash64(F.col(key), F.lit(seed))
-    if is_small(b):
-        return b.orderBy(h, F.col(key)).limit(cap)
     idx = row_index(b.select(F.col(key), h.alias("_h")), ["_h", key], "_ri")
     keep = idx.where(F.col("_ri") < F.lit(cap)).select(key)
-    return b.join(F.broadcast(keep), key, "left_semi")
+    return b.join(small_side(keep), key, "left_semi")
 
 
 @dataclass

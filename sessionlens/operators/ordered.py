@@ -1,11 +1,11 @@
-"""Global order without a single-partition window.
+"""Global order without a single-partition window, by one path at every size.
 
 Three primitives used by ranks, precision-recall curves, exact quantiles, the
 temporal split and shard numbering:
 
 ``value_buckets``    range buckets from approximate quantiles + ``Bucketizer``: a pure,
                      deterministic function of the value (safe to recompute after an
-                     executor loss), at most ``n_buckets`` buckets.
+                     executor loss), as many as there are shuffle partitions.
 ``running_totals``   inclusive prefix sums over the value order: per-bucket totals
                      (<= n_buckets rows) give each bucket an offset, a window partitioned
                      by bucket does the rest. Input has one row per distinct value, so a
@@ -13,7 +13,11 @@ temporal split and shard numbering:
 ``exact_quantiles``  linear-interpolation quantiles (pandas/numpy default) located by
                      prefix counts instead of buffering every value in one task.
 ``row_index``        0-based global row number in a total order: range partition, sort,
-                     reliable checkpoint, per-partition counts as offsets.
+                     stored rows, per-partition counts as offsets.
+
+What is above an ordered table is read once: the table (distinct values with counts, or
+the rows to be numbered) is stored first, and the sketch, the totals and the window read
+the stored copy.
 """
 
 from __future__ import annotations
@@ -22,106 +26,83 @@ import math
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import epoch_micros
-from ..session import ensure_checkpoint_dir
+from ..session import small_side, stored
 
 BUCKET = "_bucket"
 
-# Below this Catalyst size estimate (an upper bound for scans, filters, aggregates and
-# joins without CBO) one bucket is used and no quantile sketch job is run.
-SINGLE_BUCKET_BYTES = 32 * 1024 * 1024
-
-
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's plan-time size estimate (no job is run); huge when unknown."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # noqa: BLE001
-        return 1 << 62
-
-
-# Inputs with at most this many rows (checked by an exact count when the plan estimate
-# is unknown or too large) are ordered inside one bucket / one aggregation buffer.
-SMALL_ROWS = 1 << 20
-
 
-def is_small(df: DataFrame) -> bool:
-    """Size check before choosing a one-task strategy: the plan estimate when it is
-    small, otherwise an exact row count against ``SMALL_ROWS``."""
-    if estimated_bytes(df) <= SINGLE_BUCKET_BYTES:
-        return True
-    return df.count() <= SMALL_ROWS
+def order_number(df: DataFrame, col: str) -> Column:
+    """A double that never falls along the order of ``col``; equal doubles of different
+    values are left to the native order within a bucket.
 
-
-def order_number(df: DataFrame, col: str):
-    """A double that orders like ``col`` (timestamps become epoch microseconds)."""
+    Timestamps become epoch microseconds. Strings become the six bytes after what the
+    smallest and the largest have in common (one aggregate over ``df``, a stored table).
+    """
     t = dict(df.dtypes)[col]
     c = F.col(col)
     if t.startswith("timestamp") or t == "date":
-        c = epoch_micros(c)
+        return epoch_micros(c).cast("double")
+    if t == "string":
+        r = df.agg(F.min(col).alias("lo"), F.max(col).alias("hi")).first()
+        lo, hi = (r.lo or "").encode(), (r.hi or "").encode()
+        same = next((i for i, (a, b) in enumerate(zip(lo, hi, strict=False)) if a != b), min(len(lo), len(hi)))
+        six = F.rpad(F.hex(F.substring(c.cast("binary"), same + 1, 6)), 12, "0")
+        return F.conv(six, 16, 10).cast("double")
     return c.cast("double")
 
 
 def default_buckets(df: DataFrame) -> int:
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(1, min(n, 16384))
+    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
 def value_buckets(df: DataFrame, col: str, n_buckets: int | None = None,
                   rel_err: float = 1e-3, out: str = BUCKET) -> DataFrame:
-    """Add ``out`` = range bucket of non-null double ``col`` (quantile-balanced).
+    """Add ``out`` = range bucket of ``col`` (quantile-balanced; nulls in the lowest, NaN
+    in the highest).
 
     The split points come from one approximate-quantile pass (n-1 doubles reach the
-    driver); the bucket is then a pure function of the value. A small input (by plan
-    estimate) gets a single bucket and no extra pass.
+    driver); the bucket is then a pure function of the value.
     """
-    if n_buckets is None:
-        n_buckets = 1 if is_small(df) else default_buckets(df)
-    if n_buckets <= 1:
-        return df.withColumn(out, F.lit(0))
+    n_buckets = n_buckets or default_buckets(df)
+    tmp = f"_{out}_in"
+    x = order_number(df, col)
+    df = df.withColumn(tmp, F.coalesce(x, F.lit(-math.inf)))
     probs = [i / n_buckets for i in range(1, n_buckets)]
     # the sketch error must stay well below one bucket (1/n of the rows) for balance
-    qs = df.approxQuantile(col, probs, min(rel_err, 0.25 / n_buckets))
+    qs = df.approxQuantile(tmp, probs, min(rel_err, 0.25 / n_buckets)) if probs else []
     inner = sorted({float(q) for q in qs if q is not None and math.isfinite(q)})
-    splits = [-math.inf] + inner + [math.inf]
-    tmp = f"_{out}_in"
+    splits = [-math.inf, *inner, math.inf] if inner else [-math.inf, 0.0, math.inf]
     b = Bucketizer(splits=splits, inputCol=tmp, outputCol=out, handleInvalid="keep")
-    res = b.transform(df.withColumn(tmp, F.col(col).cast("double")))
-    return res.drop(tmp).withColumn(out, F.col(out).cast("int"))
+    return b.transform(df).drop(tmp).withColumn(out, F.col(out).cast("int"))
 
 
 def running_totals(df: DataFrame, order_col: str, sum_cols: Sequence[str], descending: bool = False,
-                   n_buckets: int | None = None, prefix: str = "cum_",
-                   tiebreak: Sequence[str] = (), group_cols: Sequence[str] = ()) -> DataFrame:
-    """Inclusive running sums of ``sum_cols`` in ``order_col`` order (nulls excluded),
+                   n_buckets: int | None = None, prefix: str = "cum_", tiebreak: Sequence[str] = (),
+                   group_cols: Sequence[str] = (), is_stored: bool = False) -> DataFrame:
+    """Inclusive running sums of ``sum_cols`` in ``order_col`` order (nulls lowest),
     restarted for every combination of ``group_cols``.
 
     Expects one row per distinct (group, ``order_col``) unless ``tiebreak`` columns make
     the order total. Result: input columns + ``prefix+c`` for each ``c``.
     """
     g = list(group_cols)
-    base = df.where(F.col(order_col).isNotNull())
+    base = df if is_stored else stored(df, "totals")
     oc = F.col(order_col).desc() if descending else F.col(order_col).asc()
-    if n_buckets is None and is_small(base):
-        n_buckets = 1
-    if n_buckets == 1:
-        # checked small: one window partition per group, no bucket offsets needed
-        w1 = (Window.partitionBy(*g) if g else Window).orderBy(oc, *[F.col(t) for t in tiebreak]) \
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        for c in sum_cols:
-            base = base.withColumn(prefix + c, F.sum(c).over(w1))
-        return base
     b = value_buckets(base, order_col, n_buckets)
     totals = b.groupBy(*g, BUCKET).agg(*[F.sum(c).alias(c) for c in sum_cols])
     bo = F.col(BUCKET).desc() if descending else F.col(BUCKET).asc()
     # one row per (group, bucket): without groups at most n_buckets rows
     w_b = (Window.partitionBy(*g) if g else Window).orderBy(bo).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*g, BUCKET, *[F.coalesce(F.sum(c).over(w_b), F.lit(0)).alias(f"_off_{c}")
-                                          for c in sum_cols])
-    b = b.join(offsets if g else F.broadcast(offsets), [*g, BUCKET], "left")
+    offsets = totals.select(*[F.col(c).alias(f"_g_{c}") for c in g], F.col(BUCKET).alias("_ob"),
+                            *[F.coalesce(F.sum(c).over(w_b), F.lit(0)).alias(f"_off_{c}") for c in sum_cols])
+    same = F.col(BUCKET) == F.col("_ob")
+    for c in g:
+        same = same & F.col(c).eqNullSafe(F.col(f"_g_{c}"))
+    b = b.join(offsets if g else F.broadcast(offsets), same, "left").drop("_ob", *[f"_g_{c}" for c in g])
     w = Window.partitionBy(*g, BUCKET).orderBy(oc, *[F.col(t) for t in tiebreak]) \
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     for c in sum_cols:
@@ -132,18 +113,14 @@ def running_totals(df: DataFrame, order_col: str, sum_cols: Sequence[str], desce
 def value_counts_cumulative(df: DataFrame, col: str, n_buckets: int | None = None,
                             group_cols: Sequence[str] = ()) -> DataFrame:
     """(groups, _v, _c, cum__c, _n): distinct non-null, non-NaN values per group with
-    counts, inclusive prefix count and the group's total."""
+    counts, inclusive prefix count and the group's total. ``df`` is read once."""
     g = list(group_cols)
     x = F.col(col).cast("double")
-    v = df.where(x.isNotNull() & ~F.isnan(x)).groupBy(*g, x.alias("_v")) \
-        .agg(F.count(F.lit(1)).alias("_c"))
-    if n_buckets is None and is_small(v):
-        n_buckets = 1
-    cum = running_totals(v, "_v", ["_c"], n_buckets=n_buckets, group_cols=g)
-    if n_buckets == 1:
-        return cum.withColumn("_n", F.sum("_c").over(Window.partitionBy(*g) if g else Window.partitionBy()))
+    v = stored(df.where(x.isNotNull() & ~F.isnan(x)).groupBy(*g, x.alias("_v"))
+               .agg(F.count(F.lit(1)).alias("_c")), "values")
+    cum = running_totals(v, "_v", ["_c"], n_buckets=n_buckets, group_cols=g, is_stored=True)
     total = v.groupBy(*g).agg(F.sum("_c").alias("_n"))
-    return cum.join(total, g) if g else cum.crossJoin(F.broadcast(total))
+    return cum.join(total, g) if g else cum.crossJoin(F.broadcast(total))  # one row
 
 
 def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float],
@@ -157,18 +134,6 @@ def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float],
     """
     spark = df.sparkSession
     g = list(group_cols)
-    if n_buckets is None and is_small(df):
-        # small input (plan estimate): Spark's exact percentile, one aggregate
-        x = F.col(col).cast("double")
-        clean = df.where(x.isNotNull() & ~F.isnan(x)).withColumn("_x", x)
-        if g:
-            agg = clean.groupBy(*g).agg(F.percentile("_x", F.array(*[F.lit(float(v)) for v in probs])).alias("_q"))
-            return agg.select(*g, F.posexplode("_q").alias("_i", "value")) \
-                .withColumn("prob", F.element_at(F.array(*[F.lit(float(v)) for v in probs]), F.col("_i") + 1)) \
-                .select(*g, "prob", "value")
-        agg = clean.agg(F.percentile("_x", F.array(*[F.lit(float(v)) for v in probs])).alias("_q"))
-        p = spark.createDataFrame([(i, float(x)) for i, x in enumerate(probs)], "_i int, prob double")
-        return p.crossJoin(agg).select("prob", F.element_at("_q", F.col("_i") + 1).alias("value"))
     cum = value_counts_cumulative(df, col, n_buckets, g)
     p = spark.createDataFrame([(float(x),) for x in probs], "prob double")  # len(probs) rows
     cum = cum.withColumn("_before", F.col("cum__c") - F.col("_c"))
@@ -186,26 +151,18 @@ def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float],
     return p.join(agg, "prob", "left").select("prob", val.alias("value"))
 
 
-def quantile_value(df: DataFrame, col: str, prob: float) -> float | None:
-    """Driver-side scalar of one exact quantile (one row collected)."""
-    r = exact_quantiles(df, col, [prob]).collect()
-    return None if not r or r[0]["value"] is None else float(r[0]["value"])
-
-
 def row_index(df: DataFrame, order_cols: Sequence, name: str = "row_idx",
               n_parts: int | None = None) -> DataFrame:
     """Add a 0-based global row number in ``order_cols`` order (names sort ascending,
     Column sort expressions such as ``F.col(x).desc()`` are used as given).
 
     Range partitioning splits a hot value of the first column across partitions by the
-    later columns; the sorted, numbered rows are checkpointed to reliable storage so
-    partition ids and per-partition counts stay consistent if executors are lost.
+    later columns; the sorted, numbered rows are stored, so partition ids and
+    per-partition counts stay consistent if executors are lost.
     """
-    ensure_checkpoint_dir(df.sparkSession)
     n = n_parts or default_buckets(df)
     s = df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
-    s = s.withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id())
-    s = s.checkpoint(eager=True)
+    s = stored(s.withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id()), "rows")
     counts = s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_pc"))  # <= n rows
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offs = counts.select("_pid", F.coalesce(F.sum("_pc").over(w), F.lit(0)).alias("_poff"))
@@ -221,18 +178,23 @@ def average_rank_pct(df: DataFrame, cols: Sequence[str], prefix: str = "p_",
 
     pct = (rows strictly below + (ties + 1) / 2) / non-null rows; null stays null.
     The columns are melted into (name, value) rows, ranked per name on distinct values,
-    and each column is joined back on its value.
+    and each column is joined back on its value; rows without a value carry a key of their
+    own each, so that they don't meet in one partition.
     """
     cols = list(cols)
     melted = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("_name"), F.col(c).cast("double").alias("_x"))
                                            for c in cols])).alias("_m")).select("_m._name", "_m._x")
     cum = value_counts_cumulative(melted, "_x", n_buckets, group_cols=["_name"])
-    pct = cum.select("_name", "_v", ((F.col("cum__c") - F.col("_c") + (F.col("_c") + 1) / 2.0)
-                                     / F.col("_n")).alias("_pct"))
+    pct = stored(cum.select("_name", "_v", ((F.col("cum__c") - F.col("_c") + (F.col("_c") + 1) / 2.0)
+                                            / F.col("_n")).alias("_pct")), "ranks")
     out = df
     for c in cols:
-        one = pct.where(F.col("_name") == c).select(F.col("_v").alias(f"_v_{c}"), F.col("_pct").alias(prefix + c))
-        out = out.join(one, F.col(c).cast("double") == F.col(f"_v_{c}"), "left").drop(f"_v_{c}")
+        one = small_side(pct.where(F.col("_name") == c).select(F.lit(0).cast("long").alias(f"_s_{c}"), F.col("_v").alias(f"_v_{c}"),
+                                                               F.col("_pct").alias(prefix + c)))
+        x = F.col(c).cast("double")
+        salt = F.when(x.isNull(), F.monotonically_increasing_id() + 1).otherwise(F.lit(0).cast("long"))
+        out = out.withColumn("_salt", salt).join(one, (F.col("_salt") == F.col(f"_s_{c}")) & (x == F.col(f"_v_{c}")), "left") \
+            .drop(f"_v_{c}", f"_s_{c}", "_salt")
     return out
 
 
@@ -243,11 +205,11 @@ def grouped_positions(df: DataFrame, group_col: str, within_col: str, name: str
 
     pos = (rows of all earlier groups) + within: a prefix sum over one row per group,
     joined back on the group. Nothing is globally sorted or copied, unlike
-    ``row_index``; a hot group only makes its join key skewed (AQE splits it).
+    ``row_index``; a hot group only makes its join key skewed (AQE splits it). Groups may
+    be numbers, timestamps or strings (file paths); they are ordered as Spark orders them.
     """
-    counts = df.groupBy(group_col).agg(F.count(F.lit(1)).alias("_gn"))
-    cum = running_totals(counts.withColumn("_go", order_number(counts, group_col)), "_go", ["_gn"],
-                         n_buckets=n_buckets)
-    offs = cum.select(group_col, (F.col("cum__gn") - F.col("_gn")).alias("_goff"))
-    return df.join(offs, group_col).withColumn(name, (F.col("_goff") + F.col(within_col)).cast("long")) \
-        .drop("_goff")
+    counts = df.groupBy(F.col(group_col).alias("_grp")).agg(F.count(F.lit(1)).alias("_gn"))
+    cum = running_totals(counts, "_grp", ["_gn"], n_buckets=n_buckets)
+    offs = cum.select("_grp", (F.col("cum__gn") - F.col("_gn")).alias("_goff"))
+    return df.join(offs, F.col(group_col).eqNullSafe(F.col("_grp"))) \
+        .withColumn(name, (F.col("_goff") + F.col(within_col)).cast("long")).drop("_goff", "_grp")

@@ -9,8 +9,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
-from .ordered import average_rank_pct
+from ..session import stored
+from .ordered import average_rank_pct, row_index
 
 
 def merge_scores(frames: Sequence[DataFrame], key: str = "session_id") -> DataFrame:
@@ -31,9 +31,8 @@ def rank_ensemble(df: DataFrame, score_cols: Sequence[str], out: str = "ens_pct"
             df = df.withColumn(c, F.lit(None).cast("double"))
         df = df.withColumn(c, nan_to_null(F.col(c).cast("double")))
     # the score table is read by the rank pass and by the join back: cut its lineage once
-    # (reliable checkpoint) so upstream sources are not re-read per branch
-    ensure_checkpoint_dir(df.sparkSession)
-    df = df.checkpoint(eager=True)
+    # so upstream sources are not re-read per branch
+    df = stored(df, "scores")
     df = average_rank_pct(df, score_cols, "p_")
     ps = [F.col(f"p_{c}") for c in score_cols]
     n = reduce(lambda a, b: a + b, [p.isNotNull().cast("int") for p in ps])
@@ -41,10 +40,14 @@ def rank_ensemble(df: DataFrame, score_cols: Sequence[str], out: str = "ens_pct"
     return df.withColumn(out, F.when(n > 0, s / n))
 
 
-def top_k(df: DataFrame, k: int, col: str = "ens_pct", key: str = "session_id") -> DataFrame:
-    """W3 + W4: descending global order (ties by key, nulls last); first ``k`` rows.
+def top_k(df: DataFrame, k: int, col: str = "ens_pct", key: str = "session_id", rank: str | None = None) -> DataFrame:
+    """W3 + W4: descending global order (ties by key, nulls last); first ``k`` rows, numbered
+    from 1 in a column ``rank`` if it is named.
 
-    ``orderBy().limit(k)`` plans as TakeOrderedAndProject: each task keeps k rows,
-    so the final merge holds at most k rows per task.
+    The order comes from ``row_index`` (range partitions), so no task merges the k first rows
+    of every other task.
     """
-    return df.orderBy(F.col(col).desc_nulls_last(), F.col(key).asc()).limit(k)
+    name = rank or "_rank"
+    d = row_index(df, [F.col(col).desc_nulls_last(), F.col(key).asc()], name)
+    d = d.where(F.col(name) < k)
+    return d.withColumn(name, F.col(name) + 1) if rank else d.drop(name)

@@ -9,10 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import (backfill_key, coalesce_cast, duration_seconds, epoch_micros, from_epoch_micros, label_to_int,
+from ..functions import (backfill_key, coalesce_cast, duration_seconds, epoch_micros, label_to_int,
                          normalize_id, require_columns)
 
 SESSION_COLUMNS = ("session_id", "block_id", "timestamp", "timestamp_start", "timestamp_end",
@@ -54,7 +54,9 @@ def label_table(raw: DataFrame, id_col: str = "block_id", label_col: str = "labe
 def attach_labels(sessions: DataFrame, labels: DataFrame) -> DataFrame:
     """sessions LEFT JOIN deduplicated labels on block_id; missing label -> 0.
 
-    An existing ``label`` column is replaced, never merged. ``labels`` must already be
+    Sessions are not grouped again after their ids are normalised, as in the source, so
+    spellings of one key stay sessions of their own here. An existing ``label`` column is
+    replaced, never merged. ``labels`` must already be
     one row per block (``label_table``), so the join cannot fan out.
     """
     s = backfill_key(sessions)
@@ -101,10 +103,11 @@ def anomaly_profile(sessions: DataFrame) -> DataFrame:
 def duplicate_sessions(sessions: DataFrame, limit: int | None = 10) -> DataFrame:
     """Every member of a duplicated session id (keep=False), sorted; first ``limit``.
 
-    Duplicated ids come from a count per id joined back (no window over a hot key).
+    Duplicated ids come from a count per id joined back (no window over a hot key). Rows are
+    ordered by the id and then by all columns, so that which rows a limit keeps is defined.
     """
     dup = sessions.groupBy("session_id").agg(F.count(F.lit(1)).alias("dup_count")).where("dup_count > 1")
-    out = sessions.join(dup, "session_id", "left_semi").orderBy("session_id")
+    out = sessions.join(dup, "session_id", "left_semi").orderBy("session_id", *[c for c in sessions.columns if c != "session_id"])
     return out.limit(limit) if limit else out
 
 
@@ -158,9 +161,9 @@ def session_features(sessions: DataFrame, lines: DataFrame, key: str, order: Seq
     document -> '', missing count -> 0. duration_sec = end - start of the session row,
     else the line span when the lines carry timestamps, else 0.
     """
-    docs = session_documents(lines, key, order, text_col) \
-        .withColumnRenamed(key, "session_id") \
-        .withColumn("session_id", normalize_id("session_id"))
+    # keys are normalised before they are grouped: spellings of one key are one session
+    docs = session_documents(lines.withColumn(key, normalize_id(key)), key, order, text_col) \
+        .withColumnRenamed(key, "session_id")
     s = sessions.withColumn("session_id", normalize_id("session_id"))
     s = s.drop("n_events", "doc")
     out = s.join(docs, "session_id", "left")
@@ -177,37 +180,15 @@ def session_features(sessions: DataFrame, lines: DataFrame, key: str, order: Seq
 
 
 # ---------------------------------------------------------------- gap sessions (ST3 batch twin)
-def gap_sessions(events: DataFrame, key: str, ts: str, gap_seconds: int, chunk_seconds: int = 86400) -> DataFrame:
+def gap_sessions(events: DataFrame, key: str, ts: str, gap_seconds: int) -> DataFrame:
     """Inactivity sessions per key: a new session starts when the time since the
-    previous event of the key is >= gap (the batch twin of ``session_window``).
+    previous event of the key is longer than the gap (the batch twin of the session stream).
 
     Output: key, window_start, window_end (= last event + gap), n_events.
-    The previous event comes from a lag inside (key, time chunk) windows plus a one-row
-    per chunk summary; session numbers are prefix counts of session starts, done the
-    same way. A hot key is spread over its time chunks.
     """
-    t = epoch_micros(F.col(ts))
-    gap_us = int(gap_seconds) * 1_000_000
-    e = events.where(F.col(key).isNotNull() & F.col(ts).isNotNull()) \
-        .select(F.col(key), t.alias("_t"), F.floor(t / F.lit(chunk_seconds * 1_000_000)).alias("_ch"))
-    w_in = Window.partitionBy(key, "_ch").orderBy("_t")
-    e = e.withColumn("_prev", F.lag("_t").over(w_in))
-    inner_start = F.when(F.col("_prev").isNotNull(), (F.col("_t") - F.col("_prev") >= F.lit(gap_us)).cast("int"))
-    e = e.withColumn("_istart", inner_start)
-    # one summary row per (key, chunk): first/last time and starts after the first event
-    summ = e.groupBy(key, "_ch").agg(F.min("_t").alias("_cmin"), F.max("_t").alias("_cmax"),
-                                     F.coalesce(F.sum("_istart"), F.lit(0)).alias("_inner"))
-    w_c = Window.partitionBy(key).orderBy("_ch")
-    pc = F.lag("_cmax").over(w_c)
-    summ = summ.withColumn("_first_start", F.when(pc.isNull() | (F.col("_cmin") - pc >= F.lit(gap_us)), 1)
-                           .otherwise(0))
-    summ = summ.withColumn("_off", F.coalesce(F.sum(F.col("_inner") + F.col("_first_start")).over(
-        w_c.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    e = e.join(summ.select(key, "_ch", "_first_start", "_off"), [key, "_ch"])
-    e = e.withColumn("_start", F.coalesce(F.col("_istart"), F.col("_first_start")))
-    w_run = Window.partitionBy(key, "_ch").orderBy("_t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    e = e.withColumn("_sid", F.col("_off") + F.sum("_start").over(w_run))
-    g = e.groupBy(key, "_sid").agg(F.min("_t").alias("_s"), F.max("_t").alias("_e"), F.count(F.lit(1)).alias("n_events"))
-    return g.select(key, from_epoch_micros(F.col("_s")).alias("window_start"),
-                    from_epoch_micros(F.col("_e") + F.lit(gap_us)).alias("window_end"),
-                    "n_events")
+    e = events.where(F.col(key).isNotNull() & F.col(ts).isNotNull())
+    g = e.groupBy(F.col(key), F.session_window(F.col(ts), f"{int(gap_seconds)} seconds").alias("_w")) \
+        .agg(F.count(F.lit(1)).alias("n_events"))
+    kind = dict(events.dtypes)[ts]
+    return g.select(key, F.col("_w.start").cast(kind).alias("window_start"),
+                    F.col("_w.end").cast(kind).alias("window_end"), "n_events")

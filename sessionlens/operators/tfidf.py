@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import epoch_micros
 from ..functions.text import TOKEN_PATTERN, tokens
-from ..session import ensure_checkpoint_dir, spread
+from ..session import small_side, stored
+from .ordered import row_index, running_totals
 
 MIN_DF = 2
 MAX_FEATURES = 120_000
@@ -45,7 +46,7 @@ def line_terms(lines: DataFrame, key: str, pos: str, text: str, chunk: int = CHU
     if dict(lines.dtypes)[pos].startswith("timestamp"):
         p = epoch_micros(F.col(pos))
         chunk = chunk_seconds * 1_000_000   # time order: chunks are time spans
-    t = spread(lines.where(F.col(key).isNotNull())).select(F.col(key), p.alias("_pos"), tokens(text).alias("_tok")) \
+    t = lines.where(F.col(key).isNotNull()).select(F.col(key), p.alias("_pos"), tokens(text).alias("_tok")) \
         .withColumn("_chunk", F.floor(F.col("_pos") / F.lit(chunk)))
     n = F.size("_tok")
     last_tok = F.when(n > 0, F.element_at("_tok", -1))
@@ -75,9 +76,18 @@ def vocabulary(tf: DataFrame, key: str, min_df: int = MIN_DF, max_features: int
     """(term, df, cnt, term_idx): terms in >= min_df documents, the max_features most
     frequent by corpus count (ties by term). Size is bounded by max_features."""
     d = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cnt")).where(F.col("df") >= min_df)
-    if max_features:
-        d = d.orderBy(F.desc("cnt"), F.asc("term")).limit(max_features)
-    return d
+    if not max_features:
+        return d
+    # the count at rank max_features, from the number of terms of each count; only terms of that
+    # very count are put in order
+    d = stored(d, "terms")
+    by_count = running_totals(d.groupBy("cnt").agg(F.count(F.lit(1)).alias("terms")), "cnt", ["terms"], descending=True)
+    edge = by_count.where(F.col("cum_terms") >= max_features).orderBy("cum_terms").limit(1).collect()
+    if not edge:
+        return d
+    cnt, room = edge[0]["cnt"], max_features - (edge[0]["cum_terms"] - edge[0]["terms"])
+    ties = row_index(d.where(F.col("cnt") == cnt), ["term"], "_i").where(F.col("_i") < room).drop("_i")
+    return d.where(F.col("cnt") > cnt).unionByName(ties)
 
 
 def relational_tfidf(lines: DataFrame, key: str, pos: str, text: str, n_docs: int | None = None,
@@ -86,18 +96,16 @@ def relational_tfidf(lines: DataFrame, key: str, pos: str, text: str, n_docs: in
     """F8: (key, term, weight). Vocabulary and idf are fit on the sessions in
     ``fit_keys`` (all sessions when None); ``n_docs`` defaults to their count."""
     tf = term_counts(line_terms(lines, key, pos, text), key)
-    # (key, term, tf) feeds the vocabulary, the weights and the norms: write it once to
-    # the reliable checkpoint directory instead of re-reading and re-tokenising the text
-    ensure_checkpoint_dir(tf.sparkSession)
-    tf = tf.checkpoint(eager=True)
+    # (key, term, tf) feeds the vocabulary, the weights and the norms: write it once
+    # instead of re-reading and re-tokenising the text
+    tf = stored(tf, "term-counts")
     fit_tf = tf if fit_keys is None else tf.join(fit_keys.select(key).distinct(), key, "left_semi")
     if n_docs is None:
         src = lines if fit_keys is None else fit_keys
         n_docs = src.select(key).distinct().count()
     voc = vocabulary(fit_tf, key, min_df, max_features)
     idf = F.log((F.lit(1.0) + F.lit(float(n_docs))) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)
-    # the vocabulary holds at most max_features rows: broadcast is bounded
-    w = tf.join(F.broadcast(voc.select("term", "df")), "term").select(key, "term", (F.col("tf") * idf).alias("w"))
+    w = tf.join(small_side(stored(voc.select("term", "df"), "vocabulary")), "term").select(key, "term", (F.col("tf") * idf).alias("w"))
     norm = w.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"))
     return w.join(norm, key).select(key, "term", (F.col("w") / F.col("_norm")).alias("weight"))
 

@@ -19,8 +19,6 @@ from ..functions import extract_key, mask_line, normalize_id
 from ..operators import sessions as S
 from ..sources.readers import lines_of, read_table
 
-import numpy as np
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -240,12 +238,14 @@ _SQL_CUT = """
 """
 
 
-@register("temporal_split", "WITH " + _SQL_SESSIONS + _SQL_CUT + """
+@register("temporal_split", "WITH " + _SQL_SESSIONS + _SQL_CUT.replace("vr < 1000 OR vp < greatest(50, 0.1 * n_pos)", "vr < 10 OR vp < greatest(5, 0.1 * n_pos)") + """
 SELECT session_id, timestamp, label, split FROM sp
 """)
 def q_temporal_split(spark, d):
+    # bounds that the driver's sessions meet, so that the quantile of the positives is the cut;
+    # split_report takes the fallback
     s = labelled_sessions(spark, d)
-    return SP.temporal_split(s).select("session_id", "timestamp", "label", "split")
+    return SP.temporal_split(s, min_val_rows=10, min_val_pos=5).select("session_id", "timestamp", "label", "split")
 
 
 @register("split_report", "WITH " + _SQL_SESSIONS + _SQL_CUT + """
@@ -274,22 +274,24 @@ _SCORE_COLS = ["score_iso", "score_ae", "score_lstm"]
 
 
 def detector_scores(spark, d):
-    """Three per-user detector scores, each defined on a different subset of users."""
+    """Three per-user detector scores over all events; each is null for the users without an event
+    that it looks at."""
     ev = read_table(spark, d, "events").withColumn("session_id", F.col("user_id").cast("string"))
-    iso = ev.where("value > 300").groupBy("session_id").agg(F.max("value").alias("score_iso"))
-    ae = ev.where("event_type = 'error' AND value > 100").groupBy("session_id") \
-        .agg(F.avg("value").alias("score_ae"))
-    lstm = ev.where("event_type = 'purchase' AND value > 150").groupBy("session_id") \
-        .agg(F.count(F.lit(1)).cast("double").alias("score_lstm"))
+    g = ev.groupBy("session_id")
+    iso = g.agg(F.max(F.when(F.col("value") > 300, F.col("value"))).alias("score_iso"))
+    ae = g.agg(F.avg(F.when((F.col("event_type") == "error") & (F.col("value") > 100), F.col("value"))).alias("score_ae"))
+    n = F.count_if((F.col("event_type") == "purchase") & (F.col("value") > 150))
+    lstm = g.agg(F.when(n > 0, n.cast("double")).alias("score_lstm"))
     return [iso, ae, lstm]
 
 
 _SQL_SCORES = """
-  iso AS (SELECT CAST(user_id AS VARCHAR) AS session_id, max(value) AS score_iso FROM events WHERE value > 300 GROUP BY 1),
-  ae AS (SELECT CAST(user_id AS VARCHAR) AS session_id, avg(value) AS score_ae FROM events
-         WHERE event_type = 'error' AND value > 100 GROUP BY 1),
-  lstm AS (SELECT CAST(user_id AS VARCHAR) AS session_id, CAST(count(*) AS DOUBLE) AS score_lstm FROM events
-           WHERE event_type = 'purchase' AND value > 150 GROUP BY 1),
+  iso AS (SELECT CAST(user_id AS VARCHAR) AS session_id, max(value) FILTER (WHERE value > 300) AS score_iso FROM events GROUP BY 1),
+  ae AS (SELECT CAST(user_id AS VARCHAR) AS session_id, avg(value) FILTER (WHERE event_type = 'error' AND value > 100) AS score_ae
+         FROM events GROUP BY 1),
+  lstm AS (SELECT CAST(user_id AS VARCHAR) AS session_id,
+                  CAST(nullif(count(*) FILTER (WHERE event_type = 'purchase' AND value > 150), 0) AS DOUBLE) AS score_lstm
+           FROM events GROUP BY 1),
   m AS (SELECT coalesce(iso.session_id, ae.session_id, lstm.session_id) AS session_id, score_iso, score_ae, score_lstm
         FROM iso FULL OUTER JOIN ae ON iso.session_id = ae.session_id
                  FULL OUTER JOIN lstm ON coalesce(iso.session_id, ae.session_id) = lstm.session_id),
@@ -325,9 +327,21 @@ def q_rank_ensemble(spark, d):
 
 
 @register("topk", "WITH " + _SQL_SCORES + " SELECT " + _SQL_RANK_OUT
-          + " FROM e ORDER BY ens_pct DESC NULLS LAST, session_id LIMIT 5000")
+          + ", row_number() OVER (ORDER BY ens_pct DESC NULLS LAST, session_id) AS place"
+          + " FROM e ORDER BY ens_pct DESC NULLS LAST, session_id LIMIT 20")
 def q_topk(spark, d):
-    return _rank_out(RK.top_k(ranked(spark, d), 5000))
+    top = RK.top_k(ranked(spark, d), 20, rank="place")
+    return top.select("session_id", *[_r6(c).alias(c) for c in [*_SCORE_COLS, *[f"p_{x}" for x in _SCORE_COLS], "ens_pct"]], "place")
+
+
+@register("rank_order", "WITH " + _SQL_SCORES + """
+SELECT session_id, round(ens_pct, 6) AS ens_pct, row_number() OVER (ORDER BY ens_pct DESC NULLS LAST, session_id) - 1 AS place FROM e
+""")
+def q_rank_order(spark, d):
+    """The place of every user in the global order."""
+    from ..operators.ordered import row_index
+    r = row_index(ranked(spark, d), [F.col("ens_pct").desc_nulls_last(), F.col("session_id").asc()], "place")
+    return r.select("session_id", _r6("ens_pct").alias("ens_pct"), "place")
 
 
 # ================================================================= evaluation
@@ -490,10 +504,7 @@ SELECT session_id, CAST(anomaly_score >= thr AS INTEGER) AS pred, round(thr, 6)
 """)
 def q_p90_flag(spark, d):
     a = CH.normalize_aliases(alias_frame(spark, d)).select("session_id", "anomaly_score")
-    from ..operators.ordered import exact_quantiles
-    t = exact_quantiles(a, "anomaly_score", [0.9]).select(_r6("value").alias("thr"), F.col("value").alias("_t"))
-    return a.crossJoin(F.broadcast(t)).select(
-        "session_id", (F.col("anomaly_score") >= F.col("_t")).cast("int").alias("pred"), "thr")
+    return CH.percentile_flag(a, threshold="thr").select("session_id", "pred", _r6("thr").alias("thr"))
 
 
 def chart_base(spark, d):
@@ -522,7 +533,8 @@ SELECT session_id, host, service, timestamp AS start_time, round(anomaly_score,
 FROM base
 """)
 def q_host_rollup(spark, d):
-    r = CH.chart_rollup(chart_base(spark, d))
+    # six points of each session, so that a group has several rows
+    r = CH.chart_rollup(CH.upsample(chart_base(spark, d), jitter_min=0))
     return r.withColumn("anomaly_score", _r6("anomaly_score"))
 
 
@@ -567,30 +579,61 @@ def q_sharded(spark, d):
     return shard_numbers(s, ["timestamp", "session_id"], 40).select("session_id", "timestamp", "part")
 
 
-# ================================================================= upsert
-from ..sources import upsert as UP  # noqa: E402
+# ================================================================= rank and export
+@register("chart_export", "WITH " + _SQL_SCORES + """
+, a AS (SELECT session_id, CAST(ens_pct AS DOUBLE) AS anomaly_score FROM e),
+  t AS (SELECT quantile_cont(anomaly_score, 0.9) AS thr FROM a), n AS (SELECT count(*) AS n FROM a),
+  b AS (SELECT a.*, CAST(anomaly_score >= thr AS INTEGER) AS pred, row_number() OVER (ORDER BY anomaly_score DESC NULLS LAST, session_id) - 1 AS i FROM a, t),
+  c AS (SELECT session_id, anomaly_score, pred, 'host_' || lpad(CAST(i % 50 + 1 AS VARCHAR), 2, '0') AS host, ['hdfs', 'yarn', 'hbase'][i % 3 + 1] AS service,
+               make_timestamp(epoch_us(TIMESTAMP '2024-02-01 00:00:00') - CAST(365 AS BIGINT) * 86400000000 + i * CAST(floor(365 * 86400000000.0 / n) AS BIGINT)) AS ts FROM b, n)
+SELECT 'event' AS kind, ts + to_minutes(k * 15) AS timestamp, host, service, session_id, 0 AS label, pred, round(anomaly_score, 6) AS anomaly_score FROM c, range(0, 6) r(k)
+UNION ALL SELECT 'session', ts, host, service, session_id, 0, pred, round(anomaly_score, 6) FROM c
+UNION ALL SELECT 'gauge', NULL, host, service, NULL, NULL, NULL, round(max(anomaly_score), 6) FROM c GROUP BY host, service
+""")
+def q_chart_export(spark, d):
+    """Detector scores to ranks, then to the chart's events, sessions and gauge."""
+    from .ensemble import export_charts, rank_scores
+    r = rank_scores(detector_scores(spark, d), _SCORE_COLS).select("session_id", F.col("ens_pct").alias("anomaly_score"))
+    events, sessions, gauge = export_charts(r, CHART_END, services=("hdfs", "yarn", "hbase"), jitter_min=0)
+    score = _r6("anomaly_score").alias("anomaly_score")
+    cols = ["timestamp", "host", "service", "session_id", "label", "pred"]
+    none = lambda c, t: F.lit(None).cast(t).alias(c)
+    return (events.select(F.lit("event").alias("kind"), *cols, score)
+            .unionByName(sessions.select(F.lit("session").alias("kind"), F.col("start_time").alias("timestamp"), *cols[1:], score))
+            .unionByName(gauge.select(F.lit("gauge").alias("kind"), none("timestamp", dict(events.dtypes)["timestamp"]), "host", "service",
+                                      none("session_id", "string"), none("label", "int"), none("pred", "int"), score)))
 
 
-def session_slice(spark, d, lo: str | None, hi: str | None):
-    ev = events_lines(spark, d)
-    if lo:
-        ev = ev.where(F.col("timestamp") >= F.lit(lo).cast("timestamp_ntz"))
-    if hi:
-        ev = ev.where(F.col("timestamp") < F.lit(hi).cast("timestamp_ntz"))
-    return S.sessionize(ev).select("session_id", "timestamp", "timestamp_end", "n_events")
+# ================================================================= upsert
+from ..sources import upsert as UP  # noqa: E402
 
 
 @register("upsert", """
-WITH a AS (SELECT CAST(user_id AS VARCHAR) AS session_id, min(ts) AS timestamp, max(ts) AS timestamp_end,
-                  count(*) AS n_events FROM events WHERE ts < TIMESTAMP '2024-01-21' GROUP BY 1),
-     b AS (SELECT CAST(user_id AS VARCHAR) AS session_id, min(ts) AS timestamp, max(ts) AS timestamp_end,
-                  count(*) AS n_events FROM events WHERE ts >= TIMESTAMP '2024-01-16' GROUP BY 1)
+WITH q AS (SELECT quantile_cont(epoch_us(ts), 0.5) AS lo, quantile_cont(epoch_us(ts), 0.7) AS hi FROM events),
+     a AS (SELECT CAST(user_id AS VARCHAR) AS session_id, min(ts) AS timestamp, max(ts) AS timestamp_end,
+                  count(*) AS n_events FROM events, q WHERE epoch_us(ts) < hi GROUP BY 1),
+     b AS (SELECT CAST(user_id AS VARCHAR) AS session_id,
+                  CASE WHEN any_value(user_id) % 5 IN (0, 1) THEN NULL ELSE min(ts) END AS timestamp,
+                  max(ts) AS timestamp_end, CASE WHEN any_value(user_id) % 7 = 0 THEN NULL ELSE count(*) END AS n_events
+           FROM events, q WHERE epoch_us(ts) >= lo GROUP BY 1)
 SELECT * FROM a WHERE session_id NOT IN (SELECT session_id FROM b) UNION ALL SELECT * FROM b
 """)
 def q_upsert(spark, d):
-    target = session_slice(spark, d, None, "2024-01-21")
-    batch = session_slice(spark, d, "2024-01-16", None)
-    return UP.merge(target, batch, "session_id")
+    """Events up to their 0.7-quantile are the table, those from the median on the batch,
+    which holds text: '' and NaT times and counts that aren't numbers."""
+    from ..functions import epoch_micros
+    from ..operators.ordered import exact_quantiles
+    ev = events_lines(spark, d).withColumn("_us", epoch_micros(F.col("timestamp")))
+    cut = {r.prob: r.value for r in exact_quantiles(ev, "_us", [0.5, 0.7]).collect()}
+    cols = ["session_id", "timestamp", "timestamp_end", "n_events"]
+    target = S.sessionize(ev.where(F.col("_us") < cut[0.7])).select(*cols)
+    b = S.sessionize(ev.where(F.col("_us") >= cut[0.5])).select(*cols)
+    user = F.col("session_id").cast("long")
+    text = b.select("session_id", F.when(user % 5 == 0, "").when(user % 5 == 1, "NaT").otherwise(F.col("timestamp").cast("string")).alias("timestamp"),
+                    F.col("timestamp_end").cast("string").alias("timestamp_end"),
+                    F.when(user % 7 == 0, "many").otherwise(F.col("n_events").cast("string")).alias("n_events"))
+    kinds = {"session_id": "string", "timestamp": "timestamp_ntz", "timestamp_end": "timestamp_ntz", "n_events": "long"}
+    return UP.merge(target, UP.normalise_batch(text, kinds), "session_id")
 
 
 # ================================================================= TF-IDF (F2-F5 as F8)
@@ -624,7 +667,7 @@ def q_tfidf_terms(spark, d):
 WITH e AS (SELECT CAST(user_id AS VARCHAR) AS session_id, ts,
                   lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS prev FROM events
            WHERE user_id IS NOT NULL AND ts IS NOT NULL),
-  s AS (SELECT *, sum(CASE WHEN prev IS NULL OR epoch_us(ts) - epoch_us(prev) >= 21600000000 THEN 1 ELSE 0 END)
+  s AS (SELECT *, sum(CASE WHEN prev IS NULL OR epoch_us(ts) - epoch_us(prev) > 21600000000 THEN 1 ELSE 0 END)
                   OVER (PARTITION BY session_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS sid FROM e)
 SELECT session_id, min(ts) AS window_start, max(ts) + INTERVAL 6 HOUR AS window_end, count(*) AS n_events
 FROM s GROUP BY session_id, sid
@@ -643,10 +686,10 @@ def q_hourly_alerts(spark, d):
     ev = read_table(spark, d, "events")
     scored = ev.select(F.col("ts").alias("timestamp"), F.col("event_type").alias("service"),
                        (F.col("value") > ERROR_VALUE).cast("int").alias("is_alert"))
-    g = scored.groupBy(F.window("timestamp", "1 hour").alias("w"), "service") \
-        .agg(F.avg(F.col("is_alert").cast("double")).alias("alert_rate"), F.count(F.lit(1)).alias("n"))
-    return g.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"),
-                    F.col("w.end").cast("timestamp_ntz").alias("window_end"), "service",
+    from ..streaming.live import alert_rate_stream
+    g = alert_rate_stream(scored)  # a watermark has no effect on a batch
+    return g.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"),
+                    F.col("window_end").cast("timestamp_ntz").alias("window_end"), "service",
                     _r6("alert_rate").alias("alert_rate"), "n")
 
 
@@ -665,7 +708,8 @@ def embedding_features(spark, d):
                     array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("features"))
 
 
-# bounded settings for the registered checks (rounds and depth cap the number of jobs)
+# Smaller than the defaults, which are the source's: rounds, depth and widths that fit the driver's
+# small tables, so that a registered check ends in seconds.
 MODEL_QUERY = dict(svd_k=32, bottleneck=8, gbt_iter=10, gbt_depth=4, folds=5, min_val_rows=1000, min_val_pos=50)
 
 
@@ -760,9 +804,23 @@ _SQL_USER = """
 SELECT session_id, round(z_out, 6) AS z_out FROM zs
 """)
 def q_robust_z(spark, d):
-    u = user_channels(spark, d)
-    med, mad = AEN.robust_stats(u.where("label = 0"), "err_out")
-    return u.select("session_id", _r6((F.col("err_out") - F.lit(med)) / F.lit(AEN.MAD_SCALE * mad)).alias("z_out"))
+    return _user_detector(spark, d).select("session_id", _r6("z_out").alias("z_out"))
+
+
+class _Given:
+    """A reconstruction whose errors are given in ``err_out``; the code is the input itself."""
+
+    P = None
+
+    def reconstruct(self, df: DataFrame, x: str) -> DataFrame:
+        return df.withColumn("_code", F.col(x))
+
+
+def _user_detector(spark, d) -> DataFrame:
+    u = user_channels(spark, d).withColumn("_x", F.array("c0", "c1"))
+    benign = u.where("label = 0")
+    ae = AEN.LinearAE(_Given(), AEN.fit_standardiser(benign, "_x", eps=AEN.STD_EPS))
+    return AEN.calibrate(ae, benign, "_x").channels(u, "_x")
 
 
 @register("fused_threshold", "WITH " + _SQL_USER + """
@@ -778,21 +836,7 @@ SELECT session_id, round(z_out, 6) AS z_out, round(z_lat, 6) AS z_lat, round(z_a
 FROM g, t
 """)
 def q_fused_threshold(spark, d):
-    from ..operators.models import Standardiser
-    from ..operators.ordered import exact_quantiles
-    u = user_channels(spark, d).withColumn("_code", F.array("c0", "c1"))
-    med, mad = AEN.robust_stats(u.where("label = 0"), "err_out")
-    from ..operators.models import dimension_stats
-    st = {r.dim: (r.mean, r.std) for r in dimension_stats(u.where("label = 0"), "_code", AEN.STD_EPS).collect()}
-    sc = Standardiser(np.array([st[i][0] for i in range(2)]), np.array([st[i][1] for i in range(2)]))
-    z = sc.transform(u, "_code", "_zc") \
-        .withColumn("z_out", (F.col("err_out") - F.lit(med)) / F.lit(AEN.MAD_SCALE * mad)) \
-        .withColumn("z_lat", F.sqrt(F.aggregate("_zc", F.lit(0.0), lambda a, v: a + v * v))) \
-        .withColumn("z_ae", F.lit(AEN.ALPHA) * F.col("z_out") + F.lit(1 - AEN.ALPHA) * F.col("z_lat"))
-    thr = exact_quantiles(z.where("label = 0"), "z_ae", [AEN.THRESHOLD_Q]).select(F.col("value").alias("_thr"))
-    return z.crossJoin(F.broadcast(thr)).select(
-        "session_id", *[_r6(c).alias(c) for c in ("z_out", "z_lat", "z_ae")],
-        (F.col("z_ae") >= F.col("_thr")).cast("int").alias("is_alert"))
+    return _user_detector(spark, d).select("session_id", *[_r6(c).alias(c) for c in ("z_out", "z_lat", "z_ae")], F.col("ae_alert").alias("is_alert"))
 
 
 @register("benign_stats", """
@@ -807,6 +851,21 @@ def q_benign_stats(spark, d):
     return dimension_stats(e, "embedding").select("dim", _r6("mean").alias("mean"), _r6("std").alias("std"))
 
 
+# ================================================================= folds (L2)
+@register("stratified_folds", """
+WITH l AS (SELECT doc_id, toxic, row_number() OVER (PARTITION BY toxic ORDER BY quality, doc_id) - 1 AS r FROM labels),
+c AS (SELECT toxic, count(*) AS n, sum(count(*)) OVER (ORDER BY toxic) - count(*) AS start FROM labels GROUP BY toxic),
+f AS (SELECT toxic, start, n, k, len(range(CAST(start + ((k - start) % 5 + 5) % 5 AS BIGINT), CAST(start + n AS BIGINT), 5)) AS size FROM c, range(0, 5) x(k)),
+b AS (SELECT *, sum(size) OVER (PARTITION BY toxic ORDER BY k) AS upto FROM f)
+SELECT l.doc_id, min(k) AS fold FROM l JOIN b ON l.toxic = b.toxic AND l.r < b.upto GROUP BY l.doc_id
+""")
+def q_stratified_folds(spark, d):
+    """Fold of every labelled document; many rows share a value of the order column."""
+    from ..operators.models import stratified_folds
+    f = stratified_folds(read_table(spark, d, "labels"), "quality", "doc_id", "toxic")
+    return f.select("doc_id", F.col("fold").cast("long").alias("fold"))
+
+
 # ================================================================= exact line positions
 @register("parse_lines", "WITH " + _SQL_LINES + """
 , p AS (SELECT doc_id, line_no, line, row_number() OVER (ORDER BY doc_id, line_no) - 1 AS pos FROM l)
@@ -913,5 +972,5 @@ def q_tfidf_documents(spark, d):
     """F8 over the multilingual documents, one session per document, lines in order."""
     docs = read_table(spark, d, "documents").withColumn("session_id", F.col("doc_id").cast("string"))
     lines = lines_of(docs, "session_id", "text")
-    r = TF.relational_tfidf(lines, "session_id", "line_no", "line")
+    r = TF.relational_tfidf(lines, "session_id", "line_no", "line", n_docs=docs.select("session_id").distinct().count())
     return r.select("session_id", "term", _r6("weight").alias("weight"))

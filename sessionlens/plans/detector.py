@@ -10,20 +10,20 @@ in one plan (L14-L16) and yields the alert table (T10).
 from __future__ import annotations
 
 import json
-import os
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark import StorageLevel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import autoenc as AE
 from ..operators import evaluation as EV
 from ..operators import models as M
 from ..operators.split import apply_split, decide_cut
-from ..session import checkpoint_spread
+from ..session import stored
+from ..sources import storage as ST
 
 ALERT_COLUMNS = ["session_id", "timestamp", "p_score_iso", "z_ae", "fusion_score", "is_alert", "label"]
 
@@ -39,11 +39,11 @@ class Detectors:
 
     # ------------------------------------------------------------------ S11 save / load
     def save(self, path: str) -> None:
-        os.makedirs(path, exist_ok=True)
+        spark = SparkSession.active()
         for i, (m, iso) in enumerate(self.gbt.pairs):
-            m.write().overwrite().save(os.path.join(path, f"gbt_{i}"))
-            iso.write().overwrite().save(os.path.join(path, f"iso_{i}"))
-        self.stacker.model.write().overwrite().save(os.path.join(path, "stacker"))
+            m.write().overwrite().save(f"{path}/gbt_{i}")
+            iso.write().overwrite().save(f"{path}/iso_{i}")
+        self.stacker.model.write().overwrite().save(f"{path}/stacker")
         consts = {
             "n_pairs": len(self.gbt.pairs), "cut_us": self.cut_us,
             "svd_V": self.svd.V.tolist() if self.svd else None, "svd_evr": self.svd.evr if self.svd else None,
@@ -56,21 +56,20 @@ class Detectors:
             "ae_thr": self.ae.thr, "stacker_names": self.stacker.names, "stacker_thr": self.stacker.thr,
             "stacker_mean": self.stacker.scaler.mean.tolist(), "stacker_std": self.stacker.scaler.std.tolist(),
         }
-        with open(os.path.join(path, "constants.json"), "w") as f:
-            json.dump(consts, f)
+        ST.write_text(spark, f"{path}/constants.json", json.dumps(consts), overwrite=True)
 
     @staticmethod
     def load(path: str) -> Detectors:
         from pyspark.ml.classification import GBTClassificationModel, LogisticRegressionModel
         from pyspark.ml.regression import IsotonicRegressionModel
         req = ["constants.json", "stacker", "gbt_0", "iso_0"]
-        missing = [r for r in req if not os.path.exists(os.path.join(path, r))]
+        spark = SparkSession.active()
+        missing = [r for r in req if not ST.exists(spark, f"{path}/{r}")]
         if missing:
             raise FileNotFoundError(f"missing artifacts {missing} under {path}")
-        with open(os.path.join(path, "constants.json")) as f:
-            c = json.load(f)
-        pairs = [(GBTClassificationModel.load(os.path.join(path, f"gbt_{i}")),
-                  IsotonicRegressionModel.load(os.path.join(path, f"iso_{i}"))) for i in range(c["n_pairs"])]
+        c = json.loads(ST.read_text(spark, f"{path}/constants.json"))
+        pairs = [(GBTClassificationModel.load(f"{path}/gbt_{i}"),
+                  IsotonicRegressionModel.load(f"{path}/iso_{i}")) for i in range(c["n_pairs"])]
         svd = M.SVDModel(np.array(c["svd_V"]), c["svd_evr"]) if c["svd_V"] is not None else None
         if c.get("ae_kind", "linear") == "linear":
             recon = AE.LinearRecon(np.array(c["ae_P"]))
@@ -80,7 +79,7 @@ class Detectors:
         ae = AE.LinearAE(recon, M.Standardiser(np.array(c["ae_code_mean"]), np.array(c["ae_code_std"])),
                          c["ae_med"], c["ae_mad"], c["ae_thr"])
         st = M.Stacker(c["stacker_names"], M.Standardiser(np.array(c["stacker_mean"]), np.array(c["stacker_std"])),
-                       LogisticRegressionModel.load(os.path.join(path, "stacker")), c["stacker_thr"])
+                       LogisticRegressionModel.load(f"{path}/stacker"), c["stacker_thr"])
         return Detectors(M.CalibratedGBT(pairs), svd, M.Standardiser(np.array(c["scaler_mean"]),
                                                                        np.array(c["scaler_std"])), ae, st, c["cut_us"])
 
@@ -119,14 +118,15 @@ def train_detectors(feats: DataFrame, order: str = "timestamp", tiebreak: str =
     """Fit every detector; returns the artifacts and the validation alert table."""
     # lineage cut: the feature table is read by every fit below (reliable checkpoint,
     # so a lost executor re-reads it instead of recomputing the features)
-    feats = checkpoint_spread(feats)
+    feats = stored(feats, "features")
     dec = decide_cut(feats, order, "label", min_val_rows=min_val_rows, min_val_pos=min_val_pos)
     sp = apply_split(feats, dec.cut_us, order)
     train = sp.where(F.col("split") == "train")
     val = sp.where(F.col("split") == "val")
     gbt = M.fit_calibrated_gbt(train, order, tiebreak, "features", "label", folds, gbt_iter, gbt_depth)
-    benign_tr = M.benign_sample(train, tiebreak, "label", benign_cap)
-    svd = M.fit_svd(benign_tr, svd_k) if svd_k else None
+    benign_tr = train.where(F.col("label") == 0)
+    # the cap holds for the SVD fit only; scaler, autoencoder and code statistics read all benign rows
+    svd = M.fit_svd(M.benign_sample(train, tiebreak, "label", benign_cap), svd_k) if svd_k else None
     raw = svd.transform(benign_tr, "features", "_ae_raw") if svd else \
         benign_tr.withColumn("_ae_raw", vector_to_array(F.col("features")))
     scaler = M.fit_standardiser(raw, "_ae_raw")
@@ -146,7 +146,7 @@ def train_detectors(feats: DataFrame, order: str = "timestamp", tiebreak: str =
         best = EV.summary(fused, "fusion_score", "label").select("thr").collect()[0]["thr"]
         det.stacker.thr = float(best) if best is not None else 0.5
         out = fused.withColumn("is_alert", (F.col("fusion_score") >= F.lit(det.stacker.thr)).cast("int"))
-        out = alert_table(out).checkpoint(eager=True)
+        out = stored(alert_table(out), "alerts")
     finally:
         ch.unpersist()
     return det, out

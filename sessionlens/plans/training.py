@@ -16,7 +16,7 @@ from ..functions import first_present
 from ..operators import sessions as S
 from ..operators import tfidf as TF
 from ..operators.split import apply_split, decide_cut
-from ..session import checkpoint_spread
+from ..session import stored
 from .detector import Detectors, train_detectors
 
 SELECT_K = 4096   # columns kept for the detectors (bounds SVD and tree memory)
@@ -48,7 +48,7 @@ class LogModel:
 
 def train_from_logs(table: DataFrame, select_k: int = SELECT_K, **detector_kw) -> tuple[LogModel, DataFrame]:
     """Fit featurizer and selector on the training part only, then every detector."""
-    table = checkpoint_spread(table)
+    table = stored(table, "sessions")
     dec = decide_cut(table, "timestamp", "label", min_val_rows=detector_kw.get("min_val_rows", 1000),
                      min_val_pos=detector_kw.get("min_val_pos", 50))
     train = apply_split(table, dec.cut_us, "timestamp").where(F.col("split") == "train")
@@ -56,7 +56,7 @@ def train_from_logs(table: DataFrame, select_k: int = SELECT_K, **detector_kw) -
     feat = TF.fit_featurizer(train.withColumn("n_events", F.col("n_events").cast("double")), "doc")
     all_f = feat.transform(tab).withColumnRenamed("features", "_all").withColumn("_y", F.col("label").cast("double"))
     # featurised once: read by the selector fit and by every detector fit
-    all_f = checkpoint_spread(all_f)
+    all_f = stored(all_f, "features")
     tr_f = apply_split(all_f, dec.cut_us, "timestamp").where(F.col("split") == "train").drop("split")
     sel = UnivariateFeatureSelector(featuresCol="_all", outputCol="features", labelCol="_y",
                                     selectionMode="numTopFeatures").setFeatureType("continuous") \

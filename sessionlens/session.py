@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Defaults for a local run; on a cluster the submitter's spark-defaults win because
 # builder options only apply to a session that does not exist yet.
@@ -38,11 +39,10 @@ def get_spark(master: str | None = None, app: str = "sessionlens",
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the reliable checkpoint directory, creating a scratch one only when unset.
+    """The reliable checkpoint directory: ``spark.checkpoint.dir`` where it is set.
 
-    On a cluster ``spark.checkpoint.dir`` names shared storage and is used as given.
-    Only when nothing is configured (a laptop or a test) do we fall back to a fresh
-    directory under the system temp folder.
+    A local session without one gets a fresh directory under the system's temporary folder. On
+    a cluster that folder is another disk on every machine, so there it is an error.
     """
     sc = spark.sparkContext
     cur = sc.getCheckpointDir()
@@ -50,43 +50,33 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return cur
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         conf_dir = tempfile.mkdtemp(prefix="sessionlens-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path next to the checkpoint directory (shared storage on a cluster)."""
-    base = ensure_checkpoint_dir(spark)
-    return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
+    """A fresh path in the checkpoint directory, removed when the driver's JVM ends."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return path
 
 
-def spread(df, min_partitions: int | None = None):
-    """Round-robin ``df`` over at least the default parallelism when its source is
-    under-partitioned (e.g. one large row group); a no-op for a normally split scan.
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet into the checkpoint directory and read it back.
 
-    Used before CPU-heavy per-row work (regex masking, tokenising, model fitting). A plan
-    with a shuffle is returned unchanged; for a scan pipeline the partition count is read
-    from the plan, no job runs.
+    Cuts the lineage at a table that every executor can read again after a loss, and lets
+    several readers share one pass over what is above it.
     """
-    sc = df.sparkSession.sparkContext
-    target = min_partitions or sc.defaultParallelism
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    if "Exchange" in plan:
-        return df  # already shuffled: partitioned by the shuffle, nothing to spread
-    n = df.rdd.getNumPartitions()  # a scan pipeline: planning only, no job
-    return df.repartition(target) if n < target else df
-
-
-def checkpoint_spread(df):
-    """Reliable checkpoint, then, if the stored table has fewer partitions than the
-    default parallelism (AQE coalesces small shuffles, a single row group scans as one
-    task), one round-robin redistribution and a second checkpoint. Only small tables
-    end up under-partitioned, so the extra write is small; later fits and scans then use
-    every core."""
-    ensure_checkpoint_dir(df.sparkSession)
-    cp = df.checkpoint(eager=True)
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if cp.rdd.getNumPartitions() < target:
-        cp = cp.repartition(target).checkpoint(eager=True)
-    return cp
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small_side(df: DataFrame, max_rows: int = 500_000) -> DataFrame:
+    """``df``, a stored table, with a broadcast hint if it has ``max_rows`` rows at most; beyond
+    that the join shuffles, and adaptive execution splits its skewed partitions."""
+    return F.broadcast(df) if df.count() <= max_rows else df

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import glob as _glob
 import os
 from collections.abc import Sequence
 
@@ -10,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from . import storage as ST
 from ..functions import normalize_headers, split_lines
-from ..session import spread
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,9 +46,7 @@ def read_csv(spark: SparkSession, path: str | Sequence[str], schema: StructType
 
 def read_shards(spark: SparkSession, pattern: str, fmt: str = "csv", **kw) -> DataFrame:
     """Shard glob scan, one union; error when nothing matches."""
-    if not any(ch in pattern for ch in "*?[") and not os.path.exists(pattern):
-        raise FileNotFoundError(pattern)
-    if "://" not in pattern and not _glob.glob(pattern):
+    if not ST.matches(spark, pattern):
         raise FileNotFoundError(f"no shard matches {pattern}")
     if fmt == "csv":
         return read_csv(spark, pattern, **kw)
@@ -59,7 +56,7 @@ def read_shards(spark: SparkSession, pattern: str, fmt: str = "csv", **kw) -> Da
 def read_first_existing(spark: SparkSession, paths: Sequence[str], fmt: str = "parquet", **kw) -> DataFrame:
     """First path of an ordered list that exists, then one read."""
     for p in paths:
-        if "://" in p or os.path.exists(p) or _glob.glob(p):
+        if ST.matches(spark, p):
             if fmt == "csv":
                 return read_csv(spark, p, **kw)
             return spark.read.format(fmt).load(p)
@@ -70,4 +67,4 @@ def lines_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Text blobs -> (id, line_no, line): the line table a text reader would give."""
     lines = df.select(id_col, F.posexplode(split_lines(F.coalesce(F.col(text_col), F.lit("")))).alias("line_no", "line")) \
         .withColumn("line_no", F.col("line_no").cast("long"))
-    return spread(lines)
+    return lines

@@ -1,21 +1,28 @@
 """Keyed upsert (S13) with null-normalising casts (P20).
 
-The target is a directory of immutable snapshots ``v=NNNNNN`` plus a ``_LATEST``
-pointer. An upsert reads the latest snapshot, keeps the rows whose key is not in the
-batch (left anti join), appends the batch, writes a new snapshot and then moves the
-pointer: a failed job leaves the previous snapshot intact, and a re-run of the same
-batch gives the same table (idempotent).
+The target is a directory of hash buckets and a folder ``_versions`` of small manifests, each of
+which names the data of every bucket. An upsert reads the buckets that its batch touches, keeps
+the rows whose key is not in the batch (left anti join), appends the batch, writes these buckets
+to a new folder and then creates the next manifest. A failed job leaves the last version intact,
+a re-run of the same batch gives the same table (idempotent), a version is never written twice
+(of two writers, one fails), and the last few versions stay readable. All of it goes through the
+session's Hadoop FileSystem, so the target may lie on any storage that the executors share.
 """
-
 from __future__ import annotations
 
-import os
-from collections.abc import Mapping
+import json
+import uuid
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import null_normalised_timestamp
+from ..session import stored
+from . import storage as ST
+
+N_BUCKETS = 16
+KEEP_VERSIONS = 3
 
 ALERT_TYPES = {  # the alert table's column types
     "session_id": "string", "timestamp": "timestamp", "p_score_iso": "double", "z_ae": "double",
@@ -50,34 +57,56 @@ def merge(target: DataFrame | None, batch: DataFrame, key: str = "session_id") -
     return target.join(batch.select(key), key, "left_anti").unionByName(batch, allowMissingColumns=True)
 
 
-def _latest(path: str) -> str | None:
-    p = os.path.join(path, "_LATEST")
-    if not os.path.exists(p):
-        return None
-    with open(p) as f:
-        name = f.read().strip()
-    return os.path.join(path, name) if name else None
+def _versions(spark: SparkSession, path: str) -> list[str]:
+    return ST.matches(spark, f"{path}/_versions/v=*")
+
+
+def _manifest(spark: SparkSession, path: str) -> dict | None:
+    found = _versions(spark, path)
+    return json.loads(ST.read_text(spark, found[-1])) if found else None
+
+
+def _read(spark: SparkSession, path: str, parts: Iterable[str]) -> DataFrame:
+    return spark.read.option("mergeSchema", "true").parquet(*[f"{path}/{p}" for p in parts])
 
 
 def read_latest(spark: SparkSession, path: str) -> DataFrame | None:
-    snap = _latest(path)
-    return spark.read.parquet(snap) if snap else None
+    m = _manifest(spark, path)
+    return _read(spark, path, m["buckets"].values()) if m else None
 
 
 def upsert(spark: SparkSession, path: str, batch: DataFrame, key: str = "session_id",
-           types: Mapping[str, str] | None = None) -> str:
-    """Apply ``batch`` to the keyed table at ``path``; returns the new snapshot path."""
-    b = normalise_batch(batch, types) if types else batch
+           types: Mapping[str, str] | None = None, n_buckets: int = N_BUCKETS, keep: int = KEEP_VERSIONS) -> str:
+    """Apply ``batch`` to the keyed table at ``path``; returns the new version's manifest.
+
+    Only the buckets that the batch touches are read and written. ``n_buckets`` holds for a new
+    table; an existing one keeps its own.
+    """
+    b = stored(normalise_batch(batch, types) if types else batch, "upsert-batch")
     check_unique(b, key)
-    cur = read_latest(spark, path)
-    new = merge(cur, b, key)
-    prev = _latest(path)
-    version = int(os.path.basename(prev).split("=")[1]) + 1 if prev else 1
-    name = f"v={version:06d}"
-    new.write.mode("overwrite").parquet(os.path.join(path, name))
-    os.makedirs(path, exist_ok=True)
-    tmp = os.path.join(path, "_LATEST.tmp")
-    with open(tmp, "w") as f:
-        f.write(name)
-    os.replace(tmp, os.path.join(path, "_LATEST"))
-    return os.path.join(path, name)
+    m = _manifest(spark, path) or {"version": 0, "n_buckets": n_buckets, "buckets": {}}
+    bucket = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(m["n_buckets"])).cast("int")
+    touched = [str(r[0]) for r in b.select(bucket).distinct().collect()]  # n_buckets at most
+    old = [m["buckets"][k] for k in touched if k in m["buckets"]]
+    new = merge(_read(spark, path, old) if old else None, b, key)
+    part = f"data/{uuid.uuid4().hex}"
+    new.withColumn("bucket", bucket).write.partitionBy("bucket").parquet(f"{path}/{part}")
+    version = m["version"] + 1
+    name = f"{path}/_versions/v={version:08d}"
+    buckets = m["buckets"] | {k: f"{part}/bucket={k}" for k in touched}
+    # creating the file is the commit: a second writer of this version fails here
+    ST.write_text(spark, name, json.dumps({"version": version, "n_buckets": m["n_buckets"], "buckets": buckets}))
+    _expire(spark, path, keep)
+    return name
+
+
+def _expire(spark: SparkSession, path: str, keep: int) -> None:
+    """Drop all but the last ``keep`` versions, and the data that only they name."""
+    found = _versions(spark, path)
+    gone, left = found[:-keep], found[-keep:]
+    if not gone:
+        return
+    parts = lambda names: {p for n in names for p in json.loads(ST.read_text(spark, n))["buckets"].values()}
+    unused = parts(gone) - parts(left)
+    for p in [*gone, *[f"{path}/{x}" for x in unused]]:
+        ST.remove(spark, p)

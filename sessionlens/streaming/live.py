@@ -4,7 +4,7 @@ ST1 live gauge      max score per (host, service), update mode, upserted per bat
 ST2 parse stream    mask + key extraction on a text stream
 ST3 session stream  inactivity sessions per key with a watermark (session_window)
 ST4 alert rate      tumbling-window alert rate per service
-ST5 score stream    a saved PipelineModel applied to a stream, upserted per batch
+ST5 score stream    saved detectors applied to a stream, upserted per batch
 ST6 late / dupes    watermark drop and dropDuplicatesWithinWatermark
 
 Every builder takes a streaming DataFrame and returns one; ``start_*`` helpers wire
@@ -15,14 +15,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import extract_key, mask_line
 from ..functions.text import BLOCK_KEY_PATTERN
-from ..session import scratch_path
+from ..plans.detector import Detectors
 from ..sources import upsert as UP
 
 
@@ -65,13 +64,20 @@ def dedupe_stream(events: DataFrame, ts: str, id_cols: list[str], watermark: str
     return events.withWatermark(ts, watermark).dropDuplicatesWithinWatermark(id_cols)
 
 
-def score_stream(features: DataFrame, model: PipelineModel) -> DataFrame:
-    """ST5: the saved scoring PipelineModel applied to a stream."""
-    return model.transform(features)
+def score_stream(features: DataFrame, detectors: Detectors) -> DataFrame:
+    """ST5: the saved detectors applied to a stream of session feature rows."""
+    return detectors.score(features)
 
 
 def _ckpt(spark: SparkSession, name: str, checkpoint: str | None) -> str:
-    return checkpoint or scratch_path(spark, f"stream-{name}")
+    """Where a stream's progress is kept: the same place at each start, so that a restarted
+    stream goes on where it was."""
+    if checkpoint:
+        return checkpoint
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        raise ValueError("give a checkpoint path, or set spark.checkpoint.dir to a shared folder")
+    return f"{base.rstrip('/')}/stream-{name}"
 
 
 def start_upsert_stream(df: DataFrame, target: str, key: str, name: str, output_mode: str = "update",

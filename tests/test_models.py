@@ -71,12 +71,26 @@ def test_svd_matches_numpy(spark):
     assert np.allclose(np.abs(out), np.abs(X @ m.V), atol=1e-9)
 
 
-def test_benign_sample_paths_agree(spark, monkeypatch):
-    from sessionlens.operators import ordered as O
+def test_benign_sample(spark):
     rows = [(f"s{i:04d}", 0 if i % 4 else 1) for i in range(400)]
     df = spark.createDataFrame(rows, "session_id string, label int")
-    small = sorted(r.session_id for r in M.benign_sample(df, cap=50).collect())
-    monkeypatch.setattr(M, "is_small", lambda d: False)
-    big = sorted(r.session_id for r in M.benign_sample(df, cap=50).collect())
-    assert small == big and len(small) == 50
-    assert all(int(s[1:]) % 4 for s in small)
+    got = sorted(r.session_id for r in M.benign_sample(df, cap=50).collect())
+    h = df.where("label = 0").selectExpr("session_id", "xxhash64(session_id, 42) AS h").collect()
+    assert got == sorted(r.session_id for r in sorted(h, key=lambda r: (r.h, r.session_id))[:50])
+    assert M.benign_sample(df, cap=1000).count() == 300
+
+
+def test_the_cap_holds_for_the_svd_only(spark):
+    from pyspark.ml.linalg import Vectors
+    from sessionlens.plans.detector import train_detectors
+    r = np.random.default_rng(3)
+    x = r.normal(size=(400, 6))
+    x[::10] += 4
+    rows = [(f"s{i:03d}", i, int(i % 10 == 0), Vectors.dense(x[i])) for i in range(400)]
+    df = spark.createDataFrame(rows, ["session_id", "timestamp", "label", "features"])
+    det, _ = train_detectors(df, svd_k=None, bottleneck=2, gbt_iter=2, gbt_depth=2, folds=2, benign_cap=30, min_val_rows=1, min_val_pos=1)
+    benign = np.array([v for i, v in enumerate(x) if i % 10 and i < det.cut_us])
+    assert len(benign) > 200
+    assert np.allclose(det.scaler.mean, benign.mean(0)) and np.allclose(det.scaler.std, benign.std(0))
+    code = ((benign - benign.mean(0)) / benign.std(0)) @ det.ae.P
+    assert np.allclose(det.ae.code_stats.std, code.std(0), atol=1e-6)

@@ -67,9 +67,41 @@ def test_row_index_contiguous_and_ordered(spark):
 
 @pytest.mark.parametrize("buckets", [None, 3])
 def test_grouped_positions_equal_row_index(spark, buckets):
+    _same_positions(spark, [5, 1, 9, 3], "long", buckets)
+
+
+def test_grouped_positions_of_paths_and_large_ids(spark):
+    _same_positions(spark, ["/data/log/b", "/data/log/a", "/data/log/ab", "/data/log/"], "string", 3)
+    _same_positions(spark, [2 ** 60 + 1, 2 ** 60, 2 ** 60 + 3, 2 ** 60 + 2], "long", 3)
+
+
+def _same_positions(spark, groups, kind, buckets):
     from sessionlens.operators.ordered import grouped_positions
-    rows = [(g, i) for g in (5, 1, 9, 3) for i in range({5: 40, 1: 3, 9: 1, 3: 7}[g])]  # 5 is the hot group
-    df = spark.createDataFrame(rows, "g long, i long")
+    rows = [(g, i) for g, n in zip(groups, (40, 3, 1, 7)) for i in range(n)]  # the first is the hot group
+    df = spark.createDataFrame(rows, f"g {kind}, i long")
     a = {(r.g, r.i): r.pos for r in grouped_positions(df, "g", "i", n_buckets=buckets).collect()}
     b = {(r.g, r.i): r.pos for r in row_index(df, ["g", "i"], "pos", n_parts=4).collect()}
     assert a == b
+
+
+def test_null_order_values_come_first(spark):
+    df = spark.createDataFrame([(None, 1), (3, 2), (1, 4)], "v long, c long")
+    got = {r.v: r.cum_c for r in running_totals(df, "v", ["c"]).collect()}
+    assert got == {None: 1, 1: 5, 3: 7}
+
+
+def test_a_quantile_reads_its_input_once(spark, tmpdir_path):
+    path = f"{tmpdir_path}/in"
+    spark.range(1000).selectExpr("id * 1.0 AS x").write.parquet(path)
+    seen = spark.sparkContext.accumulator(0)
+    df = spark.read.parquet(path).mapInPandas(_counting(seen), "x double")
+    assert exact_quantiles(df, "x", [0.5]).collect()[0].value == 499.5
+    assert seen.value == 1000
+
+
+def _counting(seen):
+    def run(frames):
+        for f in frames:
+            seen.add(len(f))
+            yield f.astype(float)
+    return run

@@ -1,20 +1,26 @@
-"""Partitioning helpers: spread widens an under-partitioned scan and leaves shuffled
-plans alone; checkpoint_spread widens a coalesced table after the checkpoint."""
+"""The checkpoint directory, and tables stored in it."""
 
-from pyspark.sql import functions as F
+from types import SimpleNamespace
 
-from sessionlens.session import checkpoint_spread, spread
+import pytest
 
-from .conftest import SF_SMALL
+from sessionlens.session import ensure_checkpoint_dir, small_side, stored
 
 
-def test_spread_and_checkpoint_spread(spark):
-    target = spark.sparkContext.defaultParallelism
-    scan = spark.read.parquet(f"{SF_SMALL}/documents.parquet")      # one row group: one task
-    assert spread(scan).rdd.getNumPartitions() >= target
-    shuffled = scan.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    assert spread(shuffled) is shuffled
-    small = spark.range(0, 100).coalesce(1)
-    cp = checkpoint_spread(small)
-    assert cp.rdd.getNumPartitions() >= target
-    assert sorted(r.id for r in cp.collect()) == list(range(100))
+def test_stored_tables_are_read_back(spark):
+    df = spark.range(10).selectExpr("id", "id * 2 AS x")
+    back = stored(df, "t")
+    assert back.schema.simpleString() == df.schema.simpleString() and back.count() == 10
+    assert back.inputFiles()[0].replace("file://", "").startswith(ensure_checkpoint_dir(spark).replace("file:", ""))
+
+
+def test_broadcast_hint_follows_the_bound(spark):
+    plan = lambda n: spark.range(5).join(small_side(spark.range(10), n), "id")._jdf.queryExecution().analyzed().toString()
+    assert "strategy=broadcast" in plan(10) and "strategy=broadcast" not in plan(9)
+
+
+def test_a_cluster_needs_a_checkpoint_directory():
+    sc = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077")
+    conf = SimpleNamespace(get=lambda key, default: default)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        ensure_checkpoint_dir(SimpleNamespace(sparkContext=sc, conf=conf))

@@ -52,18 +52,44 @@ def test_line_terms_cross_lines_and_chunks(spark):
     assert terms(2) == exp
 
 
-def test_gap_sessions_chunk_invariance(spark):
+def test_gap_sessions(spark):
     t0 = dt.datetime(2024, 1, 1)
     offs = [0, 1, 2, 10, 11, 30, 31, 32, 33, 80]  # hours
     rows = [("u", t0 + dt.timedelta(hours=h)) for h in offs] + [("v", t0)]
     df = spark.createDataFrame(rows, "k string, ts timestamp")
     a = sorted((r.k, r.window_start, r.n_events) for r in S.gap_sessions(df, "k", "ts", 6 * 3600).collect())
-    b = sorted((r.k, r.window_start, r.n_events) for r in
-               S.gap_sessions(df, "k", "ts", 6 * 3600, chunk_seconds=3600).collect())
-    assert a == b
     assert [x[2] for x in a if x[0] == "u"] == [3, 2, 4, 1]
 
 
+def test_gap_sessions_with_equal_times(spark):
+    import random
+    r = random.Random(3)
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(f"u{i % 40}", t0 + dt.timedelta(minutes=r.choice([0, 1, 1, 7, 7, 30, 90, 91, 200]) + 300 * r.randint(0, 3))) for i in range(1200)]
+    got = {(g.k, g.window_start, g.n_events) for g in S.gap_sessions(spark.createDataFrame(rows, "k string, ts timestamp"), "k", "ts", 1800).collect()}
+    want, last = [], {}
+    for k, t in sorted(rows):
+        if k in last and (t - last[k][0]).total_seconds() <= 1800:
+            want[last[k][1]][2] += 1
+        else:
+            want.append([k, t, 1])
+            last[k] = (t, len(want) - 1)
+        last[k] = (t, last[k][1])
+    assert got == {tuple(w) for w in want}
+
+
+def test_spellings_of_a_key_are_one_session(spark):
+    s = spark.createDataFrame([("blk_1",)], "session_id string")
+    lines = spark.createDataFrame([("blk_1", 0, "a"), (" BLK_1 ", 1, "b")], "k string, pos long, t string")
+    (row,) = S.session_features(s, lines, "k", ["pos"], "t").collect()
+    assert (row.n_events, row.doc) == (2, "a b")
+
+
+def test_a_limit_on_duplicates_keeps_defined_rows(spark):
+    df = spark.createDataFrame([("a", i % 7) for i in range(50)], "session_id string, x int").repartition(5)
+    assert [r.x for r in S.duplicate_sessions(df, 10).collect()] == [0] * 8 + [1] * 2
+
+
 def test_profiles(spark):
     df = spark.createDataFrame([("a", "b1", 1), ("a", "b1", 0), ("c", "b2", 1)],
                                "session_id string, block_id string, label int")

@@ -3,6 +3,7 @@
 import os
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from sessionlens.operators import sessions as S
@@ -70,12 +71,36 @@ def test_gauge_upsert_stream(spark, tmpdir_path):
     target = os.path.join(tmpdir_path, "gauge")
     stream = spark.readStream.schema("host string, service string, anomaly_score double").parquet(src)
     q = L.start_upsert_stream(L.gauge_stream(stream), target, "host_service", "gauge_t",
-                              transform=lambda b: b.withColumn("host_service", F.concat_ws("/", "host", "service")))
+                              checkpoint=os.path.join(tmpdir_path, "ck"), transform=lambda b: b.withColumn("host_service", F.concat_ws("/", "host", "service")))
     q.awaitTermination()
     got = {r.host_service: r.anomaly_score for r in UP.read_latest(spark, target).collect()}
     assert got == {"h1/s": 0.7, "h2/s": 0.3}
 
 
+def test_a_restarted_stream_goes_on(spark, tmpdir_path):
+    src, seen = os.path.join(tmpdir_path, "r"), []
+    os.makedirs(src)
+    for i in range(2):
+        pd.DataFrame({"host": [f"h{i}"], "service": ["s"], "anomaly_score": [0.1]}).to_parquet(f"{src}/{i}.parquet", index=False)
+        stream = spark.readStream.schema("host string, service string, anomaly_score double").parquet(src)
+        q = L.start_upsert_stream(stream, f"file://{tmpdir_path}/rt", "host", "again", "append", os.path.join(tmpdir_path, "rck"),
+                                  transform=lambda b: seen.append(b.count()) or b)
+        q.awaitTermination()
+    assert sum(seen) == 2 and UP.read_latest(spark, f"file://{tmpdir_path}/rt").count() == 2
+    assert L._ckpt(spark, "x", None).endswith("/stream-x") if spark.conf.get("spark.checkpoint.dir", None) else pytest.raises(ValueError, L._ckpt, spark, "x", None)
+
+
+def test_late_rows_are_dropped(spark, tmpdir_path):
+    src = os.path.join(tmpdir_path, "late")
+    os.makedirs(src)
+    day = pd.Timestamp("2024-01-10")
+    for i, ts in enumerate([day, day + pd.Timedelta("2D"), day - pd.Timedelta("3D"), day + pd.Timedelta("2D")]):
+        pd.DataFrame({"id": [min(i, 1 if i == 3 else i)], "ts": [ts]}).to_parquet(f"{src}/{i}.parquet", index=False, coerce_timestamps="us")
+    stream = spark.readStream.schema("id long, ts timestamp").option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(src)
+    out = _run(L.dedupe_stream(stream, "ts", ["id"], "1 hour"), "late_rows")
+    assert sorted(r.id for r in out.collect()) == [0, 1]  # 2 is late, the second 1 a repeat
+
+
 def test_score_stream_upserts_alert_rows(spark, tmpdir_path):
     """ST5: saved detectors applied to a stream of feature rows, upserted per batch;
     the table equals batch scoring."""
@@ -95,8 +120,10 @@ def test_score_stream_upserts_alert_rows(spark, tmpdir_path):
                        (F.col("label") == 0).cast("int").alias("label"),
                        array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("features"))
     target = os.path.join(tmpdir_path, "alerts")
-    q = L.start_upsert_stream(fs, target, "session_id", "score_t", output_mode="append",
-                              transform=lambda b: det.score(b).drop("z_out", "z_lat"))
+    det.save(f"file://{tmpdir_path}/model")
+    det = type(det).load(f"file://{tmpdir_path}/model")
+    q = L.start_upsert_stream(L.score_stream(fs, det).drop("z_out", "z_lat"), target, "session_id", "score_t",
+                              output_mode="append", checkpoint=os.path.join(tmpdir_path, "ck"))
     q.awaitTermination()
     got = {r.session_id: r.fusion_score for r in UP.read_latest(spark, target).collect()}
     exp = {r.session_id: r.fusion_score for r in det.score(feats).collect()}

@@ -26,6 +26,26 @@ def test_upsert_insert_update_idempotent(spark, tmpdir_path):
     assert t["a"].timestamp == dt.datetime(2024, 1, 1)
 
 
+def test_a_uri_names_one_table_from_any_directory(spark, tmpdir_path, monkeypatch):
+    import os
+    uri = f"file://{tmpdir_path}/shared/table"
+    for d, rows in (("one", [("a", "", 0.1, 1.0, 0.2, 0, 0), ("b", "", 0.5, 2.0, 0.6, 1, 1)]), ("two", [("c", "", 0.0, 0.0, 0.0, 0, 0)])):
+        os.makedirs(f"{tmpdir_path}/{d}")
+        monkeypatch.chdir(f"{tmpdir_path}/{d}")
+        UP.upsert(spark, uri, _batch(spark, rows), "session_id", UP.ALERT_TYPES)
+    assert {r.session_id for r in UP.read_latest(spark, uri).collect()} == {"a", "b", "c"}
+
+
+def test_a_version_is_not_written_twice_and_old_ones_go(spark, tmpdir_path):
+    from sessionlens.sources import storage as ST
+    path = f"{tmpdir_path}/t"
+    for i in range(5):
+        name = UP.upsert(spark, path, _batch(spark, [(f"k{i}", "", 0.1, 1.0, 0.2, 0, i)]), "session_id", UP.ALERT_TYPES, keep=2)
+    assert len(ST.matches(spark, f"{path}/_versions/*")) == 2 and UP.read_latest(spark, path).count() == 5
+    with pytest.raises(Exception, match="(?i)exist"):
+        ST.write_text(spark, name, "{}")
+
+
 def test_upsert_rejects_duplicate_keys(spark, tmpdir_path):
     b = _batch(spark, [("a", "", 0.1, 1.0, 0.2, 0, 0), ("a", "", 0.2, 1.0, 0.2, 0, 0)])
     with pytest.raises(ValueError):
