@@ -8,7 +8,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionlens.session import scratch_path
+from sessionlens.session import small_side, stored
+
+__all__ = ["batches", "clashless", "small_side", "stored", "table", "text_size", "words"]
 
 #: One character of white space as the word rules name it: space, and tab to carriage return.
 SPACE = r"[\x20\x09-\x0D]"
@@ -18,29 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet under ``spark.checkpoint.dir`` and read it back.
-
-    Cuts the lineage at a table that every executor can read again after a loss. The
-    folder is removed when the driver's JVM ends.
-    """
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def small_side(df: DataFrame, max_rows: int) -> DataFrame:
-    """``df`` with a broadcast hint if it has ``max_rows`` rows at most, else as it is.
-
-    ``df`` should be a stored table, as its rows are counted. Beyond the bound the join
-    that uses it shuffles, and adaptive execution splits its skewed partitions.
-    """
-    return F.broadcast(df) if df.count() <= max_rows else df
-
-
 def words(text: Column) -> Column:
     """Array of the words ``[^\\x20\\x09-\\x0D]+`` of a text; null text has none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), lambda w: w != "")

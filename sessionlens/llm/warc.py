@@ -234,8 +234,6 @@ def op10_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written as WARC and read back."""
     path = scratch_path(spark, "warc")
     write_warc(table(spark, sf_dir, "pages"), path)
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
     return read_warc(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "verified")
 
 
