@@ -12,6 +12,8 @@ F-beta operating point     = max fb, first in ascending threshold order
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -112,13 +114,16 @@ def positive_weight(df: DataFrame, label: str = "label") -> DataFrame:
     return a.withColumn("pos_weight", F.greatest(F.lit(1.0), F.col("neg") / F.greatest(F.col("pos"), F.lit(1))))
 
 
-def metrics_record(df: DataFrame, score: str = "score", label: str = "label", beta: float = 1.5) -> DataFrame:
-    """M5: one row with ROC-AUC, AP, prevalence, AP gain, F1 at the F-beta threshold and
-    that threshold's precision and recall. The confusion counts at the threshold are a row of the
+def metrics_record(df: DataFrame, score: str = "score", label: str = "label", beta: float = 1.5,
+                   features_used: Sequence[str] = ()) -> DataFrame:
+    """M5: one row with ROC-AUC, AP, prevalence, AP gain, F1 at the F-beta threshold, that
+    threshold's precision and recall, the stacker's inputs and whether one was used. The confusion counts at the threshold are a row of the
     curve, plus the positives without a score."""
     g = threshold_counts(df, score, label)
     lost = g.agg(F.coalesce(F.sum("tp"), F.lit(0)).alias("_all"))
     s = _summary(curve(g), beta).crossJoin(F.broadcast(lost))  # one row each
     s = s.withColumn("_hit", F.coalesce("_tp", F.lit(0)))
     f1 = _div(2 * F.col("_hit"), F.col("_hit") + F.coalesce("_fp", F.lit(0)) + F.col("_all"))
-    return s.withColumn("f1", F.coalesce(f1, F.lit(0.0))).drop("_tp", "_fp", "_all", "_hit")
+    s = s.withColumn("features_used", F.array(*[F.lit(c) for c in features_used]).cast("array<string>"))
+    return s.withColumn("stacker_on", F.size("features_used") > 0).withColumn("f1", F.coalesce(f1, F.lit(0.0))) \
+        .drop("_tp", "_fp", "_all", "_hit")

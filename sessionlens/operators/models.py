@@ -14,14 +14,14 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import ArrayType, DoubleType
 
 from ..session import small_side
@@ -33,6 +33,7 @@ GBT_FEATURE_FRACTION = 0.8
 GBT_SEED = 42
 N_FOLDS = 5
 BENIGN_CAP = 120_000
+SVD_ITER = 5
 GBT_MAX_ITER = 4_000
 # ---- end of fixed values ----
 GBT_MAX_DEPTH = 6          # 64 leaves ~ depth 6
@@ -155,74 +156,101 @@ class SVDModel:
         return project(df, features, self.V, out)
 
 
+def vector_rows(vectors: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of ML vectors, sparse or dense, as (begin of each row, columns, values)."""
+    values = vectors.field("values")
+    sizes = values.value_lengths().fill_null(0).to_numpy()
+    begin = np.concatenate([[0], np.cumsum(sizes)])
+    dense = np.repeat(vectors.field("type").to_numpy() == 1, sizes)
+    cols = np.arange(begin[-1]) - np.repeat(begin[:-1], sizes)
+    cols[~dense] = vectors.field("indices").flatten().to_numpy()
+    return begin, cols, values.flatten().to_numpy()
+
+
+def times(rows: tuple[np.ndarray, np.ndarray, np.ndarray], m: np.ndarray) -> np.ndarray:
+    """Sparse rows times a matrix, some rows at a time so that the products stay small."""
+    begin, cols, values = rows
+    out = np.zeros((len(begin) - 1, m.shape[1]))
+    full = np.flatnonzero(np.diff(begin) > 0)
+    for part in np.array_split(full, max(1, (int(begin[-1]) * m.shape[1]) >> 23)):
+        if len(part):
+            lo, hi = begin[part[0]], begin[part[-1] + 1]
+            out[part] = np.add.reduceat(m[cols[lo:hi]] * values[lo:hi, None], begin[part] - lo)
+    return out
+
+
 def project(df: DataFrame, features: str, M: np.ndarray, out: str) -> DataFrame:
-    """Row vectors times a d x k matrix: one matrix product per Arrow batch (M is
-    broadcast; its size is bounded by the feature count times k)."""
-    Mb = df.sparkSession.sparkContext.broadcast(np.asarray(M, dtype=np.float64))
-
-    @pandas_udf(ArrayType(DoubleType()))
-    def mul(col: pd.Series) -> pd.Series:
-        mat = Mb.value
-        if len(col) == 0:
-            return pd.Series([], dtype=object)
-        X = np.stack([np.asarray(v, dtype=np.float64) for v in col])
-        return pd.Series(list(X @ mat))
-
-    return df.withColumn(out, mul(vector_to_array(F.col(features))))
-
-
-def gram_stats(df: DataFrame, features: str) -> tuple[int, np.ndarray, np.ndarray]:
-    """(n, column sums, X^T X) in one pass: each partition reduces its Arrow batches with
-    numpy, partial results are tree-summed (d x d per partition, d = feature count)."""
-    arr = df.select(vector_to_array(F.col(features)).alias("_x"))
-
-    def part(it):
-        n, sx, g = 0, None, None
-        for pdf in it:
-            if len(pdf) == 0:
-                continue
-            X = np.stack([np.asarray(v, dtype=np.float64) for v in pdf["_x"]])
-            if g is None:
-                sx, g = np.zeros(X.shape[1]), np.zeros((X.shape[1], X.shape[1]))
-            n += len(X)
-            sx += X.sum(0)
-            g += X.T @ X
+    """Row vectors times a d x k matrix, from the vectors' nonzero entries (M is broadcast;
+    its size is bounded by the feature count times k)."""
+    held = df.sparkSession.sparkContext.broadcast(np.asarray(M, dtype=np.float64))
+
+    @arrow_udf(ArrayType(DoubleType()))
+    def mul(vectors: pa.Array) -> pa.Array:
+        made = times(vector_rows(vectors), held.value)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(made) + 1, dtype=np.int32) * made.shape[1]), pa.array(made.ravel()))
+
+    return df.withColumn(out, mul(F.col(features)))
+
+
+def _pass(df: DataFrame, features: str, Q: np.ndarray) -> tuple[int, np.ndarray, float, np.ndarray]:
+    """(rows, column sums, sum of squares, X^T X Q) in one pass: a d x l sum per partition,
+    tree-summed. X stays sparse."""
+    held = df.sparkSession.sparkContext.broadcast(Q)
+
+    def part(batches):
+        q = held.value
+        n, sums, squares, z = 0, np.zeros(q.shape[0]), 0.0, np.zeros(q.shape)
+        for b in batches:
+            rows = vector_rows(b.column(0))
+            begin, cols, values = rows
+            y = times(rows, q)
+            row = np.repeat(np.arange(len(begin) - 1), np.diff(begin))
+            used, at = np.unique(cols, return_inverse=True)
+            for j in range(q.shape[1]):
+                z[used, j] += np.bincount(at, values * y[row, j], len(used))
+            n += len(begin) - 1
+            sums[used] += np.bincount(at, values, len(used))
+            squares += float(values @ values)
         if n:
-            yield pd.DataFrame({"n": [n], "sx": [sx.tolist()], "g": [g.ravel().tolist()]})
+            yield pa.RecordBatch.from_pydict({"n": [n], "squares": [squares], "sums": [sums.tobytes()], "z": [z.tobytes()]})
 
-    parts = arr.mapInPandas(part, "n long, sx array<double>, g array<double>")
+    parts = df.select(features).mapInArrow(part, "n long, squares double, sums binary, z binary")
 
     def seq(acc, r):
-        if acc is None:
-            return (r["n"], np.asarray(r["sx"]), np.asarray(r["g"]))
-        return (acc[0] + r["n"], acc[1] + np.asarray(r["sx"]), acc[2] + np.asarray(r["g"]))
+        return comb(acc, (r["n"], r["squares"], np.frombuffer(r["sums"]), np.frombuffer(r["z"])))
 
     def comb(a, b):
-        if a is None:
-            return b
-        if b is None:
-            return a
-        return (a[0] + b[0], a[1] + b[1], a[2] + b[2])
+        return b if a is None else a if b is None else tuple(x + y for x, y in zip(a, b, strict=True))
+
     res = parts.rdd.treeAggregate(None, seq, comb, depth=2)
     if res is None:
         raise ValueError("no rows to fit")
-    n, sx, g = res
-    d = sx.size
-    return int(n), sx, g.reshape(d, d)
+    return int(res[0]), res[2], float(res[1]), res[3].reshape(Q.shape)
 
 
-def fit_svd(benign: DataFrame, k: int, features: str = "features") -> SVDModel:
-    """Truncated SVD (uncentred): V = top-k eigenvectors of X^T X (the right singular
-    vectors of X). Explained variance ratio from the same pass:
-    sum_j var(X v_j) / sum var(X), var(X v) = v^T (G/n) v - (mu . v)^2."""
-    n, sx, G = gram_stats(benign, features)
-    vals, vecs = np.linalg.eigh(G)
+def fit_svd(benign: DataFrame, k: int, features: str = "features", n_iter: int = SVD_ITER, oversample: int = 10,
+            seed: int = GBT_SEED) -> SVDModel:
+    """Truncated SVD (uncentred) over all columns by a randomised range finder: each of
+    ``n_iter`` passes multiplies the sparse rows with a d x (k + oversample) basis and back. V is
+    the best basis of k columns within that range. Explained variance ratio from the last
+    pass: sum_j var(X v_j) / sum var(X), var(X v) = v^T (X^T X / n) v - (mu . v)^2."""
+    first = benign.select(features).first()
+    if first is None:
+        raise ValueError("no rows to fit")
+    d = first[0].size
+    width = min(d, k + oversample)
+    Q, _ = np.linalg.qr(np.random.default_rng(seed).normal(size=(d, width)))
+    for i in range(n_iter):
+        n, sx, squares, Z = _pass(benign, features, Q)
+        if i < n_iter - 1:
+            Q, _ = np.linalg.qr(Z)
+    G = Q.T @ Z                      # Q^T X^T X Q of the last basis
+    vals, vecs = np.linalg.eigh((G + G.T) / 2)
     order = np.argsort(vals)[::-1][:k]
-    V = vecs[:, order]
-    mu = sx / n
-    proj_var = np.einsum("ij,jk,ki->i", V.T, G / n, V) - (mu @ V) ** 2
-    tot = np.trace(G) / n - mu @ mu
-    return SVDModel(V, float(proj_var.sum() / tot) if tot > 0 else 0.0)
+    V, mu = Q @ vecs[:, order], sx / n
+    kept = (vals[order] / n - (mu @ V) ** 2).sum()
+    tot = squares / n - mu @ mu
+    return SVDModel(V, float(kept / tot) if tot > 0 else 0.0)
 
 
 @dataclass

@@ -891,20 +891,22 @@ def q_parse_lines(spark, d):
 SELECT round(roc_auc, 6) AS roc_auc, round(ap, 6) AS avg_precision, round(prev, 6) AS prevalence,
        round(ap / greatest(prev, 1e-12), 6) AS ap_gain,
        round(coalesce(2.0 * cm.tp / nullif(2 * cm.tp + cm.fp + cm.fn, 0), 0.0), 6) AS f1,
-       best.thr AS thr, round(best.precision, 6) AS precision, round(best.recall, 6) AS recall
+       best.thr AS thr, round(best.precision, 6) AS precision, round(best.recall, 6) AS recall,
+       'p_primary,z_out,z_lat' AS features_used, true AS stacker_on
 FROM auc, best, cm
 """)
 def q_metrics(spark, d):
     sc = doc_scores(spark, d)
-    return EV.metrics_record(sc).select(*[_r6(c).alias(c) if c != "thr" else F.col(c)
-                                          for c in ("roc_auc", "avg_precision", "prevalence", "ap_gain", "f1",
-                                                    "thr", "precision", "recall")])
+    m = EV.metrics_record(sc, features_used=("p_primary", "z_out", "z_lat"))
+    return m.select(*[_r6(c).alias(c) for c in ("roc_auc", "avg_precision", "prevalence", "ap_gain", "f1", "precision", "recall")],
+                    "thr", F.array_join("features_used", ",").alias("features_used"), "stacker_on")
 
 
 # ================================================================= E1/E2 on log text (F2-F7 + L*), rows only
 from ..plans import training as TR  # noqa: E402
 
-LOG_QUERY = dict(select_k=512, svd_k=16, bottleneck=4, gbt_iter=5, gbt_depth=3, folds=5)
+# smaller than the defaults, as MODEL_QUERY is; all columns are read
+LOG_QUERY = dict(svd_k=16, bottleneck=4, gbt_iter=5, gbt_depth=3, folds=5)
 
 
 def log_table(spark, d):

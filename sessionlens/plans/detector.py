@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark import StorageLevel
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +36,7 @@ class Detectors:
     ae: AE.LinearAE
     stacker: M.Stacker
     cut_us: float | None
+    tree_on_svd: bool = False
 
     # ------------------------------------------------------------------ S11 save / load
     def save(self, path: str) -> None:
@@ -45,7 +46,7 @@ class Detectors:
             iso.write().overwrite().save(f"{path}/iso_{i}")
         self.stacker.model.write().overwrite().save(f"{path}/stacker")
         consts = {
-            "n_pairs": len(self.gbt.pairs), "cut_us": self.cut_us,
+            "n_pairs": len(self.gbt.pairs), "cut_us": self.cut_us, "tree_on_svd": self.tree_on_svd,
             "svd_V": self.svd.V.tolist() if self.svd else None, "svd_evr": self.svd.evr if self.svd else None,
             "scaler_mean": self.scaler.mean.tolist(), "scaler_std": self.scaler.std.tolist(),
             "ae_kind": "linear" if self.ae.P is not None else "dense",
@@ -81,7 +82,8 @@ class Detectors:
         st = M.Stacker(c["stacker_names"], M.Standardiser(np.array(c["stacker_mean"]), np.array(c["stacker_std"])),
                        LogisticRegressionModel.load(f"{path}/stacker"), c["stacker_thr"])
         return Detectors(M.CalibratedGBT(pairs), svd, M.Standardiser(np.array(c["scaler_mean"]),
-                                                                       np.array(c["scaler_std"])), ae, st, c["cut_us"])
+                                                                       np.array(c["scaler_std"])), ae, st, c["cut_us"],
+                         c.get("tree_on_svd", False))
 
     # ------------------------------------------------------------------ channels
     def ae_input(self, df: DataFrame, features: str = "features") -> DataFrame:
@@ -90,7 +92,10 @@ class Detectors:
         return self.scaler.transform(d, "_ae_raw", "_ae_x").drop("_ae_raw")
 
     def channels(self, df: DataFrame, features: str = "features") -> DataFrame:
-        d = self.gbt.predict(df, "p_primary", features)
+        if self.tree_on_svd:
+            d = self.gbt.predict(with_svd(df, self.svd, features), "p_primary", "_tree_x").drop("_tree_x")
+        else:
+            d = self.gbt.predict(df, "p_primary", features)
         d = self.ae.channels(self.ae_input(d, features), "_ae_x").drop("_ae_x")
         return d
 
@@ -104,6 +109,11 @@ class Detectors:
         return alert_table(d)
 
 
+def with_svd(df: DataFrame, svd: M.SVDModel, features: str = "features", out: str = "_tree_x") -> DataFrame:
+    """The tree input: the SVD of all columns as a vector."""
+    return svd.transform(df, features, "_svd").withColumn(out, array_to_vector("_svd")).drop("_svd")
+
+
 def alert_table(d: DataFrame) -> DataFrame:
     """T10 projection (p_primary exported under its dashboard name)."""
     return d.select("session_id", "timestamp", F.col("p_primary").alias("p_score_iso"), "z_ae", "fusion_score",
@@ -114,8 +124,13 @@ def train_detectors(feats: DataFrame, order: str = "timestamp", tiebreak: str =
                     svd_k: int | None = None, bottleneck: int = AE.BOTTLENECK, gbt_iter: int = M.GBT_MAX_ITER,
                     gbt_depth: int = M.GBT_MAX_DEPTH, folds: int = M.N_FOLDS, benign_cap: int = M.BENIGN_CAP,
                     min_val_rows: int = 1000, min_val_pos: int = 50, ae_kind: str = "linear",
-                    ae_hidden: int | None = None, ae_epochs: int | None = None) -> tuple[Detectors, DataFrame]:
-    """Fit every detector; returns the artifacts and the validation alert table."""
+                    ae_hidden: int | None = None, ae_epochs: int | None = None,
+                    tree_on_svd: bool = False) -> tuple[Detectors, DataFrame]:
+    """Fit every detector; returns the artifacts and the validation alert table.
+
+    ``tree_on_svd``: the trees read the SVD of all columns instead of the columns. Boosted trees bin
+    every column of a row, so for a vocabulary they would hold rows as wide as it.
+    """
     # lineage cut: the feature table is read by every fit below (reliable checkpoint,
     # so a lost executor re-reads it instead of recomputing the features)
     feats = stored(feats, "features")
@@ -123,14 +138,17 @@ def train_detectors(feats: DataFrame, order: str = "timestamp", tiebreak: str =
     sp = apply_split(feats, dec.cut_us, order)
     train = sp.where(F.col("split") == "train")
     val = sp.where(F.col("split") == "val")
-    gbt = M.fit_calibrated_gbt(train, order, tiebreak, "features", "label", folds, gbt_iter, gbt_depth)
     benign_tr = train.where(F.col("label") == 0)
     # the cap holds for the SVD fit only; scaler, autoencoder and code statistics read all benign rows
     svd = M.fit_svd(M.benign_sample(train, tiebreak, "label", benign_cap), svd_k) if svd_k else None
+    if tree_on_svd and svd is None:
+        raise ValueError("tree_on_svd needs svd_k")
+    tree_in = stored(with_svd(train, svd).drop("features"), "tree-input") if tree_on_svd else train
+    gbt = M.fit_calibrated_gbt(tree_in, order, tiebreak, "_tree_x" if tree_on_svd else "features", "label", folds, gbt_iter, gbt_depth)
     raw = svd.transform(benign_tr, "features", "_ae_raw") if svd else \
         benign_tr.withColumn("_ae_raw", vector_to_array(F.col("features")))
     scaler = M.fit_standardiser(raw, "_ae_raw")
-    det = Detectors(gbt, svd, scaler, None, None, dec.cut_us)  # type: ignore[arg-type]
+    det = Detectors(gbt, svd, scaler, None, None, dec.cut_us, tree_on_svd)  # type: ignore[arg-type]
     x_tr = det.ae_input(benign_tr)
     if ae_kind == "dense":
         det.ae = AE.fit_dense_ae_detector(x_tr, "_ae_x", tiebreak, bottleneck, ae_hidden, ae_epochs)

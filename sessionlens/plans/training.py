@@ -1,5 +1,5 @@
 """E1 from raw session lines: sessions + ordered documents -> TF-IDF features fit on
-the training part -> bounded feature selection -> detectors; E2 scores new sessions
+the training part -> truncated SVD of all columns -> detectors; E2 scores new sessions
 with the same artifacts."""
 
 from __future__ import annotations
@@ -8,7 +8,6 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.feature import UnivariateFeatureSelector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +18,7 @@ from ..operators.split import apply_split, decide_cut
 from ..session import stored
 from .detector import Detectors, train_detectors
 
-SELECT_K = 4096   # columns kept for the detectors (bounds SVD and tree memory)
+SVD_K = 256   # fixed value of the source
 
 
 def session_table(sessions: DataFrame, lines: DataFrame, key: str, order: Sequence[str],
@@ -35,32 +34,23 @@ def session_table(sessions: DataFrame, lines: DataFrame, key: str, order: Sequen
 @dataclass
 class LogModel:
     featurizer: PipelineModel
-    selector: object
     detectors: Detectors
 
     def features(self, table: DataFrame) -> DataFrame:
-        d = self.featurizer.transform(table.withColumn("n_events", F.col("n_events").cast("double")))
-        return self.selector.transform(d.withColumnRenamed("features", "_all")).drop("_all")
+        return self.featurizer.transform(table.withColumn("n_events", F.col("n_events").cast("double")))
 
     def score(self, table: DataFrame) -> DataFrame:
         return self.detectors.score(self.features(table))
 
 
-def train_from_logs(table: DataFrame, select_k: int = SELECT_K, **detector_kw) -> tuple[LogModel, DataFrame]:
-    """Fit featurizer and selector on the training part only, then every detector."""
+def train_from_logs(table: DataFrame, svd_k: int = SVD_K, **detector_kw) -> tuple[LogModel, DataFrame]:
+    """Fit the featurizer on the training part only, then every detector on all of its columns: the
+    SVD reads them sparse, and trees and autoencoder read the SVD."""
     table = stored(table, "sessions")
     dec = decide_cut(table, "timestamp", "label", min_val_rows=detector_kw.get("min_val_rows", 1000),
                      min_val_pos=detector_kw.get("min_val_pos", 50))
     train = apply_split(table, dec.cut_us, "timestamp").where(F.col("split") == "train")
-    tab = table.withColumn("n_events", F.col("n_events").cast("double"))
     feat = TF.fit_featurizer(train.withColumn("n_events", F.col("n_events").cast("double")), "doc")
-    all_f = feat.transform(tab).withColumnRenamed("features", "_all").withColumn("_y", F.col("label").cast("double"))
-    # featurised once: read by the selector fit and by every detector fit
-    all_f = stored(all_f, "features")
-    tr_f = apply_split(all_f, dec.cut_us, "timestamp").where(F.col("split") == "train").drop("split")
-    sel = UnivariateFeatureSelector(featuresCol="_all", outputCol="features", labelCol="_y",
-                                    selectionMode="numTopFeatures").setFeatureType("continuous") \
-        .setLabelType("categorical").setSelectionThreshold(select_k).fit(tr_f)
-    feats = sel.transform(all_f).drop("_all", "_y")  # checkpointed inside train_detectors
-    det, val = train_detectors(feats, "timestamp", "session_id", **detector_kw)
-    return LogModel(feat, sel, det), val
+    feats = feat.transform(table.withColumn("n_events", F.col("n_events").cast("double")))  # stored inside train_detectors
+    det, val = train_detectors(feats.drop("doc"), "timestamp", "session_id", svd_k=svd_k, tree_on_svd=True, **detector_kw)
+    return LogModel(feat, det), val
