@@ -12,6 +12,7 @@ temporal split and shard numbering:
                      hot value is one row and cannot overload a bucket.
 ``exact_quantiles``  linear-interpolation quantiles (pandas/numpy default) located by
                      prefix counts instead of buffering every value in one task.
+``file_positions``   0-based line numbers over files, from one count per file block.
 ``row_index``        0-based global row number in a total order: range partition, sort,
                      stored rows, per-partition counts as offsets.
 
@@ -198,6 +199,20 @@ def average_rank_pct(df: DataFrame, cols: Sequence[str], prefix: str = "p_",
     return out
 
 
+def file_positions(lines: DataFrame, name: str = "pos", n_buckets: int | None = None) -> DataFrame:
+    """0-based position of every line in (file, block, line) order, for a table that
+    ``read_text_lines`` gives: a prefix sum over one count per file block, and the place
+    within the block. The text is neither sorted nor copied."""
+    block = ["file_path", "block_start"]
+    per = lines.groupBy(*block).agg(F.count(F.lit(1)).alias("_n"), F.min("row_in_split").alias("_first"))
+    # paths and block starts in one string that orders as the pair does
+    per = per.withColumn("_key", F.concat("file_path", F.lit("\x00"), F.lpad(F.col("block_start").cast("string"), 20, "0")))
+    offs = stored(running_totals(per, "_key", ["_n"], n_buckets=n_buckets)
+                  .select(*block, "_first", (F.col("cum__n") - F.col("_n")).alias("_off")), "blocks")
+    return lines.join(small_side(offs), block) \
+        .withColumn(name, F.col("_off") + F.col("row_in_split") - F.col("_first")).drop("_off", "_first")
+
+
 def grouped_positions(df: DataFrame, group_col: str, within_col: str, name: str = "pos",
                       n_buckets: int | None = None) -> DataFrame:
     """0-based global position in (group, within) order when ``within`` is already a

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import extract_key, mask_line
 from ..functions.text import BLOCK_KEY_PATTERN
-from .ordered import grouped_positions, row_index
+from .ordered import file_positions, grouped_positions, row_index
 
 # fixed value: the timestamp prefix of the source log format
 LOG_TS_PATTERN = r"^\s*(\d{6} \d{6})"
@@ -23,13 +23,17 @@ def parse_log(lines: DataFrame, text_col: str, order: Sequence, pattern: str = B
     """(session_id, log_key, pos[, timestamp]) for every line carrying a key.
 
     ``order`` gives the input order (e.g. file path and offset, or document id and line
-    number); ``pos`` counts every input line, so dropped lines leave gaps. With
+    number; empty for a table of ``read_text_lines``, whose lines go by file and place in it);
+    ``pos`` counts every input line, so dropped lines leave gaps. With
     ``dense_within`` the second order column is a dense 0-based index inside the first
     (line numbers of a document) and positions come from per-group counts. With
     ``mask_first`` the key is searched in the masked line, as the source did (negative
     block ids are then lost); by default it is searched in the lower-cased raw line.
     """
-    if dense_within and len(order) == 2:
+    if not order:
+        # text files: one count per file block, no sort of the text
+        d = file_positions(lines)
+    elif dense_within and len(order) == 2:
         # (group, dense index inside the group): prefix sum over groups, no global sort
         d = grouped_positions(lines, order[0], order[1], "pos")
     else:

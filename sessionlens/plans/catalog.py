@@ -878,6 +878,20 @@ def q_parse_lines(spark, d):
     return parse_log(lines, "line", ["doc_id", "line_no"], EMAIL_KEY, with_timestamp=False, dense_within=True)
 
 
+@register("text_round_trip", ORACLE["parse_lines"])
+def q_text_round_trip(spark, d):
+    """The lines of all documents as text shards in (document, line) order (S7), read back by their
+    glob (S4, S1), with positions over the files (P4), masked and keyed (P1-P3)."""
+    from ..operators.parse import parse_log
+    from ..session import scratch_path
+    from ..sources.readers import read_shards
+    from ..sources.sinks import write_sharded
+    lines = lines_of(read_table(spark, d, "documents"), "doc_id", "text")
+    path = scratch_path(spark, "text-shards")
+    write_sharded(lines.repartitionByRange("doc_id", "line_no").sortWithinPartitions("doc_id", "line_no").select(F.col("line").alias("value")), path, "text")
+    return parse_log(read_shards(spark, f"{path}/part-*", "text"), "value", [], EMAIL_KEY, with_timestamp=False)
+
+
 # ================================================================= metrics record (M5)
 @register("metrics", "WITH " + _SQL_CURVE + """
 , best AS (SELECT thr, precision, recall FROM fb ORDER BY fbeta DESC, thr ASC LIMIT 1)

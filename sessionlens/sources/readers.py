@@ -50,6 +50,8 @@ def read_shards(spark: SparkSession, pattern: str, fmt: str = "csv", **kw) -> Da
         raise FileNotFoundError(f"no shard matches {pattern}")
     if fmt == "csv":
         return read_csv(spark, pattern, **kw)
+    if fmt == "text":
+        return read_text_lines(spark, pattern, **kw)
     return spark.read.format(fmt).load(pattern)
 
 

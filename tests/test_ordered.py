@@ -105,3 +105,24 @@ def _counting(seen):
             seen.add(len(f))
             yield f.astype(float)
     return run
+
+
+def test_positions_over_text_files(spark, tmpdir_path):
+    from sessionlens.operators.ordered import file_positions
+    from sessionlens.sources.readers import read_text_lines
+    import os
+    os.makedirs(f"{tmpdir_path}/logs")
+    want = []
+    for f, n in (("b", 500), ("a", 3), ("a1", 1), ("c", 0)):
+        with open(f"{tmpdir_path}/logs/{f}.log", "w") as out:
+            out.writelines(f"{f} {i} {'x' * 50}\n" for i in range(n))
+    for f in ("a", "a1", "b"):
+        want += open(f"{tmpdir_path}/logs/{f}.log").read().splitlines()
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        lines = read_text_lines(spark, f"{tmpdir_path}/logs/*.log")
+        assert lines.rdd.getNumPartitions() > 4
+        got = {r.pos: r.value for r in file_positions(lines, n_buckets=3).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [got[i] for i in range(len(want))] == want
