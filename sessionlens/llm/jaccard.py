@@ -39,6 +39,8 @@ DEPTH = 6
 TARGET_RECALL = 0.9999
 #: Members of a node that are compared with each other in one task; larger nodes are cut.
 BLOCK = 512
+#: Members of a task's unit up to which pairs are taken by distance, with other units at once.
+SMALL_UNIT = 32
 #: Share of equal MinHash values under which a pair isn't verified: over 6 standard
 #: deviations under what a pair of the wanted similarity shows.
 LEAST_EQUAL = 0.52
@@ -119,24 +121,39 @@ def _pairs(f: pd.DataFrame, trees: int, width: int) -> tuple[np.ndarray, np.ndar
     common tree is the unit's, and whose signatures agree enough."""
     unit = (f[["node", "i", "j"]].diff().ne(0).any(axis=1)).cumsum().to_numpy()
     sig = np.frombuffer(b"".join(f.sig), np.uint32).reshape(len(f), trees, width)
+    prefix = np.zeros(sig.shape[:2], np.uint64)  # one number for a prefix
+    for k in range(width):
+        prefix = mix(prefix ^ sig[:, :, k])
     b, cross, tree = f.b.to_numpy(), (f.i != f.j).to_numpy(), f.tree.to_numpy()
-    left, right = [], []
-    at, k = np.arange(len(f)), 1
-    while True:
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+
+    def close(x: np.ndarray, y: np.ndarray) -> None:
+        for p, q in zip(np.array_split(x, 1 + len(x) // 20_000), np.array_split(y, 1 + len(x) // 20_000), strict=True):
+            ok = (sig[p] == sig[q]).sum(axis=(1, 2)) >= LEAST_EQUAL * trees * width
+            left.append(p[ok])
+            right.append(q[ok])
+
+    size = np.bincount(unit)[unit]
+    at, k = np.flatnonzero(size <= SMALL_UNIT), 1  # small units all at once, by the distance of rows
+    while len(at):
         at = at[at + k < len(f)]
         at = at[unit[at] == unit[at + k]]
-        if not len(at):
-            break
         x = at[~cross[at] | (b[at] != b[at + k])]
-        for part in np.array_split(x, max(1, len(x) // 20_000)):
-            same = sig[part] == sig[part + k]
-            whole = same.all(axis=2)
-            part = part[(whole.argmax(axis=1) == tree[part]) & whole.any(axis=1) & (same.mean(axis=(1, 2)) >= LEAST_EQUAL)]
-            left.append(part)
-            right.append(part + k)
+        same = prefix[x] == prefix[x + k]
+        x = x[same.any(axis=1) & (same.argmax(axis=1) == tree[x])]
+        close(x, x + k)
         k += 1
-    none = np.zeros(0, np.int64)
-    return (np.concatenate(left) if left else none), (np.concatenate(right) if right else none), unit
+    for u in np.unique(unit[size > SMALL_UNIT]):  # large ones by matrices of their rows
+        rows = np.flatnonzero(unit == u)
+        own = prefix[rows]
+        new = np.triu(np.ones((len(rows), len(rows)), bool), 1)
+        if cross[rows[0]]:
+            new &= b[rows][:, None] != b[rows]
+        for t in range(tree[rows[0]]):
+            new &= own[:, t][:, None] != own[:, t]
+        x, y = np.nonzero(new)
+        close(rows[x], rows[y])
+    return np.concatenate(left), np.concatenate(right), unit
 
 
 def _shared(sets: list[np.ndarray]) -> np.ndarray:

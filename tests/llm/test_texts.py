@@ -175,6 +175,33 @@ def test_join_equals_brute_force(spark, monkeypatch, block):
     assert kept == sorted(i for i, (c, _) in brute_classes(docs).items() if c == i)
 
 
+def test_pairs_of_small_and_large_units_agree(monkeypatch):
+    r = np.random.default_rng(8)
+    rows = []
+    for node in range(12):
+        tree, cross = int(r.integers(0, 4)), bool(node % 3 == 0)
+        shared = r.integers(0, 3, (4, 2))
+        for rep in range(int(r.integers(1, 30))):
+            sig = np.where(r.random((4, 2)) < 0.8, shared, r.integers(0, 3, (4, 2))).astype(np.uint32)
+            sig[tree] = shared[tree]
+            rows.append((node, 0, int(cross), tree, int(r.integers(0, 2)) if cross else 0, rep, sig.tobytes()))
+    f = jaccard.pd.DataFrame(rows, columns=["node", "i", "j", "tree", "b", "rep", "sig"])
+    got = []
+    for small in (1, 1000):
+        monkeypatch.setattr(jaccard, "SMALL_UNIT", small)
+        x, y, _ = jaccard._pairs(f, 4, 2)
+        got.append(sorted(zip(x.tolist(), y.tolist(), strict=True)))
+    want = []
+    for i in range(len(f)):
+        for j in range(i + 1, len(f)):
+            a, b = rows[i], rows[j]
+            if a[:3] == b[:3] and (a[1] == a[2] or a[4] != b[4]):
+                s, t = (np.frombuffer(v[6], np.uint32).reshape(4, 2) for v in (a, b))
+                if int((s == t).all(axis=1).argmax()) == a[3] and (s == t).sum() >= jaccard.LEAST_EQUAL * 8:
+                    want.append((i, j))
+    assert got[0] == got[1] == want
+
+
 def test_prefix_reaches_the_recall():
     d = jaccard.prefix_length()
     assert 1 - (1 - 0.8 ** d) ** jaccard.TREES >= jaccard.TARGET_RECALL > 1 - (1 - 0.8 ** (d + 1)) ** jaccard.TREES
