@@ -71,6 +71,20 @@ def test_svd_matches_numpy(spark):
     assert np.allclose(np.abs(out), np.abs(X @ m.V), atol=1e-9)
 
 
+def test_svd_of_sparse_and_dense_rows(spark):
+    from pyspark.ml.linalg import Vectors
+    rng = np.random.default_rng(6)
+    X = rng.normal(size=(80, 30)) * (rng.random((80, 30)) < 0.2) @ np.diag(np.linspace(3, 0.1, 30))
+    X[7] = 0
+    rows = [(i, Vectors.dense(r.tolist()) if i % 3 == 0 else Vectors.sparse(30, np.flatnonzero(r).tolist(), r[r != 0].tolist())) for i, r in enumerate(X)]
+    df = spark.createDataFrame(rows, ["i", "features"]).repartition(3)
+    m = M.fit_svd(df, 4, n_iter=12, oversample=8)
+    _, sv, _ = np.linalg.svd(X, full_matrices=False)
+    assert np.allclose(np.linalg.norm(X @ m.V, axis=0), sv[:4], rtol=1e-3)
+    out = np.array([r.svd for r in m.transform(df, "features", "svd").orderBy("i").collect()])
+    assert np.allclose(out, X @ m.V, atol=1e-9)
+
+
 def test_benign_sample(spark):
     rows = [(f"s{i:04d}", 0 if i % 4 else 1) for i in range(400)]
     df = spark.createDataFrame(rows, "session_id string, label int")
