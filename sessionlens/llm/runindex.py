@@ -36,15 +36,17 @@ def _sliding(x: np.ndarray, width: int, op: np.ufunc, fill) -> np.ndarray:
     return op(behind[:n], ahead[width - 1:width - 1 + n])
 
 
-def anchors(data: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions in ``data`` and hashes of the anchors of the texts that end at ``ends``.
+def anchors(data: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors of the texts that end at ``ends``: positions in ``data``, hashes, and the windows that
+    each stands for: those that start hi to lo bytes before it.
 
-    An anchor is a run of ``gram`` bytes whose hash is the least in some window of ``length`` bytes.
-    A window determines its anchors, so equal windows have equal anchors at equal places.
+    The anchor of a window of ``length`` bytes is its first run of ``gram`` bytes with the least hash.
+    A window determines its anchor, so equal windows have equal anchors at equal places.
     """
     n = len(data)
-    if n < gram:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    none = np.zeros(0, np.int64)
+    if n < length:
+        return none, none.astype(np.uint64), none, none
     size = 1 << max(16, int(n).bit_length())
     power, inverse = _powers(size)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:n])])
@@ -52,19 +54,33 @@ def anchors(data: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tuple
     h[:n - gram + 1] = mix((sums[gram:] - sums[:-gram]) * inverse[:n - gram + 1])
     end = np.repeat(ends, np.diff(ends, prepend=0))
     at = np.arange(n)
-    whole = at + gram <= end
-    h[~whole] = _TOP
+    h[at + gram > end] = _TOP
     width = length - gram + 1
     least = _sliding(h, width, np.minimum, _TOP)
-    least[at + length > end] = 0
+    least[at + length > end] = 0  # no window begins here
     # a gram is an anchor if the largest of the minima of the windows that hold it is its own
     top = _sliding(least[::-1], width, np.maximum, 0)[::-1]
-    found = np.flatnonzero(whole & (top == h))
-    return found, h[found]
+    pos = np.flatnonzero((top == h) & (h < _TOP))
+    # windows of one minimum follow each other; grams of equal hash share their run from left to right
+    turn = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
+    last = np.append(turn[1:], n) - 1
+    values, rank = np.unique(least[turn], return_inverse=True)
+    order = np.lexsort((turn, rank))
+    own = np.searchsorted(values, h[pos])
+    run = order[np.searchsorted(rank[order] * n + turn[order], own * n + pos, side="right") - 1]
+    by_run = np.lexsort((pos, run))
+    before = np.full(len(pos), -1)
+    tied = run[by_run][1:] == run[by_run][:-1]
+    before[by_run[1:][tied]] = pos[by_run[:-1][tied]]
+    first_window = np.maximum(np.maximum(turn[run], before + 1), pos - width + 1)
+    last_window = np.minimum(last[run], pos)
+    some = first_window <= last_window
+    return pos[some], h[pos[some]], (pos - last_window)[some], (pos - first_window)[some]
 
 
 def aligned(segments: list[bytes], left: np.ndarray, centre: int, width: int) -> np.ndarray:
-    """A row for each segment, its anchor at column ``centre``: byte + 1, or 0 where it has none."""
+    """A row for each segment, with ``left`` bytes before its anchor at column ``centre``: byte + 1, or 0
+    where it has none."""
     sizes = np.array([len(s) for s in segments])
     flat = np.frombuffer(b"".join(segments), np.uint8)
     out = np.zeros(len(segments) * width, np.uint8)
@@ -111,6 +127,14 @@ def repeated_starts(group: np.ndarray, rows: np.ndarray, centre: int, lo: int, h
     return out
 
 
+def common_prefix(texts: list[str]) -> np.ndarray:
+    """Length of what each text has in common with the one before it; 0 for the first."""
+    table = np.array([t.encode() for t in texts])
+    table = table.view(np.uint8).reshape(len(texts), -1)
+    same = (table[1:] == table[:-1]) & (table[1:] > 0)
+    return np.concatenate([[0], np.where(same.all(axis=1), same.shape[1], same.argmin(axis=1))]) if len(texts) else np.zeros(0, np.int64)
+
+
 def _left(byte: np.ndarray, order: np.ndarray, g: np.ndarray, match: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order and matches after the step to the left, from the bytes that precede the suffixes."""
     first = np.concatenate([[True], g[1:] != g[:-1]])

@@ -89,7 +89,7 @@ def repeat_corpus():
     return docs
 
 
-@pytest.mark.parametrize("bucket_rows", [repeats.BUCKET_ROWS, 3])
+@pytest.mark.parametrize("bucket_rows", [repeats.BUCKET_ROWS, 3, 0])
 def test_repeats_equal_brute_force(spark, bucket_rows):
     docs = repeat_corpus()
     df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
@@ -99,16 +99,26 @@ def test_repeats_equal_brute_force(spark, bucket_rows):
     assert [got[i] for i in range(len(docs))] == want
 
 
-def test_repeats_of_long_texts_are_found_across_pieces(spark, monkeypatch):
-    monkeypatch.setattr(repeats, "BATCH_BYTES", 700)
-    data = np.frombuffer(prose(1, 900).encode(), np.uint8)
-    at, h = runindex.anchors(data, np.array([len(data)]), 200, 50)
-    run, _ = repeats._anchor_rows(200, 50)
+@pytest.mark.parametrize("text", [prose(1, 900), "ab" * 700, "x" * 900, prose(2, 30) * 8, "abc" * 66 + prose(3, 90) + "abc" * 99])
+def test_each_window_has_one_anchor(text, monkeypatch):
     import pyarrow as pa
+
+    data, length, gram = np.frombuffer(text.encode(), np.uint8), 200, 50
+    pos, h, lo, hi = runindex.anchors(data, np.array([len(data)]), length, gram)
+    windows = sorted(p - a for p, x, y in zip(pos, lo, hi, strict=True) for a in range(x, y + 1))
+    assert windows == list(range(len(data) - length + 1)) and (hi <= length - gram).all()
+    anchor = {w: (g, p - w) for p, g, x, y in zip(pos, h, lo, hi, strict=True) for w in range(p - y, p - x + 1)}
+    by_text = {}
+    for w in windows:
+        assert by_text.setdefault(text[w:w + length], anchor[w]) == anchor[w]
+    # a long text is cut into pieces, with the same windows
+    monkeypatch.setattr(repeats, "BATCH_BYTES", 700)
+    run, _ = repeats._anchor_rows(length, gram)
     batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([2]), pa.array([data.tobytes()], pa.binary())], names=["t1", "t2", "b"])
-    parts = [p.to_pandas() for p in run(iter([batch]))]
-    pos = [x for p in parts for x in p.pos]
-    assert sorted(pos) == at.tolist()
+    rows = [r for p in run(iter([batch])) for r in p.to_pylist()]
+    assert sorted(r["pos"] - a for r in rows for a in range(r["lo"], r["hi"] + 1)) == windows
+    for r in rows:
+        assert all(anchor[r["pos"] - a] == (np.int64(r["g"]).view(np.uint64), a) for a in range(r["lo"], r["hi"] + 1))
 
 
 def test_repeats_defined_cases(odd, empty):
