@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sessionlens.session import small_side, stored
 
-__all__ = ["batches", "clashless", "small_side", "stored", "table", "text_size", "words"]
+__all__ = ["batches", "clashless", "gathered", "small_batches", "small_side", "stored", "table", "text_size", "words"]
 
 #: One character of white space as the word rules name it: space, and tab to carriage return.
 SPACE = r"[\x20\x09-\x0D]"
@@ -20,6 +20,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows in an Arrow batch of texts, where the session has Spark's default.
+TEXT_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Fewer rows in an Arrow batch than Spark's default of 10,000, which for texts is tens of MB in
+    the JVM and again in Python, for each running task."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(TEXT_ROWS))
+
+
 def words(text: Column) -> Column:
     """Array of the words ``[^\\x20\\x09-\\x0D]+`` of a text; null text has none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), lambda w: w != "")
@@ -47,5 +59,18 @@ def batches(frames: Iterator[pd.DataFrame], size: Callable[[pd.Series], pd.Serie
             yield rows
 
 
+def gathered(frames: Iterator[pd.DataFrame], rows: int) -> Iterator[pd.DataFrame]:
+    """The frames put together until they have ``rows`` rows at least."""
+    held, n = [], 0
+    for f in frames:
+        held.append(f)
+        n += len(f)
+        if n >= rows:
+            yield pd.concat(held, ignore_index=True)
+            held, n = [], 0
+    if n:
+        yield pd.concat(held, ignore_index=True)
+
+
 def text_size(texts: pd.Series) -> pd.Series:
     return texts.str.len().fillna(0).astype("int64") + 1

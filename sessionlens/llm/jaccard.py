@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, clashless, small_side, stored, table, text_size
+from .common import batches, clashless, gathered, small_batches, small_side, stored, table, text_size
 from .components import components
 from .shingles import mix, shingle_sets
 
@@ -39,12 +39,14 @@ DEPTH = 6
 TARGET_RECALL = 0.9999
 #: Members of a node that are compared with each other in one task; larger nodes are cut.
 BLOCK = 512
+#: Rows of units that are worked on at once.
+UNIT_ROWS = 4000
 #: Members of a task's unit up to which pairs are taken by distance, with other units at once.
 SMALL_UNIT = 32
 #: Share of equal MinHash values under which a pair isn't verified: over 6 standard
 #: deviations under what a pair of the wanted similarity shows.
 LEAST_EQUAL = 0.52
-BATCH_CHARS = 1_000_000
+BATCH_CHARS = 500_000
 BROADCAST_ROWS = 500_000
 
 
@@ -103,10 +105,8 @@ def _groups(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Frames of whole units, from frames that are sorted by unit. The last unit of a frame waits
     for the next frame."""
     rest = None
-    for f in frames:
+    for f in gathered(frames, UNIT_ROWS):
         f = f if rest is None else pd.concat([rest, f], ignore_index=True)
-        if not len(f):
-            continue
         last = (f[["node", "i", "j"]] == f[["node", "i", "j"]].iloc[-1]).all(axis=1).to_numpy()
         cut = int(np.flatnonzero(~last).max()) + 1 if not last.all() else 0
         if cut:
@@ -249,6 +249,7 @@ def links(sigs: DataFrame, docs: DataFrame, similarity: float = SIMILARITY, tree
 def near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, class_id, n_links of each row of ``docs`` (doc_id, text): the smallest doc_id that a
     chain of links leads to, and how many different texts are similar to this one."""
+    small_batches(docs.sparkSession)
     own = clashless(docs, ["doc_id", "text"])
     width = prefix_length(similarity)
     sigs = stored(signatures(own, TREES, width), "join-signatures")

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, table, text_size
+from .common import batches, small_batches, table, text_size
 
 #: Families by language code; a code that isn't listed is a family of its own.
 FAMILIES = {
@@ -43,7 +43,7 @@ SCALE = 16.0
 #: Labelled documents per language that the sample holds, as the expected number.
 PER_LANGUAGE = 800
 #: Most characters that are worked on at once.
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 500_000
 
 FAMILY_OF = {code: name for name, codes in FAMILIES.items() for code in codes}
 
@@ -172,6 +172,7 @@ def fit_languages(labelled: DataFrame, per_language: int = PER_LANGUAGE, bits: i
     """Fit on ``labelled`` (doc_id, text, lang): a sample of about ``per_language`` whole
     documents for each language, drawn by a hash of the id, so that a machine sees a bounded
     number of rows however large the table is."""
+    small_batches(labelled.sparkSession)
     rows = labelled.filter("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang")
     counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row for each language
     if not counts:
@@ -221,6 +222,7 @@ def predict_languages(docs: DataFrame, model: LanguageModel, text: str = "text",
                       names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """``docs`` with the predicted language and its score, in columns of those ``names``; only the
     text is an input of the prediction."""
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)  # weights of a fixed length for each pair of names
 
     @F.pandas_udf("lang_pred string, score double")

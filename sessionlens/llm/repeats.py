@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, clashless, small_side, stored, table
+from .common import batches, clashless, gathered, small_batches, small_side, stored, table
 from .runindex import aligned, anchors, common_prefix, repeated_starts
 
 LENGTH = 200
@@ -110,10 +110,8 @@ def _segment_rows(length: int):
 def _buckets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Frames of whole buckets, from frames that are sorted by bucket."""
     rest = None
-    for f in frames:
+    for f in gathered(frames, SEGMENT_ROWS):
         f = f if rest is None else pd.concat([rest, f], ignore_index=True)
-        if not len(f):
-            continue
         g = f.g.to_numpy()
         change = np.flatnonzero(g[1:] != g[:-1]) + 1
         cut = int(change[-1]) if len(change) else 0
@@ -162,10 +160,8 @@ def _reach(rows: DataFrame, context: Column, name: str) -> DataFrame:
     with its neighbour there, two rows a partition."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest, first = None, True
-        for f in frames:
+        for f in gathered(frames, SEGMENT_ROWS):
             f = f if rest is None else pd.concat([rest, f], ignore_index=True)
-            if not len(f):
-                continue
             same = np.concatenate([[False], f.g.to_numpy()[1:] == f.g.to_numpy()[:-1]])
             up = np.where(same, common_prefix(list(f.c)) // 2, 0)
             if rest is not None:
@@ -270,6 +266,7 @@ def marked_windows(segments: DataFrame, length: int = LENGTH, gram: int = GRAM,
 def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bucket_rows: int = BUCKET_ROWS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The texts of ``docs``; t1, t2 of texts with copies; and t1, t2, spans (array of start, end)
     of the texts without copies that have marked bytes."""
+    small_batches(docs.sparkSession)
     texts = _texts(docs)
     long = texts.filter(F.col("n_bytes") >= length)
     copies = stored(long.groupBy("t1", "t2").agg(F.count("*").alias("n"), F.min("doc_id").alias("rep")).filter("n > 1"), "repeat-copies")

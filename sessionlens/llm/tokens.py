@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, clashless, table, text_size
+from .common import batches, clashless, small_batches, table, text_size
 
 #: Where the vocabulary is; the same place on every machine.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -41,7 +41,7 @@ AHEAD = 3
 LEAF = 64
 #: Pre-tokens whose counts a worker remembers; beyond it starts anew.
 MEMORY = 500_000
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 500_000
 
 _CUT = regex.compile(PATTERN)
 
@@ -221,6 +221,7 @@ def edited_arrays(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
                 rows.append((doc_id, before, n, tree.total, count.encoded - encoded))
             yield pd.DataFrame(rows, columns=["doc_id", "n_tokens", "n_edits", "n_tokens_after", "n_encoded"])
 
+    small_batches(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", "edits")
     out = own.mapInPandas(counted, "doc_id string, n_tokens long, n_edits long, n_tokens_after long, n_encoded long")
     return out.withColumn("doc_id", F.col("doc_id").cast("long"))

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from sessionlens.session import scratch_path
 
-from .common import clashless, table
+from .common import clashless, small_batches, table
 
 END = "\r\n\r\n"
 SEGMENT_BYTES = 16 * 1024
@@ -104,6 +104,7 @@ def write_warc(pages: DataFrame, path: str, min_bytes: int = 0, segment_bytes: i
     a response and the others revisit it. A group of copies is reduced to its smallest id before
     the shuffle; a hot digest in the join back is split by adaptive execution.
     """
+    small_batches(pages.sparkSession)
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     own = clashless(pages, ["page_id", "url", "html"]).select(
         "page_id", "url", payload.alias("html"), F.sha1(payload).alias("sha1"), F.octet_length(payload).alias("n_bytes"))
@@ -173,7 +174,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
                                                  if rows else [pa.array([], k) for k in kinds], schema=schema)
 
-    # a batch of one file: what a task holds follows the bound on a file, not their number
+    # a task gets files of spark.sql.files.maxPartitionBytes together, at most
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
     return files.mapInArrow(parsed, RECORDS)
 
