@@ -62,20 +62,22 @@ class Counter:
         self.encoding, self.known, self.encoded = _encoder(path), {}, 0
 
     def __call__(self, pieces: list[str]) -> list[int]:
-        known = self.known
-        out = []
-        for p in pieces:
-            n = known.get(p)
-            if n is None:
-                n = len(self.encoding.encode_ordinary(p))
-                if len(p) < 64:
-                    if len(known) >= MEMORY:
-                        known.clear()
-                    known[p] = n
-            out.append(n)
         self.encoded += len(pieces)
+        out = list(map(self.known.get, pieces))
+        if None in out:
+            for i, p in enumerate(pieces):
+                if out[i] is None:
+                    out[i] = self._encode(p)
         return out
 
+    def _encode(self, piece: str) -> int:
+        n = len(self.encoding.encode_ordinary(piece))
+        if len(piece) < 64:
+            if len(self.known) >= MEMORY:
+                self.known.clear()
+            self.known[piece] = n
+        return n
+
 
 @dataclass
 class Tree:
@@ -89,7 +91,7 @@ class Tree:
     @classmethod
     def of(cls, text: str, count: Counter) -> Tree:
         pieces = _CUT.findall(text)
-        sizes, counts = np.array([len(p) for p in pieces], np.int64), np.array(count(pieces), np.int64)
+        sizes, counts = np.fromiter(map(len, pieces), np.int64, len(pieces)), np.array(count(pieces), np.int64)
         tree = cls([sizes[i:i + LEAF] for i in range(0, len(sizes), LEAF)], [counts[i:i + LEAF] for i in range(0, len(counts), LEAF)])
         tree._sum_up()
         return tree
@@ -237,6 +239,8 @@ def first_edits(text: str = "text") -> F.Column:
     out = []
     for pattern, put in EDITS:
         at = F.regexp_instr(F.col(text), F.lit(f"({pattern})"))
+        if "@" in pattern:  # most texts have no address, and needn't be searched for one
+            at = F.when(F.col(text).contains("@"), at)
         got = F.regexp_extract(F.col(text), f"({pattern})", 1)
         out.append(F.when(at > 0, F.struct((at - 1).alias("start"), (at - 1 + F.length(got)).alias("end"), F.lit(put).alias("put"))))
     return F.array_sort(F.array_compact(F.array(*out)))
