@@ -3,7 +3,6 @@
 import datetime as dt
 
 import pytest
-from pyspark.sql import functions as F
 
 from sessionlens.operators import split as SP
 from sessionlens.sources import upsert as UP
