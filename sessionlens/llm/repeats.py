@@ -274,7 +274,8 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bucket_rows
         F.col("n").isNull() | F.col("doc_id").eqNullSafe(F.col("rep"))).select("t1", "t2", "b")
     run, schema = _anchor_rows(length, gram)
     found = stored(indexed.mapInArrow(run, schema), "repeat-anchors")
-    again = found.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1").select("g")
+    # stored, so that the join below isn't in one stage with the sum and its skewed partitions can be split
+    again = stored(found.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1").select("g"), "repeat-again")
     per_text = stored(found.join(again, "g").groupBy("t1", "t2").agg(F.collect_list(F.struct("pos", "lo", "hi", "g")).alias("a")).select(
         "t1", "t2", *[F.col(f"a.{c}").alias(c) for c in ("pos", "lo", "hi", "g")]), "repeat-anchors-of-texts")
     touched = indexed.join(small_side(per_text.select("t1", "t2"), BROADCAST_ROWS), ["t1", "t2"], "left_semi").join(per_text, ["t1", "t2"])
