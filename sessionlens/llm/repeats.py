@@ -12,7 +12,8 @@ right to the left (``runindex``); statistics of LENGTH and more mark windows.
 Documents that have a copy are marked whole, and one of them is indexed. A bucket with more than
 ``BUCKET_ROWS`` different segments, as at the edge of a passage that many documents hold, is sorted
 over all partitions by what follows the anchor and by what precedes it, backwards. Neighbours tell
-how far a segment can match at all, on either side; it is cut to that, and equal ones become one again.
+how far a segment can match another at all, on either side; it is cut to that, and equal ones become one again.
+The windows of a segment that occurs twice are marked before the cut.
 What is still too large is split by ranges of window starts, each range keyed by the bytes that all
 its windows share; in the end, a range of one start is keyed by the window itself, and a count decides.
 So no task holds an unbounded bucket, and nothing is left out.
@@ -216,11 +217,15 @@ def _once(segments: DataFrame, n: Column) -> DataFrame:
     return stored(segments.groupBy("g", "s1", "s2", "left").agg(n.alias("n"), F.first("seg").alias("seg")), "repeat-segments")
 
 
+def _twice(once: DataFrame, length: int) -> DataFrame:
+    """s1, s2, a_lo, a_hi of the segments that occur twice: all of their windows do."""
+    return once.filter("n > 1").select("s1", "s2", (F.col("left") + length - F.octet_length("seg")).alias("a_lo"), F.col("left").alias("a_hi"))
+
+
 def _indexed(once: DataFrame, length: int, gram: int, bucket_rows: int) -> list[DataFrame]:
     """Tables of s1, s2, a_lo, a_hi for the different segments ``once`` (a stored table)."""
     side = length - gram
-    # a segment that occurs twice: all of its windows do
-    out = [once.filter("n > 1").select("s1", "s2", (F.col("left") + length - F.octet_length("seg")).alias("a_lo"), F.col("left").alias("a_hi"))]
+    out = [_twice(once, length)]
     rows = once.withColumns({"lo": F.lit(0), "hi": F.lit(side)})
     for width in (RANGE, 1, 0):
         sizes = stored(rows.groupBy("g").agg(F.count("*").alias("rows"), F.sum("n").alias("n")).filter("n > 1"), "repeat-buckets")
@@ -251,10 +256,12 @@ def marked_windows(segments: DataFrame, length: int = LENGTH, gram: int = GRAM,
     large = stored(once.groupBy("g").agg(F.count("*").alias("rows")).filter(F.col("rows") > bucket_rows).select("g"), "repeat-large")
     if large.count():
         side = small_side(large, BROADCAST_ROWS)
-        cut = stored(_cut_to_reach(once.join(side, "g", "left_semi"), length, gram), "repeat-cut")
+        hot = once.join(side, "g", "left_semi")
+        cut = stored(_cut_to_reach(hot, length, gram), "repeat-cut")
         found = _indexed(_once(cut, F.sum("n")), length, gram, bucket_rows)
         found = [cut.select("s1", "s2", "o1", "o2").join(m, ["s1", "s2"]).select(F.col("o1").alias("s1"), F.col("o2").alias("s2"), "a_lo", "a_hi") for m in found]
-        found += _indexed(once.join(side, "g", "left_anti"), length, gram, bucket_rows)
+        # the cut is to what other segments share; the copies of a segment share all of it
+        found += [_twice(hot, length), *_indexed(once.join(side, "g", "left_anti"), length, gram, bucket_rows)]
     else:
         found = _indexed(once, length, gram, bucket_rows)
     marks = found[0]

@@ -99,6 +99,18 @@ def test_repeats_equal_brute_force(spark, bucket_rows):
     assert [got[i] for i in range(len(docs))] == want
 
 
+def test_a_hot_passage_keeps_the_windows_of_equal_segments(spark):
+    # each closing, and each opening, stands in two documents only, beside a passage that all of them hold
+    docs = [prose(900 + i, 40) + " " + prose(7, 60) + " " + prose(800 + i // 2, 15) for i in range(16)]
+    docs += [prose(700 + i // 2, 15) + " " + prose(8, 60) + " " + prose(600 + i, 40) for i in range(16)]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    want = repeats.brute_force([t.encode() for t in docs])
+    for bucket_rows in (repeats.BUCKET_ROWS, 0):
+        got = {r.doc_id: (r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest())
+               for r in repeats.remove_repeats(df, bucket_rows=bucket_rows).collect()}
+        assert [got[i] for i in range(len(docs))] == want
+
+
 @pytest.mark.parametrize("text", [prose(1, 900), "ab" * 700, "x" * 900, prose(2, 30) * 8, "abc" * 66 + prose(3, 90) + "abc" * 99])
 def test_each_window_has_one_anchor(text, monkeypatch):
     import pyarrow as pa
