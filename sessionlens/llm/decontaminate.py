@@ -2,10 +2,15 @@
 
 Names, units after a number, and numbers become typed placeholders, what is left becomes
 lower-case words without punctuation. Windows of five tokens of these templates are hash-joined
-with the windows of the benchmark items. A document that holds at least 0.8 of the distinct
-windows of an item is a candidate; the values in its placeholders are then aligned with those of
-the item, and it counts as a copy if each value of the item stands for one value throughout:
-the same question, word for word or with other names and numbers.
+with the windows of the benchmark items. A place in a document that holds at least 0.8 of the distinct
+windows of an item is a candidate, whatever stands elsewhere in the document; the values in its
+placeholders are then aligned with those of the item, and it counts as a copy if each value of the
+item stands for one value throughout: the same question, word for word or with other names and
+numbers. The document holds the item if any of its places does.
+
+A place is a shift between the tokens of the document and those of the item. It is judged by the windows
+at that shift alone, and by the nearest window of each kind at most the item's length away,
+as words that are put in or left out shift what follows; windows further apart are no copy.
 
 Only candidates have their placeholder values taken out. The windows of documents aren't
 shuffled while the windows of the benchmark are few enough to be broadcast (their rows
@@ -94,44 +99,68 @@ def items_of(benchmark: DataFrame) -> DataFrame:
 
 
 def item_windows(items: DataFrame) -> DataFrame:
-    """h, item_id, ipos, n (windows of the item) of each distinct telling window of each item."""
+    """h, item_id, ipos, n (windows of the item), size (its tokens) of each distinct telling window of each item."""
     marks = ", ".join(f"'{m}'" for m in MARKS.values())
-    told = items.select("item_id", "tokens", F.posexplode(windows(F.col("tokens"))).alias("ipos", "h")).filter(
+    told = items.select("item_id", "tokens", F.size("tokens").alias("size"), F.posexplode(windows(F.col("tokens"))).alias("ipos", "h")).filter(
         F.expr(f"size(filter(slice(tokens, ipos + 1, {WINDOW}), x -> x NOT IN ({marks}))) >= {LITERALS}"))
-    first = told.groupBy("item_id", "h").agg(F.min("ipos").alias("ipos"))
+    first = told.groupBy("item_id", "size", "h").agg(F.min("ipos").alias("ipos"))
     sizes = first.groupBy("item_id").agg(F.count("*").alias("n"))
-    return first.join(sizes, "item_id").select("h", "item_id", "ipos", "n")
+    return first.join(sizes, "item_id").select("h", "item_id", "ipos", "n", "size")
+
+
+def occurrences(hits: DataFrame, pair: list[str], similarity: float) -> tuple[DataFrame, DataFrame]:
+    """The places of items in texts: by ``at`` (the shift of an occurrence) and ``reach``, the chosen
+    windows (ipos, far: distance and shift), and the occurrences with enough of them (coverage).
+    ``hits`` is a stored table of ``pair`` (n, size among it), ipos, shift."""
+    place = [*pair, "at", "reach"]
+    cell = lambda x: F.floor(x / F.col("size"))
+    # every shift may be an occurrence: by itself, and with what lies within the item's length
+    at = hits.select(*pair, F.col("shift").alias("at"), F.explode(F.array(F.lit(0), "size")).alias("reach")).distinct()
+    at = at.withColumn("cell", F.explode(F.sequence(cell(F.col("at") - F.col("reach")), cell(F.col("at") + F.col("reach")))))
+    near = at.join(hits.withColumn("cell", cell(F.col("shift"))), [*pair, "cell"]).withColumn("d", F.abs(F.col("shift") - F.col("at"))).filter("d <= reach")
+    chosen = stored(near.groupBy(*place, "ipos").agg(F.min(F.struct("d", "shift")).alias("far")), "decon-chosen")
+    # windows that stand in the text by chance, or twice in the item, have shifts of few others
+    by_shift = chosen.groupBy(*place, "far.shift").agg(F.count("*").alias("k"))
+    found = by_shift.groupBy(*place).agg(F.sum("k").alias("k"), F.max("k").alias("most"), F.max(F.when(F.col("shift") == F.col("at"), F.col("k"))).alias("same"))
+    found = found.filter((F.col("k") >= similarity * F.col("n")) & (F.col("same") >= F.col("most")))
+    return chosen, stored(found.select("doc_id", "t", "item_id", "at", "reach", (F.col("k") / F.col("n")).alias("coverage")), "decon-found")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, consistency: float = CONSISTENCY) -> DataFrame:
     """A row per document and item found in it: doc_id, item_id, coverage, consistent, verbatim,
-    n_slots. ``consistent`` is the share of the item's values that stand for one value in the
-    document, ``verbatim`` whether all do for themselves."""
+    n_slots, of the occurrence with the most coverage among those that pass. ``consistent`` is the
+    share of the item's values that stand for one value in the occurrence, ``verbatim`` whether all
+    do for themselves."""
     items = stored(items_of(benchmark), "decon-items")
     wanted = stored(item_windows(items), "decon-windows")
-    own = clashless(docs, ["doc_id", "text"]).filter("doc_id IS NOT NULL")
+    own = clashless(docs, ["doc_id", "text"]).filter("doc_id IS NOT NULL").withColumn("t", F.xxhash64("text"))
     # templates are hashed within the row, so that each word's window costs a hash and a probe
-    hashed = own.withColumn("__tok", template(F.col("text"))).select("doc_id", F.posexplode(windows(F.col("__tok"))).alias("pos", "h"))
-    hits = hashed.join(small_side(wanted, BROADCAST_WINDOWS), "h").select("doc_id", "item_id", "n", "ipos", (F.col("pos") - F.col("ipos")).alias("shift"))
-    # per window of the item and shift first, so that a passage repeated in a text counts once
-    at = hits.groupBy("doc_id", "item_id", "n", "ipos").agg(F.min("shift").alias("shift"))
-    by_shift = at.groupBy("doc_id", "item_id", "n", "shift").agg(F.count("*").alias("k"))
-    found = stored(by_shift.groupBy("doc_id", "item_id", "n").agg(
-        F.sum("k").alias("k"), F.max(F.struct("k", -F.col("shift"))).alias("most"))
-        .filter(F.col("k") >= similarity * F.col("n"))
-        .select("doc_id", "item_id", (F.col("k") / F.col("n")).alias("coverage"), (-F.col("most.col2")).alias("shift")), "decon-found")
+    hashed = own.withColumn("__tok", template(F.col("text"))).select("doc_id", "t", F.posexplode(windows(F.col("__tok"))).alias("pos", "h"))
+    pair = ["doc_id", "t", "item_id", "n", "size"]
+    hits = stored(hashed.join(small_side(wanted, BROADCAST_WINDOWS), "h").select(*pair, "ipos", (F.col("pos") - F.col("ipos")).alias("shift")), "decon-hits")
+    enough = hits.groupBy(*pair).agg(F.count_distinct("ipos").alias("k")).filter(F.col("k") >= similarity * F.col("n")).drop("k")
+    hits = stored(hits.join(enough, pair, "left_semi").distinct(), "decon-candidates")
+    chosen, found = occurrences(hits, pair, similarity)
     # the values of the candidates' placeholders, aligned with the item's
-    texts = own.join(small_side(found.select("doc_id").distinct(), BROADCAST_WINDOWS), "doc_id", "left_semi")
-    ours = slots(texts, "doc_id", "text").join(found, "doc_id").select(
-        "doc_id", "item_id", (F.col("pos") - F.col("shift")).alias("ipos"), "kind", F.col("value").alias("got"))
-    theirs = slots(items, "item_id", "text").select("item_id", F.col("pos").alias("ipos"), "kind", F.col("value").alias("asked"))
-    pairs = theirs.join(ours, ["item_id", "ipos", "kind"]).select("doc_id", "item_id", "kind", "asked", "got")
-    values = pairs.groupBy("doc_id", "item_id", "kind", "asked").agg(
+    place = ["doc_id", "t", "item_id", "at", "reach"]
+    texts = own.join(small_side(stored(found.select("doc_id", "t").distinct(), "decon-texts"), BROADCAST_WINDOWS), ["doc_id", "t"], "left_semi")
+    ours = slots(texts.dropDuplicates(["doc_id", "t"]).select(F.struct("doc_id", "t").alias("key"), "text"), "key", "text").select(
+        "key.doc_id", "key.t", "pos", "kind", F.col("value").alias("got"))
+    theirs = small_side(stored(slots(items, "item_id", "text").select("item_id", F.col("pos").alias("ipos"), "kind", F.col("value").alias("asked")), "decon-slots"),
+                        BROADCAST_WINDOWS)
+    held = chosen.join(found.select(*place), place, "left_semi").select(
+        *place, F.explode(F.sequence(F.col("ipos"), F.col("ipos") + WINDOW - 1)).alias("ipos"), "far")
+    held = held.groupBy(*place, "ipos").agg(F.min("far").alias("far"))
+    pairs = (found.select(*place).join(theirs, "item_id").join(held, [*place, "ipos"], "left")
+             .withColumn("pos", F.col("ipos") + F.coalesce("far.shift", "at")).join(ours, ["doc_id", "t", "pos", "kind"]))
+    values = pairs.groupBy(*place, "kind", "asked").agg(
         (F.min("got") == F.max("got")).alias("one"), (F.min("got").eqNullSafe(F.col("asked")) & F.max("got").eqNullSafe(F.col("asked"))).alias("same"))
-    checked = values.groupBy("doc_id", "item_id").agg(F.avg(F.col("one").cast("double")).alias("consistent"),
-                                                      F.min("same").alias("verbatim"), F.count("*").alias("n_slots"))
-    return (found.drop("shift").join(checked, ["doc_id", "item_id"], "left")
-            .fillna({"consistent": 1.0, "verbatim": True, "n_slots": 0}).filter(F.col("consistent") >= consistency))
+    checked = values.groupBy(*place).agg(F.avg(F.col("one").cast("double")).alias("consistent"),
+                                         F.min("same").alias("verbatim"), F.count("*").alias("n_slots"))
+    passed = (found.join(checked, place, "left").fillna({"consistent": 1.0, "verbatim": True, "n_slots": 0})
+              .filter(F.col("consistent") >= consistency))
+    best = passed.groupBy("doc_id", "item_id").agg(F.max(F.struct("coverage", "verbatim", "consistent", "n_slots")).alias("x"))
+    return best.select("doc_id", "item_id", "x.coverage", "x.consistent", "x.verbatim", "x.n_slots")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -326,6 +326,21 @@ def test_reparameterised_questions_are_caught(spark):
     assert sorted(r.doc_id for r in decontaminate.decontaminate(docs, bench).collect()) == [3, 4, 5, 6, 7]
 
 
+def test_each_place_of_an_item_is_judged(spark):
+    other = "Anna has 7 apples and gives Dora 4 lb of them, then 9 more; how many are left for Eve today? "
+    words = ITEM.split()
+    docs = spark.createDataFrame([
+        (1, "Well. " + other + ITEM), (2, "Well. " + ITEM + " " + other), (3, "Well. " + other + "And so. " + other),
+        (4, "So it has 12 apples and gives nothing, then 12 more. " + prose(1, 50) + ". " + other + prose(2, 70) + ". " + ITEM + " " + other),
+        # the item in pieces that lie far from each other, and with words put in
+        (5, (" " + prose(3, 60) + " ").join(" ".join(words[i:i + 7]) for i in range(0, len(words), 3))),
+        (6, "Well. " + ITEM.replace("apples and", "apples from the old tree and")),
+        (7, "Well. " + other), (7, "Well. " + ITEM)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    got = {r.doc_id: r.verbatim for r in decontaminate.leaks(docs, bench, similarity=0.7).collect()}
+    assert got == {1: True, 2: True, 4: True, 6: True, 7: True}
+
+
 def test_leaks_equal_brute_force(spark):
     sf = "/root/testdata/sf0.01"
     items = {i: re.findall(r"\w+", t.lower()) for i, t in duckdb.sql(f"SELECT item_id, text FROM '{sf}/benchmark.parquet'").fetchall()}
