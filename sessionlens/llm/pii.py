@@ -6,7 +6,7 @@ entity are a lexical pattern; identifier-like words (eight characters with a dig
 such words are instances. Rounds over the graph of patterns and instances score a pattern by the
 share of its occurrences in the corpus that known instances follow, and an instance by the
 patterns that it follows (1 minus the product of what they leave open); what passes becomes known
-and induces patterns in the next round. The occurrences of accepted instances become ``id`` spans.
+and induces patterns in the next round, until a round finds nothing new and no higher score. The occurrences of accepted instances become ``id`` spans.
 
 How often a pattern occurs is counted over all words of all documents, so that a common word
 before a few entities scores near zero. The graph itself holds only identifier-like words and
@@ -51,7 +51,8 @@ CONTEXT = 80
 SUPPORT = 3
 PATTERN_SCORE = 0.5
 INSTANCE_SCORE = 0.8
-ROUNDS = 3
+#: Rounds go on while a score grows by more than this.
+TOLERANCE = 1e-6
 #: Most rows of the pattern table and of the found spans that are broadcast.
 BROADCAST_ROWS = 500_000
 
@@ -154,7 +155,7 @@ def pattern_counts(docs: DataFrame, patterns: DataFrame) -> DataFrame:
 
 
 def bootstrap(occ: DataFrame, docs: DataFrame, support: int = SUPPORT, pattern_score: float = PATTERN_SCORE,
-              instance_score: float = INSTANCE_SCORE, rounds: int = ROUNDS) -> DataFrame:
+              instance_score: float = INSTANCE_SCORE) -> DataFrame:
     """v: the identifiers, other than seeds, that the rounds accept. ``occ`` is a stored table
     of ``occurrences``."""
     edges = occ.select("v", F.explode(F.array("p1", "p2")).alias("p")).filter("p IS NOT NULL").groupBy("p", "v").agg(F.count("*").alias("k"))
@@ -164,19 +165,21 @@ def bootstrap(occ: DataFrame, docs: DataFrame, support: int = SUPPORT, pattern_s
     totals = stored(wide.join(n, "p", "left").select("p", F.greatest("own", F.coalesce("n", F.lit(0))).alias("n")), "pii-totals")
     edges = stored(edges.join(small_side(totals, BROADCAST_ROWS), "p"), "pii-edges")
     seeds = stored(occ.filter("kind IS NOT NULL").select("v", F.lit(1.0).alias("score")).distinct(), "pii-seeds")
-    known, accepted = seeds, None
-    for _ in range(rounds):
+    known, accepted = seeds, seeds.limit(0)
+    while True:
         scores = (edges.join(known, "v").groupBy("p", "n").agg(F.count("*").alias("m"), F.sum(F.col("k") * F.col("score")).alias("hit"))
                   .filter((F.col("m") >= support) & (F.col("hit") >= pattern_score * F.col("n")))
                   .select("p", F.least(F.col("hit") / F.col("n"), F.lit(0.999)).alias("conf")))
         found = (edges.join(scores, "p").groupBy("v").agg((1 - F.exp(F.sum(F.log(1 - F.col("conf"))))).alias("score"))
                  .filter(F.col("score") >= instance_score).join(seeds.select("v"), "v", "left_anti"))
-        new = stored(found, "pii-found")
-        n_new, n_old = new.count(), accepted.count() if accepted is not None else 0
-        accepted, known = new, seeds.unionByName(new)
-        if n_new == n_old:  # scores of known instances only grow, so no more will come
-            break
-    return accepted.select("v") if accepted is not None else seeds.select("v").limit(0)
+        # what is known stays known, at its highest score, whatever the order of a sum rounds to
+        both = found.withColumn("old", F.lit(0.0)).unionByName(accepted.withColumn("old", F.col("score")))
+        new = stored(both.groupBy("v").agg(F.max("score").alias("score"), F.max("old").alias("old")), "pii-found")
+        grown = new.filter(F.col("score") > F.col("old") + TOLERANCE).limit(1).count()
+        accepted = new.select("v", "score")
+        known = seeds.unionByName(accepted)
+        if not grown:  # scores only grow, up to 1, so this comes
+            return accepted.select("v")
 
 
 def discovered(docs: DataFrame) -> DataFrame:

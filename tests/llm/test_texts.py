@@ -405,6 +405,15 @@ def test_context_discovers_identifiers(spark):
     assert got[200] == "id:4:15,id:23:34" and got[100] == "id:22:33"
 
 
+def test_context_goes_on_over_many_hops(spark):
+    texts = []
+    for k, c in enumerate("abcdef"):
+        known = [f"u{j}@x.com" if k == 0 else f"idq{k - 1}{j}-xx77" for j in range(3)]
+        texts += [f"some look{c} hint{c}: {v} ok" for v in known * 4 + [f"idq{k}{j}-xx77" for j in range(3)]]
+    got = pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert all([s.kind for s in r.spans] == ["email" if "@" in r.text else "id"] for r in got)
+
+
 def test_redaction_and_defined_cases(odd, empty, spark):
     df = spark.createDataFrame([(1, "Mail a.b@c.d.com or +1 (555) 123-4567 é 10.0.0.255"), (2, None), (3, "none")], "doc_id long, text string")
     assert [r.text for r in pii.redact(df).orderBy("doc_id").collect()] == ["Mail <EMAIL> or <PHONE> é <IP>", None, "none"]
