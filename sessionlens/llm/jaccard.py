@@ -1,13 +1,15 @@
-"""N-gram Jaccard join by a MinHash LSH forest.
+"""N-gram Jaccard join by MinHash banding, the fixed form of an LSH forest.
 
 A document is the set of its five-word shingles. Documents with equal sets are one class from the
-start. Each tree of the forest holds the classes' signatures as sorted labels of MinHash values;
-classes whose labels share a prefix are candidates. Prefixes are shortened from ``DEPTH`` values
-until the trees together find a pair of the wanted similarity with the target recall
-(1 - (1 - s^d)^trees). Every candidate pair is then verified exactly on its shingle sets, once,
+start. Each of the ``TREES`` bands holds a few MinHash values of a class, and classes with equal values in
+a band are candidates. How many values is fixed before the run: the most, up to ``DEPTH``, with
+which the bands together find a pair of the wanted similarity with the target recall
+(1 - (1 - s^d)^trees), 4 at 0.8. There are no sorted tries, and no matched prefix is shortened while the
+join runs: the similarity is one bound for all pairs, so a descent from longer prefixes
+would end at the same candidates. Every candidate pair is then verified exactly on its shingle sets, once,
 in the first tree that brings it together.
 
-A node of a trie goes to a task as signatures first; only members with a pair left to verify have
+A node (the classes with equal values in a band) goes to a task as signatures first; only members with a pair left to verify have
 their shingles sent. A node with more members than ``BLOCK`` is cut into blocks, and each pair of
 blocks is a task's work, so no task holds an unbounded node. A task gives back a row for each
 member: its number of links, and the smallest member of its component there. So what is written
