@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontaminate import op6_template_decontamination
 from .jaccard import op5_jaccard_forest
 from .langid import op2_language_id
+from .manifest import OP11_SQL, op11_merkle_manifest
 from .mixing import OP9_SQL, op9_hierarchical_mixing
 from .pii import op8_contextual_pii
 from .preferences import OP3_SQL, op3_preference_pairs
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_contextual_pii": op8_contextual_pii,
     "op9_hierarchical_mixing": op9_hierarchical_mixing,
     "op10_warc_segments": op10_warc_segments,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
 SQL = {
@@ -31,4 +33,5 @@ SQL = {
     "op4_quality_cascade": OP4_SQL,
     "op9_hierarchical_mixing": OP9_SQL,
     "op10_warc_segments": OP10_SQL,
+    "op11_merkle_manifest": OP11_SQL,
 }
