@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .audit import OP12_SQL, op12_conversation_audit
 from .decontaminate import op6_template_decontamination
 from .jaccard import op5_jaccard_forest
 from .langid import op2_language_id
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_hierarchical_mixing": op9_hierarchical_mixing,
     "op10_warc_segments": op10_warc_segments,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_conversation_audit": op12_conversation_audit,
 }
 
 SQL = {
@@ -34,4 +36,5 @@ SQL = {
     "op9_hierarchical_mixing": OP9_SQL,
     "op10_warc_segments": OP10_SQL,
     "op11_merkle_manifest": OP11_SQL,
+    "op12_conversation_audit": OP12_SQL,
 }
