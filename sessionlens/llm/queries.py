@@ -12,6 +12,7 @@ from .pii import op8_contextual_pii
 from .preferences import OP3_SQL, op3_preference_pairs
 from .quality import OP4_SQL, op4_quality_cascade
 from .repeats import op1_repeat_removal
+from .secretscan import op13_secret_scan
 from .tokens import op7_edited_token_counts
 from .warc import OP10_SQL, op10_warc_segments
 
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_warc_segments": op10_warc_segments,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op12_conversation_audit": op12_conversation_audit,
+    "op13_secret_scan": op13_secret_scan,
 }
 
 SQL = {

@@ -123,7 +123,7 @@ def test_query_equals_its_sql(spark, name):
 
 
 def test_a_query_for_each_operator():
-    assert [int(q[2:].split("_")[0]) for q in QUERIES] == list(range(1, 13))
+    assert [int(q[2:].split("_")[0]) for q in QUERIES] == list(range(1, 14))
 
 
 # pipeline
