@@ -8,7 +8,7 @@ Channels:
           ((err - median) / (1.4826 * MAD)), median/MAD from benign reference rows (L10)
   z_lat = L2 norm of the per-dimension z of the code, benign train statistics (L9)
   z_ae  = 0.6 * z_out + 0.4 * z_lat, threshold = q0.995 of benign reference rows (L11)
-Every statistic is an exact distributed aggregate; array arithmetic stays JVM-side.
+Every statistic is an exact distributed aggregate; products with matrices run on Arrow batches.
 """
 
 from __future__ import annotations
@@ -16,10 +16,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 from .models import Standardiser, fit_standardiser
 from .ordered import exact_quantiles
@@ -34,28 +36,25 @@ THRESHOLD_Q = 0.995
 # ---- end of fixed values ----
 
 
-def _mat(name: str, M: np.ndarray):
-    """A small d x k matrix as a literal array of columns (bounded by d * k)."""
-    return F.array(*[F.array(*[F.lit(float(x)) for x in M[:, j]]) for j in range(M.shape[1])])
-
-
 @dataclass
 class LinearRecon:
     """Linear autoencoder: code = P^T x, reconstruction = P code (P: d x k)."""
     P: np.ndarray
 
     def reconstruct(self, df: DataFrame, x: str) -> DataFrame:
-        cols = _mat("P", self.P)
-        k = self.P.shape[1]
-        code = F.transform(cols, lambda pc: F.aggregate(F.zip_with(pc, F.col(x), lambda a, b: a * b),
-                                                         F.lit(0.0), lambda acc, v: acc + v))
-        d = df.withColumn("_code", code)
-        recon = F.transform(F.col(x), lambda _v, i: F.aggregate(
-            F.sequence(F.lit(0), F.lit(k - 1)), F.lit(0.0),
-            lambda acc, j: acc + F.element_at(F.element_at(cols, j + 1), i + 1) * F.element_at(F.col("_code"), j + 1)))
-        err = F.aggregate(F.zip_with(F.col(x), recon, lambda a, b: (a - b) * (a - b)),
-                          F.lit(0.0), lambda acc, v: acc + v) / F.size(F.col(x))
-        return d.withColumn("err_out", err)
+        held = df.sparkSession.sparkContext.broadcast(self.P)
+
+        @arrow_udf("code array<double>, err double")
+        def coded(rows: pa.Array) -> pa.Array:
+            P = held.value
+            X = rows.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), P.shape[0])
+            code = X @ P
+            err = ((X - code @ P.T) ** 2).mean(axis=1)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * P.shape[1]), pa.array(code.ravel()))
+            return pa.StructArray.from_arrays([lists, pa.array(err)], names=["code", "err"])
+
+        d = df.withColumn("_coded", coded(F.col(x)))
+        return d.withColumns({"_code": F.col("_coded.code"), "err_out": F.col("_coded.err")}).drop("_coded")
 
 
 @dataclass

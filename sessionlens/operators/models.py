@@ -1,22 +1,20 @@
-"""Models on Spark ML: class weights (A17), boosted trees with stratified contiguous
-folds and isotonic calibration (L1-L3), capped benign sample (L4), truncated SVD
-(L5), benign standardisation (L6), logistic stacker (L12, L13, L16).
+"""Class weights (A17), boosted trees with stratified contiguous folds and isotonic
+calibration (L1-L3), capped benign sample (L4), truncated SVD (L5), benign
+standardisation (L6), logistic stacker (L12, L13, L16).
 
 Features are ML vectors in column ``features``; labels are 0/1 ints. Every fit is a
-distributed MLlib job; only model parameters (bounded by the feature count) reach
-the driver.
+distributed job; only model parameters (bounded by the feature count) reach the driver.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
@@ -24,19 +22,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import ArrayType, DoubleType
 
-from ..session import small_side
+from ..session import small_side, stored
+from .boosting import BoostedTrees, Boosting, _Scorer, fit_boosted, score_boosted, vector_rows
 from .ordered import row_index
 
-# ---- fixed values (boosted-tree settings of the source system) ----
-GBT_STEP = 0.03
-GBT_FEATURE_FRACTION = 0.8
+# ---- fixed values (settings of the source system; those of the trees are Boosting's defaults) ----
 GBT_SEED = 42
 N_FOLDS = 5
 BENIGN_CAP = 120_000
 SVD_ITER = 5
-GBT_MAX_ITER = 4_000
 # ---- end of fixed values ----
-GBT_MAX_DEPTH = 6          # 64 leaves ~ depth 6
+#: Columns of the basis that a pass of the SVD multiplies with, and rows of a partial product in a record.
+SVD_BLOCK, SVD_RANGE = 32, 8192
 
 
 def with_class_weight(df: DataFrame, label: str = "label", out: str = "weight") -> DataFrame:
@@ -80,54 +77,44 @@ def stratified_folds(df: DataFrame, order: str, tiebreak: str, label: str = "lab
     return d.withColumn(out, expr).drop("_i", "_r")
 
 
-def _p1(df: DataFrame, prob_col: str = "probability") -> DataFrame:
-    return df.withColumn("_p", vector_to_array(F.col(prob_col))[1])
-
-
 @dataclass
 class CalibratedGBT:
-    pairs: list = field(default_factory=list)   # (GBTClassificationModel, IsotonicRegressionModel)
+    """For each fold a model and its calibrator: the knots of a rising line."""
+
+    models: list[BoostedTrees] = field(default_factory=list)
+    calibrators: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
 
     def predict(self, df: DataFrame, out: str = "p_primary", features: str = "features") -> DataFrame:
         """Mean of the calibrated probabilities of every (model, calibrator) pair."""
-        d = df
-        cols = []
-        for i, (m, iso) in enumerate(self.pairs):
-            s = _p1(m.setFeaturesCol(features).setPredictionCol(f"_pred{i}").setProbabilityCol(f"_prob{i}")
-                    .setRawPredictionCol(f"_raw{i}").transform(d), f"_prob{i}")
-            s = iso.setFeaturesCol("_p").setPredictionCol(f"_cal{i}").transform(s)
-            d = s.drop(f"_pred{i}", f"_prob{i}", f"_raw{i}", "_p")
-            cols.append(F.col(f"_cal{i}"))
-        mean = sum(cols[1:], cols[0]) / F.lit(float(len(cols)))
-        return d.withColumn(out, mean).drop(*[f"_cal{i}" for i in range(len(cols))])
-
-
-def fit_calibrated_gbt(train: DataFrame, order: str, tiebreak: str, features: str = "features",
-                       label: str = "label", k: int = N_FOLDS, max_iter: int = GBT_MAX_ITER,
-                       max_depth: int = GBT_MAX_DEPTH) -> CalibratedGBT:
+        held = df.sparkSession.sparkContext.broadcast((_Scorer(self.models), self.calibrators))  # as many nodes as the settings allow
+
+        @arrow_udf(DoubleType())
+        def mean(vectors: pa.Array) -> pa.Array:
+            scorer, knots = held.value
+            p = scorer(*vector_rows(vectors))
+            return pa.array(sum(np.interp(p[:, m], x, y) for m, (x, y) in enumerate(knots)) / len(knots))
+
+        return df.withColumn(out, mean(F.col(features)))
+
+
+def fit_calibrated_gbt(train: DataFrame, order: str, tiebreak: str, features: str = "features", label: str = "label",
+                       k: int = N_FOLDS, settings: Boosting = Boosting()) -> CalibratedGBT:
     """L1-L3: for each of k stratified folds fit trees on the other folds (positives
-    weighted), fit an isotonic calibrator on the held-out fold."""
+    weighted), fit an isotonic calibrator on the held-out fold. All folds grow in the same passes."""
     d = with_class_weight(stratified_folds(train, order, tiebreak, label, k), label)
-    d = d.withColumn(label, F.col(label).cast("double"))
-    d = d.persist(StorageLevel.MEMORY_AND_DISK)
-    out = CalibratedGBT()
-
-    def fit_fold(i: int):
-        tr = d.where(F.col("fold") != i)
-        ho = d.where(F.col("fold") == i)
-        gbt = GBTClassifier(featuresCol=features, labelCol=label, weightCol="weight", maxIter=max_iter,
-                            maxDepth=max_depth, stepSize=GBT_STEP, featureSubsetStrategy=str(GBT_FEATURE_FRACTION),
-                            seed=GBT_SEED)
-        m = gbt.fit(tr)
-        s = _p1(m.transform(ho))
-        iso = IsotonicRegression(featuresCol="_p", labelCol=label, predictionCol="_iso", isotonic=True).fit(s)
-        return m, iso
-
-    # the k fits are independent: submit them as concurrent Spark jobs
-    with ThreadPoolExecutor(max_workers=k) as pool:
-        out.pairs.extend(pool.map(fit_fold, range(k)))
-    d.unpersist()
-    return out
+    d = stored(d.select(F.col(label).cast("double").alias("y"), "weight", "fold", F.col(features).alias("x")), "folds")
+    models = fit_boosted(d, "x", "y", "weight", "fold", k, settings)
+    own = stored(score_boosted(d, models, "x", "p").select("y", "fold", F.get("p", F.col("fold")).alias("p")), "held-out")
+
+    def calibrator(i: int) -> tuple[np.ndarray, np.ndarray]:
+        rows = own.where(F.col("fold") == i)
+        if rows.first() is None:  # fewer rows than folds
+            return np.array([0.0, 1.0]), np.array([0.0, 1.0])
+        iso = IsotonicRegression(featuresCol="p", labelCol="y", isotonic=True).fit(rows)
+        return iso.boundaries.toArray(), iso.predictions.toArray()
+
+    with ThreadPoolExecutor(max_workers=k) as pool:  # independent jobs
+        return CalibratedGBT(models, list(pool.map(calibrator, range(k))))
 
 
 def benign_sample(df: DataFrame, key: str = "session_id", label: str = "label", cap: int = BENIGN_CAP,
@@ -156,17 +143,6 @@ class SVDModel:
         return project(df, features, self.V, out)
 
 
-def vector_rows(vectors: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows of ML vectors, sparse or dense, as (begin of each row, columns, values)."""
-    values = vectors.field("values")
-    sizes = values.value_lengths().fill_null(0).to_numpy()
-    begin = np.concatenate([[0], np.cumsum(sizes)])
-    dense = np.repeat(vectors.field("type").to_numpy() == 1, sizes)
-    cols = np.arange(begin[-1]) - np.repeat(begin[:-1], sizes)
-    cols[~dense] = vectors.field("indices").flatten().to_numpy()
-    return begin, cols, values.flatten().to_numpy()
-
-
 def times(rows: tuple[np.ndarray, np.ndarray, np.ndarray], m: np.ndarray) -> np.ndarray:
     """Sparse rows times a matrix, some rows at a time so that the products stay small."""
     begin, cols, values = rows
@@ -192,14 +168,20 @@ def project(df: DataFrame, features: str, M: np.ndarray, out: str) -> DataFrame:
     return df.withColumn(out, mul(F.col(features)))
 
 
-def _pass(df: DataFrame, features: str, Q: np.ndarray) -> tuple[int, np.ndarray, float, np.ndarray]:
-    """(rows, column sums, sum of squares, X^T X Q) in one pass: a d x l sum per partition,
-    tree-summed. X stays sparse."""
-    held = df.sparkSession.sparkContext.broadcast(Q)
+def _pass(df: DataFrame, features: str, q: np.ndarray, first: bool) -> tuple[np.ndarray, tuple[int, np.ndarray, float] | None]:
+    """X^T X q for some columns q of a basis, and with ``first`` also (rows, column sums, sum of squares).
+
+    A task holds one d x columns sum, and sends it on in ranges of rows, each a record; the shuffle adds up
+    the records of a range. X stays sparse."""
+    held = df.sparkSession.sparkContext.broadcast(q)
+    schema = "at int, n long, squares double, sums binary, z binary"
+
+    def cells(at, n, squares, sums, z) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"at": pa.array([at], pa.int32()), "n": [n], "squares": [squares], "sums": [sums.tobytes()], "z": [z.tobytes()]})
 
-    def part(batches):
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q = held.value
-        n, sums, squares, z = 0, np.zeros(q.shape[0]), 0.0, np.zeros(q.shape)
+        n, sums, squares, z = 0, np.zeros(len(q)), 0.0, np.zeros(q.shape)
         for b in batches:
             rows = vector_rows(b.column(0))
             begin, cols, values = rows
@@ -212,38 +194,54 @@ def _pass(df: DataFrame, features: str, Q: np.ndarray) -> tuple[int, np.ndarray,
             sums[used] += np.bincount(at, values, len(used))
             squares += float(values @ values)
         if n:
-            yield pa.RecordBatch.from_pydict({"n": [n], "squares": [squares], "sums": [sums.tobytes()], "z": [z.tobytes()]})
+            for i, lo in enumerate(range(0, len(q), SVD_RANGE)):
+                yield cells(i, n, squares, sums[lo:lo + SVD_RANGE] if first else sums[:0], z[lo:lo + SVD_RANGE])
 
-    parts = df.select(features).mapInArrow(part, "n long, squares double, sums binary, z binary")
-
-    def seq(acc, r):
-        return comb(acc, (r["n"], r["squares"], np.frombuffer(r["sums"]), np.frombuffer(r["z"])))
-
-    def comb(a, b):
-        return b if a is None else a if b is None else tuple(x + y for x, y in zip(a, b, strict=True))
-
-    res = parts.rdd.treeAggregate(None, seq, comb, depth=2)
-    if res is None:
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = None
+        for b in batches:
+            for i in range(b.num_rows):
+                at, n, squares = (b.column(c)[i].as_py() for c in ("at", "n", "squares"))
+                sums, z = (np.frombuffer(b.column(c)[i].as_buffer()) for c in ("sums", "z"))
+                if now is None or now[0] != at:
+                    if now is not None:
+                        yield cells(*now)
+                    now = [at, n, squares, sums.copy(), z.copy()]
+                else:
+                    now = [at, now[1] + n, now[2] + squares, now[3] + sums, now[4] + z]
+        if now is not None:
+            yield cells(*now)
+
+    parts = df.select(features).mapInArrow(part, schema)
+    res = sorted(parts.repartition("at").sortWithinPartitions("at").mapInArrow(summed, schema).collect(), key=lambda r: r["at"])  # d x columns numbers
+    if not res:
         raise ValueError("no rows to fit")
-    return int(res[0]), res[2], float(res[1]), res[3].reshape(Q.shape)
+    z = np.concatenate([np.frombuffer(r["z"]) for r in res]).reshape(q.shape)
+    return z, (res[0]["n"], np.concatenate([np.frombuffer(r["sums"]) for r in res]), res[0]["squares"]) if first else None
 
 
 def fit_svd(benign: DataFrame, k: int, features: str = "features", n_iter: int = SVD_ITER, oversample: int = 10,
             seed: int = GBT_SEED) -> SVDModel:
     """Truncated SVD (uncentred) over all columns by a randomised range finder: each of
-    ``n_iter`` passes multiplies the sparse rows with a d x (k + oversample) basis and back. V is
+    ``n_iter`` iterations multiplies the sparse rows with a d x (k + oversample) basis and back, ``SVD_BLOCK``
+    columns of it in a pass, so that no task holds more. V is
     the best basis of k columns within that range. Explained variance ratio from the last
-    pass: sum_j var(X v_j) / sum var(X), var(X v) = v^T (X^T X / n) v - (mu . v)^2."""
+    iteration: sum_j var(X v_j) / sum var(X), var(X v) = v^T (X^T X / n) v - (mu . v)^2."""
     first = benign.select(features).first()
     if first is None:
         raise ValueError("no rows to fit")
     d = first[0].size
     width = min(d, k + oversample)
     Q, _ = np.linalg.qr(np.random.default_rng(seed).normal(size=(d, width)))
+    stats = None
     for i in range(n_iter):
-        n, sx, squares, Z = _pass(benign, features, Q)
+        Z = np.empty_like(Q)
+        for lo in range(0, width, SVD_BLOCK):
+            Z[:, lo:lo + SVD_BLOCK], got = _pass(benign, features, np.ascontiguousarray(Q[:, lo:lo + SVD_BLOCK]), stats is None)
+            stats = stats or got
         if i < n_iter - 1:
             Q, _ = np.linalg.qr(Z)
+    n, sx, squares = stats
     G = Q.T @ Z                      # Q^T X^T X Q of the last basis
     vals, vecs = np.linalg.eigh((G + G.T) / 2)
     order = np.argsort(vals)[::-1][:k]
@@ -280,7 +278,8 @@ def fit_standardiser(df: DataFrame, col: str, eps: float = 0.0) -> Standardiser:
 class Stacker:
     names: list[str]
     scaler: Standardiser
-    model: object
+    weights: np.ndarray
+    intercept: float
     thr: float | None = None
 
     def transform(self, df: DataFrame, out: str = "fusion_score") -> DataFrame:
@@ -288,12 +287,10 @@ class Stacker:
         missing = [n for n in self.names if n not in df.columns]
         if missing:
             raise ValueError(f"stacker input lacks {missing}")
-        d = df.withColumn("_sx", F.array(*[F.col(n).cast("double") for n in self.names]))
-        d = self.scaler.transform(d, "_sx", "_sz").withColumn("_sv", array_to_vector("_sz"))
-        m = self.model.setFeaturesCol("_sv").setProbabilityCol("_sprob").setRawPredictionCol("_sraw") \
-            .setPredictionCol("_spred")
-        r = m.transform(d)
-        return r.withColumn(out, vector_to_array("_sprob")[1]).drop("_sx", "_sz", "_sv", "_sprob", "_sraw", "_spred")
+        margin = F.lit(self.intercept)
+        for n, mean, std, w in zip(self.names, self.scaler.mean, self.scaler.std, self.weights, strict=True):
+            margin = margin + (F.col(n).cast("double") - F.lit(float(mean))) / F.lit(float(std)) * F.lit(float(w))
+        return df.withColumn(out, 1 / (1 + F.exp(-margin)))
 
 
 def choose_stacker_inputs(columns: Sequence[str], primary: str = "p_primary") -> list[str]:
@@ -315,7 +312,8 @@ def fit_stacker(df: DataFrame, label: str = "label", primary: str = "p_primary",
     n = d.count()
     lr = LogisticRegression(featuresCol="_sv", labelCol="_y", regParam=1.0 / max(n, 1), elasticNetParam=0.0,
                             standardization=False, maxIter=max_iter, tol=1e-8)
-    return Stacker(names, sc, lr.fit(d))
+    model = lr.fit(d)
+    return Stacker(names, sc, model.coefficients.toArray(), float(model.intercept))
 
 
 def dimension_stats(df: DataFrame, arr: str, eps: float = 0.0) -> DataFrame:

@@ -153,22 +153,32 @@ def session_documents(lines: DataFrame, key: str, order: Sequence[str], text_col
     return doc
 
 
+def session_counts(lines: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
+    """A4, A5: per session the line count and the first/last value of the first order column."""
+    first = order[0]
+    return lines.where(F.col(key).isNotNull()).groupBy(key).agg(
+        F.count(F.lit(1)).alias("n_events"), F.min(first).alias("first_order"), F.max(first).alias("last_order"))
+
+
 def session_features(sessions: DataFrame, lines: DataFrame, key: str, order: Sequence[str],
-                     text_col: str) -> DataFrame:
-    """Sessions LEFT (document, event count) from one groupBy of the lines.
+                     text_col: str | None) -> DataFrame:
+    """Sessions LEFT (document, event count) from one groupBy of the lines; without
+    ``text_col`` no document is built.
 
     The count from the lines wins over any count already on the session row; missing
     document -> '', missing count -> 0. duration_sec = end - start of the session row,
     else the line span when the lines carry timestamps, else 0.
     """
     # keys are normalised before they are grouped: spellings of one key are one session
-    docs = session_documents(lines.withColumn(key, normalize_id(key)), key, order, text_col) \
-        .withColumnRenamed(key, "session_id")
+    lines = lines.withColumn(key, normalize_id(key))
+    docs = session_documents(lines, key, order, text_col) if text_col else session_counts(lines, key, order)
+    docs = docs.withColumnRenamed(key, "session_id")
     s = sessions.withColumn("session_id", normalize_id("session_id"))
     s = s.drop("n_events", "doc")
     out = s.join(docs, "session_id", "left")
-    out = out.withColumn("doc", F.coalesce("doc", F.lit(""))) \
-        .withColumn("n_events", coalesce_cast("n_events", 0, "long"))
+    out = out.withColumn("n_events", coalesce_cast("n_events", 0, "long"))
+    if text_col:
+        out = out.withColumn("doc", F.coalesce("doc", F.lit("")))
     if {"timestamp_start", "timestamp_end"} <= set(s.columns):
         dur = duration_seconds("timestamp_start", "timestamp_end")
     elif dict(lines.dtypes).get(order[0], "").startswith("timestamp"):

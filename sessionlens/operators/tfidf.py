@@ -14,13 +14,17 @@ idf = ln((1 + n) / (1 + df)) + 1; weight = raw count * idf, L2-normalised per se
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.feature import (CountVectorizer, ElementwiseProduct, IDF, NGram, Normalizer,
                                 RegexTokenizer, SQLTransformer, VectorAssembler)
-from pyspark.ml.linalg import DenseVector
+from pyspark.ml.linalg import DenseVector, VectorUDT
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 from ..functions.columns import epoch_micros
 from ..functions.text import TOKEN_PATTERN, tokens
@@ -33,28 +37,29 @@ CHUNK = 4096
 
 
 def line_terms(lines: DataFrame, key: str, pos: str, text: str, chunk: int = CHUNK,
-               chunk_seconds: int = 3600) -> DataFrame:
+               chunk_seconds: int = 3600, ties: Sequence[str] = ()) -> DataFrame:
     """(key, term) rows: unigrams, bigrams inside a line, and the bigram joining the last
     token of the previous token-bearing line to the first token of the next one.
 
     Each line is tokenised once. The previous token comes from a window inside
     (key, pos chunk); the first line of a chunk takes the last token of the previous
     non-empty chunk from a per-chunk summary (one row per chunk). No window ever holds a
-    whole session, and all terms of a line come out of one explode.
+    whole session, and all terms of a line come out of one explode. ``ties`` put lines of one
+    position in order.
     """
     p = F.col(pos)
     if dict(lines.dtypes)[pos].startswith("timestamp"):
         p = epoch_micros(F.col(pos))
         chunk = chunk_seconds * 1_000_000   # time order: chunks are time spans
-    t = lines.where(F.col(key).isNotNull()).select(F.col(key), p.alias("_pos"), tokens(text).alias("_tok")) \
+    t = lines.where(F.col(key).isNotNull()).select(F.col(key), p.alias("_pos"), F.struct(p.alias("_p"), *ties).alias("_at"), tokens(text).alias("_tok")) \
         .withColumn("_chunk", F.floor(F.col("_pos") / F.lit(chunk)))
     n = F.size("_tok")
     last_tok = F.when(n > 0, F.element_at("_tok", -1))
-    w_in = Window.partitionBy(key, "_chunk").orderBy("_pos").rowsBetween(Window.unboundedPreceding, -1)
+    w_in = Window.partitionBy(key, "_chunk").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
     t = t.withColumn("_prev", F.last(last_tok, ignorenulls=True).over(w_in))
     # the summary reads the same windowed rows (no extra filter), so the (key, chunk)
     # exchange and the tokenising are shared with the main branch
-    summ = t.groupBy(key, "_chunk").agg(F.max_by(last_tok, F.when(n > 0, F.col("_pos"))).alias("_clast"))
+    summ = t.groupBy(key, "_chunk").agg(F.max_by(last_tok, F.when(n > 0, F.col("_at"))).alias("_clast"))
     w_c = Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     summ = summ.select(key, "_chunk", F.last("_clast", ignorenulls=True).over(w_c).alias("_pclast"))
     t = t.join(summ, [key, "_chunk"], "left")
@@ -110,6 +115,54 @@ def relational_tfidf(lines: DataFrame, key: str, pos: str, text: str, n_docs: in
     return w.join(norm, key).select(key, "term", (F.col("w") / F.col("_norm")).alias("weight"))
 
 
+# ------------------------------------------------------------------ vectors from rows
+@dataclass
+class Vectoriser:
+    """A fitted vocabulary as a stored table (term, term_idx, idf) of at most MAX_FEATURES rows, and its size."""
+
+    terms: DataFrame
+    size: int
+
+    def transform(self, sessions: DataFrame, tf: DataFrame, key: str = "session_id", numeric: Sequence[str] = ("n_events", "duration_sec"),
+                  out: str = "features") -> DataFrame:
+        """``sessions`` with ``out`` = [L2 TF-IDF | raw numeric columns] from ``tf`` (key, term, tf), which no document is needed
+        for: a session's row holds its distinct terms of the vocabulary."""
+        w = tf.join(small_side(self.terms), "term").select(key, "term_idx", (F.col("tf") * F.col("idf")).alias("w"))
+        own = w.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("term_idx", "w"))).alias("_e"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_n"))
+        width, m = self.size + len(numeric), len(numeric)
+
+        @arrow_udf(VectorUDT())
+        def vector(ids: pa.Array, values: pa.Array, numbers: pa.Array) -> pa.Array:
+            n = len(ids)
+            more = numbers.flatten().to_numpy(zero_copy_only=False).reshape(n, m)
+            begin = np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy())])
+            at = np.concatenate([np.arange(begin[-1]) + m * np.repeat(np.arange(n), np.diff(begin)), (begin[1:, None] + m * np.arange(n)[:, None] + np.arange(m)).ravel()])
+            i, v = np.empty(len(at), np.int32), np.empty(len(at))
+            i[at] = np.concatenate([ids.flatten().to_numpy(zero_copy_only=False), np.tile(self_size + np.arange(m), n)])
+            v[at] = np.concatenate([values.flatten().to_numpy(zero_copy_only=False), more.ravel()])
+            ends = pa.array((begin + m * np.arange(n + 1)).astype(np.int32))
+            return pa.StructArray.from_arrays([pa.array(np.zeros(n, np.int8)), pa.array(np.full(n, width, np.int32)), pa.ListArray.from_arrays(ends, pa.array(i)),
+                                               pa.ListArray.from_arrays(ends, pa.array(v))], names=["type", "size", "indices", "values"])
+
+        self_size = self.size
+        numbers = F.array(*[F.col(c).cast("double") for c in numeric]) if m else F.array().cast("array<double>")
+        e = F.coalesce("_e", F.array().cast("array<struct<term_idx:int,w:double>>"))
+        made = vector(F.transform(e, lambda x: x["term_idx"]), F.transform(e, lambda x: x["w"] / F.col("_n")), numbers)
+        return sessions.join(own, key, "left").withColumn(out, made).drop("_e", "_n")
+
+
+def fit_vectoriser(tf: DataFrame, fit_keys: DataFrame, key: str = "session_id", min_df: int = MIN_DF,
+                   max_features: int = MAX_FEATURES) -> Vectoriser:
+    """vocabulary and idf of the sessions ``fit_keys`` (one row each) from ``tf``, a stored table of (key, term, tf). Terms are numbered from the
+    most frequent on."""
+    n = fit_keys.select(key).distinct().count()
+    voc = vocabulary(tf.join(fit_keys.select(key).distinct(), key, "left_semi"), key, min_df, max_features)
+    terms = row_index(voc, [F.col("cnt").desc(), "term"], "term_idx")
+    idf = F.log((1.0 + n) / (1.0 + F.col("df"))) + 1.0
+    terms = stored(terms.select("term", F.col("term_idx").cast("int").alias("term_idx"), idf.alias("idf")), "vocabulary")
+    return Vectoriser(terms, terms.count())
+
+
 # ------------------------------------------------------------------ Spark ML form
 def _token_stages(doc_col: str):
     tok = RegexTokenizer(inputCol=doc_col, outputCol="_tokens", pattern="(?U)" + TOKEN_PATTERN, gaps=False,

@@ -694,6 +694,7 @@ def q_hourly_alerts(spark, d):
 
 
 # ================================================================= models (L1-L16), rows-only checks
+from ..operators.boosting import Boosting  # noqa: E402
 from ..plans import detector as DT  # noqa: E402
 
 _ARTIFACTS: dict = {}
@@ -710,7 +711,7 @@ def embedding_features(spark, d):
 
 # Smaller than the defaults, which are the source's: rounds, depth and widths that fit the driver's
 # small tables, so that a registered check ends in seconds.
-MODEL_QUERY = dict(svd_k=32, bottleneck=8, gbt_iter=10, gbt_depth=4, folds=5, min_val_rows=1000, min_val_pos=50)
+MODEL_QUERY = dict(svd_k=32, bottleneck=8, trees=Boosting(rounds=10, leaves=16), folds=5, min_val_rows=1000, min_val_pos=50)
 
 
 def trained(spark, d):
@@ -920,7 +921,7 @@ def q_metrics(spark, d):
 from ..plans import training as TR  # noqa: E402
 
 # smaller than the defaults, as MODEL_QUERY is; all columns are read
-LOG_QUERY = dict(svd_k=16, bottleneck=4, gbt_iter=5, gbt_depth=3, folds=5)
+LOG_QUERY = dict(svd_k=16, bottleneck=4, trees=Boosting(rounds=5, leaves=8), folds=5)
 
 
 def log_table(spark, d):

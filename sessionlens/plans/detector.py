@@ -9,111 +9,63 @@ in one plan (L14-L16) and yields the alert table (T10).
 
 from __future__ import annotations
 
-import json
 from dataclasses import dataclass
 
-import numpy as np
 from pyspark import StorageLevel
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml import PipelineModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import autoenc as AE
 from ..operators import evaluation as EV
 from ..operators import models as M
+from ..operators.boosting import Boosting
 from ..operators.split import apply_split, decide_cut
 from ..session import stored
-from ..sources import storage as ST
+from .stages import ChannelsStage, ReduceStage, StackStage, TreesStage, load_plan, save_plan
 
 ALERT_COLUMNS = ["session_id", "timestamp", "p_score_iso", "z_ae", "fusion_score", "is_alert", "label"]
 
 
 @dataclass
 class Detectors:
+    """What training has fitted. ``plan`` is all of it as one PipelineModel."""
+
     gbt: M.CalibratedGBT
     svd: M.SVDModel | None
     scaler: M.Standardiser
     ae: AE.LinearAE
     stacker: M.Stacker
-    cut_us: float | None
-    tree_on_svd: bool = False
+    cut_us: float | None = None
+
+    def plan(self) -> PipelineModel:
+        return PipelineModel([TreesStage(self.gbt), ReduceStage(self.svd, self.scaler), ChannelsStage(self.ae), StackStage(self.stacker)])
 
     # ------------------------------------------------------------------ S11 save / load
     def save(self, path: str) -> None:
-        spark = SparkSession.active()
-        for i, (m, iso) in enumerate(self.gbt.pairs):
-            m.write().overwrite().save(f"{path}/gbt_{i}")
-            iso.write().overwrite().save(f"{path}/iso_{i}")
-        self.stacker.model.write().overwrite().save(f"{path}/stacker")
-        consts = {
-            "n_pairs": len(self.gbt.pairs), "cut_us": self.cut_us, "tree_on_svd": self.tree_on_svd,
-            "svd_V": self.svd.V.tolist() if self.svd else None, "svd_evr": self.svd.evr if self.svd else None,
-            "scaler_mean": self.scaler.mean.tolist(), "scaler_std": self.scaler.std.tolist(),
-            "ae_kind": "linear" if self.ae.P is not None else "dense",
-            "ae_P": self.ae.P.tolist() if self.ae.P is not None else None,
-            "ae_weights": None if self.ae.P is not None else {k: v.tolist() for k, v in self.ae.recon.weights.items()},
-            "ae_code_mean": self.ae.code_stats.mean.tolist(),
-            "ae_code_std": self.ae.code_stats.std.tolist(), "ae_med": self.ae.med, "ae_mad": self.ae.mad,
-            "ae_thr": self.ae.thr, "stacker_names": self.stacker.names, "stacker_thr": self.stacker.thr,
-            "stacker_mean": self.stacker.scaler.mean.tolist(), "stacker_std": self.stacker.scaler.std.tolist(),
-        }
-        ST.write_text(spark, f"{path}/constants.json", json.dumps(consts), overwrite=True)
+        save_plan(self.plan(), path)
 
     @staticmethod
     def load(path: str) -> Detectors:
-        from pyspark.ml.classification import GBTClassificationModel, LogisticRegressionModel
-        from pyspark.ml.regression import IsotonicRegressionModel
-        req = ["constants.json", "stacker", "gbt_0", "iso_0"]
-        spark = SparkSession.active()
-        missing = [r for r in req if not ST.exists(spark, f"{path}/{r}")]
-        if missing:
-            raise FileNotFoundError(f"missing artifacts {missing} under {path}")
-        c = json.loads(ST.read_text(spark, f"{path}/constants.json"))
-        pairs = [(GBTClassificationModel.load(f"{path}/gbt_{i}"),
-                  IsotonicRegressionModel.load(f"{path}/iso_{i}")) for i in range(c["n_pairs"])]
-        svd = M.SVDModel(np.array(c["svd_V"]), c["svd_evr"]) if c["svd_V"] is not None else None
-        if c.get("ae_kind", "linear") == "linear":
-            recon = AE.LinearRecon(np.array(c["ae_P"]))
-        else:
-            from ..operators.dense_ae import DenseAE
-            recon = DenseAE({k: np.array(v) for k, v in c["ae_weights"].items()}, [])
-        ae = AE.LinearAE(recon, M.Standardiser(np.array(c["ae_code_mean"]), np.array(c["ae_code_std"])),
-                         c["ae_med"], c["ae_mad"], c["ae_thr"])
-        st = M.Stacker(c["stacker_names"], M.Standardiser(np.array(c["stacker_mean"]), np.array(c["stacker_std"])),
-                       LogisticRegressionModel.load(f"{path}/stacker"), c["stacker_thr"])
-        return Detectors(M.CalibratedGBT(pairs), svd, M.Standardiser(np.array(c["scaler_mean"]),
-                                                                       np.array(c["scaler_std"])), ae, st, c["cut_us"],
-                         c.get("tree_on_svd", False))
+        trees, reduce_, channels, stack = load_plan(SparkSession.active(), path).stages
+        return Detectors(trees.gbt, reduce_.svd, reduce_.scaler, channels.ae, stack.stacker)
 
     # ------------------------------------------------------------------ channels
-    def ae_input(self, df: DataFrame, features: str = "features") -> DataFrame:
-        d = self.svd.transform(df, features, "_ae_raw") if self.svd else \
-            df.withColumn("_ae_raw", vector_to_array(F.col(features)))
-        return self.scaler.transform(d, "_ae_raw", "_ae_x").drop("_ae_raw")
-
-    def channels(self, df: DataFrame, features: str = "features") -> DataFrame:
-        if self.tree_on_svd:
-            d = self.gbt.predict(with_svd(df, self.svd, features), "p_primary", "_tree_x").drop("_tree_x")
-        else:
-            d = self.gbt.predict(df, "p_primary", features)
-        d = self.ae.channels(self.ae_input(d, features), "_ae_x").drop("_ae_x")
-        return d
-
-    def score(self, df: DataFrame, features: str = "features") -> DataFrame:
+    def ae_input(self, df: DataFrame) -> DataFrame:
+        return ReduceStage(self.svd, self.scaler).transform(df)
+
+    def channels(self, df: DataFrame) -> DataFrame:
+        return ChannelsStage(self.ae).transform(self.ae_input(TreesStage(self.gbt).transform(df)))
+
+    def score(self, df: DataFrame) -> DataFrame:
         """The alert table for any session feature rows (label -1 when absent)."""
-        d = self.stacker.transform(self.channels(df, features))
-        thr = self.stacker.thr if self.stacker.thr is not None else 0.5
-        d = d.withColumn("is_alert", (F.col("fusion_score") >= F.lit(thr)).cast("int"))
+        d = self.plan().transform(df)
         if "label" not in d.columns:
             d = d.withColumn("label", F.lit(-1))
         return alert_table(d)
 
 
-def with_svd(df: DataFrame, svd: M.SVDModel, features: str = "features", out: str = "_tree_x") -> DataFrame:
-    """The tree input: the SVD of all columns as a vector."""
-    return svd.transform(df, features, "_svd").withColumn(out, array_to_vector("_svd")).drop("_svd")
-
-
 def alert_table(d: DataFrame) -> DataFrame:
     """T10 projection (p_primary exported under its dashboard name)."""
     return d.select("session_id", "timestamp", F.col("p_primary").alias("p_score_iso"), "z_ae", "fusion_score",
@@ -121,16 +73,12 @@ def alert_table(d: DataFrame) -> DataFrame:
 
 
 def train_detectors(feats: DataFrame, order: str = "timestamp", tiebreak: str = "session_id",
-                    svd_k: int | None = None, bottleneck: int = AE.BOTTLENECK, gbt_iter: int = M.GBT_MAX_ITER,
-                    gbt_depth: int = M.GBT_MAX_DEPTH, folds: int = M.N_FOLDS, benign_cap: int = M.BENIGN_CAP,
+                    svd_k: int | None = None, bottleneck: int = AE.BOTTLENECK, trees: Boosting = Boosting(),
+                    folds: int = M.N_FOLDS, benign_cap: int = M.BENIGN_CAP,
                     min_val_rows: int = 1000, min_val_pos: int = 50, ae_kind: str = "linear",
-                    ae_hidden: int | None = None, ae_epochs: int | None = None,
-                    tree_on_svd: bool = False) -> tuple[Detectors, DataFrame]:
-    """Fit every detector; returns the artifacts and the validation alert table.
-
-    ``tree_on_svd``: the trees read the SVD of all columns instead of the columns. Boosted trees bin
-    every column of a row, so for a vocabulary they would hold rows as wide as it.
-    """
+                    ae_hidden: int | None = None, ae_epochs: int | None = None) -> tuple[Detectors, DataFrame]:
+    """Fit every detector; returns the artifacts and the validation alert table. The trees read the columns
+    of ``features`` as they are, sparse."""
     # lineage cut: the feature table is read by every fit below (reliable checkpoint,
     # so a lost executor re-reads it instead of recomputing the features)
     feats = stored(feats, "features")
@@ -140,15 +88,12 @@ def train_detectors(feats: DataFrame, order: str = "timestamp", tiebreak: str =
     val = sp.where(F.col("split") == "val")
     benign_tr = train.where(F.col("label") == 0)
     # the cap holds for the SVD fit only; scaler, autoencoder and code statistics read all benign rows
-    svd = M.fit_svd(M.benign_sample(train, tiebreak, "label", benign_cap), svd_k) if svd_k else None
-    if tree_on_svd and svd is None:
-        raise ValueError("tree_on_svd needs svd_k")
-    tree_in = stored(with_svd(train, svd).drop("features"), "tree-input") if tree_on_svd else train
-    gbt = M.fit_calibrated_gbt(tree_in, order, tiebreak, "_tree_x" if tree_on_svd else "features", "label", folds, gbt_iter, gbt_depth)
+    svd = M.fit_svd(stored(M.benign_sample(train, tiebreak, "label", benign_cap).select("features"), "benign-sample"), svd_k) if svd_k else None
+    gbt = M.fit_calibrated_gbt(train, order, tiebreak, "features", "label", folds, trees)
     raw = svd.transform(benign_tr, "features", "_ae_raw") if svd else \
         benign_tr.withColumn("_ae_raw", vector_to_array(F.col("features")))
     scaler = M.fit_standardiser(raw, "_ae_raw")
-    det = Detectors(gbt, svd, scaler, None, None, dec.cut_us, tree_on_svd)  # type: ignore[arg-type]
+    det = Detectors(gbt, svd, scaler, None, None, dec.cut_us)  # type: ignore[arg-type]
     x_tr = det.ae_input(benign_tr)
     if ae_kind == "dense":
         det.ae = AE.fit_dense_ae_detector(x_tr, "_ae_x", tiebreak, bottleneck, ae_hidden, ae_epochs)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sessionlens.operators import evaluation as EV
 from sessionlens.operators import models as M
+from sessionlens.operators.boosting import Boosting
 from sessionlens.plans import catalog as C
 from sessionlens.plans.detector import Detectors
 
@@ -34,7 +35,7 @@ def test_detectors_learn_planted_signal_and_roundtrip(spark, tmpdir_path):
     arr = vector_to_array("features")
     shifted = F.transform(arr, lambda x, i: F.when((F.col("label") == 1) & (i < 2), x + 1.0).otherwise(x))
     feats = base.withColumn("features", array_to_vector(shifted))
-    det, val = train_detectors(feats, "timestamp", "session_id", svd_k=16, bottleneck=4, gbt_iter=5, gbt_depth=3)
+    det, val = train_detectors(feats, "timestamp", "session_id", svd_k=16, bottleneck=4, trees=Boosting(rounds=5, leaves=8))
     p = EV.summary(val, "p_score_iso", "label").collect()[0]
     s = EV.summary(val, "fusion_score", "label").collect()[0]
     assert p.roc_auc > 0.9
@@ -102,7 +103,7 @@ def test_the_cap_holds_for_the_svd_only(spark):
     x[::10] += 4
     rows = [(f"s{i:03d}", i, int(i % 10 == 0), Vectors.dense(x[i])) for i in range(400)]
     df = spark.createDataFrame(rows, ["session_id", "timestamp", "label", "features"])
-    det, _ = train_detectors(df, svd_k=None, bottleneck=2, gbt_iter=2, gbt_depth=2, folds=2, benign_cap=30, min_val_rows=1, min_val_pos=1)
+    det, _ = train_detectors(df, svd_k=None, bottleneck=2, trees=Boosting(rounds=2, leaves=4), folds=2, benign_cap=30, min_val_rows=1, min_val_pos=1)
     benign = np.array([v for i, v in enumerate(x) if i % 10 and i < det.cut_us])
     assert len(benign) > 200
     assert np.allclose(det.scaler.mean, benign.mean(0)) and np.allclose(det.scaler.std, benign.std(0))

@@ -106,10 +106,11 @@ def test_score_stream_upserts_alert_rows(spark, tmpdir_path):
     the table equals batch scoring."""
     from pyspark.ml.functions import array_to_vector
 
+    from sessionlens.operators.boosting import Boosting
     from sessionlens.plans import catalog as C
     from sessionlens.plans.detector import train_detectors
     feats = C.embedding_features(spark, SF_SMALL)
-    det, _ = train_detectors(feats, "timestamp", "session_id", svd_k=8, bottleneck=4, gbt_iter=2, gbt_depth=2,
+    det, _ = train_detectors(feats, "timestamp", "session_id", svd_k=8, bottleneck=4, trees=Boosting(rounds=2, leaves=4),
                              folds=2, min_val_rows=1, min_val_pos=1)
     src = os.path.join(tmpdir_path, "feat")
     os.makedirs(src)
