@@ -14,7 +14,8 @@ holds at once; a record is one page's, whatever the size of its group of copies.
 Defined cases: null html is an empty payload; a null page_id or url leaves the header out and
 is read as null; a page whose id is null is a response, and others revisit the smallest
 id that isn't null; rows that repeat the smallest id of a payload are all responses; control
-characters in a url are percent-encoded; an empty table gives archives without records.
+characters in a url are percent-encoded; in archives of others, each record may be a gzip member of its own or none, a
+header that names no page is null, and a cut file is an error; an empty table gives archives without records.
 """
 
 from __future__ import annotations
@@ -38,6 +39,8 @@ END = "\r\n\r\n"
 SEGMENT_BYTES = 16 * 1024
 CHUNK_BYTES = 4 * 1024
 RECORDS_PER_FILE = 2000
+#: Bytes that are unpacked at once, and bytes of blocks in a frame of records.
+PIECE, FRAME_BYTES = 1 << 16, 1 << 24
 
 
 def base32_sha1(hexed: str) -> str:
@@ -130,21 +133,70 @@ def write_warc(pages: DataFrame, path: str, min_bytes: int = 0, segment_bytes: i
      .write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path))
 
 
-def parse_records(data: bytes) -> Iterator[dict]:
-    """The records of an archive: its headers with lower-case names, and ``block``."""
-    at = 0
-    while at < len(data):
-        end = data.index(END.encode(), at)
-        lines = data[at:end].decode().split("\r\n")
+def unzipped(data: bytes) -> Iterator[bytes]:
+    """What an archive holds, piece by piece: of one gzip member after the other, or as it is if it isn't compressed."""
+    view, at = memoryview(data), 0
+    if bytes(view[:2]) != b"\x1f\x8b":
+        yield from (bytes(view[i:i + PIECE]) for i in range(0, len(view), PIECE))
+        return
+    while at < len(view):
+        if not any(view[at:at + 1]):  # members may be padded with zeros
+            at += 1
+            continue
+        member = zlib.decompressobj(31)
+        while not member.eof:
+            if at >= len(view):
+                raise ValueError("a gzip member is cut short")
+            piece = view[at:at + PIECE]
+            out = member.decompress(piece)
+            at += len(piece) - len(member.unused_data)
+            if out:
+                yield out
+
+
+def _head(lines: list[str]) -> dict:
+    """Headers with lower-case names; a line that begins with a blank goes on with the one before."""
+    out: list[list[str]] = []
+    for x in lines:
+        if x[:1] in " \t" and out:
+            out[-1][1] += " " + x.strip()
+        else:
+            name, _, value = x.partition(":")
+            out.append([name.strip().lower(), value.strip()])
+    return dict(out)
+
+
+def parse_records(data: bytes | Iterator[bytes]) -> Iterator[dict]:
+    """The records of an archive, given whole or in pieces: its headers with lower-case names, and ``block``. No more than a
+    record and a piece is held. What isn't a whole record is an error."""
+    pieces, held, at = iter([data] if isinstance(data, bytes) else data), bytearray(), 0
+
+    def more() -> bool:
+        piece = next(pieces, None)
+        held.extend(piece or b"")
+        return piece is not None
+
+    while True:
+        seen = 0
+        while (end := held.find(END.encode(), max(0, seen - len(END)))) < 0:
+            seen = len(held)
+            if not more():
+                if held.strip():
+                    raise ValueError(f"the record at byte {at} is cut short")
+                return
+        lines = held[:end].decode().split("\r\n")
         if not lines[0].startswith("WARC/"):
             raise ValueError(f"no WARC record at byte {at}")
-        head = {k.lower(): v for k, v in (x.split(": ", 1) for x in lines[1:])}
+        head = _head(lines[1:])
         begin = end + len(END)
         stop = begin + int(head["content-length"])
-        if data[stop:stop + len(END)] != END.encode():
-            raise ValueError(f"record at byte {at} isn't as long as it says")
-        yield head | {"block": data[begin:stop]}
-        at = stop + len(END)
+        while len(held) < stop + len(END) and more():
+            pass
+        if held[stop:stop + len(END)] != END.encode():
+            raise ValueError(f"the record at byte {at} isn't as long as it says")
+        yield head | {"block": bytes(held[begin:stop])}
+        del held[:stop + len(END)]
+        at += stop + len(END)
 
 
 RECORDS = ("warc_type string, record_id string, url string, page_id long, payload_digest string, refers_to long, "
@@ -152,11 +204,14 @@ RECORDS = ("warc_type string, record_id string, url string, page_id long, payloa
 
 
 def _page_number(head: dict, key: str) -> int | None:
-    return int(head[key][len("<urn:page:"):-1]) if key in head else None
+    """The page that a header names, null if it names something else."""
+    m = re.fullmatch(r"<urn:page:(-?[0-9]+)>", head.get(key, ""))
+    return int(m[1]) if m else None
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """A row per WARC record of the ``.gz`` files in ``path``, as they lie there."""
+    """A row per WARC record of the ``.gz`` and ``.warc`` files in ``path``, as they lie there. A task holds a file as it is
+    stored, a record, and a frame of records."""
     import pyarrow as pa
 
     def parsed(files):
@@ -164,18 +219,27 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
         kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int32(),
                  pa.int64(), pa.binary()]
         schema = pa.schema(list(zip(names, kinds, strict=True)))
+
+        def frame(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], schema=schema)
+
         for batch in files:
             for content in batch.column("content"):
-                rows = [(h["warc-type"], h["warc-record-id"], h.get("warc-target-uri"), _page_number(h, "x-page-id"),
-                         h.get("warc-payload-digest", "").removeprefix("sha1:") or None, _page_number(h, "warc-refers-to"),
-                         h.get("warc-segment-origin-id"), int(h["warc-segment-number"]) if "warc-segment-number" in h else None,
-                         int(h["warc-segment-total-length"]) if "warc-segment-total-length" in h else None, h["block"])
-                        for h in parse_records(zlib.decompress(content.as_py(), 31) if len(content.as_py()) else b"")]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
-                                                 if rows else [pa.array([], k) for k in kinds], schema=schema)
+                rows, size = [], 0
+                for h in parse_records(unzipped(content.as_py())):
+                    rows.append((h["warc-type"], h["warc-record-id"], h.get("warc-target-uri"), _page_number(h, "x-page-id"),
+                                 h.get("warc-payload-digest", "").removeprefix("sha1:") or None, _page_number(h, "warc-refers-to"),
+                                 h.get("warc-segment-origin-id"), int(h["warc-segment-number"]) if "warc-segment-number" in h else None,
+                                 int(h["warc-segment-total-length"]) if "warc-segment-total-length" in h else None, h["block"]))
+                    size += len(h["block"])
+                    if size > FRAME_BYTES:
+                        yield frame(rows)
+                        rows, size = [], 0
+                if rows:
+                    yield frame(rows)
 
     # a task gets files of spark.sql.files.maxPartitionBytes together, at most
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{gz,warc}").load(path).select("content")
     return files.mapInArrow(parsed, RECORDS)
 
 
@@ -188,7 +252,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     digest of the header; for a revisit, that its target is stated. A record that can't be put
     together keeps its row, with a null payload and verified = false.
     """
-    records = read_records(spark, path)
+    records = read_records(spark, path).filter(F.col("warc_type").isin("response", "revisit", "continuation", "resource"))
     whole = records.filter("segment_number IS NULL").withColumns({"n_segments": F.lit(1), "sound": F.lit(True)})
     parts = records.filter("segment_number IS NOT NULL").withColumn("origin", F.coalesce("origin_id", "record_id"))
     # the segments of one record: one page's payload, so the group is as large as its result
@@ -205,7 +269,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     def payload(kind: str, block: bytes) -> tuple[bytes | None, int | None]:
         head, _, body = block.partition(END.encode())
         if kind == "revisit":
-            m = re.search(rb"\r\nContent-Length: ([0-9]+)", head)
+            m = re.search(rb"(?i)\r\nContent-Length: *([0-9]+)", head)
             return None, int(m[1]) if m else None
         try:
             body = dechunked(body) if re.search(rb"(?i)\r\ntransfer-encoding: *chunked", head) else body

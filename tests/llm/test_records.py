@@ -71,6 +71,43 @@ def test_a_missing_segment_is_noticed(spark, tmpdir_path):
     assert not row.verified and row.payload is None and row.page_id == 1
 
 
+def foreign(n, folded=False):
+    body = f"HTTP/1.1 200 OK\r\nContent-Type:text/html\r\n\r\npage {n}".encode()
+    digest = warc.base32_sha1(hashlib.sha1(f"page {n}".encode()).hexdigest())
+    uri = f"WARC-Target-URI: http://x/{n}\r\n /more" if folded else f"warc-target-uri:http://x/{n}"
+    return f"WARC/1.0\r\nWARC-Type: response\r\n{uri}\r\nWARC-Record-ID: <urn:uuid:{n}>\r\nWARC-Payload-Digest: sha1:{digest}\r\nContent-Length:{len(body)}\r\n\r\n".encode() + body + b"\r\n\r\n"
+
+
+INFO = b"WARC/1.0\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:i>\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"
+
+
+def test_archives_of_others(spark, tmpdir_path):
+    """A gzip member for each record, no compression, headers without blanks, folded ones, padding."""
+    import gzip
+    import os
+    os.makedirs(f"{tmpdir_path}/others")
+    with open(f"{tmpdir_path}/others/a.warc.gz", "wb") as f:
+        f.write(b"".join(gzip.compress(x) for x in [INFO, *[foreign(n) for n in range(5)]]) + b"\x00" * 7)
+    with open(f"{tmpdir_path}/others/b.warc", "wb") as f:
+        f.write(INFO + foreign(10) + foreign(11, folded=True))
+    with open(f"{tmpdir_path}/others/c.warc", "wb"):
+        pass
+    out = {r.url: r for r in warc.read_warc(spark, f"{tmpdir_path}/others").collect()}
+    assert set(out) == {*[f"http://x/{n}" for n in [*range(5), 10]], "http://x/11 /more"} and all(r.verified and r.page_id is None for r in out.values())
+    assert bytes(out["http://x/3"].payload) == b"page 3"
+    assert warc.read_records(spark, f"{tmpdir_path}/others").filter("warc_type = 'warcinfo'").count() == 2
+
+
+def test_cut_archives_are_errors():
+    import gzip
+    whole = gzip.compress(foreign(1)) + gzip.compress(foreign(2))
+    assert len(list(warc.parse_records(warc.unzipped(whole)))) == 2
+    for data in (whole[:-9], whole[:-1], gzip.compress(foreign(1)[:-1]), foreign(1)[:-2], foreign(1)[:40], foreign(1)[1:]):
+        with pytest.raises(ValueError):
+            list(warc.parse_records(warc.unzipped(data)))
+    assert [len(r["block"]) for r in warc.parse_records(bytes([b]) for b in foreign(4))] == [len(foreign(4)) - foreign(4).index(b"HTTP") - 4]
+
+
 def test_framing():
     for size in (1, 3, 100):
         assert warc.dechunked(warc.chunked(b"hello\r\nworld", size)) == b"hello\r\nworld"
