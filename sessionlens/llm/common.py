@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionlens.session import small_side, stored
 
-__all__ = ["batches", "clashless", "gathered", "small_batches", "small_side", "stored", "table", "text_size", "words"]
+__all__ = ["batches", "clashless", "gathered", "small_batches", "small_side", "stored", "table", "text_size", "trimmed", "words"]
 
 #: One character of white space as the word rules name it: space, and tab to carriage return.
 SPACE = r"[\x20\x09-\x0D]"
@@ -59,18 +61,29 @@ def batches(frames: Iterator[pd.DataFrame], size: Callable[[pd.Series], pd.Serie
             yield rows
 
 
-def gathered(frames: Iterator[pd.DataFrame], rows: int) -> Iterator[pd.DataFrame]:
-    """The frames put together until they have ``rows`` rows at least."""
-    held, n = [], 0
+def gathered(frames: Iterator[pd.DataFrame], rows: int, size: Callable[[pd.DataFrame], int] = lambda f: 0, most: int = 1) -> Iterator[pd.DataFrame]:
+    """The frames put together until they have ``rows`` rows at least, or a ``size`` of ``most``."""
+    held, n, total = [], 0, 0
     for f in frames:
         held.append(f)
         n += len(f)
-        if n >= rows:
+        total += size(f)
+        if n >= rows or total >= most:
             yield pd.concat(held, ignore_index=True)
-            held, n = [], 0
+            held, n, total = [], 0, 0
     if n:
         yield pd.concat(held, ignore_index=True)
 
 
+def trimmed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The frames; after the last one, what the worker has freed goes back to the system. A worker waits idle for a minute,
+    beside what the next stage needs."""
+    yield from frames
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 def text_size(texts: pd.Series) -> pd.Series:
     return texts.str.len().fillna(0).astype("int64") + 1

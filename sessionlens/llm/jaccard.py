@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, clashless, gathered, small_batches, small_side, stored, table, text_size
+from .common import batches, clashless, gathered, small_batches, small_side, stored, table, text_size, trimmed
 from .components import components
 from .shingles import mix, shingle_sets
 
@@ -49,6 +49,8 @@ SMALL_UNIT = 32
 #: deviations under what a pair of the wanted similarity shows.
 LEAST_EQUAL = 0.52
 BATCH_CHARS = 500_000
+#: Bytes of shingles that are gathered before whole units of them are verified.
+UNIT_BYTES = 1 << 25
 BROADCAST_ROWS = 500_000
 
 
@@ -92,7 +94,7 @@ def signatures(docs: DataFrame, trees: int = TREES, width: int = 4) -> DataFrame
             yield out[out["size"] > 0]
 
     return docs.filter("doc_id IS NOT NULL").select("doc_id", "text").mapInPandas(
-        signed, "doc_id long, size long, k1 long, k2 long, sig binary")
+        lambda frames: trimmed(signed(frames)), "doc_id long, size long, k1 long, k2 long, sig binary")
 
 
 def _units(members: DataFrame) -> DataFrame:
@@ -107,7 +109,7 @@ def _groups(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Frames of whole units, from frames that are sorted by unit. The last unit of a frame waits
     for the next frame."""
     rest = None
-    for f in gathered(frames, UNIT_ROWS):
+    for f in gathered(frames, UNIT_ROWS, lambda f: sum(map(len, f["shingles"])) if "shingles" in f else 0, UNIT_BYTES):
         f = f if rest is None else pd.concat([rest, f], ignore_index=True)
         last = (f[["node", "i", "j"]] == f[["node", "i", "j"]].iloc[-1]).all(axis=1).to_numpy()
         cut = int(np.flatnonzero(~last).max()) + 1 if not last.all() else 0
@@ -245,7 +247,7 @@ def links(sigs: DataFrame, docs: DataFrame, similarity: float = SIMILARITY, tree
             yield pd.DataFrame({"u": rep[linked], "v": rep[label[linked]], "n": n[linked]})
 
     full = work.join(found, "rep").repartition(*unit).sortWithinPartitions(*unit, "rep").select(*unit, "tree", "b", "rep", "sig", "shingles")
-    return full.mapInPandas(verified, "u long, v long, n long")
+    return full.mapInPandas(lambda frames: trimmed(verified(frames)), "u long, v long, n long")
 
 
 def near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

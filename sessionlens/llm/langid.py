@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, small_batches, table, text_size
+from .common import batches, small_batches, table, text_size, trimmed
 
 #: Families by language code; a code that isn't listed is a family of its own.
 FAMILIES = {
@@ -192,7 +192,7 @@ def fit_languages(labelled: DataFrame, per_language: int = PER_LANGUAGE, bits: i
                 values.append((n / max(1, n.sum()) * SCALE).astype(np.float32))
             yield f.assign(ids=ids, vals=values)[has][["doc_id", "lang", "family", "ids", "vals"]]
 
-    made = sample.mapInPandas(vectors, "doc_id long, lang string, family string, ids array<int>, vals array<float>")
+    made = sample.mapInPandas(lambda frames: trimmed(vectors(frames)), "doc_id long, lang string, family string, ids array<int>, vals array<float>")
     known = sorted(counts)
     groups = sorted({family(x) for x in known})
     tasks = [("family", a, b) for i, a in enumerate(groups) for b in groups[i + 1:]]
@@ -225,8 +225,7 @@ def predict_languages(docs: DataFrame, model: LanguageModel, text: str = "text",
     small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)  # weights of a fixed length for each pair of names
 
-    @F.pandas_udf("lang_pred string, score double")
-    def predicted(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def told(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in parts:
             langs, scores = [], []
             frames = batches(iter([pd.DataFrame({"t": texts.reset_index(drop=True)})]), text_size, "t", BATCH_CHARS)
@@ -236,6 +235,10 @@ def predict_languages(docs: DataFrame, model: LanguageModel, text: str = "text",
                 scores += list(s)
             yield pd.DataFrame({"lang_pred": langs, "score": np.array(scores, float)})
 
+    @F.pandas_udf("lang_pred string, score double")
+    def predicted(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        yield from trimmed(told(parts))
+
     own = docs.withColumn("__p", predicted(F.col(text)))
     return own.withColumns({names[0]: F.col("__p.lang_pred"), names[1]: F.col("__p.score")}).drop("__p")
 
