@@ -958,14 +958,14 @@ def q_extract_keys_masked(spark, d):
 
 @register("event_docs", """
 SELECT CAST(user_id AS VARCHAR) AS session_id, string_agg(event_type, ' ' ORDER BY ts, event_id) AS doc,
-       count(*) AS n_events
+       count(*) AS n_events, min(ts) AS first_ts, max(ts) AS last_ts
 FROM events WHERE user_id IS NOT NULL GROUP BY user_id
 """)
 def q_event_docs(spark, d):
-    """A3 in time order (timestamp, then event id as the tie-break): one-hour chunks."""
+    """A3 in time order (timestamp, then event id as the tie-break): one-hour chunks; A5 the span."""
     ev = events_lines(spark, d)
     doc = S.session_documents(ev, "session_id", ["timestamp", "pos"], "text")
-    return doc.select("session_id", "doc", "n_events")
+    return doc.select("session_id", "doc", "n_events", F.col("first_order").alias("first_ts"), F.col("last_order").alias("last_ts"))
 
 
 @register("tfidf_documents", """
@@ -991,3 +991,107 @@ def q_tfidf_documents(spark, d):
     lines = lines_of(docs, "session_id", "text")
     r = TF.relational_tfidf(lines, "session_id", "line_no", "line", n_docs=docs.select("session_id").distinct().count())
     return r.select("session_id", "term", _r6("weight").alias("weight"))
+
+
+# ================================================================= dirty CSV
+_CSV_LINE = """session_of(CAST(user_id AS VARCHAR)) || ',' || CASE WHEN event_id % 89 = 0 THEN 'NaT' ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END || ',' ||
+  CASE WHEN event_id % 97 = 0 THEN 'x' ELSE '' END || CAST(event_id AS VARCHAR) || ',' || event_type || CASE WHEN event_id % 101 = 0 THEN ',more' ELSE '' END""".replace("session_of(CAST(user_id AS VARCHAR))", "coalesce(CAST(user_id AS VARCHAR), '')")
+_CSV_BAD = "(event_id % 97 = 0 OR event_id % 101 = 0)"
+
+
+@register("csv_round_trip", f"""
+SELECT false AS rejected, coalesce(CAST(user_id AS VARCHAR), NULL) AS session_id, CAST(user_id AS VARCHAR) AS block_id, event_id AS pos, event_type AS text,
+       CASE WHEN event_id % 89 <> 0 THEN date_trunc('second', ts) END AS timestamp, CAST(NULL AS VARCHAR) AS record
+FROM events WHERE NOT {_CSV_BAD}
+UNION ALL
+SELECT true, NULL, NULL, NULL, NULL, NULL, {_CSV_LINE} FROM events WHERE {_CSV_BAD}
+""")
+def q_csv_round_trip(spark, d):
+    """Events as CSV shards under untidy names and with some lines that don't fit, read back: good lines with
+    their columns found, filled in and parsed, the others as they stand."""
+    from ..functions import backfill_key, first_present, parse_timestamp, require_columns
+    from ..session import scratch_path
+    from ..sources.readers import read_csv_checked
+    ev = read_table(spark, d, "events")
+    i = F.col("event_id")
+    pos = F.concat(F.when(i % 97 == 0, "x").otherwise(""), i.cast("string"))
+    stamp = F.when(i % 89 == 0, "NaT").otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+    line = F.concat_ws(",", F.coalesce(F.col("user_id").cast("string"), F.lit("")), stamp, pos, "event_type", F.when(i % 101 == 0, "more"))
+    path = scratch_path(spark, "csv")
+    ev.select(line.alias("value")).write.text(path)
+    schema = "` Session_ID ` string, `TimeStamp` string, `POS` long, ` Message` string"
+    kept, rejected = read_csv_checked(spark, path, schema, header=False, record="record")
+    kept = backfill_key(require_columns(kept, ["session_id", "timestamp", "pos"], "csv"))
+    kept = kept.select(F.lit(False).alias("rejected"), "session_id", "block_id", "pos", F.col(first_present(kept)).alias("text"),
+                       parse_timestamp("timestamp").cast("timestamp_ntz").alias("timestamp"))
+    return kept.unionByName(rejected.withColumn("rejected", F.lit(True)), allowMissingColumns=True)
+
+
+# ================================================================= keyed vectors, checked joins
+@register("keyed_vectors", """
+SELECT vec_id, label, len(embedding) AS dims, round(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))), 6) AS norm,
+       round(CAST(embedding[1] AS DOUBLE), 6) AS score
+FROM embeddings
+""")
+def q_keyed_vectors(spark, d):
+    """Vectors and scores in two tables bucketed by their key, joined without a shuffle and counted on the way."""
+    import uuid
+
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    from ..operators.checked import zip_by_key
+    from ..session import scratch_path, stored
+    from ..sources.vectors import write_keyed
+    e = read_table(spark, d, "embeddings").withColumn("x", F.transform("embedding", lambda x: x.cast("double")))
+    name = uuid.uuid4().hex
+    vectors = write_keyed(e.select("vec_id", array_to_vector("x").alias("features")), f"vectors_{name}", scratch_path(spark, "vectors"), "vec_id", 8)
+    scores = write_keyed(e.select("vec_id", "label", F.col("x")[0].alias("score")), f"scores_{name}", scratch_path(spark, "scores"), "vec_id", 8)
+    both, check = zip_by_key([vectors, scores], "vec_id")
+    out = stored(both, "zipped")
+    check()
+    for t in ("vectors", "scores"):
+        spark.sql(f"DROP TABLE {t}_{name}")
+    x = vector_to_array("features")
+    return out.select("vec_id", "label", F.size(x).cast("long").alias("dims"), _r6(F.sqrt(F.aggregate(x, F.lit(0.0), lambda a, v: a + v * v))).alias("norm"), _r6("score").alias("score"))
+
+
+# ================================================================= a given plan
+_TREES = (  # (column, threshold, value at or below, value above) of trees with one split
+    (0, 110.0, -0.8, 0.9), (1, 20.0, 0.3, -0.2), (0, 130.0, -0.1, 0.4))
+_KNOTS = ((0.2, 0.05), (0.5, 0.4), (0.8, 0.95))
+
+
+def _sql_given() -> str:
+    margin = " + ".join(f"CASE WHEN {('err_out', 'c1')[c]} <= {t} THEN {lo} ELSE {hi} END" for c, t, lo, hi in _TREES)
+    (x0, y0), (x1, y1), (x2, y2) = _KNOTS
+    line = f"CASE WHEN p <= {x0} THEN {y0} WHEN p <= {x1} THEN {y0} + (p - {x0}) / {x1 - x0} * {y1 - y0} WHEN p <= {x2} THEN {y1} + (p - {x1}) / {x2 - x1} * {y2 - y1} ELSE {y2} END"
+    return f"""WITH {_SQL_USER}, t AS (SELECT *, 1 / (1 + exp(-(0.1 + {margin}))) AS p FROM u), c AS (SELECT session_id, {line} AS p_primary, err_out, c0 FROM t),
+f AS (SELECT session_id, p_primary, 1 / (1 + exp(-(-0.3 + (p_primary - 0.4) / 0.2 * 1.5 + (err_out - 100) / 40 * 0.5 + (c0 - 90) / 30 * -0.25))) AS fusion_score FROM c)
+SELECT session_id, round(p_primary, 6) AS p_primary, round(fusion_score, 6) AS fusion_score, CAST(fusion_score >= 0.4 AS INTEGER) AS is_alert FROM f"""
+
+
+@register("given_plan", _sql_given())
+def q_given_plan(spark, d):
+    """Trees, calibration and stacker with given numbers, saved as a plan, read back and applied: probabilities (L1),
+    lines between knots (L3), inputs bound by name (L12, L16), the flag of the fused score (P19)."""
+    import numpy as np
+    import pandas as pd
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.feature import VectorAssembler
+
+    from ..operators import models as M
+    from ..operators.boosting import BoostedTrees
+    from ..session import scratch_path
+    from ..sources import storage
+    from .stages import StackStage, TreesStage, load_plan, save_plan
+    trees = [pd.DataFrame({"node": [0, 1, 2], "col": [c, -1, -1], "threshold": [t, 0.0, 0.0], "left": [1, -1, -1], "right": [2, -1, -1], "value": [0.0, lo, hi]}) for c, t, lo, hi in _TREES]
+    gbt = M.CalibratedGBT([BoostedTrees(0.1, trees)], [tuple(np.array(x) for x in zip(*_KNOTS, strict=True))])
+    stacker = M.Stacker(M.choose_stacker_inputs(["p_primary", "z_out", "z_lat"]), M.Standardiser(np.array([0.4, 100.0, 90.0]), np.array([0.2, 40.0, 30.0])),
+                        np.array([1.5, 0.5, -0.25]), -0.3, 0.4)
+    path = scratch_path(spark, "plan")
+    save_plan(PipelineModel([TreesStage(gbt), StackStage(stacker)]), path)
+    plan = load_plan(spark, path)
+    storage.remove(spark, path)
+    u = user_channels(spark, d).withColumnsRenamed({"c0": "z_lat"}).withColumn("z_out", F.col("err_out"))
+    out = plan.transform(VectorAssembler(inputCols=["err_out", "c1"], outputCol="features").transform(u))
+    return out.select("session_id", _r6("p_primary").alias("p_primary"), _r6("fusion_score").alias("fusion_score"), "is_alert")

@@ -73,7 +73,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table that ``stored`` has given, once nothing reads it any more: what runs for months
+    would keep one for each batch otherwise."""
+    spark, path = df.sparkSession, df._stored_path
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.delete(hadoop, True)
+    fs.cancelDeleteOnExit(hadoop)
 
 
 def small_side(df: DataFrame, max_rows: int = 500_000) -> DataFrame:

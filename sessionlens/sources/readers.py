@@ -7,10 +7,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from . import storage as ST
 from ..functions import normalize_headers, split_lines
+from ..session import stored
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +45,23 @@ def read_csv(spark: SparkSession, path: str | Sequence[str], schema: StructType
     return normalize_headers(df) if normalize else df
 
 
+def read_csv_checked(spark: SparkSession, path: str | Sequence[str], schema: StructType | str, header: bool = True,
+                     record: str = "_record") -> tuple[DataFrame, DataFrame]:
+    """S2 with dirty lines: (kept, rejected). ``rejected`` has the lines that don't fit the schema, as
+    they stand, in the column ``record``; all else is in ``kept``, headers normalised. The file is read once, into
+    a stored table."""
+    full = StructType([*_typed(schema).fields, StructField(record, StringType())])
+    rows = spark.read.schema(full).option("header", str(header).lower()).option("mode", "PERMISSIVE") \
+        .option("columnNameOfCorruptRecord", record).csv(path if isinstance(path, str) else list(path))
+    rows = stored(rows, "csv")
+    kept = rows.where(F.col(record).isNull()).drop(record)
+    return normalize_headers(kept), rows.where(F.col(record).isNotNull()).select(record)
+
+
+def _typed(schema: StructType | str) -> StructType:
+    return schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
+
+
 def read_shards(spark: SparkSession, pattern: str, fmt: str = "csv", **kw) -> DataFrame:
     """Shard glob scan, one union; error when nothing matches."""
     if not ST.matches(spark, pattern):

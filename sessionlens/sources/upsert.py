@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import null_normalised_timestamp
-from ..session import stored
+from ..session import discard, stored
 from . import storage as ST
 
 N_BUCKETS = 16
@@ -72,28 +72,43 @@ def _read(spark: SparkSession, path: str, parts: Iterable[str]) -> DataFrame:
 
 def read_latest(spark: SparkSession, path: str) -> DataFrame | None:
     m = _manifest(spark, path)
-    return _read(spark, path, m["buckets"].values()) if m else None
+    return _read(spark, path, m["buckets"].values()) if m and m["buckets"] else None
 
 
 def upsert(spark: SparkSession, path: str, batch: DataFrame, key: str = "session_id",
-           types: Mapping[str, str] | None = None, n_buckets: int = N_BUCKETS, keep: int = KEEP_VERSIONS) -> str:
+           types: Mapping[str, str] | None = None, n_buckets: int = N_BUCKETS, keep: int = KEEP_VERSIONS,
+           gone: str | None = None) -> str:
     """Apply ``batch`` to the keyed table at ``path``; returns the new version's manifest.
 
     Only the buckets that the batch touches are read and written. ``n_buckets`` holds for a new
-    table; an existing one keeps its own.
+    table; an existing one keeps its own. ``gone`` names a Boolean column of the batch: where it holds,
+    the key leaves the table. The batch's own copy is deleted in the end.
     """
     b = stored(normalise_batch(batch, types) if types else batch, "upsert-batch")
+    try:
+        return _apply(spark, path, b, key, n_buckets, keep, gone)
+    finally:
+        discard(b)
+
+
+def _apply(spark: SparkSession, path: str, b: DataFrame, key: str, n_buckets: int, keep: int, gone: str | None) -> str:
     check_unique(b, key)
     m = _manifest(spark, path) or {"version": 0, "n_buckets": n_buckets, "buckets": {}}
     bucket = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(m["n_buckets"])).cast("int")
     touched = [str(r[0]) for r in b.select(bucket).distinct().collect()]  # n_buckets at most
     old = [m["buckets"][k] for k in touched if k in m["buckets"]]
     new = merge(_read(spark, path, old) if old else None, b, key)
+    if gone:
+        new = new.where(~F.coalesce(F.col(gone), F.lit(False))).drop(gone)
     part = f"data/{uuid.uuid4().hex}"
     new.withColumn("bucket", bucket).write.partitionBy("bucket").parquet(f"{path}/{part}")
     version = m["version"] + 1
     name = f"{path}/_versions/v={version:08d}"
+    # a bucket that has lost its last row has no folder
     buckets = m["buckets"] | {k: f"{part}/bucket={k}" for k in touched}
+    if gone:
+        left = {p.rsplit("=", 1)[1] for p in ST.matches(spark, f"{path}/{part}/bucket=*")}
+        buckets = {k: p for k, p in buckets.items() if k not in touched or k in left}
     # creating the file is the commit: a second writer of this version fails here
     ST.write_text(spark, name, json.dumps({"version": version, "n_buckets": m["n_buckets"], "buckets": buckets}))
     _expire(spark, path, keep)

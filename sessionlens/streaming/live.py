@@ -1,6 +1,7 @@
 """Structured Streaming operators.
 
-ST1 live gauge      max score per (host, service), update mode, upserted per batch
+ST1 live gauge      max score per (host, service), update mode, upserted per batch; with an
+                    expiry, gone hosts leave it
 ST2 parse stream    mask + key extraction on a text stream
 ST3 session stream  inactivity sessions per key with a watermark (session_window)
 ST4 alert rate      tumbling-window alert rate per service
@@ -13,11 +14,13 @@ the sinks. Checkpoints go under the session's reliable checkpoint directory.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState
 
 from ..functions import extract_key, mask_line
 from ..functions.text import BLOCK_KEY_PATTERN
@@ -58,6 +61,31 @@ def gauge_stream(scores: DataFrame, score: str = "anomaly_score") -> DataFrame:
     return scores.groupBy("host", "service").agg(F.max(score).alias("anomaly_score"))
 
 
+def expiring_gauge_stream(scores: DataFrame, ts: str, ttl_seconds: int, watermark: str = "1 minute",
+                          score: str = "anomaly_score") -> DataFrame:
+    """ST1 with an end: the running max score per (host, service), and a row with ``gone`` once
+    nothing has come for ``ttl_seconds`` of event time. The state of what is gone is dropped, so it holds
+    as many keys as are alive; one that comes back starts anew."""
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame({"host": [key[0]], "service": [key[1]], "anomaly_score": [None], "gone": [True]})
+            return
+        best, last = state.get if state.exists else (None, 0)
+        for f in frames:
+            seen = f["s"].max()
+            if seen == seen and seen is not None:
+                best = float(seen) if best is None else max(best, float(seen))
+            last = max(last, int(f["ms"].max()))
+        state.update((best, last))
+        state.setTimeoutTimestamp(max(last + ttl_seconds * 1000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"host": [key[0]], "service": [key[1]], "anomaly_score": [best], "gone": [False]})
+
+    rows = scores.withWatermark(ts, watermark).select("host", "service", F.col(score).cast("double").alias("s"), ts, F.unix_millis(F.col(ts)).alias("ms"))
+    return rows.groupBy("host", "service").applyInPandasWithState(
+        step, "host string, service string, anomaly_score double, gone boolean", "best double, last long", "update", "EventTimeTimeout")
+
+
 def dedupe_stream(events: DataFrame, ts: str, id_cols: list[str], watermark: str) -> DataFrame:
     """ST6: rows later than the watermark are dropped; repeats of an id inside the
     watermark are delivered once."""
@@ -82,15 +110,16 @@ def _ckpt(spark: SparkSession, name: str, checkpoint: str | None) -> str:
 
 def start_upsert_stream(df: DataFrame, target: str, key: str, name: str, output_mode: str = "update",
                         checkpoint: str | None = None, trigger: dict | None = None,
-                        transform: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
+                        transform: Callable[[DataFrame], DataFrame] | None = None,
+                        gone: str | None = None) -> StreamingQuery:
     """foreachBatch sink: each micro-batch (already one row per key, e.g. an aggregate in
     update mode) is upserted into the snapshot table at ``target``; a replayed batch
-    gives the same table because the upsert is idempotent."""
+    gives the same table because the upsert is idempotent. Keys whose row says ``gone`` leave it."""
     spark = df.sparkSession
 
     def apply(batch: DataFrame, epoch: int) -> None:
         b = transform(batch) if transform else batch
-        UP.upsert(b.sparkSession, target, b, key)
+        UP.upsert(b.sparkSession, target, b, key, gone=gone)
 
     w = df.writeStream.outputMode(output_mode).foreachBatch(apply) \
         .option("checkpointLocation", _ckpt(spark, name, checkpoint))
