@@ -20,6 +20,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -177,8 +178,8 @@ def fit_languages(labelled: DataFrame, per_language: int = PER_LANGUAGE, bits: i
     counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row for each language
     if not counts:
         return LanguageModel([], bits=bits)
-    shares = rows.sparkSession.createDataFrame(
-        [(k, family(k), min(1.0, per_language / n)) for k, n in counts.items()], "lang string, family string, share double")
+    # made from Arrow, in the JVM: a list would go through Python workers of another kind, which then stay beside the others
+    shares = rows.sparkSession.createDataFrame(pa.table({"lang": list(counts), "family": [family(k) for k in counts], "share": [min(1.0, per_language / n) for n in counts.values()]}))
     draw = (F.xxhash64(F.col("doc_id"), F.col("text"), F.lit(seed)).bitwiseAND((1 << 30) - 1) / float(1 << 30))
     sample = rows.join(F.broadcast(shares), "lang").filter(draw < F.col("share")).select("doc_id", "text", "lang", "family")
 
@@ -200,7 +201,7 @@ def fit_languages(labelled: DataFrame, per_language: int = PER_LANGUAGE, bits: i
     model = LanguageModel(known, bits=bits)
     if not tasks:
         return model
-    pairs = rows.sparkSession.createDataFrame(tasks, "level string, a string, b string")
+    pairs = rows.sparkSession.createDataFrame(pa.table(dict(zip(("level", "a", "b"), map(list, zip(*tasks, strict=True)), strict=True))))
     name = F.when(F.col("level") == "family", F.col("family")).otherwise(F.col("lang"))
     dealt = made.join(F.broadcast(pairs), (name == F.col("a")) | (name == F.col("b"))).select(
         "level", "a", "b", (name == F.col("a")).alias("first"), "doc_id", "ids", "vals")
