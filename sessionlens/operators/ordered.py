@@ -136,7 +136,7 @@ def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float],
     spark = df.sparkSession
     g = list(group_cols)
     cum = value_counts_cumulative(df, col, n_buckets, g)
-    p = spark.createDataFrame([(float(x),) for x in probs], "prob double")  # len(probs) rows
+    p = spark.range(1).select(F.explode(F.array(*[F.lit(float(x)) for x in probs])).alias("prob"))  # len(probs) rows
     cum = cum.withColumn("_before", F.col("cum__c") - F.col("_c"))
     pos = F.col("prob") * (F.col("_n") - 1)
     lo = F.floor(pos)
