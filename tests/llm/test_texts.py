@@ -322,8 +322,37 @@ def test_reparameterised_questions_are_caught(spark):
         (4, None), (5, ""), (6, "Anna has 12 apples and gives Bob nothing at all, which is sad for all of them today."), (7, "too short")],
         "doc_id long, text string")
     got = {r.doc_id: r for r in decontaminate.leaks(docs, bench).collect()}
-    assert set(got) == {1, 2} and got[1].verbatim and not got[2].verbatim and got[1].item_id == 1
-    assert sorted(r.doc_id for r in decontaminate.decontaminate(docs, bench).collect()) == [3, 4, 5, 6, 7]
+    assert set(got) == {1, 2, 7} and got[1].verbatim and not got[2].verbatim and got[1].item_id == 1 and got[7].item_id == 2
+    assert sorted(r.doc_id for r in decontaminate.decontaminate(docs, bench).collect()) == [3, 4, 5, 6]
+
+
+def test_names_that_begin_a_sentence(spark):
+    item = "{0} has {1} apples. {0} buys {2} more at the shop. {0} eats {1} of them. How many apples does {0} have left?"
+    bench = spark.createDataFrame([(1, item.format("Tom", 3, 5)), (2, item.format("Ida", 8, 9))], "item_id long, text string")
+    rows = {1: item.format("Anna", 6, 11), 2: item.format("Tom", 6, 11), 3: item.format("Ida", 8, 9), 4: item.format("Anna", 6, 11).replace("Anna eats 6", "Eve eats 2"),
+            5: "Who. " + item.format("Tom", 3, 5) + " What?", 6: "The shop has many apples. It buys some of them. How many does it have left?"}
+    docs = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    got = {r.doc_id: (r.item_id, r.verbatim) for r in decontaminate.leaks(docs, bench).collect()}
+    assert got == {1: (1, False), 2: (1, False), 3: (2, True), 5: (1, True)}
+
+
+def test_short_items_are_matched_whole(spark):
+    bench = spark.createDataFrame([(1, "What is 12 + 30?"), (2, "How many continents exist?"), (3, "Yes. Why?"), (4, "?!"), (5, "1 + 2 + 3 + 4 + 5 + 6")], "item_id long, text string")
+    docs = spark.createDataFrame([
+        (1, "Well. What is 12 + 30? It is 42."), (2, "how many continents exist"), (3, "I know how many continents exist. What is 12 + 31?"), (4, "So\nwhat is 12 30\nok"),
+        (5, "He said yes. Why? Well. Yes. Why? Ok"), (6, "yes, why"), (7, "?!"), (8, None), (9, "A. 1+2+3+4+5+6"), (10, "What is 12 + 30 + 4?")], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench).collect()}
+    assert got == {(1, 1), (2, 2), (4, 1), (5, 3), (9, 5)}
+
+
+def test_items_of_one_template_are_a_class(spark):
+    """300 documents and 300 items of one template give a row for each document."""
+    text = "Sam has {0} red apples and gives {1} of them to Bob, then buys {0} green ones; how many are left today?"
+    bench = spark.createDataFrame([(i, text.format(i + 10, i + 400)) for i in range(300)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, "Well. " + text.format(i + 200, i + 590)) for i in range(300)], "doc_id long, text string")
+    rows = decontaminate.leaks(docs, bench).collect()
+    assert len(rows) == 300 and {(r.doc_id, r.item_id) for r in rows if r.verbatim} == {(i, i + 190) for i in range(110)}
+    assert {r.item_id for r in rows if not r.verbatim} == {0}
 
 
 def test_each_place_of_an_item_is_judged(spark):
