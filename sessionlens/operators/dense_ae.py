@@ -1,14 +1,17 @@
 """Dense autoencoder (L7 step 2) trained by parameter averaging.
 
-Architecture d -> hidden -> bottleneck -> hidden -> d with ReLU, input Gaussian noise,
-dropout after each hidden layer, L2 on the hidden kernels and L1 activity penalty on
-the code, MSE loss, Adam. Batch normalisation is not used (documented deviation).
+Architecture d -> hidden -> bottleneck -> hidden -> d with ReLU, input Gaussian noise, batch
+normalisation and dropout after each hidden layer, L2 on the hidden kernels and L1 activity penalty on
+the code, MSE loss, Adam.
 
 Training: the (benign) input rows are persisted once; every epoch is ONE Spark job:
-each partition receives the current weights (broadcast), runs a pass of local Adam
+each partition receives the current state (broadcast), runs a pass of local Adam
 mini-batches over its training rows in numpy (Arrow batches via ``mapInPandas``), and
-returns its weights, row count and losses; the driver-side result is a tree reduction
-(``treeAggregate``) of row-weighted weight sums, so no single task gathers the data.
+returns its state, row count and losses; the driver-side result is a tree reduction
+(``treeAggregate``) of row-weighted sums, so no single task gathers the data. The state is the
+weights, the running means and variances of the normalisation, and Adam's moments and step count, so
+that an epoch goes on where the last one ended; with one partition that is training in one process.
+(Synchronous mini-batches would need a barrier's allGather for each, which takes Spark a second.)
 Validation rows (a seeded hash of the key, ~10%) give the loss for early stopping
 (patience 7, best weights restored) and learning-rate halving (patience 3, floor 1e-5).
 Scoring is a ``pandas_udf`` over Arrow batches with the broadcast weights.
@@ -40,9 +43,14 @@ LR_FACTOR = 0.5
 MIN_LR = 1e-5
 VAL_FRACTION = 0.1
 # ---- end of fixed values ----
+# defaults of the source's library
 ADAM_B1, ADAM_B2, ADAM_EPS = 0.9, 0.999, 1e-7
+NORM_MOMENTUM, NORM_EPS = 0.99, 1e-3
 
-_NAMES = ("W1", "b1", "W2", "b2", "W3", "b3", "W4", "b4")
+#: What gradients move; g and s scale and shift the normalised hidden layers.
+_NAMES = ("W1", "b1", "g1", "s1", "W2", "b2", "W3", "b3", "g3", "s3", "W4", "b4")
+#: Running means and variances of the hidden layers.
+_STATS = ("m1", "v1", "m3", "v3")
 
 
 def init_weights(d: int, hidden: int, k: int, seed: int) -> dict:
@@ -51,61 +59,134 @@ def init_weights(d: int, hidden: int, k: int, seed: int) -> dict:
     def glorot(a, b):
         lim = np.sqrt(6.0 / (a + b))
         return rng.uniform(-lim, lim, size=(a, b))
-    return {"W1": glorot(d, hidden), "b1": np.zeros(hidden), "W2": glorot(hidden, k), "b2": np.zeros(k),
-            "W3": glorot(k, hidden), "b3": np.zeros(hidden), "W4": glorot(hidden, d), "b4": np.zeros(d)}
+    w = {"W1": glorot(d, hidden), "b1": np.zeros(hidden), "W2": glorot(hidden, k), "b2": np.zeros(k),
+         "W3": glorot(k, hidden), "b3": np.zeros(hidden), "W4": glorot(hidden, d), "b4": np.zeros(d)}
+    for i in "13":
+        w |= {f"g{i}": np.ones(hidden), f"s{i}": np.zeros(hidden), f"m{i}": np.zeros(hidden), f"v{i}": np.ones(hidden)}
+    return w
 
 
-def flatten(w: dict) -> np.ndarray:
-    return np.concatenate([w[n].ravel() for n in _NAMES])
+def flatten(w: dict, names: tuple = _NAMES) -> np.ndarray:
+    return np.concatenate([w[n].ravel() for n in names])
 
 
-def unflatten(v: np.ndarray, shapes: dict) -> dict:
+def unflatten(v: np.ndarray, shapes: dict, names: tuple = _NAMES) -> dict:
     out, i = {}, 0
-    for n in _NAMES:
+    for n in names:
         size = int(np.prod(shapes[n]))
         out[n] = v[i:i + size].reshape(shapes[n])
         i += size
     return out
 
 
+def _normalised(w: dict, h: np.ndarray, i: str, train: bool):
+    """(scaled and shifted, what the way back needs) of a hidden layer."""
+    mean, var = (h.mean(0), h.var(0)) if train else (w[f"m{i}"], w[f"v{i}"])
+    inv = 1.0 / np.sqrt(var + NORM_EPS)
+    hat = (h - mean) * inv
+    return w[f"g{i}"] * hat + w[f"s{i}"], (hat, inv, mean, var)
+
+
+def _back(w: dict, g_out: np.ndarray, kept, i: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Gradients of the layer's input, scale and shift."""
+    hat, inv, _, _ = kept
+    g_hat = g_out * w[f"g{i}"]
+    return inv * (g_hat - g_hat.mean(0) - hat * (g_hat * hat).mean(0)), (g_out * hat).sum(0), g_out.sum(0)
+
+
 def forward(w: dict, x: np.ndarray, rng=None, train: bool = False):
     relu = lambda a: np.maximum(a, 0.0)
+    drop = lambda h: (rng.random(h.shape) >= DROPOUT) / (1 - DROPOUT) if train else 1.0
     xin = x + rng.normal(0.0, NOISE_STD, size=x.shape) if train else x
     a1 = xin @ w["W1"] + w["b1"]
-    h1 = relu(a1)
-    m1 = (rng.random(h1.shape) >= DROPOUT) / (1 - DROPOUT) if train else 1.0
-    h1d = h1 * m1
+    n1, k1 = _normalised(w, relu(a1), "1", train)
+    m1 = drop(n1)
+    h1d = n1 * m1
     a2 = h1d @ w["W2"] + w["b2"]
     z = relu(a2)
     a3 = z @ w["W3"] + w["b3"]
-    h3 = relu(a3)
-    m3 = (rng.random(h3.shape) >= DROPOUT) / (1 - DROPOUT) if train else 1.0
-    h3d = h3 * m3
+    n3, k3 = _normalised(w, relu(a3), "3", train)
+    m3 = drop(n3)
+    h3d = n3 * m3
     out = h3d @ w["W4"] + w["b4"]
-    return out, (xin, a1, h1, m1, h1d, a2, z, a3, h3, m3, h3d)
+    return out, (xin, a1, k1, m1, h1d, a2, z, a3, k3, m3, h3d)
 
 
 def loss_and_grads(w: dict, x: np.ndarray, rng) -> tuple[float, dict]:
-    out, (xin, a1, h1, m1, h1d, a2, z, a3, h3, m3, h3d) = forward(w, x, rng, train=True)
+    """Loss and gradients of a mini-batch; ``stats`` among the gradients are its means and variances."""
+    out, (xin, a1, k1, m1, h1d, a2, z, a3, k3, m3, h3d) = forward(w, x, rng, train=True)
     B, d = x.shape
     diff = out - x
     loss = float(np.mean(diff ** 2) + L2_KERNEL * (np.sum(w["W1"] ** 2) + np.sum(w["W3"] ** 2))
                  + L1_CODE * np.sum(np.abs(z)) / B)
     g_out = 2.0 * diff / (B * d)
     g = {"W4": h3d.T @ g_out, "b4": g_out.sum(0)}
-    g_h3 = (g_out @ w["W4"].T) * m3 * (a3 > 0)
+    g_h3, g["g3"], g["s3"] = _back(w, (g_out @ w["W4"].T) * m3, k3, "3")
+    g_h3 = g_h3 * (a3 > 0)
     g["W3"] = z.T @ g_h3 + 2 * L2_KERNEL * w["W3"]
     g["b3"] = g_h3.sum(0)
     g_z = g_h3 @ w["W3"].T + L1_CODE * np.sign(z) / B
     g_a2 = g_z * (a2 > 0)
     g["W2"] = h1d.T @ g_a2
     g["b2"] = g_a2.sum(0)
-    g_h1 = (g_a2 @ w["W2"].T) * m1 * (a1 > 0)
+    g_h1, g["g1"], g["s1"] = _back(w, (g_a2 @ w["W2"].T) * m1, k1, "1")
+    g_h1 = g_h1 * (a1 > 0)
     g["W1"] = xin.T @ g_h1 + 2 * L2_KERNEL * w["W1"]
     g["b1"] = g_h1.sum(0)
+    g["stats"] = {"m1": k1[2], "v1": k1[3], "m3": k3[2], "v3": k3[3]}
     return loss, g
 
 
+@dataclass
+class State:
+    """Weights with their running statistics, Adam's moments, and its steps so far."""
+
+    w: dict
+    m: dict
+    v: dict
+    t: float = 0.0
+
+    @staticmethod
+    def fresh(w: dict) -> State:
+        return State(w, {n: np.zeros_like(w[n]) for n in _NAMES}, {n: np.zeros_like(w[n]) for n in _NAMES})
+
+    def step(self, x: np.ndarray, rng, lr: float) -> float:
+        """One Adam step on a mini-batch; returns its loss."""
+        loss, g = loss_and_grads(self.w, x, rng)
+        self.t += 1
+        for n in _NAMES:
+            self.m[n] = ADAM_B1 * self.m[n] + (1 - ADAM_B1) * g[n]
+            self.v[n] = ADAM_B2 * self.v[n] + (1 - ADAM_B2) * g[n] ** 2
+            self.w[n] = self.w[n] - lr * (self.m[n] / (1 - ADAM_B1 ** self.t)) / (np.sqrt(self.v[n] / (1 - ADAM_B2 ** self.t)) + ADAM_EPS)
+        for n in _STATS:
+            self.w[n] = NORM_MOMENTUM * self.w[n] + (1 - NORM_MOMENTUM) * g["stats"][n]
+        return loss
+
+    def packed(self) -> np.ndarray:
+        return np.concatenate([flatten(self.w), flatten(self.w, _STATS), flatten(self.m), flatten(self.v), [self.t]])
+
+    @staticmethod
+    def unpacked(x: np.ndarray, shapes: dict) -> State:
+        n = sum(int(np.prod(shapes[k])) for k in _NAMES)
+        s = len(x) - 3 * n - 1
+        w = unflatten(x[:n], shapes) | unflatten(x[n:n + s], shapes, _STATS)
+        return State(w, unflatten(x[n + s:2 * n + s], shapes), unflatten(x[2 * n + s:-1], shapes), float(x[-1]))
+
+
+def epoch_over(state: State, frames, lr: float, rng_of) -> tuple[int, float]:
+    """An epoch's mini-batches over arrays of rows; (rows, sum of losses by row)."""
+    n, total = 0, 0.0
+    for x in frames:
+        rng = rng_of(n)
+        order = rng.permutation(len(x))
+        for s in range(0, len(x), BATCH):
+            xb = x[order[s:s + BATCH]]
+            if len(xb) > 1:  # a single row has no variance to be normalised by
+                total += state.step(xb, rng, lr) * len(xb)
+        n += len(x)
+    return n, total
+
+
 def val_loss(w: dict, x: np.ndarray) -> float:
     out, _ = forward(w, x)
     return float(np.sum(np.mean((out - x) ** 2, axis=1)))
@@ -126,7 +207,7 @@ class DenseAE:
             x = np.stack([np.asarray(v, dtype=np.float64) for v in col]) if len(col) else np.zeros((0, w["W1"].shape[0]))
             out, cache = forward(w, x)
             err = np.mean((out - x) ** 2, axis=1)
-            return pd.DataFrame({"err_out": err, "code": list(cache[6])})
+            return pd.DataFrame({"err_out": err, "code": list(cache[6])})  # z
         return run
 
     def reconstruct(self, df: DataFrame, x: str) -> DataFrame:
@@ -136,49 +217,32 @@ class DenseAE:
             .withColumn("_code", F.col("_ae.code")).drop("_ae")
 
 
-def _epoch_job(rows: DataFrame, x: str, wflat: np.ndarray, shapes: dict, lr: float, epoch: int, seed: int):
-    """One Spark job: local Adam pass per partition, tree-summed row-weighted weights."""
-    sc = rows.sparkSession.sparkContext
-    wb = sc.broadcast(wflat)
-    dim = int(wflat.size)
-
-    def train(it):
-        w = unflatten(wb.value.copy(), shapes)
-        m = {k: np.zeros_like(v) for k, v in w.items()}
-        v2 = {k: np.zeros_like(v) for k, v in w.items()}
-        t = 0
-        n = 0
-        tl = 0.0
-        vl = 0.0
-        vn = 0
-        w0 = unflatten(wb.value, shapes)
-        for pdf in it:
-            if len(pdf) == 0:
-                continue
-            X = np.stack([np.asarray(a, dtype=np.float64) for a in pdf[x]])
-            isval = pdf["_val"].to_numpy().astype(bool)
-            if isval.any():
-                vl += val_loss(w0, X[isval])
-                vn += int(isval.sum())
-            Xt = X[~isval]
-            rng = np.random.default_rng([seed, epoch, int(pdf["_pid"].iloc[0]), n])
-            order = rng.permutation(len(Xt))
-            for s in range(0, len(Xt), BATCH):
-                xb = Xt[order[s:s + BATCH]]
-                loss, g = loss_and_grads(w, xb, rng)
-                t += 1
-                for k in w:
-                    m[k] = ADAM_B1 * m[k] + (1 - ADAM_B1) * g[k]
-                    v2[k] = ADAM_B2 * v2[k] + (1 - ADAM_B2) * g[k] ** 2
-                    mh = m[k] / (1 - ADAM_B1 ** t)
-                    vh = v2[k] / (1 - ADAM_B2 ** t)
-                    w[k] = w[k] - lr * mh / (np.sqrt(vh) + ADAM_EPS)
-                tl += loss * len(xb)
-            n += len(Xt)
-        yield pd.DataFrame({"n": [n], "tl": [tl], "vl": [vl], "vn": [vn], "w": [list(flatten(w) * n)]})
-
-    schema = "n long, tl double, vl double, vn long, w array<double>"
-    parts = rows.mapInPandas(train, schema)
+def _epoch_job(rows: DataFrame, x: str, state: np.ndarray, shapes: dict, lr: float, epoch: int, seed: int):
+    """One Spark job: local Adam pass per partition, tree-summed row-weighted states."""
+    held = rows.sparkSession.sparkContext.broadcast(state)  # four times the weights
+    dim = state.size
+
+    def train(frames):
+        now, first = State.unpacked(held.value.copy(), shapes), State.unpacked(held.value, shapes)
+        vl, vn, pid = 0.0, 0, 0
+
+        def arrays():
+            nonlocal vl, vn, pid
+            for pdf in frames:
+                if len(pdf) == 0:
+                    continue
+                X = np.stack([np.asarray(a, dtype=np.float64) for a in pdf[x]])
+                isval = pdf["_val"].to_numpy().astype(bool)
+                if isval.any():
+                    vl += val_loss(first.w, X[isval])
+                    vn += int(isval.sum())
+                pid = int(pdf["_pid"].iloc[0])
+                yield X[~isval]
+
+        n, tl = epoch_over(now, arrays(), lr, lambda k: np.random.default_rng([seed, epoch, pid, k]))
+        yield pd.DataFrame({"n": [n], "tl": [tl], "vl": [vl], "vn": [vn], "w": [list(now.packed() * n)]})
+
+    parts = rows.mapInPandas(train, "n long, tl double, vl double, vn long, w array<double>")
 
     def seq(acc, r):
         return (acc[0] + r["n"], acc[1] + r["tl"], acc[2] + r["vl"], acc[3] + r["vn"],
@@ -187,8 +251,8 @@ def _epoch_job(rows: DataFrame, x: str, wflat: np.ndarray, shapes: dict, lr: flo
     def comb(a, b):
         return tuple(x + y for x, y in zip(a, b))
     n, tl, vl, vn, wsum = parts.rdd.treeAggregate((0, 0.0, 0.0, 0, np.zeros(dim)), seq, comb, depth=2)
-    wb.unpersist()
-    new = wsum / n if n else wflat
+    held.unpersist()
+    new = wsum / n if n else state
     return new, (tl / n if n else float("nan")), (vl / vn if vn else float("nan"))
 
 
@@ -202,7 +266,7 @@ def fit_dense_ae(df: DataFrame, x: str, key: str, bottleneck: int = 16, hidden:
         .withColumn("_pid", F.spark_partition_id()).persist(StorageLevel.MEMORY_AND_DISK)
     w = init_weights(d, hidden, bottleneck, seed)
     shapes = {k: v.shape for k, v in w.items()}
-    cur = flatten(w)
+    cur = State.fresh(w).packed()
     lr, best, best_w, since_best, since_lr, hist = LEARNING_RATE, np.inf, cur, 0, 0, []
     for ep in range(max_epochs):
         new, tl, vl_prev = _epoch_job(rows, x, cur, shapes, lr, ep, seed)
@@ -220,4 +284,4 @@ def fit_dense_ae(df: DataFrame, x: str, key: str, bottleneck: int = 16, hidden:
                     break
         cur = new
     rows.unpersist()
-    return DenseAE(unflatten(best_w if np.isfinite(best) else cur, shapes), hist)
+    return DenseAE(State.unpacked(best_w if np.isfinite(best) else cur, shapes).w, hist)

@@ -14,6 +14,8 @@ from .conftest import SF_CHECK
 def test_gradients_match_finite_differences():
     rng0 = np.random.default_rng(0)
     w = D.init_weights(5, 7, 3, seed=1)
+    for n in ("b1", "b2", "b3", "s1", "s3"):  # zeros would lie on the kinks, where no slope is defined
+        w[n] = rng0.normal(size=w[n].shape)
     x = rng0.normal(size=(4, 5))
 
     def loss_at(wv):
@@ -40,3 +42,32 @@ def test_dense_ae_flags_shifted_rows(spark):
     back = D.DenseAE({k: np.array(v.tolist()) for k, v in ae.weights.items()}, [])
     c = back.reconstruct(f, "x").agg(F.avg("err_out")).collect()[0][0]
     assert abs(a - c) < 1e-12
+
+
+def test_one_partition_equals_one_process(spark):
+    """State carries over epochs: weights, normalisation, moments and steps."""
+    r = np.random.default_rng(5)
+    X = r.normal(size=(700, 6)) @ r.normal(size=(6, 6))
+    df = spark.createDataFrame([(f"s{i}", v.tolist()) for i, v in enumerate(X)], "session_id string, x array<double>").coalesce(1)
+    flags = [b.v for b in df.selectExpr("pmod(xxhash64(session_id, 42), 1000) < 100 AS v").collect()]
+    train, held = X[~np.array(flags)], X[np.array(flags)]
+    ae = D.fit_dense_ae(df, "x", "session_id", bottleneck=2, hidden=9, max_epochs=4)
+    state = D.State.fresh(D.init_weights(6, 9, 2, 42))
+    losses, states = [], []
+    for epoch in range(4):
+        losses.append(D.val_loss(state.w, held) / len(held))
+        states.append({k: v.copy() for k, v in state.w.items()})
+        D.epoch_over(state, [train], D.LEARNING_RATE, lambda k, e=epoch: np.random.default_rng([42, e, 0, k]))
+    assert np.allclose([h["val_loss_prev"] for h in ae.history], losses, rtol=1e-9)
+    best = states[int(np.argmin(losses))]
+    assert all(np.allclose(ae.weights[k], best[k], rtol=1e-9) for k in best) and state.t == 4 * -(-len(train) // D.BATCH)
+    assert not np.allclose(best["m1"], 0) and not np.allclose(best["g1"], 1)
+
+
+def test_normalisation_uses_running_statistics_when_scoring():
+    w = D.init_weights(4, 5, 2, seed=3)
+    x = np.random.default_rng(1).normal(size=(30, 4))
+    one, _ = D.forward(w, x[:1])
+    assert np.allclose(one, D.forward(w, x)[0][:1])  # a row's result doesn't hang on its batch
+    w["m1"], w["v1"] = np.full(5, 0.5), np.full(5, 2.0)
+    assert not np.allclose(one, D.forward(w, x)[0][:1])
