@@ -5,7 +5,8 @@ ST1 live gauge      max score per (host, service), update mode, upserted per bat
 ST2 parse stream    mask + key extraction on a text stream
 ST3 session stream  inactivity sessions per key with a watermark (session_window)
 ST4 alert rate      tumbling-window alert rate per service
-ST5 score stream    saved detectors applied to a stream, upserted per batch
+ST5 score stream    saved detectors applied to a stream of feature rows, or to raw lines whose sessions
+                    have closed, upserted per batch
 ST6 late / dupes    watermark drop and dropDuplicatesWithinWatermark
 
 Every builder takes a streaming DataFrame and returns one; ``start_*`` helpers wire
@@ -14,7 +15,8 @@ the sinks. Checkpoints go under the session's reliable checkpoint directory.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import json
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -22,9 +24,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState
 
-from ..functions import extract_key, mask_line
-from ..functions.text import BLOCK_KEY_PATTERN
+from ..functions import extract_key, mask_line, normalize_id
+from ..functions.text import BLOCK_KEY_PATTERN, tokens
 from ..plans.detector import Detectors
+from ..plans.training import LogModel, SessionTable
+from ..session import stored
 from ..sources import upsert as UP
 
 
@@ -97,6 +101,51 @@ def score_stream(features: DataFrame, detectors: Detectors) -> DataFrame:
     return detectors.score(features)
 
 
+SESSION_ROWS = "session_id string, timestamp timestamp, n_events long, duration_sec double, terms array<string>, counts array<long>"
+
+
+def session_rows_stream(lines: DataFrame, key: str, ts: str, text: str, order: Sequence[str], gap_seconds: int, watermark: str) -> DataFrame:
+    """ST5, first half: raw lines -> one row per session that has been silent for ``gap_seconds`` of event
+    time, with its term counts (F2, F3). A session's state is its counts and its last token: as many entries as it
+    has distinct terms, none of its text. Lines of a session are put in ``order`` within a micro-batch; a later micro-batch's
+    lines come after an earlier one's."""
+    def step(name: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        n, first, last, tail, held = state.get if state.exists else (0, None, None, None, "{}")
+        if state.hasTimedOut:
+            state.remove()
+            counts = json.loads(held)
+            yield pd.DataFrame({"session_id": [name[0]], "timestamp": [pd.Timestamp(first, unit="us")], "n_events": [n], "duration_sec": [(last - first) / 1e6],
+                                "terms": [list(counts)], "counts": [list(counts.values())]})
+            return
+        counts = json.loads(held)
+        rows = pd.concat(list(frames)).sort_values([f"_o{i}" for i in range(len(order))], kind="stable")
+        for us, found in zip(rows["us"], rows["tok"], strict=True):
+            n, first, last = n + 1, us if first is None else min(first, us), us if last is None else max(last, us)
+            for token in found:
+                for term in (token, f"{tail} {token}") if tail is not None else (token,):
+                    counts[term] = counts.get(term, 0) + 1
+                tail = token
+        state.update((n, int(first), int(last), tail, json.dumps(counts)))
+        state.setTimeoutTimestamp(max(int(last) // 1000 + gap_seconds * 1000, state.getCurrentWatermarkMs() + 1))
+
+    rows = lines.withWatermark(ts, watermark).where(F.col(key).isNotNull() & F.col(ts).isNotNull()) \
+        .select(normalize_id(key).alias("session_id"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], tokens(text).alias("tok"), ts, F.unix_micros(F.col(ts)).alias("us"))
+    return rows.groupBy("session_id").applyInPandasWithState(step, SESSION_ROWS, "n long, first long, last long, tail string, terms string", "append", "EventTimeTimeout")
+
+
+def start_alert_stream(lines: DataFrame, model: LogModel, target: str, name: str, key: str, ts: str, text: str, order: Sequence[str], gap_seconds: int, watermark: str,
+                       checkpoint: str | None = None, trigger: dict | None = None) -> StreamingQuery:
+    """ST5 from raw lines to the keyed alert table: sessions that close are turned into feature rows, scored
+    by the saved model and upserted. A replayed or restarted batch gives the same table."""
+    def scored(batch: DataFrame) -> DataFrame:
+        held = stored(batch, "closed-sessions")
+        terms = held.select("session_id", F.explode(F.arrays_zip("terms", "counts")).alias("t")).select("session_id", F.col("t.terms").alias("term"), F.col("t.counts").alias("tf"))
+        return model.score(SessionTable(held.drop("terms", "counts"), terms)).drop("z_out", "z_lat")
+
+    closed = session_rows_stream(lines, key, ts, text, order, gap_seconds, watermark)
+    return start_upsert_stream(closed, target, "session_id", name, "append", checkpoint, trigger, transform=scored)
+
+
 def _ckpt(spark: SparkSession, name: str, checkpoint: str | None) -> str:
     """Where a stream's progress is kept: the same place at each start, so that a restarted
     stream goes on where it was."""

@@ -122,3 +122,40 @@ def test_packed_cells_round_trip():
     assert list(values) == list(range(3, 10)) and list(begin) == [0, 0, 7]
     assert B.unpacked(pa.array([b"", b""], pa.binary()), np.int32)[1].tolist() == [0, 0, 0]
     assert json.dumps(B.Boosting().__dict__)  # settings are plain values
+
+
+def test_a_stream_of_lines_gives_the_alerts_of_a_batch(spark, planted, tmpdir_path):
+    """ST5: two runs of the stream from one checkpoint, sessions that span both."""
+    import os
+
+    import pandas as pd
+
+    from sessionlens.operators import sessions as S
+    from sessionlens.sources import upsert as UP
+    from sessionlens.streaming import live as L
+    table, lines = planted
+    start = F.timestamp_seconds(F.substring("session_id", 2, 9).cast("long") * 60 + F.col("pos") * 5 + 1_700_000_000)
+    timed = lines.withColumn("ts", start)
+    sess = S.sessionize(timed, "session_id", "ts").join(table.select("session_id", "label"), "session_id")
+    t = TR.session_table(sess, timed, "session_id", ["pos"])
+    model, _ = TR.train_from_logs(t, svd_k=4, bottleneck=2, trees=B.Boosting(rounds=3, step=0.3, leaves=4, min_rows=5), folds=2, min_val_rows=1, min_val_pos=1)
+    want = {r.session_id: r for r in model.score(t).collect()}
+    src, target = f"{tmpdir_path}/lines", f"{tmpdir_path}/alerts"
+    os.makedirs(src)
+    frame = timed.toPandas().sort_values("ts").sample(frac=1, random_state=1).sort_values("ts", kind="stable")
+    cuts = [frame.iloc[:501], frame.iloc[501:803], frame.iloc[803:], pd.DataFrame([("~end", 0, "x", pd.Timestamp("2030-01-01"))], columns=frame.columns)]
+
+    def run(parts, first):
+        for i, p in enumerate(parts):
+            p.to_parquet(f"{src}/{first + i}.parquet", index=False, coerce_timestamps="us")
+        stream = spark.readStream.schema(timed.schema).option("maxFilesPerTrigger", 1).parquet(src)
+        L.start_alert_stream(stream, model, target, "alerts", "session_id", "ts", "message", ["pos"], 600, "1 minute", checkpoint=f"{tmpdir_path}/ck").awaitTermination()
+        return {r.session_id: r for r in UP.read_latest(spark, target).collect()}
+
+    early = run(cuts[:1], 0)
+    assert 0 < len(early) < 300
+    got = run(cuts[1:], 1)
+    assert set(got) == set(want)
+    for k, r in got.items():
+        assert (r.timestamp, r.is_alert) == (want[k].timestamp, want[k].is_alert)
+        assert np.allclose([r.p_score_iso, r.z_ae, r.fusion_score], [want[k].p_score_iso, want[k].z_ae, want[k].fusion_score], atol=1e-9)
