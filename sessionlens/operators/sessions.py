@@ -12,8 +12,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import (backfill_key, coalesce_cast, duration_seconds, epoch_micros, label_to_int,
-                         normalize_id, require_columns)
+from ..functions import (backfill_key, coalesce_cast, duration_seconds, label_to_int, normalize_id,
+                         require_columns)
+from .ordered import row_index
 
 SESSION_COLUMNS = ("session_id", "block_id", "timestamp", "timestamp_start", "timestamp_end",
                    "n_events", "label")
@@ -117,15 +118,15 @@ def _order_struct(order: Sequence[str], text_col: str):
 
 
 def session_documents(lines: DataFrame, key: str, order: Sequence[str], text_col: str,
-                      chunk_col: str | None = None, chunk_size: int = 4096, chunk_seconds: int = 3600,
-                      trim: bool = True) -> DataFrame:
+                      chunk_col: str | None = None, chunk_size: int = 4096, trim: bool = True) -> DataFrame:
     """A3-A5: per session the document (texts joined by one space in ``order``), the
     line count and the first/last value of the first order column.
 
     ``order`` must make the order total (add a tie-break column). Two-level concat:
     lines are first joined inside chunks of ``chunk_size`` consecutive ``chunk_col``
     values (bounded sort per group even for a hot session), then chunk strings are
-    joined per session in chunk order.
+    joined per session in chunk order. Times don't tell how many lines lie between them, so in time
+    order lines are numbered first (``row_index``) and chunks are cut by that number.
     """
     t = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     if trim:
@@ -135,12 +136,10 @@ def session_documents(lines: DataFrame, key: str, order: Sequence[str], text_col
         raise ValueError("an explicit total order (position or timestamp, plus a tie-break) is required")
     first = order[0]
     cc = chunk_col or first
-    num = F.col(cc)
     if dict(df.dtypes)[cc].startswith("timestamp"):
-        # time order: chunks are spans of ``chunk_seconds`` instead of position counts
-        num = epoch_micros(F.col(cc))
-        chunk_size = chunk_seconds * 1_000_000
-    df = df.withColumn("_chunk", F.floor(num / F.lit(chunk_size)))
+        df = row_index(df.select(key, *order, "_text"), [key, *order], "_place")
+        cc = "_place"
+    df = df.withColumn("_chunk", F.floor(F.col(cc) / F.lit(chunk_size)))
     part = (df.groupBy(key, "_chunk")
             .agg(F.array_join(F.transform(F.array_sort(F.collect_list(_order_struct(order, "_text"))),
                                           lambda x: x["_t"]), " ").alias("_part"),

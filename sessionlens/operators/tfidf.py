@@ -26,7 +26,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from ..functions.columns import epoch_micros
 from ..functions.text import TOKEN_PATTERN, tokens
 from ..session import small_side, stored
 from .ordered import row_index, running_totals
@@ -36,8 +35,7 @@ MAX_FEATURES = 120_000
 CHUNK = 4096
 
 
-def line_terms(lines: DataFrame, key: str, pos: str, text: str, chunk: int = CHUNK,
-               chunk_seconds: int = 3600, ties: Sequence[str] = ()) -> DataFrame:
+def line_terms(lines: DataFrame, key: str, pos: str, text: str, chunk: int = CHUNK, ties: Sequence[str] = ()) -> DataFrame:
     """(key, term) rows: unigrams, bigrams inside a line, and the bigram joining the last
     token of the previous token-bearing line to the first token of the next one.
 
@@ -49,8 +47,9 @@ def line_terms(lines: DataFrame, key: str, pos: str, text: str, chunk: int = CHU
     """
     p = F.col(pos)
     if dict(lines.dtypes)[pos].startswith("timestamp"):
-        p = epoch_micros(F.col(pos))
-        chunk = chunk_seconds * 1_000_000   # time order: chunks are time spans
+        # times don't tell how many lines lie between them: chunks are cut by the lines' number
+        lines = row_index(lines.where(F.col(key).isNotNull()).select(key, pos, *ties, text), [key, pos, *ties], "_place")
+        p, ties = F.col("_place"), ()
     t = lines.where(F.col(key).isNotNull()).select(F.col(key), p.alias("_pos"), F.struct(p.alias("_p"), *ties).alias("_at"), tokens(text).alias("_tok")) \
         .withColumn("_chunk", F.floor(F.col("_pos") / F.lit(chunk)))
     n = F.size("_tok")

@@ -101,3 +101,22 @@ def test_profiles(spark):
     assert (a.anomaly_sessions, a.anomaly_blocks) == (2, 2)
     d = S.duplicate_sessions(df).collect()
     assert [r.session_id for r in d] == ["a", "a"]
+
+
+def test_a_burst_within_one_hour_is_cut_by_number(spark):
+    """Chunks in time order hold so many lines at most, however many share an hour or an instant."""
+    from pyspark.sql import functions as F
+
+    from sessionlens.operators import tfidf as TF
+    n = 5000
+    rows = spark.range(n).select(F.lit("s").alias("session_id"), F.timestamp_seconds(F.lit(1_700_000_000) + F.floor(F.col("id") / 1000)).alias("ts"),
+                                 F.col("id").alias("pos"), F.concat(F.lit("w"), F.col("id") % 7).alias("text")).repartition(5)
+    r = S.session_documents(rows, "session_id", ["ts", "pos"], "text", chunk_size=64).collect()[0]
+    want = [f"w{i % 7}" for i in range(n)]
+    assert r.doc == " ".join(want) and r.n_events == n and (r.last_order - r.first_order).seconds == 4
+    got = {x.term: x["count"] for x in TF.line_terms(rows, "session_id", "ts", "text", chunk=64, ties=["pos"]).groupBy("term").count().collect()}
+    expect = {}
+    for i, w in enumerate(want):
+        for t in ([w] if not i else [w, f"{want[i - 1]} {w}"]):
+            expect[t] = expect.get(t, 0) + 1
+    assert got == expect
