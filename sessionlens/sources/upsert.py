@@ -1,18 +1,16 @@
 """Keyed upsert (S13) with null-normalising casts (P20).
 
-The target is a directory of hash buckets and a folder ``_versions`` of small manifests, each of
-which names the data of every bucket. An upsert reads the buckets that its batch touches, keeps
-the rows whose key is not in the batch (left anti join), appends the batch, writes these buckets
-to a new folder and then creates the next manifest. A failed job leaves the last version intact,
-a re-run of the same batch gives the same table (idempotent), a version is never written twice
-(of two writers, one fails), and the last few versions stay readable. All of it goes through the
-session's Hadoop FileSystem, so the target may lie on any storage that the executors share.
+The target is a Parquet table partitioned by hash buckets of its key. An upsert reads the buckets that its
+batch touches, keeps the rows whose key is not in the batch (left anti join), appends the batch, and
+replaces these buckets by Spark's dynamic partition overwrite. The merged rows are written beside the
+table first: a job that fails before that leaves the table as it was, and one that ends while buckets
+are being replaced is finished from that copy by the next reader or writer. A re-run of the same batch gives the
+same table (idempotent). One writer at a time; the target may lie on any storage that the executors share.
 """
+
 from __future__ import annotations
 
-import json
-import uuid
-from collections.abc import Iterable, Mapping
+from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,8 +19,8 @@ from ..functions import null_normalised_timestamp
 from ..session import discard, stored
 from . import storage as ST
 
-N_BUCKETS = 16
-KEEP_VERSIONS = 3
+#: Buckets of a new table. An existing one keeps its own number, which its folders' names hold.
+N_BUCKETS = 64
 
 ALERT_TYPES = {  # the alert table's column types
     "session_id": "string", "timestamp": "timestamp", "p_score_iso": "double", "z_ae": "double",
@@ -57,71 +55,50 @@ def merge(target: DataFrame | None, batch: DataFrame, key: str = "session_id") -
     return target.join(batch.select(key), key, "left_anti").unionByName(batch, allowMissingColumns=True)
 
 
-def _versions(spark: SparkSession, path: str) -> list[str]:
-    return ST.matches(spark, f"{path}/_versions/v=*")
-
-
-def _manifest(spark: SparkSession, path: str) -> dict | None:
-    found = _versions(spark, path)
-    return json.loads(ST.read_text(spark, found[-1])) if found else None
+def _buckets(spark: SparkSession, path: str) -> list[str]:
+    """Names of the table's buckets: number of buckets, underscore, bucket."""
+    return [p.rsplit("=", 1)[1] for p in ST.matches(spark, f"{path}/bucket=*")]
 
 
-def _read(spark: SparkSession, path: str, parts: Iterable[str]) -> DataFrame:
-    return spark.read.option("mergeSchema", "true").parquet(*[f"{path}/{p}" for p in parts])
+def _finish(spark: SparkSession, path: str) -> None:
+    """Replace the buckets of a whole merged copy, if there is one, and drop it."""
+    copy = f"{path}/_merged"
+    if ST.exists(spark, f"{copy}/_SUCCESS"):
+        (spark.read.parquet(copy).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path))
+        ST.remove(spark, copy)
 
 
 def read_latest(spark: SparkSession, path: str) -> DataFrame | None:
-    m = _manifest(spark, path)
-    return _read(spark, path, m["buckets"].values()) if m and m["buckets"] else None
+    _finish(spark, path)
+    return spark.read.option("mergeSchema", "true").parquet(path).drop("bucket") if _buckets(spark, path) else None
 
 
 def upsert(spark: SparkSession, path: str, batch: DataFrame, key: str = "session_id",
-           types: Mapping[str, str] | None = None, n_buckets: int = N_BUCKETS, keep: int = KEEP_VERSIONS,
-           gone: str | None = None) -> str:
-    """Apply ``batch`` to the keyed table at ``path``; returns the new version's manifest.
+           types: Mapping[str, str] | None = None, n_buckets: int = N_BUCKETS, gone: str | None = None) -> None:
+    """Apply ``batch`` to the keyed table at ``path``.
 
-    Only the buckets that the batch touches are read and written. ``n_buckets`` holds for a new
-    table; an existing one keeps its own. ``gone`` names a Boolean column of the batch: where it holds,
-    the key leaves the table. The batch's own copy is deleted in the end.
+    Only the buckets that the batch touches are read and written. ``gone`` names a Boolean column of the
+    batch: where it holds, the key leaves the table. The batch's own copy is deleted in the end.
     """
     b = stored(normalise_batch(batch, types) if types else batch, "upsert-batch")
     try:
-        return _apply(spark, path, b, key, n_buckets, keep, gone)
+        check_unique(b, key)
+        _finish(spark, path)
+        old = _buckets(spark, path)
+        n = int(old[0].split("_")[0]) if old else n_buckets
+        bucket = F.concat_ws("_", F.lit(str(n)), F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(n)).cast("string"))
+        touched = [r[0] for r in b.select(bucket).distinct().collect()]  # n at most
+        held = [x for x in touched if x in old]
+        # by partition, so that only the touched buckets are listed and read
+        now = spark.read.option("mergeSchema", "true").option("basePath", path).parquet(*[f"{path}/bucket={x}" for x in held]).drop("bucket") if held else None
+        new = merge(now, b, key)
+        if gone:
+            new = new.where(~F.coalesce(F.col(gone), F.lit(False))).drop(gone)
+        new.withColumn("bucket", bucket).write.mode("overwrite").parquet(f"{path}/_merged")
+        if gone:  # an overwrite leaves buckets alone that get no row
+            left = {r[0] for r in spark.read.parquet(f"{path}/_merged").select("bucket").distinct().collect()}
+            for x in set(held) - left:
+                ST.remove(spark, f"{path}/bucket={x}")
+        _finish(spark, path)
     finally:
         discard(b)
-
-
-def _apply(spark: SparkSession, path: str, b: DataFrame, key: str, n_buckets: int, keep: int, gone: str | None) -> str:
-    check_unique(b, key)
-    m = _manifest(spark, path) or {"version": 0, "n_buckets": n_buckets, "buckets": {}}
-    bucket = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(m["n_buckets"])).cast("int")
-    touched = [str(r[0]) for r in b.select(bucket).distinct().collect()]  # n_buckets at most
-    old = [m["buckets"][k] for k in touched if k in m["buckets"]]
-    new = merge(_read(spark, path, old) if old else None, b, key)
-    if gone:
-        new = new.where(~F.coalesce(F.col(gone), F.lit(False))).drop(gone)
-    part = f"data/{uuid.uuid4().hex}"
-    new.withColumn("bucket", bucket).write.partitionBy("bucket").parquet(f"{path}/{part}")
-    version = m["version"] + 1
-    name = f"{path}/_versions/v={version:08d}"
-    # a bucket that has lost its last row has no folder
-    buckets = m["buckets"] | {k: f"{part}/bucket={k}" for k in touched}
-    if gone:
-        left = {p.rsplit("=", 1)[1] for p in ST.matches(spark, f"{path}/{part}/bucket=*")}
-        buckets = {k: p for k, p in buckets.items() if k not in touched or k in left}
-    # creating the file is the commit: a second writer of this version fails here
-    ST.write_text(spark, name, json.dumps({"version": version, "n_buckets": m["n_buckets"], "buckets": buckets}))
-    _expire(spark, path, keep)
-    return name
-
-
-def _expire(spark: SparkSession, path: str, keep: int) -> None:
-    """Drop all but the last ``keep`` versions, and the data that only they name."""
-    found = _versions(spark, path)
-    gone, left = found[:-keep], found[-keep:]
-    if not gone:
-        return
-    parts = lambda names: {p for n in names for p in json.loads(ST.read_text(spark, n))["buckets"].values()}
-    unused = parts(gone) - parts(left)
-    for p in [*gone, *[f"{path}/{x}" for x in unused]]:
-        ST.remove(spark, p)

@@ -35,14 +35,27 @@ def test_a_uri_names_one_table_from_any_directory(spark, tmpdir_path, monkeypatc
     assert {r.session_id for r in UP.read_latest(spark, uri).collect()} == {"a", "b", "c"}
 
 
-def test_a_version_is_not_written_twice_and_old_ones_go(spark, tmpdir_path):
+def test_a_broken_write_is_finished(spark, tmpdir_path, monkeypatch):
+    """A writer that ends before, or while, buckets are replaced."""
     from sessionlens.sources import storage as ST
     path = f"{tmpdir_path}/t"
-    for i in range(5):
-        name = UP.upsert(spark, path, _batch(spark, [(f"k{i}", "", 0.1, 1.0, 0.2, 0, i)]), "session_id", UP.ALERT_TYPES, keep=2)
-    assert len(ST.matches(spark, f"{path}/_versions/*")) == 2 and UP.read_latest(spark, path).count() == 5
-    with pytest.raises(Exception, match="(?i)exist"):
-        ST.write_text(spark, name, "{}")
+    one = [("a", "", 0.1, 1.0, 0.2, 0, 0), ("b", "", 0.5, 2.0, 0.6, 1, 1)]
+    UP.upsert(spark, path, _batch(spark, one), "session_id", UP.ALERT_TYPES, n_buckets=4)
+    rows = lambda: {r.session_id: r.label for r in UP.read_latest(spark, path).collect()}
+    with pytest.raises(Exception, match="(?i)divide|zero"):  # the job that makes the merged rows fails
+        bad = _batch(spark, [("a", "", 0.1, 1.0, 0.2, 0, 9)]).selectExpr("*", "raise_error('divide by zero') AS x")
+        UP.upsert(spark, path, bad)
+    assert rows() == {"a": 0, "b": 1}
+    finish = UP._finish
+    with monkeypatch.context() as m:  # ends with the merged copy written, a bucket already deleted
+        calls = []
+        m.setattr(UP, "_finish", lambda *x: calls.append(x) or (finish(*x) if len(calls) == 1 else None))
+        UP.upsert(spark, path, _batch(spark, [("a", "", 0.1, 1.0, 0.2, 0, 7), ("c", "", 0.1, 1.0, 0.2, 0, 3)]), "session_id", UP.ALERT_TYPES)
+    for r in spark.read.parquet(f"{path}/_merged").select("bucket").distinct().collect():
+        ST.remove(spark, f"{path}/bucket={r.bucket}")
+    assert rows() == {"a": 7, "b": 1, "c": 3} and not ST.exists(spark, f"{path}/_merged")
+    UP.upsert(spark, path, _batch(spark, [("d", "", 0.1, 1.0, 0.2, 0, 5)]), "session_id", UP.ALERT_TYPES, n_buckets=99)
+    assert rows()["d"] == 5 and {p.rsplit("=", 1)[1].split("_")[0] for p in ST.matches(spark, f"{path}/bucket=*")} == {"4"}
 
 
 def test_upsert_rejects_duplicate_keys(spark, tmpdir_path):
