@@ -44,6 +44,8 @@ CONSISTENCY = 0.9
 LITERALS = 2
 #: Most windows of the benchmark that are broadcast.
 BROADCAST_WINDOWS = 1_000_000
+#: Most documents with a candidate that are broadcast: they grow with the corpus.
+BROADCAST_TEXTS = 200_000
 
 #: Units of measure and money that follow a number.
 UNITS = ("kilometers kilometres km kilograms kilogram kg grams gram g mg meters metres meter metre m cm mm miles mile mi "
@@ -63,6 +65,17 @@ GROUP = {"name": 1, "unit": 2, "number": 1}
 STOP = "\x04"
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df``, which grows with the documents, for a join that never broadcasts it. Tables of hits are a few bytes a row as Parquet,
+    which the planner goes by, and a hundred in the driver's memory."""
+    return df.hint("merge")
+
+
+def found_side(df: DataFrame) -> DataFrame:
+    """``df``, a stored table of documents: broadcast while it has ``BROADCAST_TEXTS`` rows at most, else shuffled."""
+    return F.broadcast(df) if df.count() <= BROADCAST_TEXTS else shuffled(df)
+
+
 def _steps(text: Column) -> list[Column]:
     """The text before each pass, and after the last."""
     out = [F.translate(F.coalesce(text, F.lit("")), "\x01\x02\x03", "   ")]
@@ -166,7 +179,7 @@ def occurrences(hits: DataFrame, pair: list[str], similarity: float) -> tuple[Da
     # every shift may be an occurrence: by itself, and with what lies within the item's length
     at = hits.select(*pair, F.col("shift").alias("at"), F.explode(F.array(F.lit(0), "size")).alias("reach")).distinct()
     at = at.withColumn("cell", F.explode(F.sequence(cell(F.col("at") - F.col("reach")), cell(F.col("at") + F.col("reach")))))
-    near = at.join(hits.withColumn("cell", cell(F.col("shift"))), [*pair, "cell"]).withColumn("d", F.abs(F.col("shift") - F.col("at"))).filter("d <= reach")
+    near = at.join(shuffled(hits.withColumn("cell", cell(F.col("shift")))), [*pair, "cell"]).withColumn("d", F.abs(F.col("shift") - F.col("at"))).filter("d <= reach")
     chosen = stored(near.groupBy(*place, "ipos").agg(F.min(F.struct("d", "shift")).alias("far")), "decon-chosen")
     # windows that stand in the text by chance, or twice in the item, have shifts of few others
     by_shift = chosen.groupBy(*place, "far.shift").agg(F.count("*").alias("k"))
@@ -188,27 +201,27 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
     pair = ["doc_id", "t", "item_id", "n", "size"]
     hits = stored(hashed.join(small_side(wanted, BROADCAST_WINDOWS), "h").select(*pair, "ipos", (F.col("pos") - F.col("ipos")).alias("shift")), "decon-hits")
     enough = hits.groupBy(*pair).agg(F.count_distinct("ipos").alias("k")).filter(F.col("k") >= similarity * F.col("n")).drop("k")
-    hits = stored(hits.join(enough, pair, "left_semi").distinct(), "decon-candidates")
+    hits = stored(hits.join(shuffled(enough), pair, "left_semi").distinct(), "decon-candidates")
     chosen, found = occurrences(hits, pair, similarity)
     # the values of the candidates' placeholders, aligned with the item's
     place = ["doc_id", "t", "item_id", "at", "reach"]
-    texts = own.join(small_side(stored(found.select("doc_id", "t").distinct(), "decon-texts"), BROADCAST_WINDOWS), ["doc_id", "t"], "left_semi")
+    texts = own.join(found_side(stored(found.select("doc_id", "t").distinct(), "decon-texts")), ["doc_id", "t"], "left_semi")
     ours = slots(texts.dropDuplicates(["doc_id", "t"]).select(F.struct("doc_id", "t").alias("key"), "text"), "key", "text").select(
         "key.doc_id", "key.t", "pos", "kind", F.col("value").alias("got"))
     theirs = small_side(stored(slots(items, "item_id", "text").select("item_id", F.col("pos").alias("ipos"), "kind", F.col("value").alias("asked")), "decon-slots"),
                         BROADCAST_WINDOWS)
-    held = chosen.join(found.select(*place), place, "left_semi").select(
+    held = chosen.join(shuffled(found.select(*place)), place, "left_semi").select(
         *place, F.explode(F.sequence(F.col("ipos"), F.col("ipos") + WINDOW - 1)).alias("ipos"), "far")
     held = held.groupBy(*place, "ipos").agg(F.min("far").alias("far"))
-    pairs = (found.select(*place).join(theirs, "item_id").join(held, [*place, "ipos"], "left")
-             .withColumn("pos", F.col("ipos") + F.coalesce("far.shift", "at")).join(ours, ["doc_id", "t", "pos", "kind"]))
+    pairs = (found.select(*place).join(theirs, "item_id").join(shuffled(held), [*place, "ipos"], "left")
+             .withColumn("pos", F.col("ipos") + F.coalesce("far.shift", "at")).join(shuffled(ours), ["doc_id", "t", "pos", "kind"]))
     pairs = stored(pairs, "decon-values")
     values = pairs.groupBy(*place, "kind", "asked").agg(
         (F.min("got") == F.max("got")).alias("one"), (F.min("got").eqNullSafe(F.col("asked")) & F.max("got").eqNullSafe(F.col("asked"))).alias("same"))
     checked = values.groupBy(*place).agg(F.avg(F.col("one").cast("double")).alias("consistent"), F.min("same").alias("same"), F.count("*").alias("n_values"))
     # the values of an occurrence in the order of the item's placeholders: at most as many as the item has
     has = pairs.groupBy(*place).agg(value_hash(F.transform(F.array_sort(F.collect_list(F.struct("ipos", "got"))), lambda x: x["got"])).alias("values"), F.count("*").alias("n_got"))
-    passed = (found.join(checked, place, "left").join(has, place, "left").fillna({"consistent": 1.0, "same": True, "n_values": 0, "n_got": 0})
+    passed = (found.join(shuffled(checked), place, "left").join(shuffled(has), place, "left").fillna({"consistent": 1.0, "same": True, "n_values": 0, "n_got": 0})
               .filter(F.col("consistent") >= consistency).withColumn("values", F.coalesce("values", value_hash(F.array().cast("array<string>")))))
     named = small_side(members.select(F.col("class_id").alias("item_id"), "values", F.col("item_id").alias("named")), BROADCAST_WINDOWS)
     passed = passed.join(small_side(items.select("item_id", F.col("n_slots").alias("__n")), BROADCAST_WINDOWS), "item_id").join(named, ["item_id", "values"], "left")
@@ -230,7 +243,7 @@ def benchmark_texts(benchmark: DataFrame) -> DataFrame:
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the documents that hold an item."""
     bad = stored(leaks(docs, benchmark).select("doc_id").distinct(), "decon-bad")
-    return docs.join(small_side(bad, BROADCAST_WINDOWS), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(found_side(bad), "doc_id", "left_anti").select(*docs.columns)
 
 
 def op6_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -384,6 +384,27 @@ def test_leaks_equal_brute_force(spark):
     assert want and got == want
 
 
+def test_what_grows_with_the_documents_is_not_broadcast(spark, monkeypatch):
+    """Tables of hits are small as Parquet and large in the driver's memory: their joins shuffle, however few bytes the planner sees."""
+    item = "A train leaves Boston at 40 miles per hour and arrives in Denver after 12 hours. How far apart are the two cities?"
+    docs = spark.createDataFrame([(i, f"Intro {i}. {item} The end.") for i in range(20)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    plans, stored = {}, decontaminate.stored
+
+    def watched(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return stored(df, name)
+
+    monkeypatch.setattr(decontaminate, "stored", watched)
+    monkeypatch.setattr(decontaminate, "BROADCAST_TEXTS", 5)
+    assert sorted(r.doc_id for r in decontaminate.leaks(docs, bench).select("doc_id").distinct().collect()) == list(range(20))
+    for name in ("decon-candidates", "decon-chosen"):
+        assert "SortMergeJoin" in plans[name] and "BroadcastHashJoin" not in plans[name]
+    assert plans["decon-values"].count("BroadcastHashJoin") == 1  # the benchmark's values
+    kept = decontaminate.decontaminate(docs, bench)
+    assert "BroadcastHashJoin" not in kept._jdf.queryExecution().executedPlan().toString() and kept.count() == 0
+
+
 def test_decontamination_defined_cases(odd, empty, spark):
     bench = spark.createDataFrame([(1, ITEM), (None, ITEM), (2, "")], "item_id long, text string")
     assert decontaminate.decontaminate(odd, bench).count() == odd.count()
