@@ -253,6 +253,6 @@ def op6_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count("*").alias("n_items"), F.array_join(F.transform(F.array_sort(F.collect_set("item_id")), lambda x: x.cast("string")), ",").alias("items"),
         F.max("coverage").alias("coverage"))
     ids = docs.select("doc_id")
-    return ids.join(found, "doc_id", "left").select(
+    return ids.join(shuffled(found), "doc_id", "left").select(
         "doc_id", F.col("n_items").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0)).alias("n_items"),
         F.coalesce("items", F.lit("")).alias("items"), F.round(F.coalesce("coverage", F.lit(0.0)), 6).alias("coverage"))
