@@ -1,6 +1,7 @@
 """Boosted trees against a plain booster that keeps all rows in memory and grows one leaf at a time."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml.linalg import Vectors
 
@@ -124,3 +125,30 @@ def test_defined_cases(spark):
         B.fit_boosted(df.limit(0))
     (m,) = B.fit_boosted(df.withColumn("label", df.label * 0), settings=B.Boosting(rounds=2, min_rows=2))  # one class
     assert max(r.p[0] for r in B.score_boosted(df, [m], out="p").collect()) < 1e-3
+
+
+def test_a_batch_looks_its_entries_up_once_for_all_trees(monkeypatch):
+    """A pass that adds up the trees of many rounds costs no look-up of the entries for each round."""
+    rng = np.random.default_rng(5)
+    n, width = 50, 6
+    bins = rng.integers(1, 5, (n, width)).astype(np.uint8)
+    begin = np.arange(n + 1)
+    cols = np.tile(np.arange(width, dtype=np.int32), n)
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(np.zeros(n)), pa.array(np.ones(n)), pa.array(np.full(n, -1, np.int32)), B.packed(cols, begin * width), B.packed(bins.ravel(), begin * width), B.packed(np.zeros(2 * n), begin * 2)],
+        names=["y", "w", "fold", "cols", "bins", "margins"])
+
+    def stump(col, at, low, high):
+        return B.Tree(np.array([col, 0, 0]), np.array([at, 0, 0]), np.array([1, -1, -1]), np.array([2, -1, -1]), np.array([0.0, low, high]))
+
+    rounds = [[stump(c, 2, -0.5 - c, 0.25 * c), None if c == 3 else stump(width - 1 - c, 1, c, -c)] for c in range(4)]
+    calls, dense = [], B.Rows.dense
+    monkeypatch.setattr(B.Rows, "dense", lambda self, *a: calls.append(1) or dense(self, *a))
+    margins, at = B.Rows(batch, 2).with_trees(rounds, np.zeros(width, np.uint8), [stump(5, 3, 0, 0)])
+    want = np.zeros((n, 2))
+    for trees in rounds:
+        for m, t in enumerate(trees):
+            if t is not None:
+                want[:, m] += np.where(bins[:, t.col[0]] <= t.bin[0], t.value[1], t.value[2])
+    assert np.array_equal(margins, want) and np.array_equal(at[0], np.where(bins[:, 5] <= 3, 1, 2))
+    assert len(calls) == 1
