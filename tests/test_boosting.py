@@ -152,3 +152,87 @@ def test_a_batch_looks_its_entries_up_once_for_all_trees(monkeypatch):
                 want[:, m] += np.where(bins[:, t.col[0]] <= t.bin[0], t.value[1], t.value[2])
     assert np.array_equal(margins, want) and np.array_equal(at[0], np.where(bins[:, 5] <= 3, 1, 2))
     assert len(calls) == 1
+
+
+WHOLE = B.Boosting(rounds=5, step=0.3, leaves=9, min_rows=5, bins=12)
+
+
+def whole(monkeypatch):
+    """Every fit grows its trees in one task; a pass over the rows fails."""
+    monkeypatch.setattr(B, "WHOLE_ROUNDS", 0)
+    monkeypatch.setattr(B, "_pass", lambda *a: pytest.fail("a pass was made"))
+
+
+def margins_of(spark, df, models):
+    return {r.i: r.p for r in B.score_boosted(df, models, out="p").select("i", "p").collect()}
+
+
+@pytest.mark.parametrize("s", [WHOLE, B.Boosting(rounds=3, step=0.5, leaves=30, columns=1.0, min_rows=2, bins=200)], ids=["some", "many"])
+def test_trees_grown_in_one_task_equal_a_plain_booster(spark, monkeypatch, s):
+    whole(monkeypatch)
+    X, y, w = data()
+    fold = np.arange(len(y)) % 2
+    df = frame(spark, X, y, w, fold)
+    bins = B.fit_bins(df, "features", s.bins)
+    models = B.fit_boosted(df, weight="weight", fold="fold", models=2, settings=s)
+    got = margins_of(spark, df, models)
+    for m in range(2):
+        own = np.flatnonzero(fold != m)
+        masks = [B.column_sample(X.shape[1], s.columns, s.seed, r, m) for r in range(s.rounds)]
+        splits, margins = plain(X[own], y[own], w[own], bins, masks, s, models[m].base)
+        assert [len(t) for t in models[m].trees] == [2 * len(want) + 1 for want in splits]
+        assert np.allclose([got[i][m] for i in own], 1 / (1 + np.exp(-margins[-1])), atol=1e-9)
+
+
+def test_one_task_and_passes_agree(spark, monkeypatch):
+    X, y, w = data(500)
+    X[7, 0], X[8:12] = np.nan, 0.0
+    fold = np.where(np.arange(len(y)) % 7 == 0, -1, np.arange(len(y)) % 3)
+    df = frame(spark, X, y, w, fold)
+    by_pass = B.fit_boosted(df, weight="weight", fold="fold", models=3, settings=WHOLE)
+    whole(monkeypatch)
+    alone = B.fit_boosted(df, weight="weight", fold="fold", models=3, settings=WHOLE)
+    again = [B.BoostedTrees.of_table(m.base, m.table()) for m in alone]
+    a, b, c = (margins_of(spark, df, x) for x in (by_pass, alone, again))
+    assert all(np.allclose(a[i], b[i], atol=1e-9) and b[i] == c[i] for i in a)
+    own = {r.i: r.p for r in B.score_own(df, alone, "features", "fold", "p").collect()}
+    assert own == {i: (None if fold[i] < 0 else b[i][fold[i]]) for i in b}
+
+
+def test_a_model_grown_in_one_task_ends_early(spark, monkeypatch):
+    X, y, w = data(600)
+    y = np.where(np.random.default_rng(3).random(600) < 0.25, 1 - y, y)  # noise to overfit
+    df = frame(spark, X, y, np.random.default_rng(4).uniform(0.5, 1.5, 600), np.full(600, -1)).selectExpr("*", "i % 3 = 0 AS held")
+    s = B.Boosting(rounds=40, step=0.5, leaves=20, min_rows=3, patience=3)
+    (by_pass,) = B.fit_boosted(df, weight="weight", settings=s, validation="held")
+    whole(monkeypatch)
+    (alone,) = B.fit_boosted(df, weight="weight", settings=s, validation="held")
+    assert 1 <= len(alone.trees) < 37 and len(alone.trees) == len(by_pass.trees)
+    a, b = (margins_of(spark, df, [x]) for x in (by_pass, alone))
+    assert all(a[i] == pytest.approx(b[i], abs=1e-9) for i in a)
+
+
+def test_defined_cases_in_one_task(spark, monkeypatch):
+    whole(monkeypatch)
+    X, y, w = data(60)
+    df = frame(spark, X, y, w, np.zeros(60))
+    (m,) = B.fit_boosted(df.where("i < 3"), settings=B.Boosting(rounds=2))  # too few rows to split
+    assert [len(t) for t in m.trees] == [1, 1]
+    (m,) = B.fit_boosted(df, fold="fold", settings=B.Boosting(rounds=2))  # no row to learn from
+    assert [len(t) for t in m.trees] == [1, 1] and m.trees[-1]["value"].tolist() == [0.0]
+    (m,) = B.fit_boosted(df.withColumn("label", df.label * 0), settings=B.Boosting(rounds=2, min_rows=2))  # one class
+    assert max(r.p[0] for r in B.score_boosted(df, [m], out="p").collect()) < 1e-3
+    with pytest.raises(IndexError):
+        m.trees[2]
+
+
+def test_more_than_a_task_may_hold_goes_through_the_passes(spark, monkeypatch):
+    X, y, w = data(60)
+    df = frame(spark, X, y, w, np.zeros(60))
+    monkeypatch.setattr(B, "WHOLE_ROUNDS", 0)
+    monkeypatch.setattr(B, "_grown_whole", lambda *a: pytest.fail("grown in one task"))
+    for name, most in (("WHOLE_CELLS", 60 * X.shape[1] - 1), ("WHOLE_SUMS", 10)):
+        with monkeypatch.context() as p:
+            p.setattr(B, name, most)
+            (m,) = B.fit_boosted(df, settings=B.Boosting(rounds=2, min_rows=5))
+            assert len(m.trees) == 2
