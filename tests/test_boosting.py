@@ -236,3 +236,12 @@ def test_more_than_a_task_may_hold_goes_through_the_passes(spark, monkeypatch):
             p.setattr(B, name, most)
             (m,) = B.fit_boosted(df, settings=B.Boosting(rounds=2, min_rows=5))
             assert len(m.trees) == 2
+
+
+def test_trees_whose_children_stand_apart_are_scored_alike(spark):
+    import pandas as pd
+    apart = pd.DataFrame({"node": range(5), "col": [0, 1, -1, -1, -1], "threshold": [0.5, -1.0, 0, 0, 0], "left": [2, 3, -1, -1, -1], "right": [1, 4, -1, -1, -1], "value": [0, 0, 0.25, -0.5, 1.0]})
+    x = np.array([[0.5, 9.0], [0.6, -1.0], [0.6, 0.0]])
+    df = frame(spark, x, np.zeros(3), np.ones(3), np.zeros(3))
+    got = margins_of(spark, df, [B.BoostedTrees(0.1, [apart, apart])])
+    assert [got[i][0] for i in range(3)] == pytest.approx([1 / (1 + np.exp(-0.1 - 2 * v)) for v in (0.25, -0.5, 1.0)])
